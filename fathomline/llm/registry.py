@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op7_byte_bpe
 from .line_dedup import OP2_SQL, op2_line_dedup
 
-QUERIES = {"op2_line_dedup": op2_line_dedup}
+QUERIES = {"op2_line_dedup": op2_line_dedup, "op7_byte_bpe": op7_byte_bpe}
 SQL = {"op2_line_dedup": OP2_SQL}
