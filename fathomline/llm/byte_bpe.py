@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._work import P, table
+
 #: Entries of a worker's table of known matches; when it is full it starts anew.
-KNOWN = 400_000
+KNOWN = 250_000
 
 
 def byte_chars() -> list[str]:
@@ -49,11 +51,12 @@ class Codec:
         self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.matches = regex.compile(pattern).findall
         byte_of = {c: b for b, c in enumerate(chars)}
-        self.bytes_of = {i: bytes(byte_of[c] for c in token) for token, i in self.library.get_vocab().items()}
+        self.bytes_of = np.full(max(ranks.values()) + 1, None, dtype=object)
+        for token, i in self.library.get_vocab().items():
+            self.bytes_of[i] = bytes(byte_of[c] for c in token)
         self.known: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> bytes:
-        """The text's ids, four bytes each."""
+    def ids(self, text: str) -> np.ndarray:
         found = self.matches(text)
         if new := list(set(found).difference(self.known)):
             if len(self.known) + len(new) > KNOWN:
@@ -61,10 +64,10 @@ class Codec:
                 new = list(set(found))
             for piece, coded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 self.known[piece] = np.array(coded.ids, dtype=np.int32).tobytes()
-        return b"".join(map(self.known.__getitem__, found))
+        return np.frombuffer(b"".join(map(self.known.__getitem__, found)), dtype=np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.bytes_of[ids].tolist())
 
 
 @functools.lru_cache(maxsize=2)
@@ -83,40 +86,32 @@ def _shared(spark: SparkSession, path: str):
 
 def _offsets(text: str, ids, bytes_of) -> list[list[int]]:
     """For each id, the first character it touches and the one after the last; ids that split a character share it."""
+    if not len(ids):
+        return []
     raw = np.frombuffer(text.encode(), dtype=np.uint8)
     char_of = np.cumsum((raw & 0xC0) != 0x80) - 1
     ends = np.cumsum([len(bytes_of[i]) for i in ids])
     starts = np.concatenate([[0], ends[:-1]])
-    return np.stack([char_of[starts], char_of[ends - 1] + 1], axis=1).tolist() if len(ids) else []
+    return np.stack([char_of[starts], char_of[ends - 1] + 1], axis=1).tolist()
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32)))
 
 
 def encode(text: Column | str, ranks, pattern: str) -> Column:
-    """array<int> of the text's ids, without special tokens. Null or empty: no ids. Lone surrogates can't occur in Spark strings."""
+    """array<int> of the text's ids, without special tokens. Null or empty: no ids."""
 
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(ranks.value, pattern)
         for batch in batches:
-            coded = [codec.ids(t.as_py() or "") for t in batch]
-            at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded], dtype=np.int64)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(coded), dtype=np.int32)))
+            yield _lists([codec.ids(t.as_py() or "") for t in batch])
 
     return run(text)
 
 
-def offsets(text: Column | str, ids: Column | str, ranks, pattern: str) -> Column:
-    """array<array<int>>: [start, end) in characters for each id of encode()."""
-
-    @F.arrow_udf("array<array<int>>")
-    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-
-        table = _codec(ranks.value, pattern).bytes_of
-        for texts, coded in batches:
-            yield pa.array([_offsets(t.as_py() or "", i.as_py() or [], table) for t, i in zip(texts, coded, strict=True)], pa.list_(pa.list_(pa.int32())))
-
-    return run(text, ids)
-
-
 def decode(ids: Column | str, ranks, pattern: str) -> Column:
     """The bytes that the ids stand for; null or no ids give none. An id outside the vocabulary is an error.
 
@@ -126,12 +121,30 @@ def decode(ids: Column | str, ranks, pattern: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(ranks.value, pattern)
         for batch in batches:
-            at, values = batch.offsets.to_numpy(), batch.values.to_pylist()
+            at, values = batch.offsets.to_numpy(), batch.values.to_numpy()
             yield pa.array([codec.decode(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
 
     return run(F.coalesce(F.col(ids) if isinstance(ids, str) else ids, F.array().cast("array<int>")))
 
 
+def round_trip(text: Column | str, ranks, pattern: str, with_offsets: bool = False) -> Column:
+    """struct<ids, decoded, offsets>: encode and decode in one crossing to Python. decoded comes from the ids alone.
+
+    offsets: [start, end) in characters for each id, null unless asked for."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary,offsets:array<array<int>>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = _codec(ranks.value, pattern)
+        kind = pa.list_(pa.list_(pa.int32()))
+        for batch in batches:
+            texts = batch if with_offsets else ()
+            coded = [codec.ids(t.as_py() or "") for t in batch]
+            places = pa.array([_offsets(t.as_py() or "", i, codec.bytes_of) for t, i in zip(texts, coded, strict=False)], kind) if with_offsets else pa.nulls(len(batch), kind)
+            yield pa.StructArray.from_arrays([_lists(coded), pa.array([codec.decode(i) for i in coded], pa.binary()), places], names=["ids", "decoded", "offsets"])
+
+    return run(text)
+
+
 def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", with_offsets: bool = False) -> DataFrame:
     """docs with ids (array<int>), decoded (binary) and, if asked for, offsets (array of [start, end) characters).
 
@@ -140,18 +153,13 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "te
     ranks = _shared(docs.sparkSession, ranks_path)
     new = ["ids", "decoded", "offsets"] if with_offsets else ["ids", "decoded"]
     rest = [c for c in docs.columns if c.lower() not in new]
-    text = F.col(f"`{text_col}`")
-    coded = docs.select(*[F.col(f"`{c}`") for c in rest], encode(text, ranks, pattern).alias("ids"))
-    if with_offsets:
-        coded = coded.withColumn("offsets", offsets(text, F.col("ids"), ranks, pattern))
-    return coded.withColumn("decoded", decode("ids", ranks, pattern))
+    coded = docs.select(*[F.col(f"`{c}`") for c in rest], round_trip(F.col(f"`{text_col}`"), ranks, pattern, with_offsets).alias(P + "coded"))
+    return coded.select(*[F.col(f"`{c}`") for c in rest], *[F.col(P + "coded")[c].alias(c) for c in new])
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from ._work import table
-
     done = byte_bpe(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return done.select(
         "doc_id",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .byte_bpe import op7_byte_bpe
 from .line_dedup import OP2_SQL, op2_line_dedup
+from .toxicity import op10_toxicity
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op7_byte_bpe": op7_byte_bpe}
+QUERIES = {"op2_line_dedup": op2_line_dedup, "op7_byte_bpe": op7_byte_bpe, "op10_toxicity": op10_toxicity}
 SQL = {"op2_line_dedup": OP2_SQL}
