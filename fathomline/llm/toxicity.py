@@ -51,13 +51,17 @@ def fold(text: str) -> str:
     return f" {_GAP.sub(' ', text).strip()} "
 
 
+#: Features of a text without hits.
+NONE = (0.0, 0.0, 0.0, 0.0, 0.0)
+
+
 @dataclass(frozen=True)
 class Model:
     """weights: of folded terms; exceptions: folded phrases; slopes and intercept: of the log-odds in Matcher.features."""
 
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: tuple[str, ...] = ()
-    slopes: tuple[float, ...] = (1.0, 0.0, 0.0)
+    slopes: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0, 0.0)
     intercept: float = -1.0
 
 
@@ -74,27 +78,27 @@ class Matcher:
         if self.any:
             self.machine.make_automaton()
 
-    def features(self, text: str) -> tuple[float, float, float]:
-        """Logarithms of one plus: the summed weights over a slowly growing length; the words hit; the different terms hit.
+    def features(self, text: str) -> tuple[float, ...]:
+        """Whether one, two and three words are hit; logarithms of one plus the summed weights, and plus these over a slowly growing length.
 
         A word counts once, by its heaviest term; words inside an exception phrase don't count."""
         if not self.any:
-            return 0.0, 0.0, 0.0
+            return NONE
         folded = fold(text)
-        hits: dict[int, tuple[float, int]] = {}
+        hits: dict[int, float] = {}
         spared: list[tuple[int, int]] = []
         for end, (n, w) in self.machine.iter(folded):
             start = end - n + 1
             if w is None:
                 spared.append((start, end))
             else:
-                hits[start] = max((w, end), hits.get(start, (0.0, 0)))
+                hits[start] = max(w, hits.get(start, 0.0))
         kept = {at: x for at, x in hits.items() if not any(a <= at < b for a, b in spared)} if spared else hits
         if not kept:
-            return 0.0, 0.0, 0.0
-        total = sum(w for w, _ in kept.values())
-        different = len({folded[at : end + 1] for at, (_, end) in kept.items()})
-        return math.log1p(total / math.log2(2 + folded.count(" ") / 64)), math.log1p(len(kept)), math.log1p(different)
+            return NONE
+        total = sum(kept.values())
+        n = len(kept)
+        return 1.0, float(n > 1), float(n > 2), math.log1p(total), math.log1p(total / math.log2(2 + folded.count(" ") / 64))
 
 
 def _features(text: Column | str, shared) -> Column:
@@ -126,7 +130,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"term": pa.array([r[0] for r in rows], pa.string()), "origin": pa.array([r[1] for r in rows], pa.int64())})
 
 
-def learn(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, max_terms: int = 20_000, min_origins: int = 4, min_log_odds: float = 3.0, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
+def learn(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, max_terms: int = 20_000, min_origins: int = 4, min_log_odds: float = 2.0, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
     """A Model from the labelled rows given.
 
     It is fitted on a sample of at most `sample` labelled ids (those with the least hash of the id); `max_terms` bounds
@@ -157,15 +161,19 @@ def learn(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
         yield pa.record_batch({"k": pa.array(list(got), pa.int64()), "tox": pa.array([v[1] for v in got.values()], pa.int64()), "non": pa.array([v[0] for v in got.values()], pa.int64())})
 
     counts = rows.select("t", "y").mapInArrow(count, "k long, tox long, non long").groupBy("k").agg(F.sum("tox").alias("tox"), F.sum("non").alias("non")).collect()
-    odds = {terms[r["k"]]: math.log((r["tox"] + 0.5) / (n_tox + 1)) - math.log((r["non"] + 0.5) / (n_non + 1)) for r in counts}
-    support = {terms[r["k"]]: r["tox"] for r in counts}
-    weights = _choose({t: o for t, o in odds.items() if o >= min_log_odds}, support)
+    odds = {terms[r["k"]]: _log_odds(r["tox"], n_tox, r["non"], n_non) for r in counts}
+    weights = _choose({t: o for t, o in odds.items() if o >= min_log_odds})
     fitted = rows.select(_features("t", spark.sparkContext.broadcast((weights, spared))).alias("x"), "y").toPandas()
     slopes, intercept = logistic(np.stack(fitted["x"].to_list()), fitted["y"].to_numpy())
     return Model(weights, spared, slopes, intercept)
 
 
-def _choose(odds: dict[str, float], support: dict[str, int]) -> dict[str, float]:
+def _log_odds(tox: int, n_tox: int, non: int, n_non: int) -> float:
+    """Of a text with the term to be toxic, one standard error below the estimate: rare terms weigh less."""
+    return math.log((tox + 0.5) / (n_tox + 1)) - math.log((non + 0.5) / (n_non + 1)) - math.sqrt(1 / (tox + 0.5) + 1 / (non + 0.5))
+
+
+def _choose(odds: dict[str, float]) -> dict[str, float]:
     """Whole words, and the shortest stems that are no part of just one of them."""
     words = [t for t in odds if t.endswith(" ")]
     endings = Counter(t[: k + 1] for t in words for k in range(4, len(t) - 2))
