@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .byte_bpe import op7_byte_bpe
+from .decontaminate import op4_decontaminate
+from .html_text import op8_html_text
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .quality import op6_quality
 from .toxicity import op10_toxicity
 from .warc import OP5_SQL, op5_warc
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_byte_bpe": op7_byte_bpe, "op10_toxicity": op10_toxicity}
+QUERIES = {"op2_line_dedup": op2_line_dedup, "op4_decontaminate": op4_decontaminate, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_byte_bpe": op7_byte_bpe, "op8_html_text": op8_html_text, "op10_toxicity": op10_toxicity}
 SQL = {"op2_line_dedup": OP2_SQL, "op5_warc": OP5_SQL}
