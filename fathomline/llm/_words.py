@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -83,11 +84,11 @@ def windows(hashes: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray,
         return mix(total[at]), at
 
 
-def slices(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """The texts (null: empty) in runs of about `size` characters, each with the number of its first text."""
+def slices(texts: pa.Array | list[str | None], size: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
+    """The texts (null: empty) in runs of about `size` characters, each with the number of its first text; only a run is held at a time."""
     first, run, total = 0, [], 0
     for k, t in enumerate(texts):
-        run.append(t or "")
+        run.append((t.as_py() if isinstance(t, pa.Scalar) else t) or "")
         total += len(run[-1])
         if total >= size:
             yield first, run

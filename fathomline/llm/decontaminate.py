@@ -71,7 +71,7 @@ def _windows(texts: list[str], sizes: tuple[int, ...], least_words: int) -> Iter
 FOUND = "id long, place int, window long, kind int, slots array<long>"
 
 
-def _rows(ids: list[int | None], texts: list[str | None], sizes: tuple[int, ...], least_words: int, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _rows(ids: list[int | None], texts: pa.Array | list[str | None], sizes: tuple[int, ...], least_words: int, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Windows as rows of FOUND; with wanted (sorted hashes) only those among them."""
     lookup = None
     if wanted is not None:
@@ -122,7 +122,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted = wanted_of.value if wanted_of is not None else None
             for b in batches:
-                yield from _rows(b.column(0).to_pylist(), b.column(1).to_pylist(), sizes, least_words, wanted)
+                yield from _rows(b.column(0).to_pylist(), b.column(1), sizes, least_words, wanted)
 
         return run
 

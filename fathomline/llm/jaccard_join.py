@@ -77,7 +77,7 @@ def sketch(docs: DataFrame, plan: Plan) -> DataFrame:
         a, b = _multipliers(plan.signature)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for base, texts in slices(batch.column(1).to_pylist()):
+            for base, texts in slices(batch.column(1)):
                 sets = shingle_sets(texts, plan.size)
                 has = np.array([k for k, s in enumerate(sets) if len(s)], dtype=np.int64)
                 if not len(has):
@@ -252,7 +252,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in slices(batch.column("t").to_pylist()):
+            for at, texts in slices(batch.column("t")):
                 sets = [s.tobytes() for s in shingle_sets(texts, plan.size)]
                 part = batch.slice(at, len(texts))
                 yield pa.record_batch({**{c: part.column(c) for c in ("key", "m", "id", "copies")}, "shingles": pa.array(sets, pa.binary())})

@@ -134,7 +134,7 @@ def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
         scan = Retriever(templates, plan)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for base, texts in slices(batch.column(1).to_pylist()):
+            for base, texts in slices(batch.column(1)):
                 found = scan.find(texts)
                 yield pa.record_batch({
                     "id": pa.array([ids[base + d] for d, *_ in found], pa.int64()), "license": pa.array([templates[k][0] for _, k, _, _ in found], pa.string()),
