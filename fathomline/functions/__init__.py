@@ -1 +1 @@
-"""PySpark-native contract checking for documents and tables."""
+"""Scalar rules: vocabularies, messages, canonical JSON."""
