@@ -27,8 +27,8 @@ from ._work import P, cut, sole, table
 
 @dataclass(frozen=True)
 class Plan:
-    """size: words of a shingle; threshold: least similarity; coordinates, chosen: in all, and sampled at a split;
-    small: sets of a bucket that is not split; block: sets of a side of a larger bucket; depth: splits of a run;
+    """size: words of a shingle; threshold: least similarity; coordinates, chosen, split: in all, sampled by a run, and sampled where
+    a bucket is split; small: sets of a bucket that is not split; block: sets of a side of a larger bucket; depth: splits of a run;
     slack: how far below the threshold a signature's estimate may lie (four standard errors);
     recall: of a pair at the threshold."""
 
@@ -37,7 +37,8 @@ class Plan:
     signature: int = 128
     coordinates: int = 32
     chosen: int = 3
-    small: int = 256
+    split: int = 2
+    small: int = 512
     block: int = 2048
     exact_block: int = 256
     depth: int = 4
@@ -163,7 +164,7 @@ def _run(reps: DataFrame, runs: range, label: DataFrame | None, plan: Plan) -> D
         large = sized.where(~stop)
         if level == plan.depth or large.isEmpty():
             break
-        picks = [F.pmod(F.xxhash64("key", F.lit(j)), F.lit(plan.coordinates)).cast("int") for j in range(plan.chosen)]
+        picks = [F.pmod(F.xxhash64("key", F.lit(j)), F.lit(plan.coordinates)).cast("int") for j in range(plan.split)]
         split = F.explode(F.array_distinct(F.array(*[F.xxhash64("key", p, F.col("tokens")[p]) for p in picks])))
         nodes = large.join(reps.select("id", "tokens"), "id").select("id", "c", F.col("m").alias("before"), split.alias("key"))
     rows = _in_blocks(done, "key", "m", plan.block).join(reps.select("id", "n", "sig"), "id").select("key", "one", "two", "id", "n", "sig", "side")
