@@ -433,9 +433,12 @@ class _Compiler:
                 raise NotColumnar("patternProperties over a struct needs the interpreter")
             return
         entries, make = found
+
+        def below(pattern: str, sub: Any) -> Callable[[Column], Column]:
+            return lambda e: F.when(match(e["key"], pattern), self.sub(sub, make(e["value"]), F.concat(path, F.array(e["key"]))).violations()).otherwise(nothing())
+
         for pattern, sub in by_pattern.items():
-            below = lambda e, p=pattern, s=sub: F.when(match(e["key"], p), self.sub(s, make(e["value"]), F.concat(path, F.array(e["key"]))).violations()).otherwise(nothing())
-            self.inner.append(F.coalesce(F.when(when, F.flatten(F.transform(entries, below))), nothing()))
+            self.inner.append(F.coalesce(F.when(when, F.flatten(F.transform(entries, below(pattern, sub)))), nothing()))
 
     def _additional(self, schema: dict, limit: Any, node: Node, keys: Column, path: Column, when: Column, bad: Callable) -> None:
         if limit is True or limit == {}:
