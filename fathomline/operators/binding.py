@@ -38,61 +38,66 @@ def variant_type(v: Column) -> Column:
 
 
 def metadata(docs: DataFrame, dialect: Dialect = Dialect()) -> DataFrame:
-    """docs(root_json, ...) with keys, meta (struct contract, schema, envelope, status, error).
+    """docs(root_json, ...) with keys, members (VARIANT by key), meta (struct contract, schema, envelope, status, error).
 
     No block or a null one: meta is null. Text: the contract. A mapping: the four keys, each text and not empty, status
     one of three, no others. error says what is wrong, else null."""
-    m = F.element_at(members(F.col("root_json")), F.lit(dialect.meta_key))
-    kind = variant_type(m)
-    text = lambda key: F.try_variant_get(m, f"$.{key}", "string")
-    own = lambda key: F.try_variant_get(m, f"$.{key}", "variant")
-    is_text = lambda key: variant_type(own(key)) == "str"
-    null = lambda key: own(key).isNull() | F.is_variant_null(own(key))
-    unknown = F.array_except(F.when(kind == "dict", F.json_object_keys(F.to_json(m))), F.array(*map(F.lit, META_KEYS)))
-    contract = F.when(kind == "str", F.try_variant_get(m, "$", "string")).when((kind == "dict") & is_text("contract"), text("contract"))
-    optional = lambda key: ~null(key) & (~is_text(key) | (F.length(text(key)) == 0))
+    # each step is a column of its own: the optimizer keeps it as one, where nested expressions would be repeated
+    d = docs.withColumn("keys", top_keys(F.col("root_json"))).withColumn("members", members(F.col("root_json")))
+    d = d.withColumn("m", F.element_at("members", F.lit(dialect.meta_key))).withColumn("m_kind", variant_type(F.col("m")))
+    d = d.withColumn("own", F.when(F.col("m_kind") == "dict", F.try_variant_get("m", "$", "map<string,variant>")))
+    d = d.withColumn("types", F.transform_values("own", lambda k, v: variant_type(v)))
+    m, kind, own, types = (F.col(c) for c in ("m", "m_kind", "own", "types"))
+    text = lambda key: F.when(types[key] == "str", F.try_variant_get(F.element_at(own, F.lit(key)), "$", "string"))
+    for key in META_KEYS:
+        d = d.withColumn(f"m_{key}", text(key))
+    d = d.withColumn("m_contract", F.when(kind == "str", F.try_variant_get(m, "$", "string")).otherwise(F.col("m_contract")))
+    d = d.withColumn("unknown", F.array_except(F.map_keys(own), F.array(*map(F.lit, META_KEYS))))
+    contract = F.col("m_contract")
+    optional = lambda key: (types[key] != "NoneType") & F.coalesce(F.length(f"m_{key}") == 0, F.lit(True))
     error = (
         F.when(~kind.isin("str", "dict"), F.concat(F.lit("metadata must be a string or mapping, got "), kind))
-        .when(F.size(unknown) > 0, F.concat(F.lit("unknown metadata keys: "), F.concat_ws(", ", F.sort_array(unknown))))
+        .when(F.size("unknown") > 0, F.concat(F.lit("unknown metadata keys: "), F.concat_ws(", ", F.sort_array("unknown"))))
         .when(contract.isNull(), F.lit("contract must be a string"))
         .when(~is_contract_id(contract), F.concat(F.lit("malformed contract ID '"), contract, F.lit("'")))
-        .when((kind == "dict") & optional("schema"), F.lit("schema must be a non-empty string"))
-        .when((kind == "dict") & optional("envelope"), F.lit("envelope must be a non-empty string"))
-        .when((kind == "dict") & ~null("status") & ~F.coalesce(is_text("status") & text("status").isin(*STATUSES), F.lit(False)), F.lit("status must be soft, permissive or enforced"))
+        .when(optional("schema"), F.lit("schema must be a non-empty string"))
+        .when(optional("envelope"), F.lit("envelope must be a non-empty string"))
+        .when((types["status"] != "NoneType") & ~F.coalesce(F.col("m_status").isin(*STATUSES), F.lit(False)), F.lit("status must be soft, permissive or enforced"))
     )
-    mapped = lambda key: F.when((kind == "dict") & is_text(key), text(key))
-    meta = F.struct(contract.alias("contract"), mapped("schema").alias("schema"), mapped("envelope").alias("envelope"), mapped("status").alias("status"), error.alias("error"))
-    return docs.withColumn("keys", top_keys(F.col("root_json"))).withColumn("meta", F.when(m.isNotNull() & ~F.is_variant_null(m), meta))
+    meta = F.struct(contract.alias("contract"), F.col("m_schema").alias("schema"), F.col("m_envelope").alias("envelope"), F.col("m_status").alias("status"), error.alias("error"))
+    return d.withColumn("meta", F.when(m.isNotNull() & (kind != "NoneType"), meta)).drop("m", "m_kind", "own", "types", "unknown", *[f"m_{k}" for k in META_KEYS])
 
 
 def envelope(docs: DataFrame, host_key: Column, contract_id: Column, profile: Column, dialect: Dialect = Dialect()) -> DataFrame:
-    """docs(root_json, keys, meta) with payload_json and envelope_error(kind, message, expected_key, actual_keys).
+    """docs(keys, members, meta) with payload_json and envelope_error(kind, message, expected_key, actual_keys).
 
     The key: the host's, else the document's, else, for frontmatter, the only other one; pure YAML without a key is its
     whole root but for the metadata."""
-    mine = F.filter("keys", lambda k: k != dialect.meta_key)
-    declared = F.coalesce(host_key, F.col("meta.envelope"))
     yaml = profile == "pure-yaml"
-    inferred = F.when(F.size(mine) == 1, mine[0])
-    key = F.coalesce(declared, F.when(~yaml, inferred))
-    value = F.when(F.array_contains("keys", key), F.element_at(members(F.col("root_json")), key))
-    whole = F.to_json(F.map_filter(members(F.col("root_json")), lambda k, v: k != dialect.meta_key))
+    d = docs.withColumn("mine", F.filter("keys", lambda k: k != dialect.meta_key)).withColumn("declared", F.coalesce(host_key, F.col("meta.envelope")))
+    mine, declared = F.col("mine"), F.col("declared")
+    d = d.withColumn("envelope_key", F.coalesce(declared, F.when(~yaml & (F.size(mine) == 1), F.get(mine, F.lit(0)))))
+    key = F.col("envelope_key")
+    d = d.withColumn("value", F.when(F.array_contains("keys", key), F.element_at("members", key))).withColumn("value_type", variant_type(F.col("value")))
     kind = (
         F.when(declared.isNotNull() & ~F.array_contains("keys", declared), "envelope_mismatch")
         .when(declared.isNull() & ~yaml & (F.size(mine) > 1), "envelope_ambiguous")
         .when(declared.isNull() & ~yaml & (F.size(mine) == 0), "envelope_missing")
-        .when(key.isNotNull() & (variant_type(value) != "dict"), "envelope_not_mapping")
+        .when(key.isNotNull() & (F.col("value_type") != "dict"), "envelope_not_mapping")
     )
+    d = d.withColumn("fault", kind)
+    fault = F.col("fault")
     message = (
-        F.when(kind == "envelope_mismatch", F.concat(F.lit("contract '"), contract_id, F.lit("' expects '"), declared, F.lit("'")))
-        .when(kind == "envelope_ambiguous", F.concat(F.lit("multiple top-level frontmatter keys; designate the payload (candidates: "), F.concat_ws(", ", mine), F.lit(")")))
-        .when(kind == "envelope_missing", F.lit("document has no payload key beside its metadata"))
-        .when(kind == "envelope_not_mapping", F.concat(F.lit("envelope value is "), variant_type(value), F.lit(", expected mapping")))
+        F.when(fault == "envelope_mismatch", F.concat(F.lit("contract '"), contract_id, F.lit("' expects '"), declared, F.lit("'")))
+        .when(fault == "envelope_ambiguous", F.concat(F.lit("multiple top-level frontmatter keys; designate the payload (candidates: "), F.concat_ws(", ", mine), F.lit(")")))
+        .when(fault == "envelope_missing", F.lit("document has no payload key beside its metadata"))
+        .when(fault == "envelope_not_mapping", F.concat(F.lit("envelope value is "), F.col("value_type"), F.lit(", expected mapping")))
     )
-    mismatch = kind == "envelope_mismatch"
-    error = F.struct(kind.alias("kind"), message.alias("message"), F.when(mismatch, declared).alias("expected_key"), F.when(mismatch, mine).alias("actual_keys"))
-    payload = F.when(kind.isNull(), F.when(key.isNotNull(), F.to_json(value)).otherwise(whole))
-    return docs.withColumn("envelope_key", key).withColumn("envelope_error", F.when(kind.isNotNull(), error)).withColumn("payload_json", payload)
+    mismatch = fault == "envelope_mismatch"
+    error = F.struct(fault.alias("kind"), message.alias("message"), F.when(mismatch, declared).alias("expected_key"), F.when(mismatch, mine).alias("actual_keys"))
+    whole = F.to_json(F.map_filter("members", lambda k, v: k != dialect.meta_key))
+    d = d.withColumn("envelope_error", F.when(fault.isNotNull(), error)).withColumn("payload_json", F.when(fault.isNull(), F.when(key.isNotNull(), F.to_json("value")).otherwise(whole)))
+    return d.drop("mine", "declared", "value", "value_type", "fault", "members")
 
 
 def schema_source(host_ref: Column, document_ref: Column, has_model: Column) -> Column:

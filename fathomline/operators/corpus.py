@@ -82,6 +82,8 @@ def validate_corpus(
         .when(differs & F.lit(metadata_mode == "enforced"), "document_contract_mismatch")
         .when(F.col("envelope_error").isNotNull(), F.col("envelope_error.kind"))
     )
+    d = d.withColumn("failure", failure)
+    failure = F.col("failure")
     text = (
         F.when(failure == "contract_unknown", F.concat(F.lit("no contract registered for '"), F.coalesce("contract_id", F.lit("<unknown>")), F.lit("'")))
         .when(failure == F.col("kind"), F.col("message"))
@@ -94,8 +96,10 @@ def validate_corpus(
     source = binding.schema_source(F.col("reg_schema"), F.col("meta.schema"), F.coalesce("reg_model", F.lit(False)))
     ref = F.coalesce("reg_schema", "meta.schema")
     in_catalogue = ref.isin(list(schemas)) if schemas else F.lit(False)
+    d = d.withColumn("failure_message", text).withColumn("schema_source", source).withColumn("schema_ref", ref)
+    ref, source = F.col("schema_ref"), F.col("schema_source")
     missing = F.when(source == "host", F.when(~in_catalogue, F.concat(F.lit("compiled schema not found: "), ref))).when(source == "document", binding.document_schema_error(ref, in_catalogue))
-    d = d.withColumn("failure", failure).withColumn("failure_message", text).withColumn("schema_source", source).withColumn("schema_ref", ref).withColumn("schema_error", F.when(failure.isNull(), missing))
+    d = d.withColumn("schema_error", F.when(failure.isNull(), missing))
     evaluators = spark.sparkContext.broadcast(schemas)
     meta_key = dialect.meta_key
 
