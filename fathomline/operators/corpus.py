@@ -171,7 +171,7 @@ def validate_corpus(
 
 def error_rows(results: DataFrame) -> DataFrame:
     """A row per error: path, ordinal, json_path (as JSON Pointer) and the error's other columns."""
-    listed = results.select("path", F.posexplode("errors"))
+    listed = results.select("path", F.posexplode_outer("errors")).where("pos is not null")
     part = lambda c: F.replace(F.replace(c, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
     pointer = F.concat_ws("", F.transform(F.col("col.path"), lambda p: F.concat(F.lit("/"), part(p))))
     rest = ("kind", "validator", "validator_value", "value", "message", "reason", "expected_key", "actual_keys")
@@ -179,7 +179,7 @@ def error_rows(results: DataFrame) -> DataFrame:
 
 
 def warning_rows(results: DataFrame) -> DataFrame:
-    return results.select("path", F.explode("warnings").alias("w")).select("path", "w.*")
+    return results.select("path", F.explode_outer("warnings").alias("w")).where("w is not null").select("path", "w.*")
 
 
 def inspect_corpus(docs: DataFrame, dialect: Dialect = Dialect()) -> DataFrame:

@@ -62,7 +62,7 @@ def sections(docs: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(block), F.lit(1)).alias("open"), F.regexp_extract_all(text, F.lit(block), F.lit(2)).alias("existing"))
     rest = F.regexp_replace(text, block, "")
     stray = F.regexp_extract(rest, opens, 0)
-    found = docs.select(*keys, F.posexplode(pairs)).select(*keys, F.col("pos").alias("section_no"), F.col("col.open").alias("open_marker"), F.col("col.existing").alias("existing"))
+    found = docs.select(*keys, F.posexplode_outer(pairs)).where("pos is not null").select(*keys, F.col("pos").alias("section_no"), F.col("col.open").alias("open_marker"), F.col("col.existing").alias("existing"))
     attrs = F.regexp_extract("open_marker", opens, 1)
     names = F.regexp_extract_all(attrs, F.lit(_ATTRIBUTE), F.lit(1))
     unknown = F.array_sort(F.array_distinct(F.array_except(names, F.array(*map(F.lit, (*KNOWN, "contract"))))))

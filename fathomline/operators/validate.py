@@ -59,12 +59,13 @@ def validate_rows(df: DataFrame, contract: Contract, column: str | None = None)
 def violations(df: DataFrame, contract: Contract, keys: list[str], column: str | None = None) -> DataFrame:
     """A row per violation: keys, ordinal (its place in its row's list), json_path (as JSON Pointer), validator, validator_value, value, message.
 
-    Rows without violations are filtered out by a plain predicate before any array is built, so that simple bounds reach the scan."""
+    Rows without violations are filtered out by a plain predicate before any array is built, so that simple bounds reach
+    the scan. The outer explode keeps the optimizer from inferring a filter that would build each array twice."""
     try:
         compiled = program(df, contract, column)
-        listed = df.where(compiled.invalid()).select(*keys, F.posexplode(compiled.violations()))
+        listed = df.where(compiled.invalid()).select(*keys, F.posexplode_outer(compiled.violations()))
     except NotColumnar:
-        listed = df.select(*keys, F.posexplode(interpreted(as_json(df, column), contract)))
+        listed = df.select(*keys, F.posexplode_outer(interpreted(as_json(df, column), contract))).where("pos is not null")
     part = lambda c: F.replace(F.replace(c, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
     pointer = F.concat_ws("", F.transform(F.col("col.json_path"), lambda p: F.concat(F.lit("/"), part(p))))
     return listed.select(*keys, F.col("pos").alias("ordinal"), pointer.alias("json_path"), "col.validator", "col.validator_value", "col.value", "col.message")
