@@ -32,13 +32,18 @@ class Union:
             self.sets -= 1
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, one_task: int = 500_000) -> DataFrame:
     """id, component for every id in links(a, b): component is the least id that links lead to.
 
+    Up to one_task links (16 bytes each, counted first) one task joins them; beyond that stars alternate.
+
     Each round's table is written in the shared folder. Sums over a hub's links are combined before they are shuffled,
     and the joins carry one row per link, on whose hub side Spark splits a large partition. Rounds grow with the
     logarithm of the longest path. Links of an id with itself keep it as a component of its own."""
-    stars = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    rows = links.count()
+    if rows <= one_task:
+        return links.select("a", "b").coalesce(1).mapInArrow(_joined, "id long, component long")
+    stars = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", rows)
     mark = None
     while True:
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -47,7 +52,7 @@ def components(links: DataFrame) -> DataFrame:
         large = large.union(stars.where("a = b")).where("a > b or a = b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
-        stars = cut(small.where("a > b").union(large.where("a = b")).distinct(), "stars")
+        stars = cut(small.where("a > b").union(large.where("a = b")).distinct(), "stars", 2 * rows)
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -55,6 +60,17 @@ def components(links: DataFrame) -> DataFrame:
     return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).union(stars.select(F.col("b").alias("id"), F.col("b").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all the links of a task."""
+    ends = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+    ids, at = np.unique(np.concatenate(ends, axis=1) if ends else np.empty((2, 0), np.int64), return_inverse=True)
+    at = at.reshape(2, -1)
+    sets = Union(len(ids))
+    for a, b in zip(at[0].tolist(), at[1].tolist(), strict=True):
+        sets.join(a, b)
+    yield pa.record_batch({"id": pa.array(ids), "component": pa.array(ids[[sets.find(k) for k in range(len(ids))]] if len(ids) else ids)})
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Runs of rows with equal first `keys` columns, over batches that are sorted by them."""
     held: list[pa.RecordBatch] = []

@@ -27,11 +27,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: it is computed once, and survives lost executors."""
+def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: it is computed once, and survives lost executors.
+
+    rows: about how many there are, if known: then the last stage has a task, and the table a file, for 200,000 rows
+    each, and 8 at least, however many partitions the session shuffles to."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(8, -(-rows // 200_000)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -144,8 +144,8 @@ def _in_blocks(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
     return dealt.withColumn("one", F.least(P + "b", P + "o")).withColumn("two", F.greatest(P + "b", P + "o")).withColumn("side", (F.col(P + "b") > F.col(P + "o")).cast("int")).drop(P + "k", P + "b", P + "o")
 
 
-def _run(reps: DataFrame, runs: range, label: DataFrame | None, plan: Plan) -> DataFrame:
-    """Candidate links (a, b) of these runs. label: components so far; buckets within one component are left out."""
+def _run(reps: DataFrame, count: int, runs: range, label: DataFrame | None, plan: Plan) -> DataFrame:
+    """Candidate links (a, b) of these runs over so many reps. label: components so far; buckets within one component are left out."""
     first = F.explode(F.array(*[F.xxhash64(F.lit(r * plan.chosen + j), F.col("tokens")[(r * plan.chosen + j) % plan.coordinates]) for r in runs for j in range(plan.chosen)]))
     nodes = reps.select("id", first.alias("key"))
     if label is None:
@@ -156,7 +156,7 @@ def _run(reps: DataFrame, runs: range, label: DataFrame | None, plan: Plan) -> D
     done: DataFrame | None = None
     for level in range(plan.depth + 1):
         sizes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias(P + "lo"), F.max("c").alias(P + "hi")).where(F.col(P + "lo") < F.col(P + "hi")).select("key", "m")
-        sized = cut(nodes.join(sizes, "key"), "buckets")
+        sized = cut(nodes.join(sizes, "key"), "buckets", count * len(runs) * plan.chosen)
         stop = (F.col("m") <= plan.small) | (F.col("m") > F.col("before") / 2) if level < plan.depth else F.lit(True)
         stop = F.coalesce(stop, F.col("m") <= plan.small)
         ready = sized.where(stop).select("key", "id", "m")
@@ -243,13 +243,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         base = base.groupBy("id").agg(F.max("t").alias("t"))
     made = cut(sketch(base, plan), "sketches")
     classes = cut(made.groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"), F.first("sig").alias("sig")), "classes")
-    reps = classes.select("id", "n", "tokens", "sig")
-    links = cut(_run(reps, range(1), None, plan), "candidates")
-    label = cut(components(links), "components")
-    more = cut(_run(reps, range(1, plan.runs), label, plan), "candidates")
-    label = cut(components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components")
+    reps, count = classes.select("id", "n", "tokens", "sig"), classes.count()
+    links = cut(_run(reps, count, range(1), None, plan), "candidates")
+    label = cut(components(links), "components", count)
+    more = cut(_run(reps, count, range(1, plan.runs), label, plan), "candidates")
+    label = cut(components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components", count)
     sizes = label.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    members = cut(label.join(sizes, "component").join(classes.select("id", "copies"), "id").select("id", F.col("component").alias("key"), "m", "copies"), "members")
+    members = cut(label.join(sizes, "component").join(classes.select("id", "copies"), "id").select("id", F.col("component").alias("key"), "m", "copies"), "members", count)
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

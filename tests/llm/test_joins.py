@@ -51,9 +51,10 @@ def test_words_and_shingles():
     assert words(["é"], LETTERS).hash[0] == words(["É"], LETTERS).hash[0]
 
 
+@pytest.mark.parametrize("one_task", [0, 1000])
 @pytest.mark.parametrize("links", [[], [(1, 1)], [(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 30)], [(5, 3), (3, 5), (9, 7), (7, 1), (2, 2)]])
-def test_components(spark, links):
-    got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+def test_components(spark, links, one_task):
+    got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long"), one_task).collect()}
     sets = Union(60)
     for a, b in links:
         sets.join(a, b)
