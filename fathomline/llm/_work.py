@@ -13,14 +13,16 @@ P = "_fl_"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
+    """The folder that the cluster names in spark.checkpoint.dir, with the scheme of the store that Spark finds it in.
 
     Only where that is unset, as in local tests, a folder of this machine is made and set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = f"file://{tempfile.mkdtemp(prefix='fathomline-')}"
         spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(at.rstrip("/"))
+    full = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+    return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
