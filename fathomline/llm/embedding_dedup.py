@@ -3,8 +3,8 @@
 A bounded sample trains the coarse centroids and, on residuals, the subspace codebooks; every vector is indexed: its home
 list, residual codes, and the length of what the codes leave out. A vector visits each list whose border with its home
 is near. Of two vectors at most e apart in different lists, one lies within e/2 of the border between these, so visits
-up to e/2 (margin 1) find every pair; the default margin is four standard deviations of a difference with no preferred
-direction. Table-lookup distances are compared with e plus what the resident's codes leave out, so they lose no pair.
+up to e/2 (margin 1, the default) find every pair; less would lose pairs that a border cuts, as borders run through large
+groups of near copies along their own noise. Table-lookup distances are compared with e plus what the resident's codes leave out, so they lose no pair.
 Tasks count links and pass on spanning links, never pairs; large lists are compared in blocks.
 """
 
@@ -31,7 +31,7 @@ class Plan:
     sample: int = 20_000
     most_lists: int = 2048
     parts: int = 16
-    margin: float = 0.5
+    margin: float = 1.0
     residents: int = 2048
     queries: int = 4096
 
@@ -39,6 +39,11 @@ class Plan:
     def reach(self) -> float:
         return float(np.sqrt(max(0.0, 2 - 2 * self.threshold)))
 
+    @property
+    def visit(self) -> float:
+        """Distance to a border up to which a vector visits the list beyond; a pair at the very bound is not lost to rounding."""
+        return self.margin * self.reach / 2 + 1e-9
+
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """k centroids (fewer if x has fewer different rows), from a seeded choice of rows; an emptied one keeps its place."""
@@ -114,7 +119,7 @@ ROWS = f"list int, one int, two int, query boolean, {INDEX}"
 def _match(batches: Iterator[pa.RecordBatch], index: Index, plan: Plan) -> Iterator[pa.RecordBatch]:
     """For each group of (list, block of residents, block of queries): id, linked, root, of each vector that links."""
     rows: list[tuple[int, int, int]] = []
-    limit = plan.margin * plan.reach / 2
+    limit = plan.visit
     for g in groups(batches, 3):
         here = int(g.column("list")[0].as_py())
         asks = g.column("query").to_numpy()
@@ -215,7 +220,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     def visits(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of rows and of the lists that they ask, their home among them."""
         x = np.frombuffer(b"".join(part.column("vector").to_pylist()), dtype=np.float64).reshape(part.num_rows, -1)
-        return np.nonzero(shared.value.border(x, part.column("home").to_numpy()) <= plan.margin * plan.reach / 2)
+        return np.nonzero(shared.value.border(x, part.column("home").to_numpy()) <= plan.visit)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(shared.value.lists)

@@ -130,6 +130,18 @@ def test_embeddings(spark, plan):
     assert embedding_dedup(df.where("vec_id = 902")).collect()[0].n_links == 0
 
 
+def test_embeddings_hot_group_with_unequal_noise(spark):
+    rng = np.random.default_rng(5)
+    noise = np.r_[np.full(4, 1.0), np.full(28, 0.2)]
+    hot = rng.normal(size=32) + rng.normal(size=(500, 32)) * noise * 0.55
+    v = np.concatenate([hot, rng.normal(size=(1000, 32))])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert 20_000 < want.sum() < 240_000
+    got = {r.vec_id: r.n_links for r in embedding_dedup(spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>")).collect()}
+    assert [got[k] for k in range(len(v))] == want.tolist()
+
+
 # ---- decontamination ----------------------------------------------------------------------------------------------
 
 ITEM = "Tom has 3 apples and gives 2 apples to Mary so how many apples does Tom have now in the red box of 5 km"
