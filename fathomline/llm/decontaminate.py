@@ -1,5 +1,5 @@
-"""Benchmark decontamination: numbers, names and units become typed placeholders, windows of such templates are
-hash-joined with the benchmark's, and the slots' values must map one to one along an aligned passage.
+"""Benchmark decontamination: numbers, names and units become typed placeholders, a run of words of one number or name
+one placeholder, windows of such templates are hash-joined with the benchmark's, and the slots' values must map one to one along an aligned passage.
 
 Windows of the plain words are joined beside the templates, so that a copy whose capitals changed is found too.
 """
@@ -7,6 +7,7 @@ Windows of the plain words are joined beside the templates, so that a copy whose
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from ._work import cut, sole, table
 # Words that are numbers, units (after a number) and first names.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half third quarter dozen twice".split()
 UNITS = "mm cm m km in inch inches ft foot feet yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur percent degree degrees celsius fahrenheit mph kmh watt watts volt volts joule joules meter meters metre metres".split()
+SCALES = ["hundred", "thousand", "million", "billion"]
 NAMES = "alice bob carol dave eve tom mary john james anna emma liam noah olivia ava mia lucas ethan sarah david daniel maria peter paul jack kate lucy sam ben max leo mark lisa julia laura kevin brian jason susan karen linda robert michael william".split()
 
 _NUM, _UNIT, _NAME = (np.uint64(x) for x in (0x4E554D5F5F5F5F5F, 0x554E49545F5F5F5F, 0x4E414D455F5F5F5F))
@@ -33,14 +35,34 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
 
 
-def canonical(w: Words) -> np.ndarray:
-    """Each word's hash in the template: that of its type for numbers, units and names, its own for the others.
+@dataclass
+class Parts:
+    """A text's words, or its template's places. hash: the word's own or its type's; doc: its text's number; begin, end: the
+    words that it stands for; slot: whether it is a placeholder; value: hash of the words in it."""
 
-    A number starts with a digit or is a number word; a unit stands after a number; a name is a known first name or a
-    word with one capital at its head that starts no sentence."""
+    hash: np.ndarray
+    doc: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    slot: np.ndarray
+    value: np.ndarray
+
+
+def plain(w: Words) -> Parts:
+    at = np.arange(len(w.hash))
+    return Parts(w.hash, w.doc, at, at + 1, np.zeros(len(at), bool), w.hash)
+
+
+def template(w: Words) -> Parts:
+    """The words with one placeholder for each unit and each run of number words or of name words (1,250; twenty-five; Mary Ann).
+
+    A number starts with a digit or is a number word, or is the "and" of "one hundred and five"; a unit stands after a
+    number; a name is a known first name or a word with one capital at its head that starts no sentence."""
     first = w.raw[w.start]
     digit = (first >= 48) & (first <= 57)
     number = digit | _among(w.hash, _known(NUMBER_WORDS))
+    link = np.flatnonzero(w.hash[1:-1] == _known(["and"])[0]) + 1
+    number[link[number[link + 1] & _among(w.hash[link - 1], _known(SCALES)) & (w.doc[link - 1] == w.doc[link + 1])]] = True
     after = np.zeros(len(number), bool)
     after[1:] = number[:-1] & (w.doc[1:] == w.doc[:-1])
     unit = after & ~number & _among(w.hash, _known(UNITS))
@@ -50,47 +72,56 @@ def canonical(w: Words) -> np.ndarray:
     one, two = w.raw[np.maximum(w.start - 1, 0)], w.raw[np.maximum(w.start - 2, 0)]
     opens = (w.start == 0) | _TINY[one] | ((one == 32) & ((w.start < 2) | _TINY[two] | (two == 32)))
     name = (title & ~opens) | (capital & _among(w.hash, _known(NAMES)))
-    return np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, w.hash)))
-
-
-def _windows(texts: list[str], sizes: tuple[int, ...], least_words: int) -> Iterator[tuple[Words, np.ndarray, np.ndarray, np.ndarray, int, int]]:
-    """Words, slot marks, window hashes and places, size and kind (0 template, 1 plain) of the texts."""
+    form = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, w.hash)))
+    n = len(form)
+    goes_on = np.zeros(n, bool)
+    goes_on[1:] = (form[1:] == form[:-1]) & (w.doc[1:] == w.doc[:-1]) & (number | (name & ~unit))[1:]
+    begin = np.flatnonzero(~goes_on)
+    if not n:
+        return plain(w)
+    within = np.arange(n) - np.repeat(begin, np.diff(begin, append=n))
+    with np.errstate(over="ignore"):
+        value = np.add.reduceat(mix(w.hash + within.astype(np.uint64)), begin)
+    return Parts(form[begin], w.doc[begin], begin, np.append(begin[1:], n), (number | unit | name)[begin], value)
+
+
+def _windows(texts: list[str], sizes: tuple[tuple[int, ...], tuple[int, ...]], least_words: int) -> Iterator[tuple[Parts, np.ndarray, np.ndarray, int, int]]:
+    """Parts, window hashes and places, size and kind (0 template, 1 plain) of the texts; sizes by kind."""
     w = words(texts, LETTERS)
-    form = canonical(w)
-    slot = form != w.hash
-    filled = np.concatenate([[0], np.cumsum(~slot)])
-    for size in sizes:
-        for kind, h in ((0, form), (1, w.hash)):
-            hashed, at = windows(h, w.doc, size)
+    for kind, parts in ((0, template(w)), (1, plain(w))):
+        filled = np.concatenate([[0], np.cumsum(~parts.slot)])
+        for size in sizes[kind]:
+            hashed, at = windows(parts.hash, parts.doc, size)
             if kind == 0:
                 enough = filled[at + size] - filled[at] >= min(least_words, size)
                 hashed, at = hashed[enough], at[enough]
-            yield w, slot, mix(hashed ^ np.uint64(2 * size + kind)), at, size, kind
+            yield parts, mix(hashed ^ np.uint64(2 * size + kind)), at, size, kind
 
 
-FOUND = "id long, place int, window long, kind int, slots array<long>"
+FOUND = "id long, place int, begin int, end int, window long, kind int, slots array<long>"
 
 
-def _rows(ids: list[int | None], texts: pa.Array | list[str | None], sizes: tuple[int, ...], least_words: int, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Windows as rows of FOUND; with wanted (sorted hashes) only those among them."""
+def _rows(ids: list[int | None], texts: pa.Array | list[str | None], sizes: tuple[tuple[int, ...], tuple[int, ...]], least_words: int, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Windows as rows of FOUND (begin, end: the words that they cover); with wanted (sorted hashes) only those among them."""
     lookup = None
     if wanted is not None:
         lookup = np.zeros(1 << 20, bool)
         lookup[(wanted >> np.uint64(44)).astype(np.int64)] = True
     for base, run in slices(texts):
-        for w, slot, hashed, at, size, kind in _windows(run, sizes, least_words):
+        for p, hashed, at, size, kind in _windows(run, sizes, least_words):
             if wanted is not None:
                 near = np.flatnonzero(lookup[(hashed >> np.uint64(44)).astype(np.int64)])
                 near = near[_among(hashed[near], wanted)]
                 hashed, at = hashed[near], at[near]
             if not len(at):
                 continue
-            doc = w.doc[at]
-            begin = np.searchsorted(w.doc, doc)
-            spots = [w.hash[p : p + size][slot[p : p + size]].view(np.int64) if kind == 0 else np.empty(0, np.int64) for p in at]
+            doc = p.doc[at]
+            first = np.searchsorted(p.doc, doc)
+            spots = [p.value[k : k + size][p.slot[k : k + size]].view(np.int64) for k in at]
             bounds = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in spots])]).astype(np.int32))
             yield pa.record_batch({
-                "id": pa.array([ids[base + d] for d in doc], pa.int64()), "place": pa.array((at - begin).astype(np.int32)), "window": pa.array(hashed.view(np.int64)),
+                "id": pa.array([ids[base + d] for d in doc], pa.int64()), "place": pa.array((at - first).astype(np.int32)),
+                "begin": pa.array((p.begin[at] - p.begin[first]).astype(np.int32)), "end": pa.array((p.end[at + size - 1] - p.begin[first]).astype(np.int32)), "window": pa.array(hashed.view(np.int64)),
                 "kind": pa.array(np.full(len(at), kind, np.int32)), "slots": pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(spots))),
             })
 
@@ -98,8 +129,8 @@ def _rows(ids: list[int | None], texts: pa.Array | list[str | None], sizes: tupl
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 8, min_words: int = 13, min_share: float = 0.5, least_words: int = 4, most_shared: int = 2_000_000) -> DataFrame:
     """Pairs of a document and a benchmark item of which it holds a passage: id, item_id, words, share, template, exact.
 
-    A passage is a run of windows (`window` words each, shorter items whole) on one alignment that covers min_words
-    words or min_share of the item's windows; template windows have least_words words that are no slots. Along a
+    A passage is a run of windows (`window` words or placeholders each, shorter items whole) on one alignment that covers
+    min_words of the item's words or min_share of the item's windows; template windows have least_words words that are no slots. Along a
     passage each value of the item's slots stands for one value of the document's and the other way round, else the
     passage is none. words: covered in the best passage; exact: found in plain words too (else only re-parameterised).
 
@@ -111,12 +142,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     items = sole(benchmark, {"id": item_id_col, "text": item_text_col}).where("id is not null").select(F.col("id").cast("long"), "text")
 
+    def lengths(text: str | None) -> tuple[int, int]:
+        """Of a text's template and of its words."""
+        w = words([text or ""], LETTERS)
+        return len(template(w).hash), len(w.hash)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch({"n": pa.array([len(words([t or ""], LETTERS).hash) for t in b.column(0).to_pylist()], pa.int64())})
+            n = [lengths(t) for t in b.column(0).to_pylist()]
+            yield pa.record_batch({"kind": pa.array([k for _ in n for k in (0, 1)], pa.int32()), "n": pa.array([x for both in n for x in both], pa.int64())})
 
-    short = items.select("text").mapInArrow(count, "n long").where((F.col("n") > 0) & (F.col("n") < window)).distinct()
-    sizes = (window, *sorted(r["n"] for r in short.collect()))
+    short = items.select("text").mapInArrow(count, "kind int, n long").where((F.col("n") > 0) & (F.col("n") < window)).distinct().collect()
+    sizes = tuple((window, *sorted(r["n"] for r in short if r["kind"] == kind)) for kind in (0, 1))
 
     def make(wanted_of) -> callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,18 +167,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         """An item's windows: of `window` words, or, if it is shorter, of its own length."""
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n = len(words([t or ""], LETTERS).hash)
-                yield from _rows([i], [t], (min(window, n),) if n else (), least_words, None)
+                yield from _rows([i], [t], tuple((min(window, n),) if n else () for n in lengths(t)), least_words, None)
 
-    bench = cut(items.select("id", "text").mapInArrow(own_size, FOUND).select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "window", "kind", F.col("slots").alias("item_slots")), "benchmark-windows")
+    bench = cut(items.select("id", "text").mapInArrow(own_size, FOUND).select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "begin", "end", "window", "kind", F.col("slots").alias("item_slots")), "benchmark-windows")
     hashes = bench.select("window").distinct()
     shared = None
     if hashes.limit(most_shared + 1).count() <= most_shared:
         shared = spark.sparkContext.broadcast(np.sort(hashes.toPandas()["window"].to_numpy().astype(np.int64).view(np.uint64)))
-    found = sole(docs, {"id": id_col, "text": text_col}).where("id is not null").select(F.col("id").cast("long"), "text").mapInArrow(make(shared), FOUND)
+    found = sole(docs, {"id": id_col, "text": text_col}).where("id is not null").select(F.col("id").cast("long"), "text").mapInArrow(make(shared), FOUND).drop("begin", "end")
     totals = bench.groupBy("item_id", "kind").agg(F.countDistinct("item_place").alias("total"))
     aligned = found.join(bench, ["window", "kind"]).groupBy("id", "item_id", "kind", (F.col("place") - F.col("item_place")).alias("shift")).agg(
-        F.sort_array(F.collect_set("item_place")).alias("places"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("values")
+        F.sort_array(F.collect_set(F.struct("item_place", "begin", "end"))).alias("places"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("values")
     )
     values = F.col("values")
     one_to_one = (F.size(values) == F.size(F.array_distinct(F.transform(values, lambda v: v["item_slots"])))) & (F.size(values) == F.size(F.array_distinct(F.transform(values, lambda v: v["slots"]))))
@@ -149,8 +185,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     steps = F.size("places")
     covered = F.aggregate(
         F.col("places"),
-        F.struct(F.lit(-1_000_000).alias("last"), F.lit(0).alias("n")),
-        lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(window), p - a["last"])).alias("n")),
+        F.struct(F.lit(0).alias("last"), F.lit(0).alias("n")),
+        lambda a, p: F.struct(F.greatest(a["last"], p["end"]).alias("last"), (a["n"] + F.greatest(F.lit(0), p["end"] - F.greatest(a["last"], p["begin"]))).alias("n")),
         lambda a: a["n"],
     )
     passages = placed.withColumn("words", covered).withColumn("share", steps / F.col("total")).where((F.col("words") >= min_words) | (F.col("share") >= min_share))

@@ -160,6 +160,18 @@ def test_decontamination(spark):
     assert decontaminate(df.limit(0), bench).count() == 0 and decontaminate(df, bench.limit(0)).count() == 0
 
 
+def pairs(spark, docs, items):
+    made = [spark.createDataFrame(list(enumerate(t)), f"{i} long, text string") for i, t in (("doc_id", docs), ("item_id", items))]
+    return {(r.doc_id, r.item_id) for r in decontaminate(*made).collect()}
+
+
+def test_decontamination_values_of_several_words(spark):
+    item = "a shop where {} works sells {} apples for {} dollars and then {} buys {} pears with the {} coins left over"
+    docs = ["so " + item.format("Mary Ann", "1,250", "2.5", "Mary Ann", "twenty-five", "one hundred and five"), "a shop where Tom works sells 5 plums and then has 8 coins left over"]
+    assert pairs(spark, docs, [item.format("Alice", "3", "5", "Alice", "25", "105"), "Tom has 3 apples"]) == {(0, 0)}
+    assert pairs(spark, ["then Mary Ann bought 1,250 ripe red apples there"], ["Alice bought 3 ripe red apples", "bought 3 green apples"]) == {(0, 0)}
+
+
 @here
 def test_decontamination_on_documents(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
