@@ -1,11 +1,13 @@
 """Benchmark decontamination: numbers, names and units become typed placeholders, a run of words of one number or name
-one placeholder, windows of such templates are hash-joined with the benchmark's, and the slots' values must map one to one along an aligned passage.
+one placeholder, windows of such templates are hash-joined with the benchmark's, and names must map one to one along an
+aligned passage; numbers and units may change freely.
 
 Windows of the plain words are joined beside the templates, so that a copy whose capitals changed is found too.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,19 +40,21 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
 @dataclass
 class Parts:
     """A text's words, or its template's places. hash: the word's own or its type's; doc: its text's number; begin, end: the
-    words that it stands for; slot: whether it is a placeholder; value: hash of the words in it."""
+    words that it stands for; slot, name: whether it is a placeholder, and one for a name; value: hash of the words in it."""
 
     hash: np.ndarray
     doc: np.ndarray
     begin: np.ndarray
     end: np.ndarray
     slot: np.ndarray
+    name: np.ndarray
     value: np.ndarray
 
 
 def plain(w: Words) -> Parts:
     at = np.arange(len(w.hash))
-    return Parts(w.hash, w.doc, at, at + 1, np.zeros(len(at), bool), w.hash)
+    none = np.zeros(len(at), bool)
+    return Parts(w.hash, w.doc, at, at + 1, none, none, w.hash)
 
 
 def template(w: Words) -> Parts:
@@ -82,23 +86,20 @@ def template(w: Words) -> Parts:
     within = np.arange(n) - np.repeat(begin, np.diff(begin, append=n))
     with np.errstate(over="ignore"):
         value = np.add.reduceat(mix(w.hash + within.astype(np.uint64)), begin)
-    return Parts(form[begin], w.doc[begin], begin, np.append(begin[1:], n), (number | unit | name)[begin], value)
+    return Parts(form[begin], w.doc[begin], begin, np.append(begin[1:], n), (number | unit | name)[begin], (form == _NAME)[begin], value)
 
 
-def _windows(texts: list[str], sizes: tuple[tuple[int, ...], tuple[int, ...]], least_words: int) -> Iterator[tuple[Parts, np.ndarray, np.ndarray, int, int]]:
-    """Parts, window hashes and places, size and kind (0 template, 1 plain) of the texts; sizes by kind."""
+def _windows(texts: list[str], sizes: tuple[tuple[int, ...], tuple[int, ...]], least_words: int) -> Iterator[tuple[Parts, np.ndarray, np.ndarray, np.ndarray, int, int]]:
+    """Parts, window hashes and places, whether they hold least_words words, size and kind (0 template, 1 plain) of the texts; sizes by kind."""
     w = words(texts, LETTERS)
     for kind, parts in ((0, template(w)), (1, plain(w))):
         filled = np.concatenate([[0], np.cumsum(~parts.slot)])
         for size in sizes[kind]:
             hashed, at = windows(parts.hash, parts.doc, size)
-            if kind == 0:
-                enough = filled[at + size] - filled[at] >= min(least_words, size)
-                hashed, at = hashed[enough], at[enough]
-            yield parts, mix(hashed ^ np.uint64(2 * size + kind)), at, size, kind
+            yield parts, mix(hashed ^ np.uint64(2 * size + kind)), at, filled[at + size] - filled[at] >= min(least_words, size), size, kind
 
 
-FOUND = "id long, place int, begin int, end int, window long, kind int, slots array<long>"
+FOUND = "id long, place int, begin int, end int, window long, kind int, enough boolean, names array<long>"
 
 
 def _rows(ids: list[int | None], texts: pa.Array | list[str | None], sizes: tuple[tuple[int, ...], tuple[int, ...]], least_words: int, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
@@ -108,31 +109,72 @@ def _rows(ids: list[int | None], texts: pa.Array | list[str | None], sizes: tupl
         lookup = np.zeros(1 << 20, bool)
         lookup[(wanted >> np.uint64(44)).astype(np.int64)] = True
     for base, run in slices(texts):
-        for p, hashed, at, size, kind in _windows(run, sizes, least_words):
+        for p, hashed, at, enough, size, kind in _windows(run, sizes, least_words):
             if wanted is not None:
                 near = np.flatnonzero(lookup[(hashed >> np.uint64(44)).astype(np.int64)])
                 near = near[_among(hashed[near], wanted)]
-                hashed, at = hashed[near], at[near]
+                hashed, at, enough = hashed[near], at[near], enough[near]
             if not len(at):
                 continue
             doc = p.doc[at]
             first = np.searchsorted(p.doc, doc)
-            spots = [p.value[k : k + size][p.slot[k : k + size]].view(np.int64) for k in at]
+            spots = [p.value[k : k + size][p.name[k : k + size]].view(np.int64) for k in at]
             bounds = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in spots])]).astype(np.int32))
             yield pa.record_batch({
                 "id": pa.array([ids[base + d] for d in doc], pa.int64()), "place": pa.array((at - first).astype(np.int32)),
                 "begin": pa.array((p.begin[at] - p.begin[first]).astype(np.int32)), "end": pa.array((p.end[at + size - 1] - p.begin[first]).astype(np.int32)), "window": pa.array(hashed.view(np.int64)),
-                "kind": pa.array(np.full(len(at), kind, np.int32)), "slots": pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(spots))),
+                "kind": pa.array(np.full(len(at), kind, np.int32)), "enough": pa.array(enough), "names": pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(spots))),
             })
 
 
+def _runs(windows: list[dict]) -> Iterator[list[dict]]:
+    """The longest runs of an alignment's windows along which names map one to one; windows are in order of their place."""
+    there: dict[int, Counter] = defaultdict(Counter)
+    back: dict[int, Counter] = defaultdict(Counter)
+    first = clashes = 0
+    for k, w in enumerate(windows):
+        for a, b in w["names"]:
+            for x, y, side in ((a, b, there), (b, a, back)):
+                clashes += y not in side[x] and len(side[x]) > 0
+                side[x][y] += 1
+        if clashes and k > first:
+            yield windows[first:k]
+        while clashes:
+            for a, b in windows[first]["names"]:
+                for x, y, side in ((a, b, there), (b, a, back)):
+                    side[x][y] -= 1
+                    if not side[x][y]:
+                        del side[x][y]
+                        clashes -= len(side[x]) > 0
+            first += 1
+    if first < len(windows):
+        yield windows[first:]
+
+
+def _passage(windows: list[dict], total: int, min_words: int, min_share: float) -> tuple[int, float] | None:
+    """Most words and share of the runs that are passages. Where names clash, a run must hold min_share of the item's windows."""
+    windows = sorted(windows, key=lambda w: w["place"])
+    best = None
+    for run in _runs(windows):
+        last = covered = 0
+        for w in run:
+            covered += max(0, w["end"] - max(last, w["begin"]))
+            last = max(last, w["end"])
+        share = len({w["place"] for w in run}) / total
+        if share >= min_share or (covered >= min_words and len(run) == len(windows)):
+            best = (covered, share) if best is None else (max(best[0], covered), max(best[1], share))
+    return best
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 8, min_words: int = 13, min_share: float = 0.5, least_words: int = 4, most_shared: int = 2_000_000) -> DataFrame:
     """Pairs of a document and a benchmark item of which it holds a passage: id, item_id, words, share, template, exact.
 
     A passage is a run of windows (`window` words or placeholders each, shorter items whole) on one alignment that covers
-    min_words of the item's words or min_share of the item's windows; template windows have least_words words that are no slots. Along a
-    passage each value of the item's slots stands for one value of the document's and the other way round, else the
-    passage is none. words: covered in the best passage; exact: found in plain words too (else only re-parameterised).
+    min_words of the item's words or min_share of the item's windows; template windows of fewer than least_words words that
+    are no placeholders count only on an alignment that holds one with more: an item without such a window is found in
+    plain words only. Along a passage each name of the item stands for one of the document's and the other way round;
+    where names clash, the longest runs without a clash are passages if they hold min_share of the item's windows.
+    Numbers and units are free, as small numbers of a changed question often collide. words: covered in the best passage; exact: found in plain words too (else only re-parameterised).
 
     Items or documents whose id or text is null or empty match nothing. Rows that repeat an id are one document (item):
     their windows count together. An empty table gives no pairs. Up to most_shared distinct window hashes of the
@@ -169,27 +211,35 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 yield from _rows([i], [t], tuple((min(window, n),) if n else () for n in lengths(t)), least_words, None)
 
-    bench = cut(items.select("id", "text").mapInArrow(own_size, FOUND).select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "begin", "end", "window", "kind", F.col("slots").alias("item_slots")), "benchmark-windows")
+    bench = cut(items.select("id", "text").mapInArrow(own_size, FOUND).select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "begin", "end", "window", "kind", "enough", F.col("names").alias("item_names")), "benchmark-windows")
+    anchored = bench.where("kind = 0 and enough").select("item_id").distinct()
+    weak, strong = bench.where("kind = 0 and not enough").join(anchored, "item_id", "left_semi"), bench.where("kind = 1 or enough")
+    any_weak = not weak.isEmpty()
+    bench = strong.unionByName(weak) if any_weak else strong
     hashes = bench.select("window").distinct()
     shared = None
     if hashes.limit(most_shared + 1).count() <= most_shared:
         shared = spark.sparkContext.broadcast(np.sort(hashes.toPandas()["window"].to_numpy().astype(np.int64).view(np.uint64)))
     found = sole(docs, {"id": id_col, "text": text_col}).where("id is not null").select(F.col("id").cast("long"), "text").mapInArrow(make(shared), FOUND).drop("begin", "end")
     totals = bench.groupBy("item_id", "kind").agg(F.countDistinct("item_place").alias("total"))
-    aligned = found.join(bench, ["window", "kind"]).groupBy("id", "item_id", "kind", (F.col("place") - F.col("item_place")).alias("shift")).agg(
-        F.sort_array(F.collect_set(F.struct("item_place", "begin", "end"))).alias("places"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("values")
-    )
-    values = F.col("values")
-    one_to_one = (F.size(values) == F.size(F.array_distinct(F.transform(values, lambda v: v["item_slots"])))) & (F.size(values) == F.size(F.array_distinct(F.transform(values, lambda v: v["slots"]))))
-    placed = aligned.where(one_to_one).join(totals, ["item_id", "kind"])
-    steps = F.size("places")
-    covered = F.aggregate(
-        F.col("places"),
-        F.struct(F.lit(0).alias("last"), F.lit(0).alias("n")),
-        lambda a, p: F.struct(F.greatest(a["last"], p["end"]).alias("last"), (a["n"] + F.greatest(F.lit(0), p["end"] - F.greatest(a["last"], p["begin"]))).alias("n")),
-        lambda a: a["n"],
-    )
-    passages = placed.withColumn("words", covered).withColumn("share", steps / F.col("total")).where((F.col("words") >= min_words) | (F.col("share") >= min_share))
+    if any_weak and shared is not None:
+        found = cut(found, "found-windows")
+    columns = ["id", "item_id", "kind", "shift", "item_place", "begin", "end", "item_names", "names"]
+    aligned = found.where("kind = 1 or enough").drop("enough").join(strong.drop("enough"), ["window", "kind"]).withColumn("shift", F.col("place") - F.col("item_place")).select(*columns)
+    if any_weak:
+        # by the places that an alignment gives them, never by their hash alone, which many documents may hold
+        anchors = aligned.where("kind = 0").select("id", "item_id", "shift").distinct()
+        due = anchors.join(weak.drop("enough"), "item_id").withColumn("place", F.col("item_place") + F.col("shift"))
+        aligned = aligned.unionByName(found.where("kind = 0 and not enough").drop("enough", "kind").join(due, ["id", "place", "window"]).select(*columns))
+    names = F.transform(F.arrays_zip("item_names", "names"), lambda p: F.array(p["item_names"], p["names"]))
+    windows_of = aligned.groupBy("id", "item_id", "kind", "shift").agg(F.collect_set(F.struct(F.col("item_place").alias("place"), "begin", "end", names.alias("names"))).alias("windows"))
+
+    @F.arrow_udf("struct<words:int,share:double>")
+    def passage(windows: pa.Array, total: pa.Array) -> pa.Array:
+        best = [_passage(w, n, min_words, min_share) for w, n in zip(windows.to_pylist(), total.to_pylist(), strict=True)]
+        return pa.array([b and {"words": b[0], "share": b[1]} for b in best], pa.struct([("words", pa.int32()), ("share", pa.float64())]))
+
+    passages = windows_of.join(totals, ["item_id", "kind"]).select("id", "item_id", "kind", passage("windows", "total").alias("best")).where("best is not null").select("id", "item_id", "kind", "best.words", "best.share")
     return passages.groupBy("id", "item_id").agg(F.max("words").alias("words"), F.max("share").alias("share"), F.max((F.col("kind") == 0).cast("int")).cast("boolean").alias("template"), F.max((F.col("kind") == 1).cast("int")).cast("boolean").alias("exact")).withColumnRenamed("id", id_col)
 
 

@@ -172,6 +172,31 @@ def test_decontamination_values_of_several_words(spark):
     assert pairs(spark, ["then Mary Ann bought 1,250 ripe red apples there"], ["Alice bought 3 ripe red apples", "bought 3 green apples"]) == {(0, 0)}
 
 
+def test_decontamination_numbers_that_collide(spark):
+    item = "a box holds {} red and {} blue marbles so how many must you draw to hold {} of the same colour"
+    docs = [item.format(4, 4, 7), item.format(7, 9, 8)]
+    assert pairs(spark, docs, [item.format(3, 5, 2), item.format(5, 5, 2)]) == {(0, 0), (1, 0), (0, 1), (1, 1)}
+
+
+def test_decontamination_windows_of_few_words(spark):
+    sums = "{} km plus {} m plus {} cm plus {} mm plus {} m"
+    docs = [f"sum {sums} in all".format(*range(3, 8)), f"we see {sums} then".format(*range(3, 8))]
+    assert pairs(spark, docs, [f"work out the sum {sums} in all".format(*range(20, 25))]) == {(0, 0)}
+
+
+def test_decontamination_names_that_clash_in_a_part(spark):
+    from fathomline.llm.decontaminate import _passage, _runs
+
+    middle = " ".join(f"word{chr(97 + k)}" for k in range(20))
+    item = f"then Tom gave {middle} and so 3 men who saw Tom left 5 boxes at noon"
+    docs = [item.replace("Tom", "Lisa"), item.replace("Tom", "Lisa", 1).replace("Tom", "Kate"), "then Lisa gave Kate and so Kate left"]
+    got = {r.doc_id: r.template for r in decontaminate(spark.createDataFrame(list(enumerate(docs)), DOC), spark.createDataFrame([(0, item)], "item_id long, text string")).collect()}
+    assert got == {0: True, 1: True}
+    made = [{"place": k, "begin": k, "end": k + 8, "names": [(1, 5 if k < 3 else 6)] if k < 3 or k > 8 else []} for k in range(12)]
+    assert [[w["place"] for w in r] for r in _runs(made)] == [list(range(9)), list(range(3, 12))]
+    assert _passage(made, 12, 13, 0.5) == (16, 0.75) and _passage(made, 30, 13, 0.5) is None and _passage(made[:9], 30, 13, 0.5) == (16, 0.3)
+
+
 @here
 def test_decontamination_on_documents(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
