@@ -24,6 +24,7 @@ from ._work import P, cut, fresh_path, sole, table
 
 VERSION, GZIP = b"WARC/1.", b"\x1f\x8b\x08"
 _START = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/1\.")
+_LINE = re.compile(rb"(?<=\n)WARC/1\.")
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -185,64 +186,99 @@ def _parse(data: bytes, start: int) -> Record:
     return record
 
 
-def _member(data: bytes, start: int) -> tuple[bytes, int]:
-    unzip = zlib.decompressobj(31)
-    try:
-        plain = unzip.decompress(memoryview(data)[start:])
-    except zlib.error as e:
-        raise _Bad("damaged member") from e
-    if not unzip.eof:
-        raise _Bad("cut member")
-    return plain, len(data) - len(unzip.unused_data)
+def _member(data: bytes, start: int) -> tuple[bytes, int, str]:
+    """What the member at start holds, or held before its damage; its length; what ails it ("" for a sound one)."""
+    unzip, parts, at = zlib.decompressobj(31), [], start
+    while at < len(data) and not unzip.eof:
+        chunk, before = data[at : at + (1 << 16)], unzip.copy()
+        try:
+            parts.append(unzip.decompress(chunk))
+        except zlib.error:
+            for k in range(len(chunk)):
+                try:
+                    parts.append(before.decompress(chunk[k : k + 1]))
+                except zlib.error:
+                    break
+            return b"".join(parts), 0, "damaged member"
+        at += len(chunk)
+    return b"".join(parts), at - start - len(unzip.unused_data), "" if unzip.eof else "cut member"
 
 
-def _at(data: bytes, start: int) -> list[Record]:
-    """The records of the member or the plain record at start; the last one's end is where the next begins."""
-    if data[start : start + 3] != GZIP:
-        return [_parse(data, start)]
-    # a member's unused rest is copied by zlib: windows that double keep that linear
-    size, found = 1 << 16, None
-    while found is None:
-        try:
-            found = _member(data[start : start + size], 0)
-        except _Bad as e:
-            if str(e) != "cut member" or start + size >= len(data):
-                raise
-            size *= 4
-    plain, used = found
-    records, at = [], 0
+def _inside(plain: bytes) -> Iterator[Record]:
+    """The records of a member's bytes and the gaps between them, with their places there."""
+    at = 0
     while at < len(plain):
-        records.append(record := _parse(plain, at))
+        probe, reason, record = at, "", None
+        while record is None:
+            try:
+                record = _parse(plain, probe)
+            except _Bad as e:
+                reason = reason or str(e)
+                if (m := _LINE.search(plain, probe + 1)) is None:
+                    yield Record(at, len(plain), reason=reason)
+                    return
+                probe = m.start()
+        if reason:
+            yield Record(at, probe, reason=reason)
+        yield record
         at = record.end
-    for r in records:
+
+
+def _checked(record: Record) -> bool:
+    """Whether a digest held the record's bytes to what was written; a revisit's payload digest is of another record."""
+    names = ("warc-block-digest",) if record.fields.get("warc-type") == "revisit" else ("warc-block-digest", "warc-payload-digest")
+    return any(record.fields.get(f, "").lower().startswith("sha1:") for f in names)
+
+
+def _at(data: bytes, start: int) -> tuple[list[Record], int, str]:
+    """The records and inner gaps of the member, or the plain record, at start; where the next begins; what ails the rest of the member.
+
+    Of a member that fails after some bytes, the records before are kept; where it is damaged, not just cut, what came
+    out may be wrong some way before it fails: then only those whose digest holds."""
+    if data[start : start + 3] != GZIP:
+        record = _parse(data, start)
+        return [record], record.end, ""
+    plain, used, reason = _member(data, start)
+    found = list(_inside(plain))
+    doubtful = lambda r: bool(r.reason) or (reason == "damaged member" and not _checked(r))
+    while found and doubtful(found[-1]) and (reason or len(found) == 1):
+        last = found.pop()
+        reason = reason or last.reason
+    if not found:
+        raise _Bad(reason or "empty member")
+    if reason:
+        found = [Record(r.start, r.end, reason=r.reason or reason) if doubtful(r) else r for r in found]
+        unzip = zlib.decompressobj(31)
+        unzip.decompress(memoryview(data)[start:], found[-1].end - 1)  # without the last byte, so that a bad trailer isn't read
+        used = len(data) - start - len(unzip.unconsumed_tail)
+    for r in found:
         r.start, r.end = start, start + used
-    if not records:
-        raise _Bad("empty member")
-    return records
+    return found, start + used, reason
 
 
 def salvage(data: bytes) -> Iterator[Record]:
     """Records of an archive in order; for each stretch that fails a check, a Record with only start, end and reason.
 
-    After a failure the search goes on at the next member or version line that itself passes all checks."""
-    at = 0
+    After a failure the search goes on at the next member or version line that itself passes all checks, in a member of
+    several records at its next version line. Records and gaps inside a member have the member's start and end."""
+    at, reason = 0, ""
     while at < len(data):
-        try:
-            found = _at(data, at)
-        except _Bad as e:
-            reason, probe, found = str(e), at, []
-            while not found:
-                if (m := _START.search(data, probe + 1)) is None:
-                    yield Record(at, len(data), reason=reason)
-                    return
-                probe = m.start()
+        probe, found = at, []
+        while not found:
+            if not reason or probe > at or data[probe : probe + 3] == GZIP:
                 try:
-                    found = _at(data, probe)
-                except _Bad:
-                    continue
+                    found, end, ails = _at(data, probe)
+                    break
+                except _Bad as e:
+                    reason = reason or str(e)
+            if (m := _START.search(data, probe + 1)) is None:
+                yield Record(at, len(data), reason=reason)
+                return
+            probe = m.start()
+        if probe > at:
             yield Record(at, probe, reason=reason)
         yield from found
-        at = found[-1].end
+        at, reason = end, ails
 
 
 SCHEMA = "path string, start long, end long, reason string, record_type string, record_id string, target_uri string, refers_to string, fields map<string,string>, http map<string,string>, payload binary, payload_digest string, payload_bytes long"

@@ -243,6 +243,31 @@ def test_salvage():
     assert found(b"".join(records) + b"\x1f\x8b\x08" * 50)[0] == list(range(12))
 
 
+def test_salvage_inside_members():
+    import zlib
+
+    def member(plain):
+        squeeze = zlib.compressobj(4, zlib.DEFLATED, 31)
+        return squeeze.compress(plain) + squeeze.flush()
+
+    noise = np.random.default_rng(1)
+    pages = [warc._page_record(k, f"http://x/{k}", noise.bytes(3000), None, False, "1970-01-01T00:00:00Z") for k in range(6)]
+    plain = [zlib.decompress(r, 31) for r in pages]
+    bad = bytearray(b"".join(plain))
+    bad[len(plain[0]) + len(plain[1]) + 1500] ^= 1
+    one = member(bytes(bad))
+    assert found(one) == ([0, 1, 3, 4, 5], [(0, len(one), "block digest differs")])
+    assert found(pages[0] + one + pages[1])[0] == [0, 0, 1, 3, 4, 5, 1]
+    whole = member(b"".join(plain))
+    ids, gaps = found(whole[: len(whole) * 3 // 4] + pages[2])
+    assert ids == [0, 1, 2, 3, 2] and len(gaps) == 1
+    ids, gaps = found(whole[: len(whole) * 3 // 4])
+    assert ids == [0, 1, 2, 3] and [g[1:] for g in gaps] == [(len(whole) * 3 // 4, "cut member")]
+    broken = bytearray(whole)
+    broken[-6] ^= 255
+    assert found(bytes(broken) + pages[2])[0] == [0, 1, 2, 3, 4, 5, 2]
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>same</p>" * 200
     pages = [(1, "u1", big), (5, "u5", big), (3, None, big), (2, "u2", "small"), (4, "u4", "small"), (6, "u6", None), (7, "u7", ""), (8, "é ü", "é" * 700), (8, "u8", "x" * 2000), (None, "n", big), (9, "u9", "y" * 300_000)]
