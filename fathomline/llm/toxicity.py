@@ -11,7 +11,7 @@ import math
 import re
 import unicodedata
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -120,21 +120,33 @@ def _origin(words: list[str]) -> int:
     return min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _held(words: set[str]) -> set[str]:
+    """The terms, of whatever text, that the matcher finds in a text of these words."""
+    return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in range(4, min(len(w), 7) + 1)}
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each term: origin of each toxic text that it is of; numbers of toxic and of clean texts that hold it."""
     for batch in batches:
-        rows = []
-        for text in batch.column(0).to_pylist():
+        rows: list[tuple[str, int | None, int, int]] = []
+        clean: Counter = Counter()
+        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = fold(text or "").split()
-            origin = _origin(words)
-            rows += [(t, origin) for t in _terms(set(words))]
-        yield pa.record_batch({"term": pa.array([r[0] for r in rows], pa.string()), "origin": pa.array([r[1] for r in rows], pa.int64())})
+            held = _held(set(words))
+            if not y:
+                clean.update(held)
+                continue
+            origin, own = _origin(words), _terms(set(words))
+            rows += [(t, origin if t in own else None, 1, 0) for t in held]
+        rows += [(t, None, 0, n) for t, n in clean.items()]
+        yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["term", "origin", "tox", "non"])
 
 
-def learn(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, max_terms: int = 20_000, min_origins: int = 4, min_log_odds: float = 2.0, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
+def learn(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, min_origins: int = 4, min_log_odds: float = 2.0, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
     """A Model from the labelled rows given.
 
-    It is fitted on a sample of at most `sample` labelled ids (those with the least hash of the id); `max_terms` bounds
-    the terms that reach the driver, by number of toxic texts. An id with several labels counts by the largest; null
+    It is fitted on a sample of at most `sample` labelled ids (those with the least hash of the id). Terms are
+    counted on the executors; those of min_origins toxic texts or more that reach min_log_odds come to the driver. An id with several labels counts by the largest; null
     ids, null labels and labels without a document count for nothing. With no toxic or no clean row nothing is learnt,
     and every score is that of a text without hits.
     """
@@ -147,21 +159,11 @@ def learn(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     n_tox, n_non = n.get(1, 0), n.get(0, 0)
     if not n_tox or not n_non:
         return Model(exceptions=spared)
-    found = rows.where("y = 1").select("t").mapInArrow(_candidates, "term string, origin long").groupBy("term").agg(F.countDistinct("origin").alias("n")).where(F.col("n") >= min_origins)
-    terms = [r["term"] for r in found.orderBy(F.desc("n"), "term").limit(max_terms).collect()]
-    shared = spark.sparkContext.broadcast(({t: float(k) for k, t in enumerate(terms)}, spared))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Matcher({t: k for t, k in shared.value[0].items()}, ()).machine if shared.value[0] else None
-        got: dict[int, list[int]] = defaultdict(lambda: [0, 0])
-        for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k in {int(w) for _, (_, w) in machine.iter(fold(text or ""))} if machine else ():
-                    got[k][y] += 1
-        yield pa.record_batch({"k": pa.array(list(got), pa.int64()), "tox": pa.array([v[1] for v in got.values()], pa.int64()), "non": pa.array([v[0] for v in got.values()], pa.int64())})
-
-    counts = rows.select("t", "y").mapInArrow(count, "k long, tox long, non long").groupBy("k").agg(F.sum("tox").alias("tox"), F.sum("non").alias("non")).collect()
-    odds = {terms[r["k"]]: _log_odds(r["tox"], n_tox, r["non"], n_non) for r in counts}
+    found = rows.select("t", "y").mapInArrow(_counts, "term string, origin long, tox long, non long").groupBy("term").agg(F.countDistinct("origin").alias("n"), F.sum("tox").alias("tox"), F.sum("non").alias("non"))
+    tox, non = F.col("tox") + 0.5, F.col("non") + 0.5
+    reached = F.log(tox / (n_tox + 1)) - F.log(non / (n_non + 1)) - F.sqrt(1 / tox + 1 / non) >= min_log_odds - 1e-9
+    kept = found.where((F.col("n") >= min_origins) & reached).orderBy(F.desc("n"), "term").collect()
+    odds = {r["term"]: _log_odds(r["tox"], n_tox, r["non"], n_non) for r in kept}
     weights = _choose({t: o for t, o in odds.items() if o >= min_log_odds})
     fitted = rows.select(_features("t", spark.sparkContext.broadcast((weights, spared))).alias("x"), "y").toPandas()
     slopes, intercept = logistic(np.stack(fitted["x"].to_list()), fitted["y"].to_numpy())

@@ -131,6 +131,15 @@ def test_toxicity_held_out(spark):
 # ---- quality ------------------------------------------------------------------------------------------------------
 
 
+def test_toxicity_keeps_rare_terms_of_a_large_vocabulary(spark):
+    rng = np.random.default_rng(4)
+    common = ["".join(w) for w in rng.choice(list("abcdefghijkmnopqrstuvwxyz"), (6000, 9))]
+    texts = [" ".join([*rng.permutation(common), *(["zgrumbleq"] if k < 4 else [])]) for k in range(6)] + [" ".join(rng.permutation(common)) for _ in range(30)] + [f"good day {k}" for k in range(70)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, int(k < 6)) for k in range(len(texts))], "doc_id long, toxic int")
+    assert " zgrumbieq " in toxicity.learn(docs, labels).weights
+
+
 def test_trees_flatten():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4))
