@@ -25,6 +25,9 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline-share comment comments commentlist consent contentinfo cookie cookies copyright discussion disqus dialog footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup popups promo promoted promotion recommended related replies reply responses search share sharing sidebar sidenav signin signup skip skyscraper social sponsor sponsored sponsors subscribe subscription tagcloud toolbar topbar widget widgets complementary alert".split()
 )
+# Words of a name after which, or before which, a word says what a container has beside it, not what it is.
+HAS = frozenset("with has have no without".split())
+STATES = frozenset("open opened closed enabled disabled".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*(?:>|\Z))""", re.S)
 _NAMES = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
@@ -49,7 +52,18 @@ def _boilerplate(tag: str, attributes: str) -> bool:
     if len(attributes) < 3 or tag in ("html", "body", "main"):
         return False
     names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes))
-    return bool(names) and not BOILER_WORDS.isdisjoint(_PART.findall(_CAMEL.sub(" ", names).lower())) or bool(_HIDDEN.search(attributes))
+    return any(map(_named, names.split())) or bool(_HIDDEN.search(attributes))
+
+
+def _named(name: str) -> bool:
+    """Whether a class, id or role names boilerplate: comments, post-comments, but not comments-open, with-sidebar, noHeader."""
+    parts = _PART.findall(_CAMEL.sub(" ", name).lower())
+    for k, part in enumerate(parts):
+        if part in HAS:
+            return False
+        if part in BOILER_WORDS and not (k + 1 < len(parts) and parts[k + 1] in STATES):
+            return True
+    return False
 
 
 def blocks(page: str) -> list[Block]:
@@ -121,7 +135,7 @@ def blocks(page: str) -> list[Block]:
         elif tag == "a":
             in_link = True
         elif tag in CONTAINERS and not m[3].endswith("/>"):
-            bad = _boilerplate(tag, m[3])
+            bad = _boilerplate(tag, m[3]) if tag != "article" or article or boiler else bool(_HIDDEN.search(m[3]))
             stack.append((tag, bad))
             boiler += bad
             article += tag == "article"

@@ -235,6 +235,12 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("wrapper", ["article class='post comments-open'", "div class='content with-sidebar'", "div class='main no-header'", "div class='hfeed hasWidgets'", "article class='post search-result'"])
+def test_names_that_tell_what_stands_beside(wrapper):
+    body = "<p>" + "a long text of many words " * 10 + "</p>"
+    assert html_text.main_text(f"<{wrapper}>{body}</{wrapper.split()[0]}><div class='post-comments'><p>a reader</p></div>") == ("a long text of many words " * 10).strip()
+
+
 def test_html_odd_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "t"), (1, "u", None, "t"), (None, None, "<article><p>" + "word " * 100_000, None)], "page_id long, url string, html string, text string")
     rows = html_text.extract_text(df).collect()
