@@ -10,33 +10,49 @@ from pyspark.sql import functions as F
 
 #: Prefix of every helper column; inputs never lose a column of their own to it.
 P = "_fl_"
+_LOCAL: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir, with the scheme of the store that Spark finds it in.
 
-    Only where that is unset, as in local tests, a folder of this machine is made and set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    Only a local master, as in tests, may leave it unset: then a folder of this machine is made and kept for the session.
+    Elsewhere other machines would not see such a folder: ValueError."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='fathomline-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = _LOCAL[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='fathomline-')}"
     path = spark._jvm.org.apache.hadoop.fs.Path(at.rstrip("/"))
     full = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
     return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; release() removes it."""
+    _MADE.append(path := f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return path
 
 
-def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: it is computed once, and survives lost executors.
+def made() -> list[str]:
+    """The paths that fresh_path() gave and release() has not removed, in order."""
+    return list(_MADE)
 
-    rows: about how many there are, if known: then the last stage has a task, and the table a file, for 200,000 rows
-    each, and 8 at least, however many partitions the session shuffles to."""
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Remove these of made(): for callers who have written what they need elsewhere, as results read them when they run."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _MADE.remove(p)
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: it is computed once, and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    (df if rows is None else df.coalesce(max(8, -(-rows // 200_000)))).write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,7 +1,9 @@
 """Line dedup: explode normalised lines, hash, count distinct documents per hash, drop, reassemble by position.
 
-DataFrame functions only. Two shuffles of (hash, doc) rows, both after a map-side combine, so a line that a third of
-all documents hold is one row per task in the second; the text itself moves once, by document.
+DataFrame functions only. A row per (hash, document) is written once, with the positions of the line there. Counting is
+combined before its shuffle. To find the lines to drop, these rows meet the table of shared lines: of the lines that
+hold more than 1/HOT of all these rows there are fewer than HOT, so they are broadcast and their rows stay where they are; the
+other lines are joined by their hash, where none has more than 1/HOT of the rows. A document's text moves once.
 """
 
 from __future__ import annotations
@@ -9,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._work import P, others, sole
+from ._work import P, cut, others, sole, table
 
 #: What counts as white space at a line's ends, and the letters that are lower-cased.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A line with more than 1/HOT of all (line, document) rows is broadcast; fewer than HOT lines can be such.
+HOT = 4096
 
 
 def line_key(line: Column) -> Column:
@@ -36,39 +40,48 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns docs' columns, text without the dropped lines, and n_lines (before), n_dropped. Columns of docs named
     n_lines or n_dropped are replaced. Nulls and empty texts: one empty line, text "". A document is a distinct id:
     rows that repeat an id count once and are treated alike; rows without an id are never counted and lose nothing.
-    An empty table gives an empty one. Keys are compared by their 128-bit MD5.
+    An empty table gives an empty one. Keys are compared by their 128-bit MD5, texts of a repeated id by 64 bits. Time
+    and memory are in proportion to a document's lines, however many of them are dropped.
     """
-    d, t, h = P + "id", P + "text", P + "hash"
-    bare = sole(docs, {d: id_col, t: text_col})
-    line = F.col(P + "line")
-    pairs = (
-        bare.where(F.col(d).isNotNull() & (F.length(t) >= min_chars))
-        .select(d, F.explode(F.split(t, "\n", -1)).alias(P + "line"))
+    d, t, h, v = P + "id", P + "text", P + "hash", P + "version"
+    line, at, keep = F.col(P + "line"), F.col(P + "at"), P + "keep"
+    pairs = cut(
+        sole(docs, {d: id_col, t: text_col})
+        .where(F.col(d).isNotNull() & (F.length(t) >= min_chars))
+        .select(d, F.xxhash64(t).alias(v), F.split(t, "\n", -1).alias(t))
+        .select(d, v, F.posexplode(t).alias(P + "at", P + "line"))
         .where(_long_enough(line, min_chars))
-        .select(d, _hash(line).alias(h))
+        .select(d, _hash(line).alias(h), F.struct(v, at.alias("at")).alias(P + "spot"))
         .groupBy(h, d)
-        .agg(F.count(F.lit(1)).alias(P + "n"))
-        .select(h, d)
+        .agg(F.collect_set(P + "spot").alias(P + "spots")),
+        "line-documents",
     )
-    shared = pairs.groupBy(h).agg(F.count(F.lit(1)).alias(P + "docs"), F.max(d).alias(P + "keep")).where(F.col(P + "docs") >= min_docs).select(h, P + "keep")
-    dropped = pairs.join(shared, h).where(F.col(d) != F.col(P + "keep")).groupBy(d).agg(F.collect_list(h).alias(P + "gone"))
+    most = pairs.count()
+    shared = pairs.groupBy(h).agg(F.count(F.lit(1)).alias(P + "docs"), F.max(d).alias(keep)).where(F.col(P + "docs") >= min_docs)
+    shared = cut(shared, "shared-lines")
+    hot = F.broadcast(shared.where(F.col(P + "docs") * HOT > most).select(h, keep))
+    cold = shared.where(F.col(P + "docs") * HOT <= most).select(h, keep)
+    in_hot = pairs.join(hot, h)
+    in_cold = pairs.join(hot, h, "left_anti").join(cold, h)
+    spots = in_hot.union(in_cold.select(in_hot.columns)).where(F.col(d) != F.col(keep)).select(d, F.inline(P + "spots"))
+    dropped = spots.groupBy(d, v).agg(F.array_sort(F.collect_set("at")).alias(P + "gone"))
     rest = others(docs, ["n_lines", "n_dropped", id_col, text_col])
     have = {c.lower(): c for c in docs.columns}
     ids, text = F.col(f"`{have[id_col.lower()]}`"), F.coalesce(F.col(f"`{have[text_col.lower()]}`"), F.lit(""))
-    named = docs.select(ids.alias(d), F.split(text, "\n", -1).alias(P + "lines"), *[F.col(f"`{c}`") for c in rest])
-    joined = named.join(dropped, d, "left")
-    gone = F.col(P + "gone")
-    keep = F.filter(F.col(P + "lines"), lambda x: ~F.when(_long_enough(x, min_chars), F.array_contains(gone, _hash(x))).otherwise(False))
-    kept = joined.withColumn(P + "kept", F.when(gone.isNull(), F.col(P + "lines")).otherwise(keep))
-    n = F.size(P + "lines").cast("long")
-    out = {id_col: F.col(d), text_col: F.array_join(P + "kept", "\n"), **{c: F.col(f"`{c}`") for c in rest}}
+    named = docs.select(ids.alias(d), F.xxhash64(text).alias(v), F.split(text, "\n", -1).alias(P + "lines"), *[F.col(f"`{c}`") for c in rest])
+    joined = named.join(dropped, [d, v], "left")
+    n, gone = F.size(P + "lines"), F.col(P + "gone")
+    # from each dropped position to the next: the lines between them are put together again, each copied once
+    spans = F.arrays_zip(F.concat(F.array(F.lit(-1)), gone).alias("a"), F.concat(gone, F.array(n)).alias("b"))
+    between = F.transform(spans, lambda x: F.slice(P + "lines", x["a"] + 2, x["b"] - x["a"] - 1))
+    left = F.when(gone.isNull(), F.col(P + "lines")).otherwise(F.flatten(between))
+    kept = joined.withColumn(P + "kept", F.array_join(left, "\n"))
+    out = {id_col: F.col(d), text_col: F.col(P + "kept"), **{c: F.col(f"`{c}`") for c in rest}}
     order = [c for c in docs.columns if c in out] + [c for c in out if c not in docs.columns]
-    return kept.select(*[out[c].alias(c) for c in order], n.alias("n_lines"), (n - F.size(P + "kept")).alias("n_dropped"))
+    return kept.select(*[out[c].alias(c) for c in order], n.cast("long").alias("n_lines"), F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_dropped"))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
-    from ._work import table
-
     done = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
