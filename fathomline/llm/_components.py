@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._work import cut
+from ._work import cut, join_counted
 
 
 class Union:
@@ -32,43 +32,55 @@ class Union:
             self.sets -= 1
 
 
-def components(links: DataFrame, one_task: int = 500_000) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """id, component for every id in links(a, b): component is the least id that links lead to.
 
-    Up to one_task links (16 bytes each, counted first) one task joins them; beyond that stars alternate.
-
-    Each round's table is written in the shared folder. Sums over a hub's links are combined before they are shuffled,
-    and the joins carry one row per link, on whose hub side Spark splits a large partition. Rounds grow with the
-    logarithm of the longest path. Links of an id with itself keep it as a component of its own."""
-    rows = links.count()
-    if rows <= one_task:
-        return links.select("a", "b").coalesce(1).mapInArrow(_joined, "id long, component long")
-    stars = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", rows)
+    Each task first reduces its links to a spanning forest; then large and small stars alternate until nothing changes,
+    each round's table written in the shared folder. Sums over a hub's links are combined before they are shuffled, and
+    the joins with them broadcast the few hubs that many links lead to. Rounds grow with the logarithm of the longest
+    path. Links of an id with itself keep it as a component of its own."""
+    stars = cut(links.select("a", "b").mapInArrow(_forest, "a long, b long").distinct(), "links")
+    rows = stars.count()
     mark = None
     while True:
-        both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        both = stars.where("a > b").union(stars.where("a > b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("k"))
+        large = join_counted(both.where("b > a"), least, ["a"], "k", 2 * rows).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.union(stars.where("a = b")).where("a > b or a = b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("k"))
+        pair = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
+        small = join_counted(large.where("a > b"), low, ["a"], "k", rows).select(F.inline(pair))
         stars = cut(small.where("a > b").union(large.where("a = b")).distinct(), "stars", 2 * rows)
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
-    return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).union(stars.select(F.col("b").alias("id"), F.col("b").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Components of all the links of a task."""
-    ends = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
-    ids, at = np.unique(np.concatenate(ends, axis=1) if ends else np.empty((2, 0), np.int64), return_inverse=True)
-    at = at.reshape(2, -1)
-    sets = Union(len(ids))
-    for a, b in zip(at[0].tolist(), at[1].tolist(), strict=True):
-        sets.join(a, b)
-    yield pa.record_batch({"id": pa.array(ids), "component": pa.array(ids[[sets.find(k) for k in range(len(ids))]] if len(ids) else ids)})
+    ends = stars.select(F.col("a").alias("id"), F.col("b").alias("component")).union(stars.select(F.col("b").alias("id"), F.col("b").alias("component")))
+    return ends.groupBy("id").agg(F.min("component").alias("component"))
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every 200,000 links of a task, as few with the same components; the greater id first."""
+    held: list[np.ndarray] = []
+
+    def reduced() -> pa.RecordBatch:
+        ids, at = np.unique(np.concatenate(held, axis=1) if held else np.empty((2, 0), np.int64), return_inverse=True)
+        at = at.reshape(2, -1)
+        sets = Union(len(ids))
+        for a, b in zip(at[0].tolist(), at[1].tolist(), strict=True):
+            sets.join(a, b)
+        alone = np.zeros(len(ids), bool)
+        alone[at[0][at[0] == at[1]]] = True
+        root = np.array([sets.find(k) for k in range(len(ids))], dtype=np.int64)
+        keep = (root != np.arange(len(ids))) | alone
+        return pa.record_batch({"a": pa.array(ids[keep]), "b": pa.array(ids[root][keep] if len(ids) else ids)})
+
+    for batch in batches:
+        held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
+        if sum(h.shape[1] for h in held) >= 200_000:
+            yield reduced()
+            held = []
+    yield reduced()
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:

@@ -48,14 +48,32 @@ def release(spark: SparkSession, paths: list[str]) -> None:
         _MADE.remove(p)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: it is computed once, and survives lost executors."""
+def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: it is computed once, and survives lost executors.
+
+    rows: about how many there are, where that is known: the table gets a file for each 200,000, however many partitions
+    the session shuffles to."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.repartition(max(1, -(-rows // 200_000)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than 1/HOT of all rows is broadcast; fewer than HOT keys can be such.
+HOT = 4096
+
+
+def join_counted(rows: DataFrame, counts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """rows joined with counts (a row per key; n: how many of rows bear the key; total: of all rows).
+
+    Rows of the keys that hold more than total/HOT each stay where they are and meet a broadcast of fewer than HOT rows;
+    the others are joined by shuffles in which no key has more than total/HOT rows."""
+    hot = F.broadcast(counts.where(F.col(n) * HOT > total))
+    near = rows.join(hot, keys)
+    far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(counts.where(F.col(n) * HOT <= total), keys)
+    return near.unionByName(far)
+
+
 def sole(df: DataFrame, needed: dict[str, str]) -> DataFrame:
     """df's needed columns under helper names: {helper: column}. A missing column is null."""
     have = {c.lower(): c for c in df.columns}

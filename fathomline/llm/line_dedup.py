@@ -1,9 +1,8 @@
 """Line dedup: explode normalised lines, hash, count distinct documents per hash, drop, reassemble by position.
 
 DataFrame functions only. A row per (hash, document) is written once, with the positions of the line there. Counting is
-combined before its shuffle. To find the lines to drop, these rows meet the table of shared lines: of the lines that
-hold more than 1/HOT of all these rows there are fewer than HOT, so they are broadcast and their rows stay where they are; the
-other lines are joined by their hash, where none has more than 1/HOT of the rows. A document's text moves once.
+combined before its shuffle. To find the lines to drop, these rows meet the table of shared lines: lines that many
+documents hold by a broadcast of a bounded number of them, the others by their hash. A document's text moves once.
 """
 
 from __future__ import annotations
@@ -11,13 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._work import P, cut, others, sole, table
+from ._work import P, cut, join_counted, others, sole, table
 
 #: What counts as white space at a line's ends, and the letters that are lower-cased.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line with more than 1/HOT of all (line, document) rows is broadcast; fewer than HOT lines can be such.
-HOT = 4096
 
 
 def line_key(line: Column) -> Column:
@@ -59,11 +56,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     most = pairs.count()
     shared = pairs.groupBy(h).agg(F.count(F.lit(1)).alias(P + "docs"), F.max(d).alias(keep)).where(F.col(P + "docs") >= min_docs)
     shared = cut(shared, "shared-lines")
-    hot = F.broadcast(shared.where(F.col(P + "docs") * HOT > most).select(h, keep))
-    cold = shared.where(F.col(P + "docs") * HOT <= most).select(h, keep)
-    in_hot = pairs.join(hot, h)
-    in_cold = pairs.join(hot, h, "left_anti").join(cold, h)
-    spots = in_hot.union(in_cold.select(in_hot.columns)).where(F.col(d) != F.col(keep)).select(d, F.inline(P + "spots"))
+    spots = join_counted(pairs, shared, [h], P + "docs", most).where(F.col(d) != F.col(keep)).select(d, F.inline(P + "spots"))
     dropped = spots.groupBy(d, v).agg(F.array_sort(F.collect_set("at")).alias(P + "gone"))
     rest = others(docs, ["n_lines", "n_dropped", id_col, text_col])
     have = {c.lower(): c for c in docs.columns}

@@ -51,10 +51,9 @@ def test_words_and_shingles():
     assert words(["é"], LETTERS).hash[0] == words(["É"], LETTERS).hash[0]
 
 
-@pytest.mark.parametrize("one_task", [0, 1000])
 @pytest.mark.parametrize("links", [[], [(1, 1)], [(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 30)], [(5, 3), (3, 5), (9, 7), (7, 1), (2, 2)]])
-def test_components(spark, links, one_task):
-    got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long"), one_task).collect()}
+def test_components(spark, links):
+    got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     sets = Union(60)
     for a, b in links:
         sets.join(a, b)
@@ -89,13 +88,23 @@ def test_jaccard_join(spark):
     texts = list(group(rng, 60, new(200), 4)) + list(group(rng, 25, new(120), 5)) + [" ".join(passage + new(60)) for _ in range(60)] + [" ".join(new(80))] * 5
     texts += [None, "", "  \n", "one two", "One  TWO", "one two three", "x " * 30_000] + [" ".join(new(50)) for _ in range(100)]
     docs = [(k * 3, t) for k, t in enumerate(texts)]
-    df = spark.createDataFrame([(i, t, "z") for i, t in docs] + [(0, "", "a repeated id with a lesser text"), (None, texts[0], None)], DOC + ", class_id string")
-    plan = Plan(small=16, block=32, exact_block=16)
-    got = {r.doc_id: (r.n_links, r.component_id) for r in jaccard_join(df, plan=plan).collect()}
-    assert got == brute_jaccard(docs)
+    df = spark.createDataFrame([(i, t, "z") for i, t in docs] + [(None, texts[0], None)], DOC + ", class_id string")
+    plan = Plan(small=16, block=32, exact_sets=16)
+    rows = jaccard_join(df, plan=plan).collect()
+    assert {r.doc_id: (r.n_links, r.component_id) for r in rows} == brute_jaccard(docs) and len(rows) == len(docs)
+    assert {r.doc_id for r in rows if r.kept} == {r.component_id for r in rows}
     assert jaccard_join(df.limit(0)).count() == 0
 
 
+def test_jaccard_of_repeated_ids_and_ties(spark):
+    ten = [f"t{k}" for k in range(13)]  # nine shingles
+    docs = [(5, "a b c d e f"), (5, "other words that stand here alone"), (7, "A b c d e f"), (9, "other words that stand here alone"), (9, "other words that stand here alone"), (5, None)]
+    docs += [(20, " ".join(ten[:12])), (21, " ".join(ten[:12] + ["x", "y"])), (22, " ".join(ten[:12] + ["x", "y", "z"]))]  # 8 shingles, 10: exactly 0.8; 11
+    rows = jaccard_join(spark.createDataFrame(docs, DOC)).collect()
+    assert sorted((r.doc_id, r.n_links, r.component_id) for r in rows) == [(5, 0, 5), (5, 1, 5), (5, 2, 5), (7, 1, 5), (9, 2, 5), (9, 2, 5), (20, 1, 20), (21, 2, 20), (22, 1, 20)]
+    assert sorted(r.doc_id for r in rows if r.kept) == [5, 5, 5, 20] and len({r.version for r in rows if r.doc_id == 5}) == 3
+
+
 @here
 def test_jaccard_on_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
