@@ -1,10 +1,11 @@
 """Embedding near-dedup: product quantisation over coarse inverted lists, then exact cosine.
 
-A bounded sample trains the coarse centroids and, on residuals, the subspace codebooks; every vector is indexed: its home
-list, residual codes, and the length of what the codes leave out. A vector visits each list whose border with its home
-is near. Of two vectors at most e apart in different lists, one lies within e/2 of the border between these, so visits
-up to e/2 (margin 1, the default) find every pair; less would lose pairs that a border cuts, as borders run through large
-groups of near copies along their own noise. Table-lookup distances are compared with e plus what the resident's codes leave out, so they lose no pair.
+A sample trains the coarse centroids, which grow in number with the square root of the rows, and, on residuals, the
+subspace codebooks; every vector is indexed: its home list, residual codes, and the length of what the codes leave out.
+A vector visits each list whose border with its home is near. Of two vectors at most e apart in different lists, one lies
+within e/2 of the border between these, so visits up to e/2 find every pair whatever the vectors look like; less would
+lose pairs that a border cuts, as borders run through large groups of near copies along their own noise. Table-lookup
+distances are compared with e plus what the resident's codes leave out, so they lose no pair.
 Tasks count links and pass on spanning links, never pairs; large lists are compared in blocks.
 """
 
@@ -24,16 +25,16 @@ from ._work import cut, sole, table
 
 @dataclass(frozen=True)
 class Plan:
-    """threshold: least cosine; sample: vectors that train the index; most_lists: of the coarse index; parts: subspaces;
-    margin: share of the provably sufficient distance to a border; residents, queries: sides of a block."""
+    """threshold: least cosine; sample: vectors that train the index, at least, and a_list: for each list; parts: subspaces;
+    residents, queries: sides of a block; chunk: queries whose lookup tables are held at once."""
 
     threshold: float = 0.95
     sample: int = 20_000
-    most_lists: int = 2048
+    a_list: int = 16
     parts: int = 16
-    margin: float = 1.0
     residents: int = 2048
     queries: int = 4096
+    chunk: int = 256
 
     @property
     def reach(self) -> float:
@@ -42,7 +43,14 @@ class Plan:
     @property
     def visit(self) -> float:
         """Distance to a border up to which a vector visits the list beyond; a pair at the very bound is not lost to rounding."""
-        return self.margin * self.reach / 2 + 1e-9
+        return self.reach / 2 + 1e-7
+
+    def lists(self, rows: int) -> int:
+        return max(1, int(rows**0.5))
+
+    def trained_on(self, rows: int) -> int:
+        """The sample's bound: it grows with the lists, the square root of the rows."""
+        return max(self.sample, self.a_list * self.lists(rows))
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -68,7 +76,6 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Index:
     lists: np.ndarray
     books: np.ndarray  # part, entry, dimension of the part
-    apart: np.ndarray  # distances between lists
 
     def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Home list, codes and length of what they leave out, for unit vectors."""
@@ -78,29 +85,30 @@ class Index:
         left = rest - self.books[np.arange(len(self.books)), codes]
         return home, codes, np.sqrt((left**2).sum(axis=(1, 2)))
 
-    def border(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
-        """Distance of each vector to the border between its home and each list (0 for its home)."""
-        d = (self.lists**2).sum(axis=1) - 2 * x @ self.lists.T
-        gap = d - d[np.arange(len(x)), home][:, None]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            b = gap / (2 * self.apart[home])
-        b[np.arange(len(x)), home] = 0
-        return np.where(np.isnan(b), 0, b)
+    def visits(self, x: np.ndarray, home: np.ndarray, within: float) -> np.ndarray:
+        """For each vector and list: whether the border between its home and that list is `within` reach. Its home is."""
+        return self._near(x, home, self.lists, within)
+
+    def visits_one(self, x: np.ndarray, home: int, others: np.ndarray, within: float) -> np.ndarray:
+        """For each vector of one home whether it visits the list given for it."""
+        which, at = np.unique(others, return_inverse=True)
+        return self._near(x, np.full(len(x), home), self.lists[which], within)[np.arange(len(x)), at]
+
+    def _near(self, x: np.ndarray, home: np.ndarray, lists: np.ndarray, within: float) -> np.ndarray:
+        own, square = self.lists[home], (lists * lists).sum(axis=1)
+        to_own = ((x - own) ** 2).sum(axis=1)
+        farther = np.maximum(0, (x * x).sum(axis=1)[:, None] - 2 * (x @ lists.T) + square - to_own[:, None])
+        apart = np.sqrt(np.maximum(0, (own * own).sum(axis=1)[:, None] - 2 * (own @ lists.T) + square))
+        return farther <= 2 * within * apart + 1e-12
 
 
 def train(x: np.ndarray, plan: Plan, rows: int) -> Index:
     """Lists for about `rows` vectors, codebooks on the residuals of the sample x (unit vectors)."""
-    lists = k_means(x, int(min(plan.most_lists, max(1, rows**0.5), max(1, len(x) / 8))))
+    lists = k_means(x, max(1, min(plan.lists(rows), len(x) // 8)))
     parts = max(m for m in range(1, plan.parts + 1) if x.shape[1] % m == 0)
     rest = (x - lists[nearest(x, lists)]).reshape(len(x), parts, -1)
     books = [k_means(rest[:, m], 256) for m in range(parts)]
-    books = np.stack([np.concatenate([b, np.repeat(b[:1], 256 - len(b), axis=0)]) for b in books])
-    return Index(lists, books, np.sqrt(np.maximum(0, ((lists[:, None] - lists[None]) ** 2).sum(axis=2))) if len(lists) < 400 else _distances(lists))
-
-
-def _distances(c: np.ndarray) -> np.ndarray:
-    n = (c * c).sum(axis=1)
-    return np.sqrt(np.maximum(0, n[:, None] + n[None] - 2 * c @ c.T))
+    return Index(lists, np.stack([np.concatenate([b, np.repeat(b[:1], 256 - len(b), axis=0)]) for b in books]))
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
@@ -116,10 +124,15 @@ INDEX = "id long, copies long, home int, codes binary, left double, vector binar
 ROWS = f"list int, one int, two int, query boolean, {INDEX}"
 
 
+def _lookups(x: np.ndarray, index: Index, here: int) -> np.ndarray:
+    """Squared distances of each query's part to each entry of the codebooks: part, entry, query."""
+    off = (x - index.lists[here]).reshape(len(x), len(index.books), -1).transpose(1, 2, 0)
+    return ((index.books**2).sum(axis=2)[:, :, None] - 2 * (index.books @ off) + (off**2).sum(axis=1)[:, None, :]).astype(np.float32)
+
+
 def _match(batches: Iterator[pa.RecordBatch], index: Index, plan: Plan) -> Iterator[pa.RecordBatch]:
     """For each group of (list, block of residents, block of queries): id, linked, root, of each vector that links."""
     rows: list[tuple[int, int, int]] = []
-    limit = plan.visit
     for g in groups(batches, 3):
         here = int(g.column("list")[0].as_py())
         asks = g.column("query").to_numpy()
@@ -128,35 +141,27 @@ def _match(batches: Iterator[pa.RecordBatch], index: Index, plan: Plan) -> Itera
             continue
         ids, copies, home = (g.column(c).to_numpy() for c in ("id", "copies", "home"))
         x = np.frombuffer(b"".join(g.column("vector").to_pylist()), dtype=np.float64).reshape(len(ids), -1)
-        codes = np.frombuffer(b"".join(g.column("codes").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)[res]
-        allow = (plan.reach + 1e-6 + g.column("left").to_numpy()[res]) ** 2
+        codes = np.frombuffer(b"".join(g.column("codes").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)[res].astype(np.intp)
+        allow = ((plan.reach + 1e-4 + g.column("left").to_numpy()[res]) ** 2).astype(np.float32)
         linked = np.zeros(len(ids), dtype=np.int64)
         names, of = np.unique(ids, return_inverse=True)  # a resident may be a query of its own list
         sets = Union(len(names))
-        parts = index.books.shape[0]
-        for at in range(0, len(ask), 256):
-            q = ask[at : at + 256]
-            off = (x[q] - index.lists[here]).reshape(len(q), parts, -1)
-            lookup = ((off[:, :, None, :] - index.books[None]) ** 2).sum(axis=3).astype(np.float32)
-            d = np.zeros((len(q), len(res)), dtype=np.float32)
-            for m in range(parts):
-                d += lookup[:, m, codes[:, m]]
-            near = d <= allow[None, :]
-            near &= (home[q] != here)[:, None] | (ids[q][:, None] < ids[res][None, :])
-            a, b = np.nonzero(near)
-            if not len(a):
-                continue
-            if len(a) > 0.02 * near.size:
-                cosine = (x[q] @ x[res].T)[a, b]
-            else:
-                cosine = np.einsum("ij,ij->i", x[q[a]], x[res[b]])
-            good = cosine >= plan.threshold
+        for at in range(0, len(ask), plan.chunk):
+            q = ask[at : at + plan.chunk]
+            table_of = _lookups(x[q], index, here)
+            d = table_of[0][codes[:, 0]]  # resident, query
+            for m in range(1, len(table_of)):
+                d += table_of[m][codes[:, m]]
+            near = d <= allow[:, None]
+            near &= (home[q] != here)[None, :] | (ids[q][None, :] < ids[res][:, None])
+            b, a = np.nonzero(near)
+            good = _cosines(x, q, res, a, b) >= plan.threshold
             a, b = q[a[good]], res[b[good]]
             # a pair of different lists is counted in the lower one, and in the higher if the other does not visit the lower
             other = home[a] < here
             if other.any():
                 k = np.flatnonzero(other)
-                visits = index.border(x[b[k]], np.full(len(k), here))[np.arange(len(k)), home[a[k]]] <= limit
+                visits = index.visits_one(x[b[k]], here, home[a[k]], plan.visit)
                 keep = np.ones(len(a), bool)
                 keep[k[visits]] = False
                 a, b = a[keep], b[keep]
@@ -176,6 +181,11 @@ def _match(batches: Iterator[pa.RecordBatch], index: Index, plan: Plan) -> Itera
     yield _linked(rows)
 
 
+def _cosines(x: np.ndarray, q: np.ndarray, res: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact cosines of the pairs (q[a], res[b]), summed one way however many there are."""
+    return np.concatenate([np.einsum("ij,ij->i", x[q[a[k : k + 65536]]], x[res[b[k : k + 65536]]]) for k in range(0, len(a), 65536)] or [np.empty(0)])
+
+
 def _linked(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     a = np.array(rows, dtype=np.int64).reshape(-1, 3)
     return pa.record_batch({"id": pa.array(a[:, 0]), "linked": pa.array(a[:, 1]), "root": pa.array(a[:, 2])})
@@ -199,10 +209,11 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     dim = most["n"]
     sound = F.coalesce((F.size("v") == dim) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0), F.lit(False))
     classes = cut(base.where(sound).groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "vectors")
-    sample = classes.orderBy(F.xxhash64("id"), "id").limit(plan.sample).select("v").toArrow().column("v").combine_chunks()
+    count_of = classes.count()
+    sample = classes.orderBy(F.xxhash64("id"), "id").limit(plan.trained_on(count_of)).select("v").toArrow().column("v").combine_chunks()
     if not len(sample):
         return alone.withColumn("kept", F.lit(True)).withColumnRenamed("id", id_col)
-    shared = spark.sparkContext.broadcast(train(_unit(_vectors(sample, dim)), plan, classes.count()))
+    shared = spark.sparkContext.broadcast(train(_unit(_vectors(sample, dim)), plan, count_of))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +231,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     def visits(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of rows and of the lists that they ask, their home among them."""
         x = np.frombuffer(b"".join(part.column("vector").to_pylist()), dtype=np.float64).reshape(part.num_rows, -1)
-        return np.nonzero(shared.value.border(x, part.column("home").to_numpy()) <= plan.visit)
+        return np.nonzero(shared.value.visits(x, part.column("home").to_numpy(), plan.visit))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(shared.value.lists)
@@ -271,5 +282,20 @@ def _dealt(part: pa.RecordBatch, row: np.ndarray, lists: np.ndarray, one: np.nda
     return pa.record_batch({**keys, **{c: taken.column(c) for c in taken.schema.names}})
 
 
+#: Links of all pairs by double-precision cosine, and what they lead to.
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE e IS NOT NULL AND list_count(e) = len(e) AND len(list_filter(e, lambda x: isfinite(x))) = len(e)
+       AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN least ON least.a = vec_id
+"""
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))

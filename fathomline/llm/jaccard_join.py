@@ -281,4 +281,23 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The join over all documents, in which an id has one row; its version is not returned."""
+    return jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("version")
+
+
+#: All pairs that share a shingle, their exact similarity, and what the links lead to.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00\x09-\x0D ]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS k FROM w),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[k : k + 4], ' ')) AS g FROM i),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (SELECT a, b, k = ca.n AND k = cb.n AS same FROM p JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE k >= 0.8 * (ca.n + cb.n - k) - 1e-9),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n, min(b) FILTER (same) AS c FROM links GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(c, doc_id)) AS class_id, coalesce(n, 0)::BIGINT AS n_links,
+       least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(m, doc_id)) AS kept
+FROM documents LEFT JOIN n ON n.a = doc_id LEFT JOIN least ON least.a = doc_id
+"""

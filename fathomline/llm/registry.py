@@ -4,14 +4,30 @@ from __future__ import annotations
 
 from .byte_bpe import op7_byte_bpe
 from .decontaminate import op4_decontaminate
-from .embedding_dedup import op3_embedding_dedup
+from .embedding_dedup import OP3_SQL, op3_embedding_dedup
 from .html_text import op8_html_text
-from .jaccard_join import op1_jaccard_join
+from .jaccard_join import OP1_SQL, op1_jaccard_join
 from .licenses import op9_license_scan
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .quality import op6_quality
 from .toxicity import op10_toxicity
 from .warc import OP5_SQL, op5_warc
 
-QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_line_dedup": op2_line_dedup, "op3_embedding_dedup": op3_embedding_dedup, "op4_decontaminate": op4_decontaminate, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_byte_bpe": op7_byte_bpe, "op8_html_text": op8_html_text, "op9_license_scan": op9_license_scan, "op10_toxicity": op10_toxicity}
-SQL = {"op2_line_dedup": OP2_SQL, "op5_warc": OP5_SQL}
+QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_warc": op5_warc,
+    "op6_quality": op6_quality,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_html_text": op8_html_text,
+    "op9_license_scan": op9_license_scan,
+    "op10_toxicity": op10_toxicity,
+}
+SQL = {
+    "op1_jaccard_join": OP1_SQL,
+    "op2_line_dedup": OP2_SQL,
+    "op3_embedding_dedup": OP3_SQL,
+    "op5_warc": OP5_SQL,
+}

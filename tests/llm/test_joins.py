@@ -139,18 +139,42 @@ def test_embeddings(spark, plan):
     assert embedding_dedup(df.where("vec_id = 902")).collect()[0].n_links == 0
 
 
-def test_embeddings_hot_group_with_unequal_noise(spark):
-    rng = np.random.default_rng(5)
-    noise = np.r_[np.full(4, 1.0), np.full(28, 0.2)]
-    hot = rng.normal(size=32) + rng.normal(size=(500, 32)) * noise * 0.55
-    v = np.concatenate([hot, rng.normal(size=(1000, 32))])
-    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
-    assert 20_000 < want.sum() < 240_000
-    got = {r.vec_id: r.n_links for r in embedding_dedup(spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>")).collect()}
+def spectrum(rng, n, dim, strong):
+    """Vectors near one of a few centres, with noise of that many strong directions (0: all alike, -1: falling as 1/k)."""
+    scale = np.ones(dim) if not strong else 1 / np.arange(1, dim + 1) if strong < 0 else np.r_[np.ones(strong), np.full(dim - strong, 0.05)]
+    scale = scale / np.linalg.norm(scale)
+    centres = rng.normal(size=(6, dim))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    spread = np.where(rng.random(n) < 0.5, 0.24, 0.9)[:, None]
+    return centres[rng.integers(6, size=n)] + spread * rng.normal(size=(n, dim)) * scale
+
+
+@pytest.mark.parametrize(("dim", "strong"), [(64, 0), (64, -1), (64, 2), (64, 3), (64, 4), (64, 6), (8, 0), (1024, 3)])
+def test_embeddings_lose_no_link(spark, dim, strong):
+    rng = np.random.default_rng(dim + strong)
+    v = spectrum(rng, 1500, dim, strong)
+    v = np.concatenate([v, v[:3] * 2])
+    unit = v / np.abs(v).max(axis=1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    cosine = unit @ unit.T
+    assert np.abs(cosine - 0.95).min() > 1e-12
+    near = cosine >= 0.95
+    want = near.sum(axis=1) - 1
+    assert want.sum() > 2000
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup(df, plan=VectorPlan(residents=256, queries=512)).collect()}
     assert [got[k] for k in range(len(v))] == want.tolist()
 
 
+def test_embeddings_at_the_very_threshold(spark):
+    rows = [(0, [3.0, 4.0, 0.0, 0.0]), (1, [6.0, 8.0, 0.0, 0.0]), (2, [4.0, 3.0, 0.0, 0.0]), (3, [0.0, 0.0, 3.0, -4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = 0.6 * 0.8 + 0.8 * 0.6
+    for threshold, links in ((exact, [2, 2, 2, 0]), (np.nextafter(exact, 2), [1, 1, 0, 0])):
+        got = {r.vec_id: r.n_links for r in embedding_dedup(df, plan=VectorPlan(threshold=threshold)).collect()}
+        assert [got[k] for k in range(4)] == links
+
+
 # ---- decontamination ----------------------------------------------------------------------------------------------
 
 ITEM = "Tom has 3 apples and gives 2 apples to Mary so how many apples does Tom have now in the red box of 5 km"
