@@ -186,10 +186,9 @@ def test_decontamination(spark):
     items = [(70, ITEM), (71, None), (72, ""), (73, "pq rs tu"), (74, ITEM)]
     df = spark.createDataFrame([(i, t, 1) for i, t in docs] + [(None, ITEM, 1), (1, "again", 1)], DOC + ", item_id int")
     bench = spark.createDataFrame(items + [(None, ITEM)], "item_id long, text string")
-    for most in (2_000_000, 1):
-        got = {(r.doc_id, r.item_id): r for r in decontaminate(df, bench, most_shared=most).collect()}
-        assert set(got) == {(i, k) for i in (1, 2, 7, 10) for k in (70, 74)} | {(9, 73)}
-        assert got[1, 70].exact and not got[2, 70].exact and got[2, 70].template and got[7, 70].exact
+    got = {(r.doc_id, r.item_id): r for r in decontaminate(df, bench).collect()}
+    assert set(got) == {(i, k) for i in (1, 2, 7, 10) for k in (70, 74)} | {(9, 73)}
+    assert got[1, 70].exact and not got[2, 70].exact and got[7, 70].exact
     assert decontaminate(df.limit(0), bench).count() == 0 and decontaminate(df, bench.limit(0)).count() == 0
 
 
@@ -223,13 +222,45 @@ def test_decontamination_names_that_clash_in_a_part(spark):
     middle = " ".join(f"word{chr(97 + k)}" for k in range(20))
     item = f"then Tom gave {middle} and so 3 men who saw Tom left 5 boxes at noon"
     docs = [item.replace("Tom", "Lisa"), item.replace("Tom", "Lisa", 1).replace("Tom", "Kate"), "then Lisa gave Kate and so Kate left"]
-    got = {r.doc_id: r.template for r in decontaminate(spark.createDataFrame(list(enumerate(docs)), DOC), spark.createDataFrame([(0, item)], "item_id long, text string")).collect()}
-    assert got == {0: True, 1: True}
+    got = {r.doc_id: r.words for r in decontaminate(spark.createDataFrame(list(enumerate(docs)), DOC), spark.createDataFrame([(0, item)], "item_id long, text string")).collect()}
+    assert set(got) == {0, 1} and got[0] == len(item.split()) > got[1] > 22  # beyond the words between the names
     made = [{"place": k, "begin": k, "end": k + 8, "names": [(1, 5 if k < 3 else 6)] if k < 3 or k > 8 else []} for k in range(12)]
     assert [[w["place"] for w in r] for r in _runs(made)] == [list(range(9)), list(range(3, 12))]
     assert _passage(made, 12, 13, 0.5) == (16, 0.75) and _passage(made, 30, 13, 0.5) is None and _passage(made[:9], 30, 13, 0.5) == (16, 0.3)
 
 
+def test_decontamination_shapes_of_values(spark):
+    item = "the road from the farm to the old mill is {} long and the toll there costs {} for each cart that passes"
+    docs = [item.format("8 miles", "$3"), item.format("5km", "four dollars"), item.format("2.5 km", "7 %").upper(), item.format("long", "nothing")]
+    assert pairs(spark, docs, [item.format("5 km", "12 euros")]) == {(0, 0), (1, 0), (2, 0)}
+    assert pairs(spark, ["what is 17 + 25", "what is 5"], ["What is 17 + 25?"]) == {(0, 0)}
+
+
+def test_decontamination_passages_have_no_gaps(spark):
+    word = lambda k: f"w{chr(97 + k // 26)}{chr(97 + k % 26)}"
+    item = " ".join(word(k) for k in range(120))
+    own = " ".join(f"q{chr(97 + k)}" for k in range(20))
+    eight = lambda a: " ".join(word(k) for k in range(a, a + 8))
+    docs = [f"{eight(0)} {own} {eight(28)}", f"{own} " + " ".join(word(k) for k in range(40, 53))]
+    assert pairs(spark, docs, [item]) == {(1, 0)}
+    two = spark.createDataFrame([(0, eight(0)), (0, "x x x x x x x x " + eight(8))], DOC)
+    assert decontaminate(two, spark.createDataFrame([(0, item)], "item_id long, text string")).count() == 0
+
+
+@here
+def test_decontamination_finds_every_item_with_other_values(spark):
+    """Each benchmark item with its numbers and known names changed, in text of its own, pairs with the item."""
+    from fathomline.llm.decontaminate import NAMES
+
+    rng = np.random.default_rng(8)
+    names = {n.capitalize(): m.capitalize() for n, m in zip(NAMES, np.roll(NAMES, 7), strict=True)}
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    change = lambda t: re.sub(r"\d+|[A-Z][a-z]+", lambda m: names.get(m[0], m[0]) if m[0].isalpha() else str(rng.integers(2, 5000)), t)
+    docs = [(i, f"some words of {i} before it . {change(t)} . and after it") for i, t in items]
+    got = {(r.doc_id, r.item_id) for r in decontaminate(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(i, i) for i, _ in items} <= got
+
+
 @here
 def test_decontamination_on_documents(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
