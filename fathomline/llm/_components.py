@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._work import cut, join_counted
+from ._work import cut
 
 
 class Union:
@@ -36,20 +36,20 @@ def components(links: DataFrame) -> DataFrame:
     """id, component for every id in links(a, b): component is the least id that links lead to.
 
     Each task first reduces its links to a spanning forest; then large and small stars alternate until nothing changes,
-    each round's table written in the shared folder. Sums over a hub's links are combined before they are shuffled, and
-    the joins with them broadcast the few hubs that many links lead to. Rounds grow with the logarithm of the longest
-    path. Links of an id with itself keep it as a component of its own."""
+    each round's table written in the shared folder. Sums over a hub's links are combined before they are shuffled, and the
+    joins with them carry one row per link, on whose hub side Spark splits a large partition. Rounds grow with the
+    logarithm of the longest path. Links of an id with itself keep it as a component of its own."""
     stars = cut(links.select("a", "b").mapInArrow(_forest, "a long, b long").distinct(), "links")
     rows = stars.count()
     mark = None
     while True:
-        both = stars.where("a > b").union(stars.where("a > b").select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("k"))
-        large = join_counted(both.where("b > a"), least, ["a"], "k", 2 * rows).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.union(stars.where("a = b")).where("a > b or a = b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("k"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
         pair = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
-        small = join_counted(large.where("a > b"), low, ["a"], "k", rows).select(F.inline(pair))
+        small = large.join(low, "a").select(F.inline(pair))
         stars = cut(small.where("a > b").union(large.where("a = b")).distinct(), "stars", 2 * rows)
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ._components import Union, components, grouped, groups
 from ._words import NOT_SPACE, mix, slices, windows, words
-from ._work import P, cut, join_counted, sole, table
+from ._work import P, cut, join_counted, sifted, sole, table
 
 
 @dataclass(frozen=True)
@@ -264,7 +264,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 part = batch.slice(at, len(texts))
                 yield pa.record_batch({**{c: part.column(c) for c in ("key", "blocks", "id", "copies")}, "shingles": pa.array(sets, pa.binary())})
 
-    texts = base.withColumnRenamed("id", "doc").join(members, ["doc", "version"]).select("key", "blocks", "id", "copies", "t")
+    texts = sifted(base.withColumnRenamed("id", "doc"), members, ["doc", "version"]).join(members, ["doc", "version"]).select("key", "blocks", "id", "copies", "t")
     sets = texts.mapInArrow(shingles, "key long, blocks long, id long, copies long, shingles binary")
     blocks = _in_blocks(sets, "key", F.col("blocks")).select("key", "one", "two", "id", "copies", "shingles", "side")
     found = cut(grouped(blocks, ["key", "one", "two"]).mapInArrow(lambda b: _exact(b, plan), "id long, linked long, root long"), "links")
