@@ -74,15 +74,24 @@ def join_counted(rows: DataFrame, counts: DataFrame, keys: list[str], n: str, to
     return near.unionByName(far)
 
 
-def sifted(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """rows without most of those whose keys are not among wanted's (keys of rows are not null).
-
-    A bit map of the wanted keys' hashes is broadcast, at most 2**20 rows of 64 bits however many they are: what a join
-    with wanted then shuffles is what it needs and few rows more, or, with far more keys than bits, all rows."""
-    place = lambda df: df.withColumn(P + "h", F.xxhash64(*keys)).withColumn(P + "word", F.shiftrightunsigned(P + "h", 44))
+def sifting(rows: DataFrame, wanted: DataFrame, keys: list[str], flag: str) -> DataFrame:
+    """rows with a boolean column flag: false where the keys are surely not among wanted's (or null).
+
+    A bit map of the wanted keys' hashes is broadcast, at most 2**20 rows of 64 bits however many they are."""
+    known_key = F.lit(True)
+    for k in keys:
+        known_key = known_key & F.col(k).isNotNull()
+    place = lambda df: df.withColumn(P + "h", F.when(known_key, F.xxhash64(*keys))).withColumn(P + "word", F.shiftrightunsigned(P + "h", 44))
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({P}h, 38) & 63 as int))")
-    known = place(wanted.select(*keys)).groupBy(P + "word").agg(F.bit_or(bit).alias(P + "bits"))
-    return place(rows).join(F.broadcast(known), P + "word").where(F.col(P + "bits").bitwiseAND(bit) != 0).select(*rows.columns)
+    known = place(wanted.select(*keys)).where(F.col(P + "h").isNotNull()).groupBy(P + "word").agg(F.bit_or(bit).alias(P + "bits"))
+    marked = place(rows).join(F.broadcast(known), P + "word", "left")
+    return marked.select(*rows.columns, F.coalesce(F.col(P + "bits").bitwiseAND(bit) != 0, F.lit(False)).alias(flag))
+
+
+def sifted(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """rows without most of those whose keys are not among wanted's: what a join with wanted then shuffles is what it
+    needs and few rows more, or, with far more keys than sifting()'s bits, all rows."""
+    return sifting(rows, wanted, keys, P + "known").where(P + "known").select(*rows.columns)
 
 
 def sole(df: DataFrame, needed: dict[str, str]) -> DataFrame:

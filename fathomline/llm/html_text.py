@@ -1,11 +1,15 @@
 """HTML extraction: flat text blocks, described by word counts and link densities of themselves and their neighbours and
-by the containers they stand in, classified by a decision tree that is trained on a small labelled table."""
+by the containers they stand in, classified by a decision tree that is trained on a small labelled table.
+
+A class or id that names boilerplate is a weak sign: it weighs by the share of the page's text that stands outside of the
+container so named, as the wrapper of a whole page is often named after something beside the text."""
 
 from __future__ import annotations
 
 import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +26,7 @@ CONTAINERS = frozenset("article aside blockquote body button details dialog div
 SILENT = frozenset("script style title textarea xmp noembed noframes iframe svg math canvas audio video".split())
 BOILER_TAGS = frozenset("nav header footer aside form button select noscript template dialog menu object fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Default names of boilerplate in a class, id or role.
 BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline-share comment comments commentlist consent contentinfo cookie cookies copyright discussion disqus dialog footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup popups promo promoted promotion recommended related replies reply responses search share sharing sidebar sidenav signin signup skip skyscraper social sponsor sponsored sponsors subscribe subscription tagcloud toolbar topbar widget widgets complementary alert".split()
 )
@@ -37,44 +42,53 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 @dataclass
 class Block:
+    """named: number of the outermost container or element around it whose name is of boilerplate, -1 where there is none;
+    article: how many article elements it is in."""
+
     text: str
     words: int
     link_density: float
     heading: bool
     boiler: bool
-    article: bool
+    named: int
+    article: int
     main: bool
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
-    if tag in BOILER_TAGS:
-        return True
+def _hidden(attributes: str) -> bool:
+    return len(attributes) > 5 and bool(_HIDDEN.search(attributes))
+
+
+def _boilerplate(tag: str, attributes: str, known: frozenset[str]) -> bool:
+    """Whether an element's class, id or role names boilerplate."""
     if len(attributes) < 3 or tag in ("html", "body", "main"):
         return False
     names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes))
-    return any(map(_named, names.split())) or bool(_HIDDEN.search(attributes))
+    return any(_named(n, known) for n in names.split())
 
 
-def _named(name: str) -> bool:
+def _named(name: str, known: frozenset[str]) -> bool:
     """Whether a class, id or role names boilerplate: comments, post-comments, but not comments-open, with-sidebar, noHeader."""
     parts = _PART.findall(_CAMEL.sub(" ", name).lower())
     for k, part in enumerate(parts):
         if part in HAS:
             return False
-        if part in BOILER_WORDS and not (k + 1 < len(parts) and parts[k + 1] in STATES):
+        if part in known and not (k + 1 < len(parts) and parts[k + 1] in STATES):
             return True
     return False
 
 
-def blocks(page: str) -> list[Block]:
+def blocks(page: str, known: frozenset[str] = BOILER_WORDS) -> list[Block]:
     """The page's text in blocks. Unclosed elements, stray end tags and a page cut anywhere are taken as they come."""
     found: list[Block] = []
-    stack: list[tuple[str, bool]] = []
-    boiler = article = main = 0
+    stack: list[tuple[str, bool, bool]] = []
+    boiler = article = main = naming = last = 0
+    outer = own = -1
     parts: list[tuple[str, bool]] = []
     in_link = heading = False
 
     def flush() -> None:
+        nonlocal own
         if parts:
             joined = "".join(p for p, _ in parts)
             if "&" in joined:
@@ -82,13 +96,15 @@ def blocks(page: str) -> list[Block]:
             words = joined.split()
             if words:
                 linked = sum(len(p.split()) for p, a in parts if a)
-                found.append(Block(" ".join(words), len(words), min(1.0, linked / len(words)), heading, boiler > 0, article > 0, main > 0))
+                found.append(Block(" ".join(words), len(words), min(1.0, linked / len(words)), heading, boiler > 0, outer if naming else own, article, main > 0))
             parts.clear()
+        own = -1
 
     def close(n: int) -> None:
-        nonlocal boiler, article, main
-        for tag, bad in stack[n:]:
+        nonlocal boiler, article, main, naming
+        for tag, bad, named in stack[n:]:
             boiler -= bad
+            naming -= named
             article -= tag == "article"
             main -= tag == "main"
         del stack[n:]
@@ -135,42 +151,85 @@ def blocks(page: str) -> list[Block]:
         elif tag == "a":
             in_link = True
         elif tag in CONTAINERS and not m[3].endswith("/>"):
-            bad = _boilerplate(tag, m[3]) if tag != "article" or article or boiler else bool(_HIDDEN.search(m[3]))
-            stack.append((tag, bad))
+            bad = tag in BOILER_TAGS or _hidden(m[3])
+            named = _boilerplate(tag, m[3], known) and (tag != "article" or article + boiler + naming > 0)
+            if named and not naming:
+                last += 1
+                outer = last
+            stack.append((tag, bad, named))
             boiler += bad
+            naming += named
             article += tag == "article"
             main += tag == "main"
-        elif tag in ("p", "li", "td", "section") and _boilerplate(tag, m[3]):
-            stop = re.compile(rf"</{tag}\s*>|<{tag}[\s>]", re.I).search(page, at)
-            at = at if stop is None else stop.start()
+        elif tag in ("p", "li", "td") and (_hidden(m[3]) or _boilerplate(tag, m[3], known)):
+            last += 1
+            own = last
     flush()
     return found
 
 
-FEATURES = ("boilerplate container", "inside the article", "page has an article", "words", "link density", "words before", "link density before", "words after", "link density after", "heading")
+FEATURES = ("boilerplate element", "text outside of the named container", "inside the article", "page has an article", "words", "link density", "words before", "link density before", "words after", "link density after", "heading")
 
 
 def describe(found: list[Block]) -> list[list[float]]:
     """FEATURES of each block; the article is what stands in article elements, or, where none has text, in main."""
+    plain = [b.words * (1 - b.link_density) for b in found]
+    total, held = sum(plain), Counter()
+    for b, n in zip(found, plain, strict=True):
+        held[b.named] += n
+    # an article within an article, in a container so named, is a reader's
+    outside = [0.0 if b.named < 0 else 1 - held[b.named] / total if total and b.article < 2 else 1.0 for b in found]
     by_article = any(b.article and not b.boiler for b in found)
     by_main = not by_article and any(b.main and not b.boiler for b in found)
-    whole = float(by_article or by_main)
     ends = [0.0, 0.0]
     own = [[float(b.words), b.link_density] for b in found]
-    return [[float(b.boiler), float(b.article if by_article else b.main if by_main else 0), whole, *own[k], *(own[k - 1] if k else ends), *(own[k + 1] if k + 1 < len(found) else ends), float(b.heading)] for k, b in enumerate(found)]
+    rows = []
+    for k, b in enumerate(found):
+        inside = b.article > 0 if by_article else b.main and by_main
+        near = [*(own[k - 1] if k else ends), *(own[k + 1] if k + 1 < len(found) else ends)]
+        rows.append([float(b.boiler), outside[k], float(inside), float(by_article or by_main), *own[k], *near, float(b.heading)])
+    return rows
 
 
 # Fixed values, the labelled table: FEATURES of blocks as pages have them, and whether they are main text.
 LABELLED = (
-    ((1, 0, 1, 1, 1.0, 0, 0.0, 1, 1.0, 0), 0), ((1, 0, 1, 60, 0.0, 1, 1.0, 9, 0.0, 0), 0), ((1, 0, 0, 40, 0.1, 12, 0.0, 80, 0.0, 0), 0), ((1, 1, 1, 45, 0.0, 90, 0.0, 70, 0.0, 0), 0), ((1, 1, 1, 6, 1.0, 90, 0.0, 0, 0.0, 0), 0),
-    ((1, 1, 1, 3, 0.0, 0, 0.0, 60, 0.0, 1), 0), ((1, 0, 0, 7, 0.0, 120, 0.0, 0, 0.0, 0), 0), ((1, 0, 1, 12, 0.3, 200, 0.0, 0, 0.0, 1), 0), ((1, 0, 0, 150, 0.0, 70, 0.0, 30, 0.0, 0), 0), ((1, 1, 1, 2, 0.0, 2, 0.0, 2, 0.0, 0), 0),
-    ((0, 1, 1, 8, 0.0, 12, 0.0, 60, 0.0, 1), 1), ((0, 1, 1, 120, 0.0, 8, 0.0, 90, 0.0, 0), 1), ((0, 1, 1, 2, 0.0, 120, 0.0, 90, 0.0, 0), 1), ((0, 1, 1, 1, 0.0, 1, 1.0, 0, 0.0, 0), 1), ((0, 1, 1, 25, 0.4, 60, 0.0, 60, 0.1, 0), 1),
-    ((0, 1, 1, 4, 1.0, 60, 0.0, 60, 0.0, 0), 1), ((0, 1, 1, 300, 0.05, 10, 1.0, 14, 1.0, 0), 1), ((0, 1, 1, 9, 0.0, 0, 0.0, 0, 0.0, 0), 1), ((0, 1, 1, 5, 1.0, 4, 1.0, 80, 0.0, 0), 1), ((0, 1, 1, 1, 0.0, 1, 0.0, 1, 0.0, 0), 1),
-    ((0, 0, 1, 50, 0.0, 30, 0.0, 100, 0.0, 0), 0), ((0, 0, 1, 4, 1.0, 4, 1.0, 4, 1.0, 0), 0), ((0, 0, 1, 8, 0.0, 60, 0.0, 0, 0.0, 0), 0), ((0, 0, 1, 5, 0.0, 0, 0.0, 60, 0.0, 1), 0), ((0, 0, 1, 200, 0.0, 20, 0.0, 20, 0.0, 0), 0),
-    ((0, 0, 0, 40, 0.0, 30, 0.0, 50, 0.0, 0), 1), ((0, 0, 0, 120, 0.1, 4, 1.0, 60, 0.0, 0), 1), ((0, 0, 0, 80, 0.2, 60, 0.0, 3, 1.0, 0), 1), ((0, 0, 0, 18, 0.0, 4, 1.0, 90, 0.0, 0), 1), ((0, 0, 0, 6, 0.0, 4, 1.0, 90, 0.0, 1), 1),
-    ((0, 0, 0, 5, 0.0, 70, 0.0, 80, 0.0, 1), 1), ((0, 0, 0, 5, 0.0, 70, 0.0, 80, 0.0, 0), 1), ((0, 0, 0, 4, 0.0, 60, 0.0, 40, 0.0, 0), 1), ((0, 0, 0, 30, 0.0, 0, 0.0, 0, 0.0, 0), 1), ((0, 0, 0, 20, 0.1, 5, 1.0, 0, 0.0, 0), 1),
-    ((0, 0, 0, 3, 1.0, 2, 1.0, 2, 1.0, 0), 0), ((0, 0, 0, 2, 1.0, 0, 0.0, 2, 1.0, 0), 0), ((0, 0, 0, 15, 0.9, 60, 0.0, 8, 1.0, 0), 0), ((0, 0, 0, 40, 0.8, 3, 1.0, 60, 0.0, 0), 0), ((0, 0, 0, 7, 0.6, 20, 0.9, 4, 1.0, 0), 0),
-    ((0, 0, 0, 5, 0.0, 3, 1.0, 4, 1.0, 0), 0), ((0, 0, 0, 3, 0.0, 0, 0.0, 3, 1.0, 1), 0), ((0, 0, 0, 4, 0.0, 3, 1.0, 3, 1.0, 1), 0), ((0, 0, 0, 8, 0.0, 5, 0.2, 0, 0.0, 0), 0), ((0, 0, 0, 6, 0.3, 8, 0.0, 4, 1.0, 0), 0),
+    # of containers without such a name
+    ((1, 0, 0, 1, 1, 1, 0, 0, 1, 1, 0), 0), ((1, 0, 0, 1, 60, 0, 1, 1, 9, 0, 0), 0), ((1, 0, 0, 0, 40, 0.1, 12, 0, 80, 0, 0), 0), ((1, 0, 1, 1, 45, 0, 90, 0, 70, 0, 0), 0),
+    ((1, 0, 1, 1, 6, 1, 90, 0, 0, 0, 0), 0), ((1, 0, 1, 1, 3, 0, 0, 0, 60, 0, 1), 0), ((1, 0, 0, 0, 7, 0, 120, 0, 0, 0, 0), 0), ((1, 0, 0, 1, 12, 0.3, 200, 0, 0, 0, 1), 0),
+    ((1, 0, 0, 0, 150, 0, 70, 0, 30, 0, 0), 0), ((1, 0, 1, 1, 2, 0, 2, 0, 2, 0, 0), 0), ((0, 0, 1, 1, 8, 0, 12, 0, 60, 0, 1), 1), ((0, 0, 1, 1, 120, 0, 8, 0, 90, 0, 0), 1),
+    ((0, 0, 1, 1, 2, 0, 120, 0, 90, 0, 0), 1), ((0, 0, 1, 1, 1, 0, 1, 1, 0, 0, 0), 1), ((0, 0, 1, 1, 25, 0.4, 60, 0, 60, 0.1, 0), 1), ((0, 0, 1, 1, 4, 1, 60, 0, 60, 0, 0), 1),
+    ((0, 0, 1, 1, 300, 0.05, 10, 1, 14, 1, 0), 1), ((0, 0, 1, 1, 9, 0, 0, 0, 0, 0, 0), 1), ((0, 0, 1, 1, 5, 1, 4, 1, 80, 0, 0), 1), ((0, 0, 1, 1, 1, 0, 1, 0, 1, 0, 0), 1),
+    ((0, 0, 0, 1, 50, 0, 30, 0, 100, 0, 0), 0), ((0, 0, 0, 1, 4, 1, 4, 1, 4, 1, 0), 0), ((0, 0, 0, 1, 8, 0, 60, 0, 0, 0, 0), 0), ((0, 0, 0, 1, 5, 0, 0, 0, 60, 0, 1), 0),
+    ((0, 0, 0, 1, 200, 0, 20, 0, 20, 0, 0), 0), ((0, 0, 0, 0, 40, 0, 30, 0, 50, 0, 0), 1), ((0, 0, 0, 0, 120, 0.1, 4, 1, 60, 0, 0), 1), ((0, 0, 0, 0, 80, 0.2, 60, 0, 3, 1, 0), 1),
+    ((0, 0, 0, 0, 18, 0, 4, 1, 90, 0, 0), 1), ((0, 0, 0, 0, 6, 0, 4, 1, 90, 0, 1), 1), ((0, 0, 0, 0, 5, 0, 70, 0, 80, 0, 1), 1), ((0, 0, 0, 0, 5, 0, 70, 0, 80, 0, 0), 1),
+    ((0, 0, 0, 0, 4, 0, 60, 0, 40, 0, 0), 1), ((0, 0, 0, 0, 30, 0, 0, 0, 0, 0, 0), 1), ((0, 0, 0, 0, 20, 0.1, 5, 1, 0, 0, 0), 1), ((0, 0, 0, 0, 3, 1, 2, 1, 2, 1, 0), 0),
+    ((0, 0, 0, 0, 2, 1, 0, 0, 2, 1, 0), 0), ((0, 0, 0, 0, 15, 0.9, 60, 0, 8, 1, 0), 0), ((0, 0, 0, 0, 40, 0.8, 3, 1, 60, 0, 0), 0), ((0, 0, 0, 0, 7, 0.6, 20, 0.9, 4, 1, 0), 0),
+    ((0, 0, 0, 0, 5, 0, 3, 1, 4, 1, 0), 0), ((0, 0, 0, 0, 3, 0, 0, 0, 3, 1, 1), 0), ((0, 0, 0, 0, 4, 0, 3, 1, 3, 1, 1), 0), ((0, 0, 0, 0, 8, 0, 5, 0.2, 0, 0, 0), 0),
+    ((0, 0, 0, 0, 6, 0.3, 8, 0, 4, 1, 0), 0),
+    # of long blocks, and of blocks beside long ones or beside lists of links
+    ((0, 0, 1, 1, 500, 0, 300, 0, 400, 0, 0), 1), ((0, 0, 1, 1, 100000, 0, 0, 0, 0, 0, 0), 1), ((0, 0, 1, 1, 30, 0, 60, 0, 4, 1, 0), 1), ((0, 0, 1, 1, 3, 0, 200, 0, 4, 1, 0), 1),
+    ((0, 0, 1, 1, 4, 1, 200, 0, 300, 0, 0), 1), ((0, 0, 1, 1, 12, 0.2, 4, 1, 4, 1, 0), 1), ((0, 0, 1, 1, 60, 0, 300, 0, 150, 0, 0), 1), ((0, 0, 1, 1, 200, 0, 120, 0, 220, 0, 0), 1),
+    ((0, 0, 1, 1, 3, 0, 0, 0, 300, 0, 1), 1), ((0, 0, 1, 1, 80, 0, 1, 1, 1, 1, 0), 1), ((0, 0, 1, 1, 6, 0, 150, 0, 0, 0, 0), 1), ((0, 0, 1, 1, 2, 1, 2, 1, 2, 1, 0), 1),
+    ((0, 0.1, 1, 1, 300, 0, 200, 0, 4, 1, 0), 1), ((0, 0.2, 1, 1, 5, 0, 0, 0, 200, 0, 1), 1), ((0, 0.1, 1, 1, 150, 0, 4, 1, 180, 0, 0), 1), ((0, 0.15, 1, 1, 4, 1, 90, 0, 120, 0, 0), 1),
+    ((0, 0, 0, 0, 400, 0, 200, 0, 300, 0, 0), 1), ((0, 0, 0, 0, 100000, 0, 0, 0, 0, 0, 0), 1), ((0, 0, 0, 0, 90, 0, 120, 0, 4, 1, 0), 1), ((0, 0, 0, 0, 5, 0, 90, 0, 300, 0, 1), 1),
+    ((0, 0.1, 0, 0, 400, 0, 200, 0, 300, 0, 0), 1), ((0, 0.2, 0, 0, 50, 0, 120, 0, 4, 1, 0), 1), ((0, 0.1, 0, 0, 5, 0, 3, 1, 60, 0, 1), 1), ((0, 0.15, 0, 0, 12, 0, 150, 0, 200, 0, 0), 1),
+    ((0, 0, 0, 1, 500, 0, 20, 0, 300, 0, 0), 0), ((0, 0, 0, 1, 60, 0, 300, 0, 4, 1, 0), 0), ((0, 0, 0, 1, 15, 0, 2, 1, 120, 0, 0), 0), ((0, 0.1, 0, 1, 90, 0, 60, 0, 200, 0, 0), 0),
+    ((1, 0, 1, 1, 200, 0, 60, 0, 300, 0, 0), 0), ((1, 0, 0, 0, 500, 0, 300, 0, 400, 0, 0), 0), ((1, 0, 1, 1, 20, 0, 120, 0, 200, 0, 0), 0), ((1, 0, 0, 0, 60, 0, 200, 0, 4, 1, 0), 0),
+    ((1, 0.5, 0, 0, 80, 0, 30, 0, 200, 0, 0), 0), ((1, 0.9, 1, 1, 300, 0, 30, 0, 40, 0, 0), 0), ((1, 0.1, 1, 1, 40, 0, 60, 0, 80, 0, 0), 0), ((1, 0.05, 0, 0, 20, 0, 60, 0, 80, 0, 0), 0),
+    ((0, 0.6, 1, 1, 300, 0, 200, 0, 250, 0, 0), 0), ((0, 0.5, 0, 0, 400, 0, 200, 0, 300, 0, 0), 0), ((0, 0.8, 1, 1, 40, 0, 300, 0, 4, 1, 0), 0), ((0, 0.6, 0, 0, 20, 0, 150, 0, 200, 0, 0), 0),
+    # of boilerplate so named: notices, comments, related links, newsletters, side bars
+    ((0, 0.97, 0, 1, 14, 0, 1, 1, 9, 0, 0), 0), ((0, 0.9, 0, 1, 60, 0, 6, 1, 9, 0, 0), 0), ((0, 0.95, 0, 0, 40, 0.1, 12, 0, 80, 0, 0), 0), ((0, 0.92, 1, 1, 45, 0, 90, 0, 70, 0, 0), 0),
+    ((0, 0.98, 1, 1, 6, 1, 90, 0, 0, 0, 0), 0), ((0, 0.96, 1, 1, 3, 0, 0, 0, 60, 0, 1), 0), ((0, 0.9, 0, 0, 7, 0, 120, 0, 0, 0, 0), 0), ((0, 0.6, 0, 0, 12, 0.3, 200, 0, 0, 0, 1), 0),
+    ((0, 0.55, 0, 0, 150, 0, 70, 0, 30, 0, 0), 0), ((0, 0.7, 1, 1, 2, 0, 2, 0, 2, 0, 0), 0), ((0, 0.5, 1, 1, 80, 0, 40, 0, 30, 0, 0), 0), ((0, 0.75, 1, 1, 25, 0, 30, 0, 35, 0, 0), 0),
+    ((0, 0.99, 1, 1, 9, 0.5, 60, 0, 60, 0, 0), 0), ((0, 0.45, 0, 1, 30, 0, 20, 0, 20, 0, 0), 0), ((0, 0.94, 0, 0, 25, 0, 4, 1, 70, 0, 0), 0), ((0, 0.85, 0, 0, 90, 0, 60, 0, 2, 1, 0), 0),
+    ((0, 0.65, 1, 1, 1, 0, 1, 0, 1, 0, 0), 0), ((0, 0.5, 0, 0, 20, 0.1, 25, 0, 30, 0, 0), 0),
+    # of wrappers of the text that are named after what stands beside it
+    ((0, 0, 1, 1, 8, 0, 12, 0, 60, 0, 1), 1), ((0, 0.02, 1, 1, 120, 0, 8, 0, 90, 0, 0), 1), ((0, 0.05, 0, 0, 60, 0, 4, 1, 50, 0, 0), 1), ((0, 0.1, 0, 0, 120, 0, 60, 0, 80, 0, 0), 1),
+    ((0, 0.04, 0, 0, 6, 0, 4, 1, 90, 0, 1), 1), ((0, 0, 0, 0, 5, 0, 70, 0, 80, 0, 0), 1), ((0, 0.15, 0, 0, 40, 0.1, 30, 0, 0, 0, 0), 1), ((0, 0.2, 1, 1, 2, 0, 120, 0, 90, 0, 0), 1),
+    ((0, 0.12, 0, 0, 30, 0, 0, 0, 0, 0, 0), 1), ((0, 0, 0, 0, 30, 0, 0, 0, 0, 0, 0), 1), ((0, 0.08, 0, 0, 18, 0, 5, 1, 0, 0, 0), 1), ((0, 0.25, 0, 0, 70, 0, 40, 0, 40, 0, 0), 1),
+    # of link lists and remarks in such wrappers
+    ((0, 0.05, 0, 0, 3, 1, 2, 1, 2, 1, 0), 0), ((0, 0.1, 0, 0, 7, 0.8, 20, 0.9, 4, 1, 0), 0), ((0, 0.03, 0, 1, 4, 1, 4, 1, 4, 1, 0), 0), ((0, 0, 0, 0, 5, 0, 3, 1, 4, 1, 0), 0),
+    ((0, 0.08, 0, 1, 40, 0, 30, 0, 50, 0, 0), 0),
 )
 
 
@@ -210,27 +269,27 @@ def is_main(features: list[float]) -> bool:
     return node
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, known: frozenset[str] = BOILER_WORDS) -> str:
     """The main blocks in page order, joined by newlines; null, empty and text-less pages give an empty text."""
-    found = blocks(page or "")
+    found = blocks(page or "", known)
     return "\n".join(b.text for b, f in zip(found, describe(found), strict=True) if is_main(f))
 
 
-def extract(page: Column | str) -> Column:
+def extract(page: Column | str, known: frozenset[str] = BOILER_WORDS) -> Column:
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([main_text(t.as_py()) for t in batch], pa.string())
+            yield pa.array([main_text(t.as_py(), known) for t in batch], pa.string())
 
     return run(page)
 
 
-def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """pages with text and n_chars (its code points) in place of the html column; columns with those names are replaced.
+def extract_text(pages: DataFrame, html_col: str = "html", known: frozenset[str] = BOILER_WORDS) -> DataFrame:
+    """known: words that name boilerplate in a class, id or role. pages with text and n_chars (its code points) in place of the html column; columns with those names are replaced.
 
     Rows are read one by one, whole: repeated rows, nulls elsewhere and empty tables need no rule."""
     rest = [F.col(f"`{c}`") for c in others(pages, [html_col, "text", "n_chars"])]
-    done = pages.select(*rest, extract(F.coalesce(F.col(f"`{html_col}`"), F.lit(""))).alias(P + "text"))
+    done = pages.select(*rest, extract(F.coalesce(F.col(f"`{html_col}`"), F.lit("")), known).alias(P + "text"))
     return done.select(*rest, F.col(P + "text").alias("text"), F.length(P + "text").cast("long").alias("n_chars"))
 
 

@@ -79,7 +79,7 @@ class Matcher:
             self.machine.make_automaton()
 
     def features(self, text: str) -> tuple[float, ...]:
-        """Whether one, two and three words are hit; logarithms of one plus the summed weights, and plus these over a slowly growing length.
+        """Whether one, two and three words are hit, and logarithms of one plus the summed weights: all over a slowly growing length, the last inside the logarithm too.
 
         A word counts once, by its heaviest term; words inside an exception phrase don't count."""
         if not self.any:
@@ -98,7 +98,8 @@ class Matcher:
             return NONE
         total = sum(kept.values())
         n = len(kept)
-        return 1.0, float(n > 1), float(n > 2), math.log1p(total), math.log1p(total / math.log2(2 + folded.count(" ") / 64))
+        length = math.log2(2 + folded.count(" ") / 64)
+        return 1.0 / length, (n > 1) / length, (n > 2) / length, math.log1p(total) / length, math.log1p(total / length)
 
 
 def _features(text: Column | str, shared) -> Column:

@@ -9,18 +9,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import BinaryIO
 
 import pyarrow as pa
 import pyarrow.fs  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._work import P, cut, fresh_path, sole, table
+from ._work import HOT, P, cut, fresh_path, sifting, sole, table
 
 VERSION, GZIP = b"WARC/1.", b"\x1f\x8b\x08"
 _START = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/1\.")
@@ -55,12 +57,19 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, payload_col: str,
 
     Of rows with equal payloads (SHA-1) of min_revisit bytes or more, those with the largest id are responses, the
     others revisit it. Rows without an id never are the one revisited, unless no row of the group has one: then all are
-    responses. The groups' table holds a row for each payload that repeats; Spark broadcasts it if it is small and
-    splits a much repeated digest's side of the join otherwise."""
+    responses. Only payloads that repeat are shuffled (and few others, by a bit map of the groups), and of these not
+    those that are repeated most: fewer than HOT groups are broadcast to them."""
     rows = sole(pages, {"page_id": id_col, "url": url_col, "payload": payload_col}).withColumn("payload", F.coalesce(F.col("payload").cast("string"), F.lit("")).cast("binary"))
-    digest = F.when(F.length("payload") >= min_revisit, F.unhex(F.sha1("payload")))
-    groups = rows.select("page_id", digest.alias(P + "d")).where(F.col(P + "d").isNotNull()).groupBy(P + "d").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias(P + "n")).where(F.col(P + "n") > 1).select(P + "d", "refers_to")
-    joined = rows.withColumn(P + "d", digest).join(groups, P + "d", "left")
+    d, n = P + "d", P + "n"
+    rows = rows.withColumn(d, F.when(F.length("payload") >= min_revisit, F.unhex(F.sha1("payload"))))
+    groups = rows.where(F.col(d).isNotNull()).groupBy(d).agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias(n)).where(F.col(n) > 1)
+    groups = cut(groups.where(F.col("refers_to").isNotNull()), "repeated-payloads")
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    hot, cold = groups.where(F.col(n) * HOT > total).drop(n), groups.where(F.col(n) * HOT <= total).drop(n)
+    named = sifting(rows, groups, [d], P + "repeats").join(F.broadcast(hot), d, "left")
+    asks = F.col(P + "repeats") & F.col("refers_to").isNull()
+    columns = ["page_id", "url", "payload", "refers_to"]
+    joined = named.where(~asks).select(*columns).union(named.where(asks).drop("refers_to").join(cold, d, "left").select(*columns))
     revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     return joined.select("page_id", "url", "payload", F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit"))
 
@@ -114,6 +123,41 @@ def write_warc(records: DataFrame, folder: str, roll_bytes: int = 8 << 20, date:
     return cut(manifest.mapInArrow(commit, kind), "warc-committed")
 
 
+class Source:
+    """An archive's bytes, of which a few MB are held: slices, find and search as of a bytes object."""
+
+    def __init__(self, file: BinaryIO, size: int, hold: int = 4 << 20) -> None:
+        self.file, self.size, self.hold = file, size, hold
+        self.start, self.held = 0, b""
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, s: slice) -> bytes:
+        a, b = s.start or 0, self.size if s.stop is None else min(s.stop, self.size)
+        if not self.start <= a <= b <= self.start + len(self.held):
+            self.file.seek(a)
+            self.start, self.held = a, self.file.read(max(b - a, min(self.hold, self.size - a)))
+        return self.held[a - self.start : b - self.start]
+
+    def search(self, pattern: re.Pattern, start: int) -> int:
+        """Where the first match from start on begins, or -1; of matches of up to 16 bytes that may look one byte back."""
+        while start < self.size:
+            back = min(1, start)
+            part = self[start - back : start + self.hold]
+            if m := pattern.search(part, back):
+                return start - back + m.start()
+            start += max(1, self.hold - 16)
+        return -1
+
+    def find(self, sub: bytes, start: int) -> int:
+        return self.search(re.compile(re.escape(sub)), start)
+
+
+def _source(data: bytes) -> Source:
+    return Source(io.BytesIO(data), len(data))
+
+
 @dataclass
 class Record:
     start: int
@@ -153,7 +197,7 @@ def _same_digest(said: str, data: bytes) -> bool:
     return value.lower() == digest.hex() or value.upper() == _base32(digest)
 
 
-def _parse(data: bytes, start: int) -> Record:
+def _parse(data: Source, start: int) -> Record:
     """The plain record at start; _Bad if a check fails."""
     if data[start : start + len(VERSION)] != VERSION:
         raise _Bad("no version line")
@@ -186,7 +230,7 @@ def _parse(data: bytes, start: int) -> Record:
     return record
 
 
-def _member(data: bytes, start: int) -> tuple[bytes, int, str]:
+def _member(data: Source, start: int) -> tuple[bytes, int, str]:
     """What the member at start holds, or held before its damage; its length; what ails it ("" for a sound one)."""
     unzip, parts, at = zlib.decompressobj(31), [], start
     while at < len(data) and not unzip.eof:
@@ -204,7 +248,7 @@ def _member(data: bytes, start: int) -> tuple[bytes, int, str]:
     return b"".join(parts), at - start - len(unzip.unused_data), "" if unzip.eof else "cut member"
 
 
-def _inside(plain: bytes) -> Iterator[Record]:
+def _inside(plain: Source) -> Iterator[Record]:
     """The records of a member's bytes and the gaps between them, with their places there."""
     at = 0
     while at < len(plain):
@@ -214,23 +258,32 @@ def _inside(plain: bytes) -> Iterator[Record]:
                 record = _parse(plain, probe)
             except _Bad as e:
                 reason = reason or str(e)
-                if (m := _LINE.search(plain, probe + 1)) is None:
+                if (probe := plain.search(_LINE, probe + 1)) < 0:
                     yield Record(at, len(plain), reason=reason)
                     return
-                probe = m.start()
         if reason:
             yield Record(at, probe, reason=reason)
         yield record
         at = record.end
 
 
+def _read_for(data: Source, start: int, plain: int) -> int:
+    """How many bytes of the member at start it takes to get so many plain ones."""
+    unzip, at = zlib.decompressobj(31), start
+    while plain > 0:
+        chunk = data[at : at + (1 << 16)]
+        plain -= len(unzip.decompress(chunk, plain))
+        at += len(chunk) - len(unzip.unconsumed_tail)
+    return at - start
+
+
 def _checked(record: Record) -> bool:
     """Whether a digest held the record's bytes to what was written; a revisit's payload digest is of another record."""
     names = ("warc-block-digest",) if record.fields.get("warc-type") == "revisit" else ("warc-block-digest", "warc-payload-digest")
     return any(record.fields.get(f, "").lower().startswith("sha1:") for f in names)
 
 
-def _at(data: bytes, start: int) -> tuple[list[Record], int, str]:
+def _at(data: Source, start: int) -> tuple[list[Record], int, str]:
     """The records and inner gaps of the member, or the plain record, at start; where the next begins; what ails the rest of the member.
 
     Of a member that fails after some bytes, the records before are kept; where it is damaged, not just cut, what came
@@ -239,7 +292,7 @@ def _at(data: bytes, start: int) -> tuple[list[Record], int, str]:
         record = _parse(data, start)
         return [record], record.end, ""
     plain, used, reason = _member(data, start)
-    found = list(_inside(plain))
+    found = list(_inside(_source(plain)))
     doubtful = lambda r: bool(r.reason) or (reason == "damaged member" and not _checked(r))
     while found and doubtful(found[-1]) and (reason or len(found) == 1):
         last = found.pop()
@@ -248,19 +301,18 @@ def _at(data: bytes, start: int) -> tuple[list[Record], int, str]:
         raise _Bad(reason or "empty member")
     if reason:
         found = [Record(r.start, r.end, reason=r.reason or reason) if doubtful(r) else r for r in found]
-        unzip = zlib.decompressobj(31)
-        unzip.decompress(memoryview(data)[start:], found[-1].end - 1)  # without the last byte, so that a bad trailer isn't read
-        used = len(data) - start - len(unzip.unconsumed_tail)
+        used = _read_for(data, start, found[-1].end - 1)  # without the last byte, so that a bad trailer isn't read
     for r in found:
         r.start, r.end = start, start + used
     return found, start + used, reason
 
 
-def salvage(data: bytes) -> Iterator[Record]:
+def salvage(data: bytes | Source) -> Iterator[Record]:
     """Records of an archive in order; for each stretch that fails a check, a Record with only start, end and reason.
 
     After a failure the search goes on at the next member or version line that itself passes all checks, in a member of
     several records at its next version line. Records and gaps inside a member have the member's start and end."""
+    data = _source(data) if isinstance(data, bytes) else data
     at, reason = 0, ""
     while at < len(data):
         probe, found = at, []
@@ -271,10 +323,9 @@ def salvage(data: bytes) -> Iterator[Record]:
                     break
                 except _Bad as e:
                     reason = reason or str(e)
-            if (m := _START.search(data, probe + 1)) is None:
+            if (probe := data.search(_START, probe + 1)) < 0:
                 yield Record(at, len(data), reason=reason)
                 return
-            probe = m.start()
         if probe > at:
             yield Record(at, probe, reason=reason)
         yield from found
@@ -284,31 +335,44 @@ def salvage(data: bytes) -> Iterator[Record]:
 SCHEMA = "path string, start long, end long, reason string, record_type string, record_id string, target_uri string, refers_to string, fields map<string,string>, http map<string,string>, payload binary, payload_digest string, payload_bytes long"
 
 
-def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, with_payload: bool = True, stream: bool = False) -> DataFrame:
     """A row for each record under path (*.warc, *.warc.gz) and for each quarantined gap (reason is not null).
 
     payload_digest is the SHA-1 of the payload read, for a revisit the one it states; payload_bytes is the payload's
-    length, for a revisit the length that its HTTP header states. An empty folder gives no row."""
+    length, for a revisit the length that its HTTP header states. An empty folder gives no row. Archives are read by
+    Spark, whole, from any store that it reads, up to its limit of 2 GB; with stream they are opened through pyarrow's
+    file systems instead and read a few MB and a member at a time, whatever their length."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def records(name: pa.Scalar, data: bytes | Source) -> Iterator[pa.RecordBatch]:
         text = pa.map_(pa.string(), pa.string())
+        rows: list[tuple] = []
+        for r in salvage(data):
+            if r.reason:
+                rows.append((name.as_py(), r.start, r.end, r.reason, *[None] * 9))
+            else:
+                kind = r.fields.get("warc-type")
+                stated = r.http.get("content-length", "")
+                n = int(stated) if kind == "revisit" and stated.isdecimal() else len(r.payload)
+                known = (r.fields.get(k) for k in ("warc-record-id", "warc-target-uri", "warc-refers-to"))
+                rows.append((name.as_py(), r.start, r.end, None, kind, *known, list(r.fields.items()), list(r.http.items()), r.payload if with_payload else None, r.digest, n))
+            if len(rows) >= 500:
+                yield _batch(rows, text)
+                rows = []
+        yield _batch(rows, text)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows: list[tuple] = []
-                for r in salvage(content.as_py()):
-                    if r.reason:
-                        rows.append((name.as_py(), r.start, r.end, r.reason, *[None] * 9))
-                    else:
-                        kind = r.fields.get("warc-type")
-                        stated = r.http.get("content-length", "")
-                        n = int(stated) if kind == "revisit" and stated.isdecimal() else len(r.payload)
-                        rows.append((name.as_py(), r.start, r.end, None, kind, r.fields.get("warc-record-id"), r.fields.get("warc-target-uri"), r.fields.get("warc-refers-to"), list(r.fields.items()), list(r.http.items()), r.payload if with_payload else None, r.digest, n))
-                    if len(rows) >= 500:
-                        yield _batch(rows, text)
-                        rows = []
-                yield _batch(rows, text)
+                if not stream:
+                    yield from records(name, content.as_py())
+                    continue
+                fs, at = pa.fs.FileSystem.from_uri(name.as_py())
+                with fs.open_input_file(at) as file:
+                    yield from records(name, Source(file, content.as_py()))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc{,.gz}").option("recursiveFileLookup", "true").load(path)
+    if stream:
+        return files.select(F.regexp_replace("path", r"^file:/(?!/)", "file:///").alias("path"), "length").repartition("path").mapInArrow(read, SCHEMA)
     return files.select("path", "content").mapInArrow(read, SCHEMA)
 
 

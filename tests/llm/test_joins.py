@@ -332,6 +332,14 @@ def test_salvage_inside_members():
     assert found(bytes(broken) + pages[2])[0] == [0, 1, 2, 3, 4, 5, 2]
 
 
+def test_salvage_of_a_source_that_holds_little(tmp_path):
+    whole = b"".join(archive(40))
+    at = len(whole) // 2
+    broken = whole[:at] + b"?" * 90 + whole[at + 70 :]
+    plain = [list(warc.salvage(broken)), list(warc.salvage(warc.Source(__import__("io").BytesIO(broken), len(broken), hold=64)))]
+    assert plain[0] == plain[1] and sum(not r.reason for r in plain[0]) >= 38
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>same</p>" * 200
     pages = [(1, "u1", big), (5, "u5", big), (3, None, big), (2, "u2", "small"), (4, "u4", "small"), (6, "u6", None), (7, "u7", ""), (8, "é ü", "é" * 700), (8, "u8", "x" * 2000), (None, "n", big), (9, "u9", "y" * 300_000)]
@@ -345,6 +353,9 @@ def test_warc_round_trip(spark, tmp_path):
     assert kind[("2", "response", None)] == kind[("4", "response", None)] == 1 and kind[("8", "response", None)] == 2
     assert sorted(bytes(r.payload).decode() for r in back if r.record_type == "response") == sorted([big, "small", "small", "", "", "é" * 700, "x" * 2000, "y" * 300_000])
     assert {r.payload_bytes for r in back if r.record_type == "revisit"} == {len(big)} and len({r.payload_digest for r in back if r.fields.get("x-page-id") in ("1", "3", "5")}) == 1
+    streamed = warc.read_warc(spark, f"{folder}/archives", stream=True).where("record_type in ('response', 'revisit')").collect()
+    key = lambda r: (r.start, r.end, r.record_id, r.record_type, r.refers_to, bytes(r.payload), r.payload_digest, sorted(r.fields.items()))
+    assert sorted(map(key, streamed)) == sorted(map(key, back))
     empty = f"file://{tmp_path}/e"
     assert warc.write_warc(warc.plan_records(df.limit(0), "page_id", "url", "html"), empty).count() == 0
     assert warc.read_warc(spark, f"{empty}/archives").count() == 0

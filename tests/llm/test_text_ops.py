@@ -128,7 +128,26 @@ def test_toxicity_held_out(spark):
     assert share[0] < 0.03 and share[1] > 0.88
 
 
-# ---- quality ------------------------------------------------------------------------------------------------------
+@here
+def test_toxicity_by_brute_force(spark):
+    """Every document's score from a plain search for each term."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.learnt(spark, SF, docs.select("doc_id", "text"))
+    assert model.weights
+    got = {r.doc_id: r for r in toxicity.op10_toxicity(spark, SF).collect()}
+    places = lambda t, x: [m.start() for m in re.finditer(f"(?={re.escape(x)})", t)]
+    for r in docs.collect():
+        text, heaviest = toxicity.fold(r.text or ""), {}
+        spared = {k for x in model.exceptions for at in places(text, x) for k in range(at, at + len(x))}
+        for term, w in model.weights.items():
+            for at in places(text, term):
+                if at not in spared:
+                    heaviest[at] = max(w, heaviest.get(at, 0))
+        n, total, length = len(heaviest), sum(heaviest.values()), np.log2(2 + text.count(" ") / 64)
+        x = [(n > k) / length for k in range(3)] + [np.log1p(total) / length, np.log1p(total / length)]
+        score = 1 / (1 + np.exp(-(np.dot(x, model.slopes) + model.intercept)))
+        assert got[r.doc_id].score == pytest.approx(score, abs=1e-12) and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.5)
+        assert got[r.doc_id].held_out == (__import__("zlib").crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
 def test_toxicity_keeps_rare_terms_of_a_large_vocabulary(spark):
@@ -178,6 +197,23 @@ def test_quality_held_out(spark):
     assert sum(r.predicted == r.quality for r in scored) / len(scored) > 0.93
 
 
+@here
+def test_quality_by_brute_force(spark):
+    """Every document's score by walking each tree by itself."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    forest = quality.learn(docs, spark.read.parquet(f"{SF}/labels.parquet").where(~quality.held_out("doc_id")))
+    got = {r.doc_id: r for r in quality.op6_quality(spark, SF).collect()}
+    for r in docs.collect():
+        x, total = quality.statistics(r.text or ""), forest.base
+        for node in forest.roots:
+            while forest.left[node] != node:
+                node = forest.left[node] if x[forest.feature[node]] <= forest.threshold[node] else forest.right[node]
+            total += forest.value[node]
+        score = 1 / (1 + np.exp(-total))
+        assert got[r.doc_id].score == pytest.approx(score, abs=1e-9) and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.7)
+        assert got[r.doc_id].held_out == (__import__("zlib").crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 # ---- licenses -----------------------------------------------------------------------------------------------------
 
 
@@ -241,6 +277,19 @@ def test_names_that_tell_what_stands_beside(wrapper):
     assert html_text.main_text(f"<{wrapper}>{body}</{wrapper.split()[0]}><div class='post-comments'><p>a reader</p></div>") == ("a long text of many words " * 10).strip()
 
 
+@pytest.mark.parametrize("wrapper", ["div class='has-sidebar'", "div class='content no-sidebar'", "div class='site-content with-header'", "article class='post has-header'", "div class='entry share-enabled'", "div class='sidebar-layout'", "div id='notice-board'", "div class='comments search'"])
+@pytest.mark.parametrize("inner", ["article", "div class=text"])
+def test_a_wrapper_is_no_boilerplate_whatever_its_name(wrapper, inner):
+    paragraphs = [" ".join(f"word{k}{j}" for j in range(25 + 7 * k)) for k in range(4)]
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    menu = "<nav><ul><li><a href=/>Home</a></li><li><a href=/b>News</a></li></ul></nav><ul class=menu><li><a href=/>One</a></li><li><a href=/b>Two</a></li></ul>"
+    beside = "<div class='cookie-notice'>We set cookies, read on</div><aside>see also <a href=/>this</a></aside><div id=comments><p>A reader says so here</p><p>another says no</p></div>"
+    inside = "<div class='newsletter'>Sign up for our letter now</div>"
+    page = f"<html><body>{menu}<{wrapper}><{inner}><h1>A title</h1>{body}</{inner.split()[0]}>{inside}</{wrapper.split()[0]}>{beside}<footer>f</footer></body></html>"
+    text = html_text.main_text(page).split("\n")
+    assert text[:5] == ["A title", *paragraphs] and not {"Home", "One", "We set cookies, read on", "A reader says so here", "f"} & set(text)
+
+
 def test_html_odd_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "t"), (1, "u", None, "t"), (None, None, "<article><p>" + "word " * 100_000, None)], "page_id long, url string, html string, text string")
     rows = html_text.extract_text(df).collect()
