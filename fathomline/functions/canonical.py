@@ -65,3 +65,15 @@ def same(a: Any, b: Any) -> bool:
     if isinstance(a, dict) and isinstance(b, dict):
         return a.keys() == b.keys() and all(same(v, b[k]) for k, v in a.items())
     return type(a) is type(b) and a == b
+
+
+def identity(value: Any) -> Any:
+    """A hashable value, equal for what same() calls equal."""
+    match value:
+        case None | bool():
+            return (type(value).__name__, value)
+        case list():
+            return ("list", tuple(map(identity, value)))
+        case dict():
+            return ("dict", frozenset((k, identity(v)) for k, v in value.items()))
+    return value

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 # Kinds of artifact errors, warnings, outcomes, statuses, profiles, reasons.
 ARTIFACT_KINDS = (
@@ -61,28 +62,38 @@ class Dialect:
 
 
 def whole(value):
-    """Numbers as JSON writes them: a whole float below 1e21 is an integer, in containers too."""
-    if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
+    """Numbers as JSON writes them: a whole float in the safe range is an integer, in containers too."""
+    if isinstance(value, float) and value.is_integer() and abs(value) <= MAX_SAFE_INTEGER:
         return int(value)
     if isinstance(value, (list, tuple)):
         return type(value)(whole(v) for v in value)
     return {k: whole(v) for k, v in value.items()} if isinstance(value, dict) else value
 
 
+def shown(value) -> str:
+    """A value as Python's repr writes it, but whole floats below 1e21 as integers, by their shortest digits."""
+    if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
+        return str(int(Decimal(repr(value))))
+    if isinstance(value, list):
+        return "[" + ", ".join(map(shown, value)) + "]"
+    if isinstance(value, dict):
+        return "{" + ", ".join(f"{k!r}: {shown(v)}" for k, v in value.items()) + "}"
+    return repr(value)
+
+
 def template(keyword: str) -> str:
     return MESSAGES.get(keyword, OTHER_MESSAGE.replace("{name}", keyword))
 
 
 def keyword_text(keyword: str, limit) -> str:
     """The template with the keyword's value filled in; {v} stays."""
-    limit = whole(limit)
     text = template(keyword)
-    listed = ", ".join(map(repr, limit)) if isinstance(limit, (list, tuple)) else repr(limit)
+    listed = ", ".join(map(shown, limit)) if isinstance(limit, (list, tuple)) else shown(limit)
     head, mark, tail = text.partition("{k*}")
     if mark:
         return head + listed + tail
     head, mark, tail = text.partition("{k}")
-    return head + repr(limit) + tail if mark else text
+    return head + shown(limit) + tail if mark else text
 
 
 def message(keyword: str, limit, value) -> str:
@@ -90,4 +101,4 @@ def message(keyword: str, limit, value) -> str:
     if not mark:
         return keyword_text(keyword, limit)
     before, _, after = keyword_text(keyword, limit).partition("{v}")
-    return before + repr(whole(value)) + after
+    return before + shown(value) + after

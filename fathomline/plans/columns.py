@@ -7,13 +7,14 @@ a Parquet scan; the violations are an array built only for rows that reach them.
 
 from __future__ import annotations
 
-import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,12 +40,25 @@ class NotColumnar(ValueError):
     """The schema needs the row interpreter."""
 
 
-def number_text(x: Column) -> Column:
-    """A double as JSON writes it: whole ones below 1e21 without a fraction, others in plain decimals where Python uses these."""
-    size = F.abs(x)
+def is_whole(x: Column) -> Column:
+    """Of any size: a remainder, as rounding a double gives a BIGINT."""
+    return x % 1 == 0
+
+
+def digits(x: Column) -> Column:
+    """A double in scientific notation with the fewest digits that read back as it."""
+    tries = [F.format_string(f"%.{n}e", x) for n in (14, 15, 16)]
+    return F.when(tries[0].try_cast("double") == x, tries[0]).when(tries[1].try_cast("double") == x, tries[1]).otherwise(tries[2])
+
+
+def number_text(x: Column, python: bool = False) -> Column:
+    """A double as JSON writes it, or as Python's repr does; whole ones below 1e21 without a fraction in both."""
+    size, exact = F.abs(x), digits(x)
     trim = lambda c: F.regexp_replace(F.regexp_replace(c.cast("string"), "0+$", ""), r"\.$", "")
-    plain = F.when(size >= 1, trim(x.try_cast("decimal(38,17)"))).otherwise(trim(x.try_cast("decimal(38,36)")))
-    return F.when((x == F.floor(x)) & (size < 1e21), x.try_cast("decimal(38,0)").cast("string")).when((size >= 1e-4) & (size < 1e16), plain).otherwise(F.lower(x.cast("string")))
+    plain = F.when(size >= 1, trim(exact.try_cast("decimal(38,17)"))).otherwise(trim(exact.try_cast("decimal(38,36)")))
+    power = F.regexp_replace(F.regexp_replace(exact, r"\.?0+e", "e"), r"e([+-])0(\d)$", "e$10$2" if python else "e$1$2")
+    safe = F.when(size <= 2.0**53, x.try_cast("bigint").cast("string")).otherwise(exact.try_cast("decimal(38,0)").cast("string"))
+    return F.when(is_whole(x) & (size < 1e21), safe).when((size >= (1e-4 if python else 1e-6)) & (size < 1e21), plain).otherwise(power)
 
 
 def quoted(s: Column) -> Column:
@@ -59,25 +73,65 @@ def json_text(s: Column) -> Column:
     return F.substring(packed, 2, F.length(packed) - 2)
 
 
+#: What a class stands for in Python, in Java's words; those that are not here mean the same in both.
+CLASSES = {"s": r"\s\x1c-\x1f", "w": r"\p{L}\p{N}_"}
+_QUANTIFIER = re.compile(r"\{(\d*)(,?)(\d*)\}")
+
+
 def java_pattern(pattern: str) -> str:
-    """The pattern in Java's dialect with Python's meaning: $ before a last newline, classes over all of Unicode."""
+    """The pattern in Java's dialect with Python's meaning: $ before a last newline, braces that open no quantifier, classes
+    over all of Unicode, only \\n as a line's end. What Python compiles and this can't say is left to the interpreter: NotColumnar."""
+    if "(?#" in pattern or "(?(" in pattern or r"\N" in pattern:
+        raise NotColumnar(f"no Java pattern for {pattern!r}")
     out, inside, k = "", False, 0
     while k < len(pattern):
         c = pattern[k]
-        if c == "\\":
-            out, k = out + pattern[k : k + 2], k + 2
+        if c == "\\" and k + 1 < len(pattern):
+            e = pattern[k + 1]
+            k += 2
+            if e.lower() in CLASSES:
+                own = CLASSES[e.lower()]
+                out += own if inside and e.islower() else f"[{own}]" if e.islower() else f"[^{own}]"
+            elif e in "abv" and (inside or e != "b"):
+                out += {"a": r"\x07", "b": r"\x08", "v": r"\x0b"}[e]
+            elif e == "0":
+                digits = re.match("[0-7]{0,2}", pattern[k:])[0]
+                out, k = out + rf"\x{int('0' + digits, 8):02x}", k + len(digits)
+            elif e == "U":
+                out, k = out + rf"\x{{{pattern[k : k + 8]}}}", k + 8
+            else:
+                out += "\\" + e
             continue
-        if c == "[" and inside:
+        if c == "{" and not inside:
+            if (m := _QUANTIFIER.match(pattern, k)) and (m[1] or m[2]):
+                out, k = out + f"{{{m[1] or 0}{m[2]}{m[3]}}}", m.end()
+                continue
+            out += "\\{"
+        elif c == "}" and not inside:
+            out += "\\}"
+        elif c == "[" and inside:
             out += "\\["
-        elif c == "&" and inside:
-            out += "\\&"
+        elif c in "&~" and inside:
+            out += "\\" + c
         elif c == "$" and not inside:
             out += r"(?=\n?\z)"
+        elif c == "[":
+            inside, out, k = True, out + c, k + 1
+            for first in "^]":  # a bracket that stands first is itself
+                if pattern.startswith(first, k):
+                    out, k = out + ("\\]" if first == "]" else first), k + 1
+            continue
         else:
             out += c
-        inside = (inside or c == "[") and not (c == "]" and inside)
+        inside = inside and c != "]"
         k += 1
-    return f"(?U){out}"
+    found = f"(?Ud){out}"
+    if (jvm := getattr(SparkSession.getActiveSession(), "_jvm", None)) is not None:
+        try:
+            jvm.java.util.regex.Pattern.compile(found)
+        except Exception as e:
+            raise NotColumnar(f"no Java pattern for {pattern!r}") from e
+    return found
 
 
 class Node:
@@ -122,7 +176,7 @@ class Typed(Node):
             case "number":
                 return isinstance(k, T.NumericType)
             case "integer":
-                return isinstance(k, INTEGRAL) or (self.c == F.floor(self.c) if isinstance(k, T.NumericType) else False)
+                return isinstance(k, INTEGRAL) or (is_whole(self.c) if isinstance(k, T.NumericType) else False)
         return False
 
     def number(self):
@@ -140,7 +194,7 @@ class Typed(Node):
     def field(self, name):
         if isinstance(self.kind, T.StructType):
             return Typed(self.c[name], self.kind[name].dataType) if name in self.kind.names else None
-        return Typed(F.element_at(self.c, F.lit(name)), self.kind.valueType) if isinstance(self.kind, T.MapType) else None
+        return Typed(F.try_element_at(self.c, F.lit(name)), self.kind.valueType) if isinstance(self.kind, T.MapType) else None
 
     def keys(self):
         if isinstance(self.kind, T.StructType):
@@ -156,9 +210,7 @@ class Typed(Node):
         k = self.kind
         if isinstance(k, T.StringType):
             return json_text(self.c)
-        if isinstance(k, (T.DoubleType, T.FloatType)):
-            return number_text(self.c.cast("double"))
-        if isinstance(k, T.DecimalType):
+        if isinstance(k, (T.DoubleType, T.FloatType, T.DecimalType)):
             return number_text(self.c.cast("double"))
         if isinstance(k, (T.StructType, T.ArrayType, T.MapType)):
             return F.to_json(self.c)
@@ -169,25 +221,31 @@ class Typed(Node):
             return quoted(self.c)
         if isinstance(self.kind, T.BooleanType):
             return F.when(self.c, F.lit("True")).otherwise(F.lit("False"))
+        if isinstance(self.kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+            return number_text(self.c.cast("double"), python=True)
         return self.json()
 
 
+def column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 class Row(Typed):
     """The row itself: an object whose properties are columns."""
 
     def __init__(self, kind: T.StructType) -> None:
         self.kind = kind
-        self.c = F.struct(*[F.col(f"`{n}`").alias(n) for n in kind.names])
+        self.c = F.struct(*[column(n).alias(n) for n in kind.names])
 
     @property
     def there(self) -> Column:
         return F.lit(True)
 
     def field(self, name):
-        return Typed(F.col(f"`{name}`"), self.kind[name].dataType) if name in self.kind.names else None
+        return Typed(column(name), self.kind[name].dataType) if name in self.kind.names else None
 
     def keys(self):
-        return F.array_compact(F.array(*[F.when(F.col(f"`{n}`").isNotNull(), F.lit(n)) for n in self.kind.names]).cast("array<string>"))
+        return F.array_compact(F.array(*[F.when(column(n).isNotNull(), F.lit(n)) for n in self.kind.names]).cast("array<string>"))
 
 
 @dataclass
@@ -209,7 +267,7 @@ class Variant(Node):
         match name:
             case "integer":
                 x = F.try_variant_get(self.c, "$", "double")
-                return k.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | (k.isin("DECIMAL", "DOUBLE", "FLOAT") & (x == F.floor(x)))
+                return k.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | (k.isin("DECIMAL", "DOUBLE", "FLOAT") & is_whole(x))
             case "number":
                 return k.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DECIMAL", "DOUBLE", "FLOAT")
         return k == {"string": "STRING", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT", "null": "VOID"}[name]
@@ -227,7 +285,11 @@ class Variant(Node):
         return Variant(c)
 
     def field(self, name):
-        return Variant(F.try_variant_get(self.c, "$[" + json.dumps(name, ensure_ascii=False) + "]", "variant"))
+        """By path, in the quotes that the name leaves free; a name that a path can't hold is looked up in a map."""
+        quote = next((q for q in "\"'" if q not in name), None)
+        if quote is None or not name or "?" in name:
+            return Variant(F.try_element_at(F.try_variant_get(self.c, "$", "map<string,variant>"), F.lit(name)))
+        return Variant(F.try_variant_get(self.c, f"$[{quote}{name}{quote}]", "variant"))
 
     def keys(self):
         return F.when(self.is_type("object"), F.coalesce(F.json_object_keys(F.to_json(self.c)), F.array().cast("array<string>")))
@@ -240,7 +302,7 @@ class Variant(Node):
 
     def shown(self):
         k = self._class
-        return F.when(k == "STRING", quoted(F.try_variant_get(self.c, "$", "string"))).when(k == "BOOLEAN", F.initcap(F.to_json(self.c))).when(k == "VOID", F.lit("None")).otherwise(self.json())
+        return F.when(k == "STRING", quoted(F.try_variant_get(self.c, "$", "string"))).when(k == "BOOLEAN", F.initcap(F.to_json(self.c))).when(k == "VOID", F.lit("None")).when(self.is_type("number"), number_text(F.try_variant_get(self.c, "$", "double"), python=True)).otherwise(self.json())
 
 
 @dataclass
@@ -410,12 +472,15 @@ class _Compiler:
         return _known(node.json().isin([canonical_json(whole(v)) for v in values]))
 
     def _rest(self, node: Node, number: Column, of: float) -> Column:
-        """In decimal where either side has a fraction, so that 0.3 is a multiple of 0.1."""
-        if isinstance(node, Typed) and isinstance(node.kind, INTEGRAL) and float(of).is_integer():
-            return number % int(of) != 0
-        if float(of).is_integer():
-            return (number % float(of)) != 0
-        return (number.cast("decimal(38,12)") % F.lit(str(of)).cast("decimal(38,12)")) != 0
+        """Whether it is no multiple. A whole number divides as it is; else in decimal, so that 0.3 is a multiple of 0.1, up to
+        1e20; beyond, the quotient of doubles has to be whole."""
+        if float(of).is_integer() and of < 1e18:
+            return number % (F.lit(int(of)) if isinstance(node, Typed) and not isinstance(node.kind, (T.DoubleType, T.FloatType)) else F.lit(float(of))) != 0
+        if of >= 1e18 or -Decimal(repr(of)).as_tuple().exponent > 18:
+            raise NotColumnar("multipleOf of more than 18 decimals needs the interpreter")
+        d, double = number.try_cast("decimal(38,18)"), number.cast("double")
+        exact = d.cast("double") == double  # a number with more decimals is no multiple
+        return F.when(d.isNull(), double / F.lit(float(of)) % 1 != 0).when(~exact, True).otherwise(d % F.lit(Decimal(repr(of))) != 0)
 
     def _items(self, schema: dict, keyword: str, node: Node, array: Column, path: Column, when: Column) -> None:
         first = schema.get("prefixItems", [])

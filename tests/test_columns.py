@@ -2,7 +2,9 @@
 
 import json
 
+import hypothesis.strategies as st
 import pytest
+from hypothesis import HealthCheck, Phase, given, settings
 from pyspark.sql import functions as F
 
 from fathomline.operators.interpret import Evaluator
@@ -62,3 +64,39 @@ def test_patterns_mean_what_python_means(spark, pattern, text, hit):
 
     assert bool(re.search(pattern, text)) is hit
     assert spark.createDataFrame([(text,)], "t string").where(F.col("t").rlike(java_pattern(pattern))).count() == int(hit)
+
+
+ODD_NAMES = ["k", 'a"b', "it's", "both\"'", "", "x.y", "q?", "sp ace", "\\", "ü"]
+NUMBERS = st.one_of(st.integers(-(2**53) + 1, 2**53 - 1), st.floats(allow_nan=False, allow_infinity=False).filter(lambda x: x != 0 or str(x) == "0.0"), st.sampled_from([9.3e18, 2.0**63, 1e20, 1e21, 1e30, 1e300, 5e-324, 1e-13, 0.3, 1e-7, 2.5e-5, 123456.789]))
+SIMPLE = st.one_of(st.none(), st.booleans(), NUMBERS, st.text("ab{}\n \x1cé٣²_-", max_size=5))
+DOCUMENTS = st.dictionaries(st.sampled_from(ODD_NAMES), st.one_of(SIMPLE, st.lists(SIMPLE, max_size=3)), max_size=3)
+PATTERNS = ["^{.*}$", "a{2}", "a{,2}b", "{", "}", "x{1,b", r"^\s+$", r"\S", r"^\w*$", r"\W", "[{}]+", r"[\w{]$", r"[^\s]", "^.$", "[]a]", "[^]a]", r"a\x20?{"]
+CHECKS = st.one_of(
+    st.fixed_dictionaries({"type": st.sampled_from(["integer", "number", "string", "array", "null", "boolean"])}), st.fixed_dictionaries({"pattern": st.sampled_from(PATTERNS)}),
+    st.fixed_dictionaries({"multipleOf": st.sampled_from([1, 7, 0.1, 0.25, 1e-13, 1e-19, 3.0, 1e300, 0.3])}), st.fixed_dictionaries({"minimum": NUMBERS}), st.fixed_dictionaries({"exclusiveMaximum": NUMBERS}), st.fixed_dictionaries({"const": SIMPLE}),
+    st.fixed_dictionaries({"items": st.fixed_dictionaries({"type": st.just("integer")}), "uniqueItems": st.just(True), "minItems": st.integers(1, 2)}), st.fixed_dictionaries({"maxLength": st.integers(0, 3)}),
+)
+OBJECTS = st.fixed_dictionaries({"properties": st.dictionaries(st.sampled_from(ODD_NAMES), CHECKS, max_size=4), "required": st.lists(st.sampled_from(ODD_NAMES), unique=True, max_size=2)})
+
+
+def test_columns_as_interpreted_over_random_schemas(spark):
+    """One job for many schemas; every record's path, keyword, limit and value, and messages of values that aren't nested."""
+    made = []
+
+    @settings(max_examples=60, database=None, derandomize=True, deadline=None, phases=[Phase.generate], suppress_health_check=list(HealthCheck))
+    @given(OBJECTS, st.lists(DOCUMENTS, min_size=3, max_size=6))
+    def collect(schema, documents):
+        made.append((schema, documents))
+
+    collect()
+    texts = [json.dumps(d) for _, documents in made for d in documents]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, j string").withColumn("v", F.parse_json("j")).cache()
+    at = 0
+    for schema, documents in made:
+        got = {r.id: r["violations"] for r in validate_rows(df.where((F.col("id") >= at) & (F.col("id") < at + len(documents))), Contract("t:T/v1", schema), "v").select("id", "violations").collect()}
+        evaluator = Evaluator(load(schema))
+        for k, d in enumerate(documents):
+            want = [flat_record(r) for r in evaluator.violations(json.loads(json.dumps(d)))]
+            whole_key = lambda r: (r["json_path"], r["validator"], r["validator_value"], r["value"] if r["value"][0] not in "[{" else "", r["message"] if r["value"][0] not in "[{" else "")
+            assert sorted(whole_key(r.asDict()) for r in got[at + k]) == sorted(map(whole_key, want)), (schema, d)
+        at += len(documents)
