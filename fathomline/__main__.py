@@ -6,6 +6,7 @@ import argparse
 import importlib
 import json
 import sys
+from collections.abc import Iterator
 from pathlib import Path
 
 
@@ -26,34 +27,40 @@ def _schemas(paths: list[str]) -> dict[str, dict]:
     return {p: read_schema(p) for p in paths}
 
 
-def _print_rows(df) -> list:
+def _print_rows(df) -> Iterator[dict]:
+    """Prints results as they come, a partition of them at a time, and passes them on."""
     from fathomline.operators.values import results_json
 
-    rows = [r["json"] for r in results_json(df).collect()]
-    for text in rows:
-        print(json.dumps(json.loads(text), indent=2, sort_keys=True, ensure_ascii=False))
-    return rows
+    for r in results_json(df).toLocalIterator():
+        row = json.loads(r["json"])
+        print(json.dumps(row, indent=2, sort_keys=True, ensure_ascii=False))
+        yield row
 
 
 def validate(a) -> int:
+    """The contract is --contract, else each document's own; so is the status, else soft."""
+    from pyspark.sql import functions as F
+
     from fathomline.operators.corpus import validate_corpus
     from fathomline.operators.validate import Contract
     from fathomline.sources.documents import decode_files, read_files
 
-    spark = _spark()
-    contract = Contract(a.contract, envelope_key=a.envelope, status=a.status, schema_ref=a.schema)
-    files = decode_files(read_files(spark, a.path, a.glob), a.profile)
-    schemas = _schemas([a.schema] if a.schema else [])
-    found = validate_corpus(files, [contract], schemas, profile=a.profile, models={a.contract: _model(a.model)} if a.model else None)
-    rows = [json.loads(r) for r in _print_rows(found)]
-    return 2 if not rows or any(r["outcome"] == "input_error" for r in rows) else int(any(r["outcome"] != "valid" for r in rows))
+    if a.contract is None and (a.model or a.schema or a.envelope):
+        raise ValueError("--schema, --envelope and --model need --contract")
+    files = decode_files(read_files(_spark(), a.path, a.glob), a.profile).withColumn("host_contract", F.lit(a.contract).cast("string"))
+    contracts = [Contract(a.contract, envelope_key=a.envelope, schema_ref=a.schema)] if a.contract else []
+    models = {a.contract: _model(a.model)} if a.model else None
+    schemas = _schemas([*([a.schema] if a.schema else []), *a.document_schema])
+    found = validate_corpus(files, contracts, schemas, "host_contract", a.profile, models, infer=True, status=a.status)
+    outcomes = {"usage" if r["contract_id"] == "<unknown>" else r["outcome"] for r in _print_rows(found)}
+    return 2 if not outcomes or outcomes & {"input_error", "usage"} else int(outcomes != {"valid"})
 
 
 def inspect(a) -> int:
     from fathomline.operators.corpus import inspect_corpus
     from fathomline.sources.documents import decode_files, read_files
 
-    return 0 if _print_rows(inspect_corpus(decode_files(read_files(_spark(), a.path, a.glob)))) else 2
+    return 0 if sum(1 for _ in _print_rows(inspect_corpus(decode_files(read_files(_spark(), a.path, a.glob))))) else 2
 
 
 def compile_(a) -> int:
@@ -71,21 +78,20 @@ def compile_(a) -> int:
 
 
 def generate(a) -> int:
-    from pyspark.sql import functions as F
-
     from fathomline.operators import sections
-    from fathomline.sources.documents import read_files
+    from fathomline.sources.documents import read_files, text_of
 
-    texts = read_files(_spark(), a.path, a.glob).select("path", F.col("content").cast("string").alias("text"))
+    texts = text_of(read_files(_spark(), a.path, a.glob))
     schemas = _schemas(a.schema)
-    found = sections.drift_by_document(sections.drift(sections.sections(texts), schemas)).cache()
-    rows = [json.loads(r) for r in _print_rows(found)]
-    if any(r["errors"] for r in rows):
+    errors = drift = 0
+    for r in _print_rows(sections.drift_by_document(sections.drift(sections.sections(texts), schemas))):
+        errors, drift = errors + r["errors"], drift + r["drift"]
+    if errors:
         return 2
     if not a.check:
-        sections.regenerate(texts, schemas).select("path", "regenerated").write.mode("overwrite").parquet(a.out)
+        sections.rewritten(texts, schemas).select("path", "regenerated").write.mode("overwrite").parquet(a.out)
         return 0
-    return int(any(r["drift"] for r in rows))
+    return int(drift > 0)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -99,7 +105,11 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument(*args, **options)
 
     path, glob = (("path",), {}), (("--glob",), {"default": "*.md"})
-    verb("validate", validate, path, glob, (("--contract",), {"required": True}), (("--schema",), {}), (("--envelope",), {}), (("--model",), {}), (("--status",), {"default": "soft", "choices": ("soft", "permissive", "enforced")}), (("--profile",), {"default": "frontmatter-md", "choices": ("frontmatter-md", "pure-yaml")}))
+    statuses, profiles = ("soft", "permissive", "enforced"), ("frontmatter-md", "pure-yaml")
+    verb(
+        "validate", validate, path, glob, (("--contract",), {}), (("--schema",), {}), (("--envelope",), {}), (("--model",), {}), (("--status",), {"choices": statuses}),
+        (("--profile",), {"default": "frontmatter-md", "choices": profiles}), (("--document-schema",), {"action": "append", "default": [], "help": "a schema that documents may name"}),
+    )
     verb("inspect", inspect, path, glob)
     verb("compile", compile_, (("model",), {}), (("--contract",), {"required": True}), (("--out",), {"required": True}), (("--schema-id",), {}), (("--check",), {"action": "store_true"}))
     verb("generate", generate, path, glob, (("--schema",), {"action": "append", "default": []}), (("--check",), {"action": "store_true"}), (("--out",), {"default": "regenerated.parquet"}))

@@ -105,18 +105,49 @@ def schema_source(host_ref: Column, document_ref: Column, has_model: Column) ->
     return F.when(host_ref.isNotNull(), "host").when(document_ref.isNotNull(), "document").when(has_model, "model").otherwise("none")
 
 
+def normal_path(path: str) -> str:
+    """A path without scheme file:, empty parts, "." and "x/.."; a leading slash and leading ".." stay."""
+    out: list[str] = []
+    bare = path[5:] if path.startswith("file:") else path
+    for part in bare.split("/"):
+        if part == ".." and out and out[-1] != "..":
+            out.pop()
+        elif part not in ("", "."):
+            out.append(part)
+    return "/" * bare.startswith("/") + "/".join(out)
+
+
+def normal(path: Column) -> Column:
+    """normal_path() of a column."""
+    bare = F.regexp_replace(path, "^file:", "")
+    last = lambda a: F.try_element_at(a, F.lit(-1))
+    start = F.array().cast("array<string>")
+    step = lambda a, p: F.when((p == "..") & (F.size(a) > 0) & F.coalesce(last(a) != "..", F.lit(True)), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(p.isin("", "."), a).otherwise(F.concat(a, F.array(p)))
+    return F.concat(F.when(bare.startswith("/"), "/").otherwise(""), F.array_join(F.aggregate(F.split(bare, "/"), start, step), "/"))
+
+
+def find_schema(ref: Column, path: Column, schemas: list[str], from_document: bool) -> Column:
+    """The key of schemas that a reference names, else null. A host's: as given, below the document's folder, below the
+    working folder; a document's: below its folder, then below the working folder. Keys are paths, taken below the working folder if relative."""
+    if not schemas:
+        return F.lit(None).cast("string")
+    known = {normal_path(k): k for k in reversed(schemas)}
+    table = F.create_map(*[F.lit(x) for item in known.items() for x in item])
+    beside = normal(F.concat(F.regexp_replace(path, "[^/]*$", ""), ref))
+    at = lambda p: F.try_element_at(table, p)
+    plain = F.when(ref.isin(schemas), ref)
+    if from_document:
+        return F.coalesce(at(beside), at(normal(ref)))
+    return F.coalesce(plain, at(normal(ref)), F.when(~ref.startswith("/"), at(beside)))
+
+
 def document_schema_error(ref: Column, known: Column) -> Column:
     """Why a document's own schema reference is refused: absolute, leaving its folder, or not in the catalogue; else null.
 
     An object store has no symlinks to resolve: the path is followed by its parts."""
-    parts = F.split(ref, "/")
-    depth = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")), lambda a, p: F.struct(
-        (a["at"] + F.when(p == "..", -1).when(p.isin("", "."), 0).otherwise(1)).alias("at"),
-        F.least(a["low"], a["at"] + F.when(p == "..", -1).otherwise(0)).alias("low"),
-    ), lambda a: a["low"])
     return (
         F.when(ref.startswith("/"), F.concat(F.lit("schema must be a relative path: "), ref))
-        .when(depth < 0, F.concat(F.lit("schema escapes the document directory: "), ref))
+        .when(normal(ref).rlike(r"^\.\.(/|$)"), F.concat(F.lit("schema escapes the document directory: "), ref))
         .when(~known, F.concat(F.lit("compiled schema not found: "), ref))
     )
 

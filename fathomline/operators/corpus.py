@@ -25,13 +25,13 @@ def _simple(kind: str, message: str, reason: str | None = None) -> dict[str, Any
     return {"kind": kind, "message": message, "reason": reason}
 
 
-def prepared(schemas: dict[str, Any]) -> dict[tuple[str, bool], Any]:
+def prepared(schemas: dict[str, Any], resources: dict[str, dict] | None = None) -> dict[tuple[str, bool], Any]:
     """By reference and strictness: an Evaluator, or the error record of a schema that can't be used."""
     out: dict[tuple[str, bool], Any] = {}
     for ref, schema in schemas.items():
         for strict in (False, True):
             try:
-                out[ref, strict] = Evaluator(load(schema, strict))
+                out[ref, strict] = Evaluator(load(schema, strict, resources))
             except SchemaInvalid as e:
                 out[ref, strict] = _simple("schema_invalid", str(e), e.reason)
             except EnforcementUnsupported as e:
@@ -39,9 +39,9 @@ def prepared(schemas: dict[str, Any]) -> dict[tuple[str, bool], Any]:
     return out
 
 
-def schema_table(spark, schemas: dict[str, Any]) -> DataFrame:
+def schema_table(spark, schemas: dict[str, Any], resources: dict[str, dict] | None = None) -> DataFrame:
     """schema_ref, strict, load_kind, load_reason, load_message: which schemas can be used, before data is read."""
-    rows = [(ref, strict, *((v["kind"], v["reason"], v["message"]) if isinstance(v, dict) else (None, None, None))) for (ref, strict), v in prepared(schemas).items()]
+    rows = [(ref, strict, *((v["kind"], v["reason"], v["message"]) if isinstance(v, dict) else (None, None, None))) for (ref, strict), v in prepared(schemas, resources).items()]
     return spark.createDataFrame(rows, "schema_ref string, strict boolean, load_kind string, load_reason string, load_message string")
 
 
@@ -51,13 +51,25 @@ def payload_of(root_json: str, key: str | None, meta_key: str) -> Any:
 
 
 def validate_corpus(
-    docs: DataFrame, contracts: list[Contract], schemas: dict[str, Any], contract_col: str | None = None, profile: str = "frontmatter-md", models: dict[str, type] | None = None, metadata_mode: str = "enforced", dialect: Dialect = Dialect()
+    docs: DataFrame,
+    contracts: list[Contract],
+    schemas: dict[str, Any],
+    contract_col: str | None = None,
+    profile: str = "frontmatter-md",
+    models: dict[str, type] | None = None,
+    metadata_mode: str = "enforced",
+    dialect: Dialect = Dialect(),
+    resources: dict[str, dict] | None = None,
+    infer: bool = False,
+    status: str | None = None,
 ) -> DataFrame:
     """Results of decoded documents (path, has_frontmatter, root_json, root_type, kind, message).
 
     The contract is contract_col's, else the one the document names. Host settings win over the document's: envelope,
-    schema and status. Returns path, contract_id, status, outcome, ok, structural_ok, structural_skipped, errors,
-    semantic_ok, semantic_skipped, semantic_errors (JSON), warnings, envelope_key, schema_source, payload_json.
+    schema and status. With infer a contract needs no registration, and the status is the one given, else the document's,
+    else soft. resources: schemas that references may name beside their own. Schemas are named by path: a host's is looked
+    for as given, in the document's folder and in the working folder. Returns path, contract_id, status, outcome, ok, structural_ok, structural_skipped, errors,
+    semantic_ok, semantic_skipped, semantic_errors (JSON), warnings, warning_codes, envelope_key, schema_source, payload_json.
     Contracts and schemas are the driver's: they are few, and sent to the executors once."""
     spark = docs.sparkSession
     models = models or {}
@@ -68,8 +80,11 @@ def validate_corpus(
     d = d.withColumn("contract_id", F.coalesce(F.col(contract_col) if contract_col else F.lit(None).cast("string"), F.col("meta.contract")))
     d = d.join(F.broadcast(registry), F.col("contract_id") == F.col("reg_id"), "left")
     d = binding.envelope(d, F.col("reg_envelope"), F.col("contract_id"), F.lit(profile), dialect)
-    known = F.col("reg_id").isNotNull()
-    status = F.coalesce("reg_status", F.lit("soft"))
+    known = F.col("reg_id").isNotNull() | (F.lit(infer) & F.col("contract_id").isNotNull())
+    declared = F.when(F.col("meta.error").isNull(), F.col("meta.status"))
+    chosen = F.coalesce(F.lit(status).cast("string"), declared if infer else F.col("reg_status"), F.lit("soft"))
+    d = d.withColumn("status_", chosen).withColumn("known_", known)
+    known, status = F.col("known_"), F.col("status_")
     differs = F.col("meta.contract").isNotNull() & (F.col("meta.contract") != F.col("contract_id"))
     said = F.concat(F.lit("document declares '"), F.col("meta.contract"), F.lit("'; contract uses '"), F.col("contract_id"), F.lit("'"))
     failure = (
@@ -94,18 +109,18 @@ def validate_corpus(
         .otherwise(F.col("envelope_error.message"))
     )
     source = binding.schema_source(F.col("reg_schema"), F.col("meta.schema"), F.coalesce("reg_model", F.lit(False)))
-    ref = F.coalesce("reg_schema", "meta.schema")
-    in_catalogue = ref.isin(list(schemas)) if schemas else F.lit(False)
-    d = d.withColumn("failure_message", text).withColumn("schema_source", source).withColumn("schema_ref", ref)
-    ref, source = F.col("schema_ref"), F.col("schema_source")
+    ref, path = F.coalesce("reg_schema", "meta.schema"), F.col("path").cast("string")
+    found = F.when(source == "host", binding.find_schema(ref, path, list(schemas), False)).when(source == "document", binding.find_schema(ref, path, list(schemas), True))
+    d = d.withColumn("failure_message", text).withColumn("schema_source", source).withColumn("schema_named", ref).withColumn("schema_ref", found)
+    ref, source, in_catalogue = F.col("schema_named"), F.col("schema_source"), F.col("schema_ref").isNotNull()
     missing = F.when(source == "host", F.when(~in_catalogue, F.concat(F.lit("compiled schema not found: "), ref))).when(source == "document", binding.document_schema_error(ref, in_catalogue))
     d = d.withColumn("schema_error", F.when(failure.isNull(), missing))
-    evaluators = spark.sparkContext.broadcast(schemas)
+    evaluators = spark.sparkContext.broadcast((schemas, resources))
     meta_key = dialect.meta_key
 
     @F.arrow_udf(f"array<{ERROR}>")
     def structural(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        ready = prepared(evaluators.value)
+        ready = prepared(*evaluators.value)
         for roots, keys, refs, strict in batches:
             out = []
             for root, key, ref_, s in zip(roots.to_pylist(), keys.to_pylist(), refs.to_pylist(), strict.to_pylist(), strict=True):
@@ -165,7 +180,7 @@ def validate_corpus(
     return d.select(
         "path", F.coalesce("contract_id", F.lit("<unknown>")).alias("contract_id"), "status", F.when(ok, "valid").when(first.isin("artifact_unreadable", "artifact_invalid_utf8"), "input_error").otherwise("invalid").alias("outcome"),
         ok.alias("ok"), structural_ok.alias("structural_ok"), skipped.alias("structural_skipped"), "errors", semantic_ok.alias("semantic_ok"), F.when(~fine, F.col("failure")).when(~model_here, F.lit("no_semantic_model")).alias("semantic_skipped"),
-        "semantic_errors", warnings.alias("warnings"), "envelope_key", "schema_source", F.when(fine, F.col("payload_json")).alias("payload_json"),
+        "semantic_errors", warnings.alias("warnings"), F.transform(warnings, lambda w: w["code"]).alias("warning_codes"), "envelope_key", "schema_source", F.when(fine, F.col("payload_json")).alias("payload_json"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
@@ -65,9 +67,14 @@ def write_schema(compiled: Compiled, path: str) -> None:
     """Write the YAML so that readers see the old file or the new one, never a part."""
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
-    part = target.with_name(f".{target.name}.part")
-    part.write_text(compiled.schema_yaml, encoding="utf-8")
-    part.replace(target)
+    handle, part = tempfile.mkstemp(prefix=f".{target.name}.", dir=target.parent)
+    try:
+        with os.fdopen(handle, "w", encoding="utf-8") as file:
+            file.write(compiled.schema_yaml)
+        os.replace(part, target)
+    except BaseException:
+        os.unlink(part)
+        raise
 
 
 def read_schema(path: str) -> dict:

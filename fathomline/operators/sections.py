@@ -13,6 +13,7 @@ from .fields import SchemaFields
 
 KINDS = ("enum_table", "field_list", "vocab")
 KNOWN = ("kind", "schema", "pointer", "sha256")
+# How an attribute of a marker is written, and the marker's own shape below.
 _ATTRIBUTE = r'([A-Za-z_][A-Za-z0-9_]*)="([^"]*)"'
 
 
@@ -31,14 +32,18 @@ def vocab(values: list[str]) -> str:
     return "\n".join(f"- `{v}`" for v in values)
 
 
-def rendered(spark: SparkSession, schemas: dict[str, dict], dialect: Dialect = Dialect()) -> DataFrame:
-    """schema, kind, pointer, body: all that sections over these schemas can say."""
+def bodies(schemas: dict[str, dict], dialect: Dialect = Dialect()) -> list[tuple[str, str, str, str]]:
+    """(schema, kind, pointer, body): all that sections over these schemas can say."""
     rows = []
     for ref, schema in schemas.items():
         fields = SchemaFields(schema, dialect)
         rows += [(ref, "enum_table", "", enum_table(fields)), (ref, "field_list", "", field_list(fields))]
         rows += [(ref, "vocab", f.pointer, vocab(f.enum)) for f in fields.all() if f.enum is not None]
-    return spark.createDataFrame(rows, "r_schema string, r_kind string, r_pointer string, body string")
+    return rows
+
+
+def rendered(spark: SparkSession, schemas: dict[str, dict], dialect: Dialect = Dialect()) -> DataFrame:
+    return spark.createDataFrame(bodies(schemas, dialect), "r_schema string, r_kind string, r_pointer string, body string")
 
 
 def _patterns(dialect: Dialect) -> tuple[str, str]:
@@ -69,18 +74,18 @@ def sections(docs: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("
     kind, schema = _attribute(attrs, "kind"), _attribute(attrs, "schema")
     mark = dialect.marker
     error = (
-        F.when(F.array_contains(names, "contract"), F.lit(f'{mark} marker uses the removed "contract" attribute for a schema path; rename it to "schema" (contract is a logical ID, not a file path)'))
-        .when(F.size(unknown) > 0, F.concat(F.lit(f"{mark} marker has unknown attribute(s): "), F.concat_ws(", ", unknown)))
-        .when(F.coalesce(kind, F.lit("")) == "", F.concat(F.lit(f"{mark} marker is missing 'kind': "), F.col("open_marker")))
-        .when(F.coalesce(schema, F.lit("")) == "", F.concat(F.lit(f"{mark} marker is missing 'schema': "), F.col("open_marker")))
-        .when(~kind.isin(*KINDS), F.concat(F.lit(f"unknown {mark} kind '"), kind, F.lit(f"'; known: {', '.join(sorted(KINDS))}")))
+        F.when(F.array_contains(names, "contract"), F.lit(f"{mark}: a marker names its schema by 'schema', not by 'contract'"))
+        .when(F.size(unknown) > 0, F.concat(F.lit(f"{mark}: attributes that no marker has: "), F.concat_ws(", ", unknown)))
+        .when(F.coalesce(kind, F.lit("")) == "", F.concat(F.lit(f"{mark}: no 'kind' in "), F.col("open_marker")))
+        .when(F.coalesce(schema, F.lit("")) == "", F.concat(F.lit(f"{mark}: no 'schema' in "), F.col("open_marker")))
+        .when(~kind.isin(*KINDS), F.concat(F.lit(f"{mark}: kind '"), kind, F.lit(f"' is none of {', '.join(sorted(KINDS))}")))
     )
     good = found.select(*keys, "section_no", "open_marker", kind.alias("kind"), schema.alias("schema"), _attribute(attrs, "pointer").alias("pointer"), "existing", error.alias("error"))
     where = F.locate(stray, text) if isinstance(stray, str) else F.instr(text, stray)
     null = F.lit(None).cast("string")
     bad = docs.where(stray != "").select(
         *keys, F.lit(None).cast("int").alias("section_no"), stray.alias("open_marker"), null.alias("kind"), null.alias("schema"), null.alias("pointer"), null.alias("existing"),
-        F.concat(F.lit(f"unterminated {mark} marker starting at offset "), (where - 1).cast("string")).alias("error"),
+        F.concat(F.lit(f"{mark}: no end for the marker at offset "), (where - 1).cast("string")).alias("error"),
     )
     return good.unionByName(bad)
 
@@ -93,9 +98,9 @@ def drift(found: DataFrame, schemas: dict[str, dict], dialect: Dialect = Dialect
     there = F.col("schema").isin(list(schemas)) if schemas else F.lit(False)
     error = (
         F.when(F.col("error").isNotNull(), F.col("error"))
-        .when(~there, F.concat(F.lit(f"{dialect.marker} schema not found: "), F.col("schema")))
-        .when((F.col("kind") == "vocab") & (pointer == ""), F.lit(f"{dialect.marker} kind=vocab requires a 'pointer' attribute"))
-        .when(F.col("body").isNull(), F.concat(F.lit("no enum at pointer '"), F.col("pointer"), F.lit("'")))
+        .when(~there, F.concat(F.lit(f"{dialect.marker}: no schema named "), F.col("schema")))
+        .when((F.col("kind") == "vocab") & (pointer == ""), F.lit(f"{dialect.marker}: a vocab section needs a 'pointer'"))
+        .when(F.col("body").isNull(), F.concat(F.lit(f"{dialect.marker}: no values are listed at '"), F.col("pointer"), F.lit("'")))
     )
     text = F.concat(F.lit("\n"), F.col("body"), F.lit("\n"))
     return joined.withColumn("error", error).withColumn("rendered", F.when(error.isNull(), text)).withColumn("drift", F.when(error.isNull(), text != F.col("existing"))).drop("r_schema", "r_kind", "r_pointer", "body")
@@ -111,8 +116,8 @@ def regenerate(docs: DataFrame, schemas: dict[str, dict], text_col: str = "text"
 
     The rendered bodies are constants of the plan: no join, no shuffle."""
     _, block = _patterns(dialect)
-    bodies = {(r["r_schema"], r["r_kind"], r["r_pointer"]): r["body"] for r in rendered(docs.sparkSession, schemas, dialect).collect()}
-    known = F.create_map(*[F.lit(x) for (s, k, p), b in bodies.items() for x in ("\x1f".join((s, k, p)), b)]) if bodies else F.create_map(F.lit(""), F.lit(None).cast("string"))
+    all_ = bodies(schemas, dialect)
+    known = F.create_map(*[F.lit(x) for s, k, p, b in all_ for x in ("\x1f".join((s, k, p)), b)]) if all_ else F.create_map(F.lit(""), F.lit(None).cast("string"))
     opens, _ = _patterns(dialect)
     text = F.col(text_col)
 
@@ -126,3 +131,8 @@ def regenerate(docs: DataFrame, schemas: dict[str, dict], text_col: str = "text"
     made = F.transform(F.regexp_extract_all(text, F.lit(block), F.lit(1)), one)
     whole = F.array_join(F.flatten(F.zip_with(pieces, made, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     return docs.withColumn("regenerated", F.when(F.exists(made, lambda m: m.isNull()), text).otherwise(whole))
+
+
+def rewritten(docs: DataFrame, schemas: dict[str, dict], text_col: str = "text", dialect: Dialect = Dialect()) -> DataFrame:
+    """regenerate()'s rows whose text it changes: what there is to write."""
+    return regenerate(docs, schemas, text_col, dialect).where(F.col("regenerated") != F.col(text_col))

@@ -21,7 +21,8 @@ from .interpret import Evaluator
 
 @dataclass(frozen=True)
 class Contract:
-    """id: [namespace:]Name[/version]; schema: JSON Schema; status: soft, permissive or enforced."""
+    """id: [namespace:]Name[/version]; schema: JSON Schema; status: soft, permissive or enforced; resources: further schemas
+    that references may name, by URI."""
 
     id: str
     schema: dict = field(default_factory=dict)
@@ -29,9 +30,10 @@ class Contract:
     envelope_key: str | None = None
     profile: str = "frontmatter-md"
     schema_ref: str | None = None
+    resources: dict[str, dict] = field(default_factory=dict)
 
-    def tree(self, resources: dict[str, dict] | None = None) -> SchemaTree:
-        return load(self.schema, strict=self.status == "enforced", resources=resources)
+    def tree(self) -> SchemaTree:
+        return load(self.schema, strict=self.status == "enforced", resources=self.resources)
 
 
 def program(df: DataFrame, contract: Contract, column: str | None = None) -> Program:

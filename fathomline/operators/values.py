@@ -8,6 +8,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from fathomline.plans.columns import column, number_text
 
 from .validate import Contract, as_json, validate_rows
 
@@ -44,6 +47,32 @@ def validate_values(df: DataFrame, schema: Contract | None = None, model: type |
     return out.withColumn("ok", F.col("structural_ok") & F.col("semantic_ok"))
 
 
+def _whole(c: Column, kind: T.DataType) -> Column:
+    """A value in which doubles are VARIANT numbers, so that JSON has whole ones without a fraction."""
+    match kind:
+        case T.DoubleType() | T.FloatType():
+            return F.try_parse_json(number_text(c.cast("double")))
+        case T.ArrayType() if _fractions(kind):
+            return F.transform(c, lambda x: _whole(x, kind.elementType))
+        case T.MapType() if _fractions(kind):
+            return F.transform_values(c, lambda _, v: _whole(v, kind.valueType))
+        case T.StructType() if _fractions(kind):
+            return F.when(c.isNotNull(), F.struct(*[_whole(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return c
+
+
+def _fractions(kind: T.DataType) -> bool:
+    match kind:
+        case T.ArrayType():
+            return _fractions(kind.elementType)
+        case T.MapType():
+            return _fractions(kind.valueType)
+        case T.StructType():
+            return any(_fractions(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.DoubleType, T.FloatType))
+
+
 def results_json(results: DataFrame) -> DataFrame:
-    """A column json: each row with its keys sorted, nulls kept, ready for write.text."""
-    return results.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(results.columns)]), {"ignoreNullFields": "false"}).alias("json"))
+    """A column json: each row with its keys sorted, nulls kept, whole floats as integers, ready for write.text."""
+    parts = [_whole(column(c), results.schema[c].dataType).alias(c) for c in sorted(results.columns)]
+    return results.select(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("json"))

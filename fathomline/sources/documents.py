@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .yaml12 import Rejected, decode
+from .yaml12 import Rejected, check_portable, decode
 
 DECODED = "struct<has_frontmatter:boolean,body:string,root_json:string,root_type:string,kind:string,message:string>"
 _LINE = re.compile(r"\r?\n")
@@ -89,6 +89,39 @@ def decode_table(table: DataFrame, text_col: str, profile: str = "frontmatter-md
     return table.select(*rest, decode_text(F.col(f"`{text_col}`"), profile).alias("d")).select(*rest, "d.*")
 
 
+def from_roots(table: DataFrame, root_col: str, guard: bool = False) -> DataFrame:
+    """table with the columns of DECODED in place of a column of roots that are decoded already, as JSON text.
+
+    Nothing is reopened and the portable rules don't apply, unless guard asks for them; text that is no JSON is yaml_parse_error."""
+
+    @F.arrow_udf(DECODED)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kinds = pa.struct([("has_frontmatter", pa.bool_()), *[(c, pa.string()) for c in ("body", "root_json", "root_type", "kind", "message")]])
+
+        def one(text: str) -> dict:
+            try:
+                root = json.loads(text)
+                if guard:
+                    check_portable(root)
+                return {"has_frontmatter": True, "root_json": text, "root_type": TYPE_NAMES[type(root)]}
+            except Rejected as e:
+                return {"kind": e.code, "message": str(e)}
+            except (ValueError, RecursionError) as e:
+                return {"kind": "yaml_parse_error", "message": str(e)}
+
+        for batch in batches:
+            yield pa.array([one(t.as_py()) if t.is_valid else {} for t in batch], kinds)
+
+    rest = [F.col(f"`{c}`") for c in table.columns if c != root_col]
+    return table.select(*rest, run(F.col(f"`{root_col}`")).alias("d")).select(*rest, "d.*")
+
+
+def text_of(files: DataFrame) -> DataFrame:
+    """path, text: the files' content with every line's end as \\n; what is no UTF-8 is null."""
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
+    return files.select("path", F.regexp_replace(text, r"\r\n?", "\n").alias("text"))
+
+
 def missing_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Paths of the manifest that no file has: kind artifact_unreadable."""
     return manifest.join(files.select("path"), "path", "left_anti").select("path", F.lit("artifact_unreadable").alias("kind"), F.concat(F.lit("no file at "), F.col("path")).alias("message"))

@@ -112,11 +112,12 @@ def decode(text: str) -> Any:
     if duplicate:
         raise Rejected("yaml_duplicate_key", "found duplicate key")
     value = found[0] if found else None
-    _portable(value)
+    check_portable(value)
     return value
 
 
-def _portable(value: Any) -> None:
+def check_portable(value: Any) -> None:
+    """Raises Rejected for what not every host's JSON values can hold alike."""
     match value:
         case None | bool():
             return
@@ -133,11 +134,11 @@ def _portable(value: Any) -> None:
                 raise Rejected("number_negative_zero", "negative zero is not supported")
         case list():
             for v in reversed(value):
-                _portable(v)
+                check_portable(v)
         case dict():
             if not all(isinstance(k, str) for k in value):
                 raise Rejected("yaml_non_string_key", "mapping keys must be strings")
             for v in reversed(value.values()):
-                _portable(v)
+                check_portable(v)
         case _:
             raise Rejected("yaml_unsupported_scalar", f"unsupported YAML value: {type(value).__name__}")

@@ -83,7 +83,7 @@ def test_columns_as_interpreted_over_random_schemas(spark):
     """One job for many schemas; every record's path, keyword, limit and value, and messages of values that aren't nested."""
     made = []
 
-    @settings(max_examples=60, database=None, derandomize=True, deadline=None, phases=[Phase.generate], suppress_health_check=list(HealthCheck))
+    @settings(max_examples=25, database=None, derandomize=True, deadline=None, phases=[Phase.generate], suppress_health_check=list(HealthCheck))
     @given(OBJECTS, st.lists(DOCUMENTS, min_size=3, max_size=6))
     def collect(schema, documents):
         made.append((schema, documents))

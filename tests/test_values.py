@@ -30,8 +30,9 @@ def test_both_engines(spark):
 
 
 def test_results_as_json(spark):
-    text = results_json(spark.createDataFrame([(None, 1)], "b string, a int")).first()["json"]
-    assert text == '{"a":1,"b":null}'
+    row = (None, 1, 2.0, [0.5, 3.0, None, 1e20], {"k": (4.0, "x")}, None)
+    text = results_json(spark.createDataFrame([row], "b string, a int, `d.e` double, list array<double>, m map<string,struct<q:double,s:string>>, n struct<q:double>")).first()["json"]
+    assert text == '{"a":1,"b":null,"d.e":2,"list":[0.5,3,null,100000000000000000000],"m":{"k":{"q":4,"s":"x"}},"n":null}'
 
 
 def test_shell(spark, tmp_path, capsys, monkeypatch):
@@ -51,4 +52,17 @@ def test_shell(spark, tmp_path, capsys, monkeypatch):
     assert main(["generate", str(tmp_path / "docs"), "--schema", out, "--check"]) == 1
     assert main(["generate", str(tmp_path / "docs"), "--schema", out, "--out", str(tmp_path / "new")]) == 0
     new = {r.path.rsplit("/", 1)[1]: r.regenerated for r in spark.read.parquet(str(tmp_path / "new")).collect()}
-    assert "- `direction` (string, required)" in new["c.md"] and new["a.md"].startswith("---")
+    assert "- `direction` (string, required)" in new["c.md"] and set(new) == {"c.md"}  # only what has drifted
+    (tmp_path / "docs/c.md").write_bytes(new["c.md"].replace("\n", "\r\n").encode())
+    assert main(["generate", str(tmp_path / "docs"), "--schema", out, "--check"]) == 0
+
+
+def test_shell_infers_what_is_not_given(spark, tmp_path, capsys):
+    for name, text in {"a": "---\nfathom: {contract: a:V/v1, status: permissive}\nv: {delta: 1.0}\n---\n", "b": "---\nfathom: b:W\nv: {}\n---\n"}.items():
+        (tmp_path / f"{name}.md").write_text(text)
+    assert main(["validate", str(tmp_path)]) == 0
+    shown = capsys.readouterr().out
+    assert '"status": "permissive"' in shown and '"contract_id": "b:W"' in shown
+    (tmp_path / "c.md").write_text("---\nv: {}\n---\n")
+    assert main(["validate", str(tmp_path)]) == 2 and main(["validate", str(tmp_path), "--envelope", "v"]) == 2
+    assert main(["validate", str(tmp_path), "--contract", "c:X", "--status", "soft", "--glob", "c.md"]) == 0

@@ -11,12 +11,14 @@ from fathomline.sources.yaml12 import Rejected, decode
 
 # text, value or code
 CASES = [
-    ("text: hello\ncount: 42\nratio: 1.5\nenabled: true\nempty: null", {"text": "hello", "count": 42, "ratio": 1.5, "enabled": True, "empty": None}),
-    ("value: 2026-07-11", {"value": "2026-07-11"}), ("value: 2001-13-99", {"value": "2001-13-99"}), ("value: 2001-12-14 21:59:43", {"value": "2001-12-14 21:59:43"}),
-    ("value: 2026-05-16T13:10:10-07:00", {"value": "2026-05-16T13:10:10-07:00"}), ("2026-07-11: value", {"2026-07-11": "value"}),
-    ("value: first\nvalue: second", "yaml_duplicate_key"), ("a: &v hello\nb: *v", "yaml_alias"), ("base: &b {n: A}\nuser: {<<: *b}", "yaml_merge_key"), ("value: !thing hello", "yaml_custom_tag"),
-    ("1: one", "yaml_non_string_key"), ("v: 9007199254740992", "number_out_of_range"), ("v: .inf", "number_out_of_range"), ("v: -0.0", "number_negative_zero"), ("movie: [", "yaml_parse_error"),
-    ("a: yes\nb: 012\nc: 0x1F", {"a": "yes", "b": 12, "c": 31}), ("a: 1\n---\nb: 2", "yaml_parse_error"), ("", None), ("a: '<<'\nb: \"1\"", {"a": "<<", "b": "1"}),
+    ("ship: Fram\nmasts: 3\nlength: 39.0\nafloat: false\nowner: ~", {"ship": "Fram", "masts": 3, "length": 39.0, "afloat": False, "owner": None}),
+    ("- on\n- No\n- TRUE\n- NULL\n- .5\n- +7\n- 1_000\n- 0o17\n- 0xff\n- 6e2", ["on", "No", True, None, 0.5, 7, "1_000", 15, 255, 600.0]),
+    ("launched: 1892-10-26\nlog: 1893-09-22 08:15:00\nat: 1896-08-13T20:00:00Z", {"launched": "1892-10-26", "log": "1893-09-22 08:15:00", "at": "1896-08-13T20:00:00Z"}),
+    ("1895-04-08: north", {"1895-04-08": "north"}), ("seen: '<<'\n\"7\": text", {"seen": "<<", "7": "text"}), ("# only a remark", None), ("- |\n  two\n  lines\n", ["two\nlines\n"]),
+    ("port: Oslo\ncall: 1\nport: Bergen", "yaml_duplicate_key"), ("deep:\n  - {x: 1, x: 1}", "yaml_duplicate_key"), ("first: &ref [1]\nthen: *ref", "yaml_alias"), ("lone: &mark 5", "yaml_alias"),
+    ("hull: {<<: {planks: 9}}", "yaml_merge_key"), ("depth: !fathoms 12", "yaml_custom_tag"), ("depth: !!int '12'", "yaml_custom_tag"), ("2.5: half", "yaml_non_string_key"), ("null: x", "yaml_non_string_key"), ("? [a]\n: b", "yaml_non_string_key"),
+    ("tons: 9007199254740993", "number_out_of_range"), ("tons: -.Inf", "number_out_of_range"), ("tons: [.nan]", "number_out_of_range"), ("drift: -0.0e3", "number_negative_zero"),
+    ("crew: {cook: ", "yaml_parse_error"), ("a: b: c", "yaml_parse_error"), ("x\n--- \ny", "yaml_parse_error"), ("\tkey: 1", "yaml_parse_error"),
 ]
 
 
@@ -30,15 +32,17 @@ def test_decode(text, expected):
         assert decode(text) == expected
 
 
-@pytest.mark.parametrize(("depth", "fine"), [(63, True), (64, False), (65, False), (1000, False), (50000, False)])
-def test_depth(depth, fine):
-    text = "value: " + "[" * depth + "]" * depth
+@pytest.mark.parametrize("opening", ["[", "{k: "])
+@pytest.mark.parametrize(("levels", "fine"), [(2, True), (64, True), (66, False), (3000, False)])
+def test_depth(opening, levels, fine):
+    """Levels of collections; 64 are allowed."""
+    text = opening * levels + "0" + {"[": "]", "{k: ": "}"}[opening] * levels
     if fine:
         decode(text)
-    else:
-        with pytest.raises(Rejected) as e:
-            decode(text)
-        assert e.value.code == "yaml_limit"
+        return
+    with pytest.raises(Rejected) as e:
+        decode(text)
+    assert e.value.code == "yaml_limit"
 
 
 JSON = st.recursive(st.none() | st.booleans() | st.integers(-(2**53) + 1, 2**53 - 1) | st.text(st.characters(blacklist_categories=("Cs", "Cc")), max_size=20), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(st.characters(whitelist_categories=("L", "N")), min_size=1, max_size=8), x, max_size=4), max_leaves=20)
@@ -59,12 +63,9 @@ def test_floats(x):
 
 
 def test_fences():
-    text = "---\nmovie:\n  notes: |\n    first line\n    ---\n    more text\n  count: 3\n---  \nbody\nmore"
-    head, body = split_fence(text)
-    assert decode(head)["movie"] == {"notes": "first line\n---\nmore text\n", "count": 3}
-    assert body == "body\nmore"
-    assert split_fence("plain") == (None, "plain")
-    assert split_fence("---\n---\nx") == (None, "x")
-    assert split_fence("---\r\na: 1\r\n---\r\nb")[0] == "a: 1"
-    assert decode_one("---\na: 1", "frontmatter-md")[4] == "yaml_parse_error"
-    assert decode_one("---\n- 1\n---\n", "frontmatter-md")[4] == "yaml_parse_error"
+    head, body = split_fence("--- \nlog: |\n  ---\n  calm\nmiles: 40\n---\t\n# A day\n---\n")
+    assert decode(head) == {"log": "---\ncalm\n", "miles": 40} and body == "# A day\n---\n"
+    assert split_fence(" ---\na: 1\n---") == (None, " ---\na: 1\n---") and split_fence("") == (None, "")
+    assert split_fence("---\n---\nrest") == (None, "rest") and split_fence("---\r\nwind: 3\r\n---\r\nend") == ("wind: 3", "end")
+    kind = lambda text: decode_one(text, "frontmatter-md")[4]
+    assert kind("---\nwind: 3\n") == kind("---\n[3]\n---\n") == kind("---\njust words\n---\n") == "yaml_parse_error" and kind("---\nwind: 3\n---") is None
