@@ -326,13 +326,6 @@ def pure_yaml_payload(spark, d):
     return validate_corpus(docs, [DOC_CONTRACT], SCHEMAS, profile="pure-yaml").select("path", "outcome", "payload_json")
 
 
-@query("registry_lookup", "SELECT doc_id, CASE WHEN source IN ('src0', 'src1', 'src2') THEN 'known' ELSE 'contract_unknown' END AS found FROM documents")
-def registry_lookup(spark, d):
-    registry = spark.createDataFrame([(f"src{k}", "known") for k in range(3)], "source string, found string")
-    joined = read(spark, d, "documents").select("doc_id", "source").join(F.broadcast(registry), "source", "left")
-    return joined.select("doc_id", F.coalesce("found", F.lit("contract_unknown")).alias("found"))
-
-
 @query("contract_id_grammar", r"""
 SELECT doc_id, id, regexp_full_match(id, '(?:[a-z0-9_]+(?:\.[a-z0-9_]+)*:)?[A-Za-z_][A-Za-z0-9_]*(?:/[A-Za-z0-9_.-]+)?') AS ok FROM (
   SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang || ':Doc/' || source WHEN 1 THEN source || ' ' || lang WHEN 2 THEN '9' || source ELSE 'a.b:' || source END AS id FROM documents)
@@ -356,14 +349,6 @@ def files_missing(spark, d):
     return missing_files(paths.select("path"), paths.where(F.split_part("path", F.lit("/"), F.lit(2)).cast("long") % 7 != 0)).select("path", "kind")
 
 
-@query("canonical_json_sha", """
-SELECT n_nationkey, sha256('{"key":' || n_nationkey || ',"name":"' || n_name || '","region":' || n_regionkey || '}') AS sha FROM nation
-""")
-def canonical_json_sha(spark, d):
-    text = F.to_json(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")))
-    return read(spark, d, "nation").select("n_nationkey", F.sha2(text.cast("binary"), 256).alias("sha"))
-
-
 # ---- schemas ------------------------------------------------------------------------------------------------------
 
 MOVIE = {
@@ -456,3 +441,6 @@ def registry_conflicts(spark, d):
 def canonical_numbers(spark, d):
     given = ("1", "0.000001", "98765432109876543210.0", "1e21", "1.5e-7", "-2.50")
     return spark.createDataFrame([(g, canonical_json(int(g) if g == "1" else float(g))) for g in given], "given string, canonical string")
+
+
+from . import catalogue_cases  # noqa: E402, F401  registers its own
