@@ -386,3 +386,36 @@ def test_pipeline(spark):
 
     want = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in rows}
     assert {r.doc_id: r.decoded_sha256 for r in cp.run(spark, SF).collect()} == want
+
+
+@here
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated ids, empty and long texts, a clashing column, columns that are missing, no rows."""
+    import corpus_pipeline as cp
+
+    labels, bench = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    words = [f"plain{k} words{k} stand{k}" for k in range(400)]
+    own = [(1, " ".join(words[:60]), "en", "s", 5), (1, " ".join(words[100:160]), None, None, None), (2, " ".join(words[:60]), "en", "s", 5), (None, "no id here", None, None, None), (3, None, None, "s", 0), (4, "", "de", None, 0), (5, " ".join(words) * 40, "en", "s", 1), (None, None, None, None, None)]
+    rows = spark.createDataFrame([(*r, "x", r[0]) for r in own], "doc_id long, text string, lang string, source string, n_chars long, Score string, version long")
+    for name, docs in (("full", rows), ("bare", rows.select("text", "doc_id")), ("none", rows.limit(0))):
+        at = f"{tmp_path}/{name}"
+        for t, df in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+            df.write.parquet(f"{at}/{t}.parquet")
+        kept = cp.run(spark, at).collect()
+        want = [] if name == "none" else [1, 1, 3, 4, 5, None, None]
+        assert sorted((r.doc_id for r in kept), key=lambda i: (i is None, i)) == want
+        assert all(r.n_tokens == len(r.ids) for r in kept)
+        if name == "bare":
+            assert {(r.lang, r.source) for r in kept} == {(None, None)}
+
+
+def test_release_removes_only_what_it_is_given(spark):
+    from fathomline.llm._work import cut, made, release
+
+    a, b = cut(spark.range(3), "one"), cut(spark.range(4), "two", rows=4)
+    paths = made()[-2:]
+    assert b.rdd.getNumPartitions() == 1
+    release(spark, paths[:1])
+    assert b.count() == 4 and made()[-1] == paths[1] and paths[0] not in made()
+    with pytest.raises(Exception):  # noqa: B017
+        a.count()

@@ -47,6 +47,15 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.line_dedup(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_line_dedup_is_linear_in_shared_lines(spark):
+    """Documents of very many lines, all of them shared."""
+    lines = [f"a line of more than forty characters that bears the number {k}" for k in range(60_000)]
+    docs = [(k, "\n".join(lines)) for k in range(5)] + [(9, "\n".join(lines[:10] * 300))]
+    rows = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(docs, DOC)).collect()}
+    assert [(rows[k].n_lines, rows[k].n_dropped) for k in range(4)] == [(60_000, 60_000)] * 4
+    assert rows[4].n_dropped == 10 and rows[4].text == "\n".join(lines[10:]) and rows[9].n_dropped == 0 and rows[9].text == docs[5][1]
+
+
 # ---- byte-level BPE -----------------------------------------------------------------------------------------------
 
 TEXTS = ["", None, "hello world", "a" * 200_000, "  \n\t x  y", "don't WON'T", "é😀中日本語", "\x00\x01", "aaaaa aaaa aaa", "----====----", "<|endoftext|>", "   z", "1234567 89"]
@@ -242,6 +251,15 @@ def test_licenses(spark):
         licenses.license_scan(spark.createDataFrame([], DOC), (("x", "too short"),))
 
 
+def test_full_licenses_and_very_long_texts(spark):
+    full = {n: t for n, t in licenses.TEMPLATES if len(t.split()) > 150}
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause"} <= set(full)
+    filler = " ".join(f"w{k}" for k in range(60_000))
+    docs = [(k, f"{filler}\n{t.upper()}\n{filler}") for k, t in enumerate(full.values())] + [(99, filler * 3)]
+    got = {(r.doc_id, r.license): r.containment for r in licenses.license_scan(spark.createDataFrame(docs, DOC)).collect()}
+    assert got == pytest.approx(brute_licenses(docs)) and {(k, n) for k, n in enumerate(full)} <= set(got)
+
+
 @here
 def test_licenses_on_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
