@@ -6,6 +6,10 @@ A vector visits each list whose border with its home is near. Of two vectors at
 within e/2 of the border between these, so visits up to e/2 find every pair whatever the vectors look like; less would
 lose pairs that a border cuts, as borders run through large groups of near copies along their own noise. Table-lookup
 distances are compared with e plus what the resident's codes leave out, so they lose no pair.
+
+Groups of near copies are balls: vectors within e/2 of one point are all within e of one another, so each is linked with
+all others of its ball, which are counted and not compared. Where the sample is dense it names such points; the vectors
+of a ball form sub-lists of their lists, which the ball's own vectors don't visit.
 Tasks count links and pass on spanning links, never pairs; large lists are compared in blocks.
 """
 
@@ -26,12 +30,14 @@ from ._work import cut, sole, table
 @dataclass(frozen=True)
 class Plan:
     """threshold: least cosine; sample: vectors that train the index, at least, and a_list: for each list; parts: subspaces;
-    residents, queries: sides of a block; chunk: queries whose lookup tables are held at once."""
+    least_ball: vectors of the sample that a ball needs; residents, queries: sides of a block; chunk: queries whose
+    lookup tables are held at once."""
 
     threshold: float = 0.95
     sample: int = 20_000
     a_list: int = 16
     parts: int = 16
+    least_ball: int = 8
     residents: int = 2048
     queries: int = 4096
     chunk: int = 256
@@ -76,6 +82,16 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Index:
     lists: np.ndarray
     books: np.ndarray  # part, entry, dimension of the part
+    pivots: np.ndarray
+    radius: float
+
+    def balls(self, x: np.ndarray) -> np.ndarray:
+        """The number of each vector's ball: of the first pivot that it is within the radius of; -1 for none."""
+        if not len(self.pivots):
+            return np.full(len(x), -1)
+        square = np.maximum(0, (x * x).sum(axis=1)[:, None] - 2 * (x @ self.pivots.T) + (self.pivots**2).sum(axis=1))
+        inside = square <= self.radius**2
+        return np.where(inside.any(axis=1), inside.argmax(axis=1), -1)
 
     def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Home list, codes and length of what they leave out, for unit vectors."""
@@ -108,7 +124,32 @@ def train(x: np.ndarray, plan: Plan, rows: int) -> Index:
     parts = max(m for m in range(1, plan.parts + 1) if x.shape[1] % m == 0)
     rest = (x - lists[nearest(x, lists)]).reshape(len(x), parts, -1)
     books = [k_means(rest[:, m], 256) for m in range(parts)]
-    return Index(lists, np.stack([np.concatenate([b, np.repeat(b[:1], 256 - len(b), axis=0)]) for b in books]))
+    books = np.stack([np.concatenate([b, np.repeat(b[:1], 256 - len(b), axis=0)]) for b in books])
+    radius = max(0.0, plan.reach / 2 - 1e-7)
+    return Index(lists, books, _pivots(x, nearest(x, lists), radius, plan.least_ball), radius)
+
+
+def _pivots(x: np.ndarray, home: np.ndarray, radius: float, least: int) -> np.ndarray:
+    """Centres that have `least` vectors of the sample around them which no centre before has; the fullest first.
+
+    Candidates come from the densest vector of each list, so a group that is spread over lists may get its centre from any:
+    the mean of what is within twice the radius of that vector."""
+    centres, inside = [], []
+    order = np.argsort(home, kind="stable")
+    square = (x * x).sum(axis=1)
+    around = lambda c, r: np.flatnonzero(square - 2 * (x @ c) + c @ c <= r * r)
+    for rows in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
+        y = x[rows[:1024]]
+        near = (square[rows[:1024], None] - 2 * (y @ y.T) + square[rows[:1024]] <= radius**2).sum(axis=1)
+        if near.max(initial=0) > 1:
+            centres.append(x[around(y[near.argmax()], 2 * radius)].mean(axis=0))
+            inside.append(around(centres[-1], radius))
+    free, chosen = np.ones(len(x), bool), []
+    for k in sorted(range(len(centres)), key=lambda k: (-len(inside[k]), k)):
+        if free[inside[k]].sum() >= least:
+            chosen.append(centres[k])
+            free[inside[k]] = False
+    return np.array(chosen).reshape(-1, x.shape[1])
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
@@ -120,8 +161,8 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-INDEX = "id long, copies long, home int, codes binary, left double, vector binary"
-ROWS = f"list int, one int, two int, query boolean, {INDEX}"
+INDEX = "id long, copies long, home int, ball int, codes binary, left double, vector binary"
+ROWS = f"part int, one int, two int, list int, query boolean, {INDEX}"
 
 
 def _lookups(x: np.ndarray, index: Index, here: int) -> np.ndarray:
@@ -131,7 +172,7 @@ def _lookups(x: np.ndarray, index: Index, here: int) -> np.ndarray:
 
 
 def _match(batches: Iterator[pa.RecordBatch], index: Index, plan: Plan) -> Iterator[pa.RecordBatch]:
-    """For each group of (list, block of residents, block of queries): id, linked, root, of each vector that links."""
+    """For each group of (part of a list, block of residents, block of queries): id, linked, root, of each vector that links."""
     rows: list[tuple[int, int, int]] = []
     for g in groups(batches, 3):
         here = int(g.column("list")[0].as_py())
@@ -222,7 +263,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 x = _unit(_vectors(part.column("v"), dim))
                 home, codes, left = shared.value.code(x)
                 yield pa.record_batch({
-                    "id": part.column("id"), "copies": part.column("copies"), "home": pa.array(home.astype(np.int32)), "codes": pa.array([c.tobytes() for c in codes], pa.binary()),
+                    "id": part.column("id"), "copies": part.column("copies"), "home": pa.array(home.astype(np.int32)), "ball": pa.array(shared.value.balls(x).astype(np.int32)), "codes": pa.array([c.tobytes() for c in codes], pa.binary()),
                     "left": pa.array(left), "vector": pa.array([v.tobytes() for v in x], pa.binary()),
                 })
 
@@ -234,39 +275,55 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         return np.nonzero(shared.value.visits(x, part.column("home").to_numpy(), plan.visit))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(shared.value.lists)
-        homes, asked = np.zeros(k, np.int64), np.zeros(k, np.int64)
+        """By list and ball: residents, and the ball's own vectors that ask the list."""
+        width = len(shared.value.pivots) + 1
         for batch in batches:
-            homes += np.bincount(batch.column("home").to_numpy(), minlength=k)
             for at in range(0, batch.num_rows, 2048):
-                asked += np.bincount(visits(batch.slice(at, 2048))[1], minlength=k)
-        yield pa.record_batch({"list": pa.array(np.arange(k, dtype=np.int32)), "residents": pa.array(homes), "queries": pa.array(asked)})
-
-    sizes = indexed.mapInArrow(count, "list int, residents long, queries long").groupBy("list").agg(F.sum("residents").alias("residents"), F.sum("queries").alias("queries")).orderBy("list").toPandas()
-    blocks = spark.sparkContext.broadcast((np.maximum(1, -(-sizes["residents"].to_numpy() // plan.residents)), np.maximum(1, -(-sizes["queries"].to_numpy() // plan.queries))))
+                part = batch.slice(at, 2048)
+                ball = part.column("ball").to_numpy().astype(np.int64) + 1
+                row, lists = visits(part)
+                keys, n = np.unique(np.concatenate([part.column("home").to_numpy() * width + ball, lists * width + ball[row]]), return_inverse=True)
+                homes, asked = (np.bincount(k, minlength=len(keys)) for k in (n[: len(ball)], n[len(ball) :]))
+                yield pa.record_batch({"list": pa.array(keys // width), "ball": pa.array(keys % width - 1), "residents": pa.array(homes), "own": pa.array(asked)})
+
+    sizes = indexed.mapInArrow(count, "list long, ball long, residents long, own long").groupBy("list", "ball").agg(F.sum("residents").alias("residents"), F.sum("own").alias("own"))
+    asked = sizes.groupBy("list").agg(F.sum("own").alias("asked"))
+    sizes = sizes.where("residents > 0").join(asked, "list").orderBy("list", "ball").toPandas()
+    queries = sizes["asked"].to_numpy() - np.where(sizes["ball"].to_numpy() >= 0, sizes["own"].to_numpy(), 0)
+    first = np.searchsorted(sizes["list"].to_numpy(), np.arange(len(shared.value.lists) + 1))
+    sides = (np.maximum(1, -(-n // side)) for n, side in ((sizes["residents"].to_numpy(), plan.residents), (queries, plan.queries)))
+    parts = spark.sparkContext.broadcast((first, sizes["ball"].to_numpy(), *sides))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each vector as a resident of its home, for every block of queries, and as a query of each list it asks, for every block of residents."""
-        r, q = blocks.value
+        """Each vector as a resident of its home's part, for every block of queries, and as a query of the parts of each list
+        that it asks but those of its own ball, for every block of residents."""
+        first, ball_of, r, q = parts.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                ids, home = part.column("id").to_numpy().astype(np.uint64), part.column("home").to_numpy()
+                rows = batch.slice(at, 1024)
+                ids, home, ball = rows.column("id").to_numpy().astype(np.uint64), rows.column("home").to_numpy(), rows.column("ball").to_numpy()
                 spread = (ids * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-                n = q[home]
-                row = np.repeat(np.arange(len(ids)), n)
-                two = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                yield _dealt(part, row, home[row], spread[row] % r[home[row]], two, False)
-                vrow, vlist = visits(part)
-                n = r[vlist]
-                row, lists = np.repeat(vrow, n), np.repeat(vlist, n)
-                one = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                row, mine = _repeated(np.arange(len(ids)), first[home], first[home + 1])
+                keep = ball_of[mine] == ball[row]
+                row, two = _repeated(row[keep], np.zeros(keep.sum(), int), q[mine[keep]])
+                mine = np.repeat(mine[keep], q[mine[keep]])
+                yield _dealt(rows, row, mine, home[row], spread[row] % r[mine], two, False)
+                vrow, vlist = visits(rows)
+                at_, asks = _repeated(np.arange(len(vrow)), first[vlist], first[vlist + 1])
+                keep = (ball_of[asks] != ball[vrow[at_]]) | (ball[vrow[at_]] < 0)
+                at_, asks = at_[keep], asks[keep]
+                n = r[asks]
+                where, one = _repeated(np.arange(len(asks)), np.zeros(len(asks), int), n)
+                row, lists, asks = vrow[at_[where]], vlist[at_[where]], asks[where]
                 for a in range(0, len(row), 8192):
                     s = slice(a, a + 8192)
-                    yield _dealt(part, row[s], lists[s], one[s], spread[row[s]] % q[lists[s]], True)
+                    yield _dealt(rows, row[s], asks[s], lists[s], one[s], spread[row[s]] % q[asks[s]], True)
 
-    dealt = grouped(indexed.mapInArrow(deal, ROWS), ["list", "one", "two"])
+    dealt = grouped(indexed.mapInArrow(deal, ROWS), ["part", "one", "two"])
     found = cut(dealt.mapInArrow(lambda b: _match(b, shared.value, plan), "id long, linked long, root long"), "links")
+    members = indexed.where("ball >= 0").select("id", "ball", "copies")
+    balls = F.broadcast(members.groupBy("ball").agg(F.min("id").alias("root"), F.sum("copies").alias("all")))  # as many as pivots, at most
+    found = found.union(members.join(balls, "ball").select("id", (F.col("all") - F.col("copies")).alias("linked"), "root"))
     within = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     each = found.groupBy("id").agg(F.sum("linked").alias("linked")).join(within, "id", "left").withColumnRenamed("id", "class_id")
     final = classes.select("v", F.col("id").alias("class_id"), "copies").join(each, "class_id", "left")
@@ -276,10 +333,16 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     return done.withColumn("kept", F.col("id") == F.col("component_id")).withColumnRenamed("id", id_col)
 
 
-def _dealt(part: pa.RecordBatch, row: np.ndarray, lists: np.ndarray, one: np.ndarray, two: np.ndarray, query: bool) -> pa.RecordBatch:
-    taken = part.take(pa.array(row))
-    keys = {"list": pa.array(lists.astype(np.int32)), "one": pa.array(one.astype(np.int32)), "two": pa.array(two.astype(np.int32)), "query": pa.array(np.full(len(row), query))}
-    return pa.record_batch({**keys, **{c: taken.column(c) for c in taken.schema.names}})
+def _repeated(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of x once for every number from its start up to its end, and these numbers."""
+    n = end - start
+    return np.repeat(x, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - start, n)
+
+
+def _dealt(rows: pa.RecordBatch, row: np.ndarray, part: np.ndarray, lists: np.ndarray, one: np.ndarray, two: np.ndarray, query: bool) -> pa.RecordBatch:
+    taken = rows.take(pa.array(row))
+    keys = {k: pa.array(v.astype(np.int32)) for k, v in (("part", part), ("one", one), ("two", two), ("list", lists))}
+    return pa.record_batch({**keys, "query": pa.array(np.full(len(row), query)), **{c: taken.column(c) for c in taken.schema.names}})
 
 
 #: Links of all pairs by double-precision cosine, and what they lead to.

@@ -166,6 +166,22 @@ def test_embeddings_lose_no_link(spark, dim, strong):
     assert [got[k] for k in range(len(v))] == want.tolist()
 
 
+def test_embeddings_count_balls_of_near_copies(spark):
+    """Groups tight enough to be balls, beside one another, with copies, stray members and vectors that link with a part of one."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(3, 64))
+    base[2] = base[0] + rng.normal(size=64) * 0.2
+    groups = [base[k] + rng.normal(size=(n, 64)) * s for k, n, s in ((0, 400, 0.12), (1, 60, 0.05), (2, 200, 0.1), (0, 80, 0.2), (1, 30, 0.25))]
+    v = np.concatenate([*groups, rng.normal(size=(300, 64)), groups[0][:20], groups[1][:3] * 4])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    want = linked(range(len(v)), lambda a, b: near[a, b])
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>")
+    for plan in (VectorPlan(), VectorPlan(residents=32, queries=64), VectorPlan(least_ball=10**9)):
+        rows = embedding_dedup(df, plan=plan).collect()
+        assert {r.vec_id: (r.n_links, r.component_id) for r in rows} == want
+
+
 def test_embeddings_at_the_very_threshold(spark):
     rows = [(0, [3.0, 4.0, 0.0, 0.0]), (1, [6.0, 8.0, 0.0, 0.0]), (2, [4.0, 3.0, 0.0, 0.0]), (3, [0.0, 0.0, 3.0, -4.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
