@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathomline.functions.canonical import canonical_json
-from fathomline.plans.columns import VIOLATION, NotColumnar, Program, Row, Typed, Variant, compile_schema
+from fathomline.plans.columns import VIOLATION, NotColumnar, Program, Row, Typed, Variant, compile_schema, let
 from fathomline.plans.schema_tree import SchemaTree, load
 
 from .interpret import Evaluator
@@ -46,13 +46,25 @@ def program(df: DataFrame, contract: Contract, column: str | None = None) -> Pro
     return compile_schema(contract.tree(), node)
 
 
+def conditions(df: DataFrame, contract: Contract, column: str | None = None) -> tuple[Column, Column]:
+    """Whether a row violates the contract, and its violations.
+
+    A VARIANT is bound once for all checks: its expression, often the parsing of a text, would else stand in each of them."""
+    if column is not None and isinstance(df.schema[column].dataType, T.VariantType):
+        value, tree = F.col(f"`{column}`"), contract.tree()
+        compile_schema(tree, Variant(value))  # NotColumnar belongs here, not into a lambda
+        return F.exists(F.array(value), lambda v: compile_schema(tree, Variant(v)).invalid()), let(value, lambda v: compile_schema(tree, Variant(v)).violations())
+    compiled = program(df, contract, column)
+    return compiled.invalid(), compiled.violations()
+
+
 def validate_rows(df: DataFrame, contract: Contract, column: str | None = None) -> DataFrame:
     """df with violations (array of structs, sorted by path and keyword); the schema is checked before data is read.
 
     Runs as Column expressions; recursive schemas and unevaluated*, dependentSchemas, propertyNames go to the row
     interpreter over Arrow batches. In a typed row NULL is a missing property; a NULL VARIANT has no violations."""
     try:
-        found = program(df, contract, column).violations()
+        _, found = conditions(df, contract, column)
     except NotColumnar:
         found = interpreted(as_json(df, column), contract)
     return df.withColumn("violations", found)
@@ -64,8 +76,8 @@ def violations(df: DataFrame, contract: Contract, keys: list[str], column: str |
     Rows without violations are filtered out by a plain predicate before any array is built, so that simple bounds reach
     the scan. The outer explode keeps the optimizer from inferring a filter that would build each array twice."""
     try:
-        compiled = program(df, contract, column)
-        listed = df.where(compiled.invalid()).select(*keys, F.posexplode_outer(compiled.violations()))
+        invalid, found = conditions(df, contract, column)
+        listed = df.where(invalid).select(*keys, F.posexplode_outer(found))
     except NotColumnar:
         listed = df.select(*keys, F.posexplode_outer(interpreted(as_json(df, column), contract))).where("pos is not null")
     part = lambda c: F.replace(F.replace(c, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))

@@ -33,6 +33,8 @@ def nothing() -> Column:
     return F.array().cast(T.ArrayType(VIOLATION))
 
 
+#: Names of VARIANT's classes of numbers.
+NUMBERS = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DECIMAL", "DOUBLE", "FLOAT")
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -51,21 +53,34 @@ def digits(x: Column) -> Column:
     return F.when(tries[0].try_cast("double") == x, tries[0]).when(tries[1].try_cast("double") == x, tries[1]).otherwise(tries[2])
 
 
+def let(x: Column, make: Callable[[Column], Column]) -> Column:
+    """make(x) with x worked out once, however often make uses it: an expression that stands twice in a plan runs twice."""
+    return F.get(F.transform(F.array(x), make), F.lit(0))
+
+
 def number_text(x: Column, python: bool = False) -> Column:
     """A double as JSON writes it, or as Python's repr does; whole ones below 1e21 without a fraction in both."""
-    size, exact = F.abs(x), digits(x)
     trim = lambda c: F.regexp_replace(F.regexp_replace(c.cast("string"), "0+$", ""), r"\.$", "")
-    plain = F.when(size >= 1, trim(exact.try_cast("decimal(38,17)"))).otherwise(trim(exact.try_cast("decimal(38,36)")))
-    power = F.regexp_replace(F.regexp_replace(exact, r"\.?0+e", "e"), r"e([+-])0(\d)$", "e$10$2" if python else "e$1$2")
-    safe = F.when(size <= 2.0**53, x.try_cast("bigint").cast("string")).otherwise(exact.try_cast("decimal(38,0)").cast("string"))
-    return F.when(is_whole(x) & (size < 1e21), safe).when((size >= (1e-4 if python else 1e-6)) & (size < 1e21), plain).otherwise(power)
+
+    def spelled(x: Column, size: Column, exact: Column) -> Column:
+        plain = F.when(size >= 1, trim(exact.try_cast("decimal(38,17)"))).otherwise(trim(exact.try_cast("decimal(38,36)")))
+        power = F.regexp_replace(F.regexp_replace(exact, r"\.?0+e", "e"), r"e([+-])0(\d)$", "e$10$2" if python else "e$1$2")
+        whole = F.when(is_whole(x) & (size < 1e21), exact.try_cast("decimal(38,0)").cast("string"))
+        return whole.when((size >= (1e-4 if python else 1e-6)) & (size < 1e21), plain).otherwise(power)
+
+    small = lambda x: is_whole(x) & (F.abs(x) <= 2.0**53)
+    return let(x, lambda x: F.when(small(x), x.try_cast("bigint").cast("string")).otherwise(let(digits(x), lambda e: spelled(x, F.abs(x), e))))
 
 
 def quoted(s: Column) -> Column:
     """A string as Python's repr writes it (printable characters stand as they are)."""
-    body = F.replace(F.replace(F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
-    single, double = F.contains(s, F.lit("'")), F.contains(s, F.lit('"'))
-    return F.when(single & ~double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+    def made(s: Column) -> Column:
+        body = F.replace(F.replace(F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
+        single, double = F.contains(s, F.lit("'")), F.contains(s, F.lit('"'))
+        return F.when(single & ~double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+    return let(s, made)
 
 
 def json_text(s: Column) -> Column:
@@ -260,17 +275,22 @@ class Variant(Node):
 
     @property
     def _class(self) -> Column:
-        return F.regexp_extract(F.schema_of_variant(self.c), "^[A-Z]+", 0)
+        return F.substring_index(F.schema_of_variant(self.c), "(", 1)
 
     def is_type(self, name):
+        """Of objects and arrays by what they can be read as: their class would be spelled out to the last leaf."""
+        match name:
+            case "object":
+                return F.try_variant_get(self.c, "$", "map<string,variant>").isNotNull()
+            case "array":
+                return F.try_variant_get(self.c, "$", "array<variant>").isNotNull()
         k = self._class
         match name:
             case "integer":
-                x = F.try_variant_get(self.c, "$", "double")
-                return k.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | (k.isin("DECIMAL", "DOUBLE", "FLOAT") & is_whole(x))
+                return k.isin(*NUMBERS) & F.coalesce(is_whole(F.try_variant_get(self.c, "$", "double")), F.lit(False))
             case "number":
-                return k.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DECIMAL", "DOUBLE", "FLOAT")
-        return k == {"string": "STRING", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT", "null": "VOID"}[name]
+                return k.isin(*NUMBERS)
+        return k == {"string": "STRING", "boolean": "BOOLEAN", "null": "VOID"}[name]
 
     def number(self):
         return F.when(self.is_type("number"), F.try_variant_get(self.c, "$", "double"))
@@ -279,7 +299,7 @@ class Variant(Node):
         return F.when(self.is_type("string"), F.try_variant_get(self.c, "$", "string"))
 
     def array(self):
-        return F.when(self.is_type("array"), F.try_variant_get(self.c, "$", "array<variant>"))
+        return F.try_variant_get(self.c, "$", "array<variant>")
 
     def element(self, c):
         return Variant(c)
@@ -292,17 +312,21 @@ class Variant(Node):
         return Variant(F.try_variant_get(self.c, f"$[{quote}{name}{quote}]", "variant"))
 
     def keys(self):
-        return F.when(self.is_type("object"), F.coalesce(F.json_object_keys(F.to_json(self.c)), F.array().cast("array<string>")))
+        return F.map_keys(F.try_variant_get(self.c, "$", "map<string,variant>"))
 
     def values(self):
-        return F.map_entries(F.when(self.is_type("object"), F.try_variant_get(self.c, "$", "map<string,variant>"))), Variant
+        return F.map_entries(F.try_variant_get(self.c, "$", "map<string,variant>")), Variant
 
     def json(self):
-        return F.when(self.is_type("number"), number_text(F.try_variant_get(self.c, "$", "double"))).otherwise(F.to_json(self.c))
+        return let(self._class, lambda k: F.when(k.isin(*NUMBERS), number_text(F.try_variant_get(self.c, "$", "double"))).otherwise(F.to_json(self.c)))
 
     def shown(self):
-        k = self._class
-        return F.when(k == "STRING", quoted(F.try_variant_get(self.c, "$", "string"))).when(k == "BOOLEAN", F.initcap(F.to_json(self.c))).when(k == "VOID", F.lit("None")).when(self.is_type("number"), number_text(F.try_variant_get(self.c, "$", "double"), python=True)).otherwise(self.json())
+        def by_class(k: Column) -> Column:
+            double, text = F.try_variant_get(self.c, "$", "double"), F.try_variant_get(self.c, "$", "string")
+            named = F.when(k == "STRING", quoted(text)).when(k == "BOOLEAN", F.initcap(F.to_json(self.c))).when(k == "VOID", F.lit("None"))
+            return named.when(k.isin(*NUMBERS), number_text(double, python=True)).otherwise(F.to_json(self.c))
+
+        return let(self._class, by_class)
 
 
 @dataclass
