@@ -40,8 +40,9 @@ def components(links: DataFrame) -> DataFrame:
     joins with them carry one row per link, on whose hub side Spark splits a large partition. Rounds grow with the
     logarithm of the longest path. Links of an id with itself keep it as a component of its own."""
     stars = cut(links.select("a", "b").mapInArrow(_forest, "a long, b long").distinct(), "links")
-    rows = stars.count()
-    mark = None
+    state = lambda t: t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    mark = state(stars)
+    rows = mark[0]
     while True:
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -51,10 +52,9 @@ def components(links: DataFrame) -> DataFrame:
         pair = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
         small = large.join(low, "a").select(F.inline(pair))
         stars = cut(small.where("a > b").union(large.where("a = b")).distinct(), "stars", 2 * rows)
-        now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
+        before, mark = mark, state(stars)
+        if mark == before:
             break
-        mark = now
     ends = stars.select(F.col("a").alias("id"), F.col("b").alias("component")).union(stars.select(F.col("b").alias("id"), F.col("b").alias("component")))
     return ends.groupBy("id").agg(F.min("component").alias("component"))
 

@@ -251,7 +251,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = made.where("n > 0").groupBy(*digest).agg(lead.alias(P + "lead"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"), F.first("sig").alias("sig"))
     classes = cut(classes.select(*digest, P + "lead.*", "copies", "tokens", "sig"), "classes")
     reps, count = classes.select("id", "n", "tokens", "sig"), classes.count()
-    label = cut(components(cut(_candidates(reps, count, plan), "candidates")), "components", count)
+    label = cut(components(_candidates(reps, count, plan)), "components", count)
     sides = F.greatest(F.ceil(F.count(F.lit(1)) / plan.exact_sets), F.ceil(F.sum("n") / plan.exact_shingles)).alias("blocks")
     named = label.withColumnRenamed("component", "key").join(classes.select("id", "n", "doc", "version", "copies"), "id")
     sizes = cut(named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), sides), "sizes", count)
