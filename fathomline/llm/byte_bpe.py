@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ._work import P, table
 
-#: Entries of a worker's table of known matches; when it is full it starts anew.
-KNOWN = 250_000
+#: Entries of a worker's table of known matches, and characters of one: longer matches are not kept. A full table starts anew.
+KNOWN, KEPT = 250_000, 48
 
 
 def byte_chars() -> list[str]:
@@ -62,8 +62,11 @@ class Codec:
             if len(self.known) + len(new) > KNOWN:
                 self.known = {}
                 new = list(set(found))
+            long = {}
             for piece, coded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(coded.ids, dtype=np.int32).tobytes()
+                (self.known if len(piece) <= KEPT else long)[piece] = np.array(coded.ids, dtype=np.int32).tobytes()
+            if long:
+                return np.frombuffer(b"".join(long[m] if m in long else self.known[m] for m in found), dtype=np.int32)
         return np.frombuffer(b"".join(map(self.known.__getitem__, found)), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
