@@ -142,8 +142,13 @@ def round_trip(text: Column | str, ranks, pattern: str, with_offsets: bool = Fal
         for batch in batches:
             texts = batch if with_offsets else ()
             coded = [codec.ids(t.as_py() or "") for t in batch]
-            places = pa.array([_offsets(t.as_py() or "", i, codec.bytes_of) for t, i in zip(texts, coded, strict=False)], kind) if with_offsets else pa.nulls(len(batch), kind)
-            yield pa.StructArray.from_arrays([_lists(coded), pa.array([codec.decode(i) for i in coded], pa.binary()), places], names=["ids", "decoded", "offsets"])
+            places = pa.array(
+                [_offsets(t.as_py() or "", i, codec.bytes_of) for t, i in zip(texts, coded, strict=False)], kind,
+            ) if with_offsets else pa.nulls(len(batch), kind)
+            yield pa.StructArray.from_arrays(
+                [_lists(coded), pa.array([codec.decode(i) for i in coded], pa.binary()), places],
+                names=["ids", "decoded", "offsets"],
+            )
 
     return run(text)
 
@@ -163,7 +168,10 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "te
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    done = byte_bpe(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    done = byte_bpe(
+        table(spark, sf_dir, "documents").select("doc_id", "text"),
+        public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN,
+    )
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -24,10 +24,23 @@ from ._words import LETTERS, Words, mix, slices, windows, words
 from ._work import HOT, cut, sole, table
 
 # Words that are numbers, units (after a number) and first names.
-NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half third quarter dozen twice".split()
-UNITS = "mm cm m km in inch inches ft foot feet yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur percent degree degrees celsius fahrenheit mph kmh watt watts volt volts joule joules meter meters metre metres".split()
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
+    "eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half "
+    "third quarter dozen twice"
+).split()
+UNITS = (
+    "mm cm m km in inch inches ft foot feet yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound "
+    "pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute "
+    "minutes h hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur "
+    "percent degree degrees celsius fahrenheit mph kmh watt watts volt volts joule joules meter meters metre metres"
+).split()
 SCALES = ["hundred", "thousand", "million", "billion"]
-NAMES = "alice bob carol dave eve tom mary john james anna emma liam noah olivia ava mia lucas ethan sarah david daniel maria peter paul jack kate lucy sam ben max leo mark lisa julia laura kevin brian jason susan karen linda robert michael william".split()
+NAMES = (
+    "alice bob carol dave eve tom mary john james anna emma liam noah olivia ava mia lucas ethan sarah david daniel "
+    "maria peter paul jack kate lucy sam ben max leo mark lisa julia laura kevin brian jason susan karen linda robert "
+    "michael william"
+).split()
 
 _NUM, _QUANTITY, _NAME = (np.uint64(x) for x in (0x4E554D5F5F5F5F5F, 0x554E49545F5F5F5F, 0x4E414D455F5F5F5F))
 _TINY = np.isin(np.arange(256), [*b".!?:;\n\"'([{|*#"])  # what a sentence may start after, besides spaces
@@ -117,7 +130,9 @@ def _before(x: np.ndarray) -> np.ndarray:
     return before
 
 
-def _windows(texts: list[str], sizes: tuple[tuple[int, ...], tuple[int, ...]], least_words: int, known: Vocabulary) -> Iterator[tuple[Parts, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]]:
+def _windows(
+    texts: list[str], sizes: tuple[tuple[int, ...], tuple[int, ...]], least_words: int, known: Vocabulary,
+) -> Iterator[tuple[Parts, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]]:
     """Parts, window hashes, hashes of the windows' values, places, whether they hold least_words different words, size and kind (0 as
     written, 1 without case) of the texts; sizes by kind."""
     w = words(texts, LETTERS)
@@ -134,7 +149,10 @@ def _windows(texts: list[str], sizes: tuple[tuple[int, ...], tuple[int, ...]], l
 FOUND = "id long, version long, place int, begin int, end int, window long, kind int, enough boolean, own long, names array<long>"
 
 
-def _rows(ids: pa.RecordBatch, texts: pa.Array | list[str | None], sizes: tuple[tuple[int, ...], tuple[int, ...]], least_words: int, known: Vocabulary, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _rows(
+    ids: pa.RecordBatch, texts: pa.Array | list[str | None], sizes: tuple[tuple[int, ...], tuple[int, ...]],
+    least_words: int, known: Vocabulary, wanted: np.ndarray | None,
+) -> Iterator[pa.RecordBatch]:
     """Windows as rows of FOUND (ids: id and version of the texts; begin, end: the words that they cover); with wanted (a
     bit map, see bits()) only those in it. A window of few words has two rows: by its hash, and, as one of enough words,
     by that of its values."""
@@ -213,7 +231,11 @@ def _passage(windows: list[dict], total: int, min_words: int, min_share: float)
     return best
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 8, min_words: int = 13, min_share: float = 0.5, least_words: int = 3, known: Vocabulary = Vocabulary()) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    item_id_col: str = "item_id", item_text_col: str = "text", window: int = 8, min_words: int = 13,
+    min_share: float = 0.5, least_words: int = 3, known: Vocabulary = Vocabulary(),
+) -> DataFrame:
     """Pairs of a document and a benchmark item of which it holds a passage: id, item_id, words, share, exact.
 
     A passage is a run of touching windows (`window` words or placeholders each, shorter items whole) on one alignment that
@@ -229,7 +251,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     benchmark's windows and passes on only windows in it. A window that many documents hold is joined in parts.
     """
     spark = docs.sparkSession
-    named = lambda df, i, t: sole(df, {"id": i, "text": t}).where("id is not null").select(F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("version"), "text")
+    named = lambda df, i, t: sole(df, {"id": i, "text": t}).where("id is not null").select(
+        F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("version"), "text",
+    )
     items = named(benchmark, item_id_col, item_text_col)
 
     def lengths(text: str | None) -> tuple[int, int]:
@@ -249,7 +273,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         """An item's windows: of `window` places, or, if it is shorter, of its own length."""
         for b in batches:
             for k, t in enumerate(b.column("text").to_pylist()):
-                yield from _rows(b.slice(k, 1).select(["id", "version"]), [t], tuple((min(window, n),) if n else () for n in lengths(t)), least_words, known, None)
+                yield from _rows(
+                    b.slice(k, 1).select(["id", "version"]), [t],
+                    tuple((min(window, n),) if n else () for n in lengths(t)), least_words, known, None,
+                )
 
     renamed = {"id": "item_id", "version": "item_version", "place": "item_place", "own": "item_own", "names": "item_names"}
     bench = cut(items.mapInArrow(own_size, FOUND).withColumnsRenamed(renamed), "benchmark-windows")
@@ -270,7 +297,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     columns = [*place, "item_place", "begin", "end", "item_own", "own", "item_names", "names"]
     aligned = asked.drop("enough", "parts").join(strong.drop("enough", "parts"), ["window", "kind", "part"]).withColumn("shift", F.col("place") - F.col("item_place")).select(*columns)
     # by the places that an alignment gives them, never by their hash alone, which many documents may hold
-    due = aligned.select(*place).distinct().join(bench.where("not enough").drop("enough"), ["item_id", "item_version", "kind"]).withColumn("place", F.col("item_place") + F.col("shift"))
+    due = aligned.select(*place).distinct().join(
+        bench.where("not enough").drop("enough"), ["item_id", "item_version", "kind"],
+    ).withColumn("place", F.col("item_place") + F.col("shift"))
     beside = found.where("not enough").drop("enough").join(due, ["id", "version", "kind", "place", "window"]).select(*columns)
     names = F.transform(F.arrays_zip("item_names", "names"), lambda p: F.array(p["item_names"], p["names"]))
     spot = F.struct(F.col("item_place").alias("place"), "begin", "end", (F.col("item_own") == F.col("own")).alias("exact"), names.alias("names"))
@@ -287,7 +316,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return pa.array(out, pa.struct([("words", pa.int32()), ("share", pa.float64()), ("exact", pa.bool_())]))
 
     passages = windows_of.join(totals, ["item_id", "item_version", "kind"]).select("id", "item_id", passage("windows", "total").alias("best")).where("best is not null")
-    best = [F.max("best.words").alias("words"), F.max("best.share").alias("share"), F.max(F.col("best.exact").cast("int")).cast("boolean").alias("exact")]
+    best = [
+        F.max("best.words").alias("words"), F.max("best.share").alias("share"),
+        F.max(F.col("best.exact").cast("int")).cast("boolean").alias("exact"),
+    ]
     return passages.groupBy("id", "item_id").agg(*best).withColumnRenamed("id", id_col)
 
 

@@ -240,7 +240,9 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     greatest vector counts. An empty table gives an empty one; further columns play no part. Equal vectors are indexed
     once and counted as often as they stand there."""
     spark = vectors.sparkSession
-    base = sole(vectors, {"id": id_col, "v": vector_col}).where("id is not null").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    base = sole(vectors, {"id": id_col, "v": vector_col}).where("id is not null").select(
+        F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"),
+    )
     if not base.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty():
         base = base.groupBy("id").agg(F.max("v").alias("v"))
     most = base.where(F.size("v") > 0).groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), F.desc("n")).first()
@@ -248,7 +250,10 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     if most is None:
         return alone.withColumn("kept", F.lit(True)).withColumnRenamed("id", id_col)
     dim = most["n"]
-    sound = F.coalesce((F.size("v") == dim) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0), F.lit(False))
+    sound = F.coalesce(
+        (F.size("v") == dim) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0),
+        F.lit(False),
+    )
     classes = cut(base.where(sound).groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "vectors")
     count_of = classes.count()
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(plan.trained_on(count_of)).select("v").toArrow().column("v").combine_chunks()
@@ -286,7 +291,9 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 homes, asked = (np.bincount(k, minlength=len(keys)) for k in (n[: len(ball)], n[len(ball) :]))
                 yield pa.record_batch({"list": pa.array(keys // width), "ball": pa.array(keys % width - 1), "residents": pa.array(homes), "own": pa.array(asked)})
 
-    sizes = indexed.mapInArrow(count, "list long, ball long, residents long, own long").groupBy("list", "ball").agg(F.sum("residents").alias("residents"), F.sum("own").alias("own"))
+    sizes = indexed.mapInArrow(count, "list long, ball long, residents long, own long").groupBy("list", "ball").agg(
+        F.sum("residents").alias("residents"), F.sum("own").alias("own"),
+    )
     asked = sizes.groupBy("list").agg(F.sum("own").alias("asked"))
     sizes = sizes.where("residents > 0").join(asked, "list").orderBy("list", "ball").toPandas()
     queries = sizes["asked"].to_numpy() - np.where(sizes["ball"].to_numpy() >= 0, sizes["own"].to_numpy(), 0)
@@ -328,7 +335,9 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     each = found.groupBy("id").agg(F.sum("linked").alias("linked")).join(within, "id", "left").withColumnRenamed("id", "class_id")
     final = classes.select("v", F.col("id").alias("class_id"), "copies").join(each, "class_id", "left")
     done = base.select("id", F.when(sound, F.col("v")).alias("v")).join(final, "v", "left").select(
-        "id", F.coalesce(F.col("copies") - 1 + F.coalesce("linked", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "class_id", "id").alias("component_id")
+        "id", F.coalesce(
+            F.col("copies") - 1 + F.coalesce("linked", F.lit(0)), F.lit(0),
+        ).cast("long").alias("n_links"), F.coalesce("component", "class_id", "id").alias("component_id")
     )
     return done.withColumn("kept", F.col("id") == F.col("component_id")).withColumnRenamed("id", id_col)
 
@@ -339,7 +348,10 @@ def _repeated(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return np.repeat(x, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - start, n)
 
 
-def _dealt(rows: pa.RecordBatch, row: np.ndarray, part: np.ndarray, lists: np.ndarray, one: np.ndarray, two: np.ndarray, query: bool) -> pa.RecordBatch:
+def _dealt(
+    rows: pa.RecordBatch, row: np.ndarray, part: np.ndarray, lists: np.ndarray, one: np.ndarray, two: np.ndarray,
+    query: bool,
+) -> pa.RecordBatch:
     taken = rows.take(pa.array(row))
     keys = {k: pa.array(v.astype(np.int32)) for k, v in (("part", part), ("one", one), ("two", two), ("list", lists))}
     return pa.record_batch({**keys, "query": pa.array(np.full(len(row), query)), **{c: taken.column(c) for c in taken.schema.names}})

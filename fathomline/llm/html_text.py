@@ -21,8 +21,19 @@ from pyspark.sql import functions as F
 from ._work import P, others, table
 
 # Elements by how they bound and hold text.
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
-CONTAINERS = frozenset("article aside blockquote body button details dialog div dl fieldset figure footer form header html iframe main menu nav noscript object ol section select table template ul".split())
+BLOCKS = frozenset(
+    (
+        "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer "
+        "form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary "
+        "table tbody td tfoot th thead title tr ul"
+    ).split()
+)
+CONTAINERS = frozenset(
+    (
+        "article aside blockquote body button details dialog div dl fieldset figure footer form header html iframe main "
+        "menu nav noscript object ol section select table template ul"
+    ).split()
+)
 SILENT = frozenset("script style title textarea xmp noembed noframes iframe svg math canvas audio video".split())
 BOILER_TAGS = frozenset("nav header footer aside form button select noscript template dialog menu object fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -168,7 +179,10 @@ def blocks(page: str, known: frozenset[str] = BOILER_WORDS) -> list[Block]:
     return found
 
 
-FEATURES = ("boilerplate element", "text outside of the named container", "inside the article", "page has an article", "words", "link density", "words before", "link density before", "words after", "link density after", "heading")
+FEATURES = (
+    "boilerplate element", "text outside of the named container", "inside the article", "page has an article",
+    "words", "link density", "words before", "link density before", "words after", "link density after", "heading",
+)
 
 
 def describe(found: list[Block]) -> list[list[float]]:

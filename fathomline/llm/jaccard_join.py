@@ -243,12 +243,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null, empty and blank texts have no shingles: they link with nothing and are a class each. Rows without an id are
     left out. Rows that repeat an id are compared one by one, with equal or other texts. An empty table gives an empty
     one; further columns of docs play no part."""
-    base = sole(docs, {"id": id_col, "t": text_col}).where("id is not null").select(F.col("id").cast("long").alias("id"), F.coalesce("t", F.lit("")).alias("t"))
+    base = sole(docs, {"id": id_col, "t": text_col}).where("id is not null").select(
+        F.col("id").cast("long").alias("id"), F.coalesce("t", F.lit("")).alias("t"),
+    )
     base = base.withColumn("version", F.xxhash64("t"))
     made = cut(sketch(base, plan).withColumn("row", F.monotonically_increasing_id()), "sketches")
     lead = F.min(F.struct(F.col("id").alias("doc"), F.col("row").alias("id"), "version"))
     digest = ["d1", "d2", "n"]
-    classes = made.where("n > 0").groupBy(*digest).agg(lead.alias(P + "lead"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"), F.first("sig").alias("sig"))
+    classes = made.where("n > 0").groupBy(*digest).agg(
+        lead.alias(P + "lead"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"),
+        F.first("sig").alias("sig"),
+    )
     classes = cut(classes.select(*digest, P + "lead.*", "copies", "tokens", "sig"), "classes")
     reps, count = classes.select("id", "n", "tokens", "sig"), classes.count()
     label = cut(components(_candidates(reps, count, plan)), "components", count)
@@ -264,19 +269,30 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 part = batch.slice(at, len(texts))
                 yield pa.record_batch({**{c: part.column(c) for c in ("key", "blocks", "id", "copies")}, "shingles": pa.array(sets, pa.binary())})
 
-    texts = sifted(base.withColumnRenamed("id", "doc"), members, ["doc", "version"]).join(members, ["doc", "version"]).select("key", "blocks", "id", "copies", "t")
+    texts = sifted(
+        base.withColumnRenamed("id", "doc"), members, ["doc", "version"],
+    ).join(members, ["doc", "version"]).select("key", "blocks", "id", "copies", "t")
     sets = texts.mapInArrow(shingles, "key long, blocks long, id long, copies long, shingles binary")
     blocks = _in_blocks(sets, "key", F.col("blocks")).select("key", "one", "two", "id", "copies", "shingles", "side")
     found = cut(grouped(blocks, ["key", "one", "two"]).mapInArrow(lambda b: _exact(b, plan), "id long, linked long, root long"), "links")
     within = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     each = found.groupBy("id").agg(F.sum("linked").alias("linked")).join(within, "id").join(classes.select("id", "doc"), "id")
     first = each.groupBy("component").agg(F.min(F.struct("doc", "id")).alias(P + "first"), F.count(F.lit(1)).alias("m"))
-    each = join_counted(each.drop("doc"), first, ["component"], "m", count).select("id", "linked", F.col(P + "first.doc").alias("component_id"), F.col(P + "first.id").alias("keeper"))
+    each = join_counted(each.drop("doc"), first, ["component"], "m", count).select(
+        "id", "linked", F.col(P + "first.doc").alias("component_id"), F.col(P + "first.id").alias("keeper"),
+    )
     final = cut(classes.select(*digest, "id", F.col("doc").alias("class_id"), "copies").join(each, "id", "left"), "final", count)
     mine = join_counted(made.where("n > 0").select(F.col("id").alias("doc"), "version", "row", *digest), final, digest, "copies", made.count())
     links = (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
-    linked = mine.select(F.col("doc").alias(id_col), "version", "class_id", links, F.coalesce("component_id", "class_id").alias("component_id"), (F.col("row") == F.coalesce("keeper", "id")).alias("kept"))
-    blank = made.where("n = 0").select(F.col("id").alias(id_col), "version", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    linked = mine.select(
+        F.col("doc").alias(id_col), "version", "class_id", links,
+        F.coalesce("component_id", "class_id").alias("component_id"),
+        (F.col("row") == F.coalesce("keeper", "id")).alias("kept"),
+    )
+    blank = made.where("n = 0").select(
+        F.col("id").alias(id_col), "version", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
+        F.col("id").alias("component_id"), F.lit(True).alias("kept"),
+    )
     return linked.union(blank)
 
 

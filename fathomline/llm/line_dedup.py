@@ -71,7 +71,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = joined.withColumn(P + "kept", F.array_join(left, "\n"))
     out = {id_col: F.col(d), text_col: F.col(P + "kept"), **{c: F.col(f"`{c}`") for c in rest}}
     order = [c for c in docs.columns if c in out] + [c for c in out if c not in docs.columns]
-    return kept.select(*[out[c].alias(c) for c in order], n.cast("long").alias("n_lines"), F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_dropped"))
+    return kept.select(
+        *[out[c].alias(c) for c in order], n.cast("long").alias("n_lines"),
+        F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_dropped"),
+    )
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

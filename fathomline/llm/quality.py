@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 
 from ._work import others, sole, table
 
-FEATURES = ("chars", "words", "word_length", "longest_word", "different_words", "different_pairs", "lines", "different_lines", "words_a_line", "upper", "lower", "digits", "spaces", "beyond_ascii", "signs", "commonest_sign", "ends_of_sentences", "entropy", "short_words", "signs_a_word")
+FEATURES = (
+    "chars", "words", "word_length", "longest_word", "different_words", "different_pairs", "lines",
+    "different_lines", "words_a_line", "upper", "lower", "digits", "spaces", "beyond_ascii", "signs",
+    "commonest_sign", "ends_of_sentences", "entropy", "short_words", "signs_a_word",
+)
 
 _BYTE = np.arange(256)
 _KINDS = np.stack([(_BYTE >= 65) & (_BYTE <= 90), (_BYTE >= 97) & (_BYTE <= 122), (_BYTE >= 48) & (_BYTE <= 57), np.isin(_BYTE, [9, 10, 11, 12, 13, 32]), _BYTE >= 128]).astype(np.float64)
@@ -61,7 +65,10 @@ class Forest:
         return 1 / (1 + np.exp(-(self.base + self.value[at].sum(axis=1))))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, least: float = 2.0, penalty: float = 1.0) -> Forest:
+def fit(
+    x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64,
+    least: float = 2.0, penalty: float = 1.0,
+) -> Forest:
     """Boosted trees for the logistic loss: splits between quantile bins by gain, each child with `least` summed curvature.
 
     No rows: every score is 0.5. One class only: no tree splits, and scores tend to that class."""
@@ -88,7 +95,10 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
                         continue
                     gl = np.cumsum(np.bincount(coded[rows, j], grad[rows], len(cuts[j]) + 1))[:-1]
                     hl = np.cumsum(np.bincount(coded[rows, j], curve[rows], len(cuts[j]) + 1))[:-1]
-                    gain = np.where((hl >= least) & (h - hl >= least), gl**2 / (hl + penalty) + (g - gl) ** 2 / (h - hl + penalty) - g**2 / (h + penalty), -1)
+                    gain = np.where(
+                        (hl >= least) & (h - hl >= least),
+                        gl**2 / (hl + penalty) + (g - gl) ** 2 / (h - hl + penalty) - g**2 / (h + penalty), -1,
+                    )
                     k = int(gain.argmax())
                     best = max(best, (float(gain[k]), j, k))
             if best[1] < 0:
@@ -99,7 +109,10 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
             a, b = (_leaf(feature, threshold, left, right, value) for _ in range(2))
             feature[node], threshold[node], left[node], right[node], value[node] = j, float(cuts[j][k]), a, b, 0.0
             queue += [(rows[goes], level + 1, a), (rows[~goes], level + 1, b)]
-    return Forest(np.array(roots, int), np.array(feature, int), np.array(threshold, float), np.array(left, int), np.array(right, int), np.array(value, float), base, depth)
+    return Forest(
+        np.array(roots, int), np.array(feature, int), np.array(threshold, float), np.array(left, int),
+        np.array(right, int), np.array(value, float), base, depth,
+    )
 
 
 def _leaf(feature: list, threshold: list, left: list, right: list, value: list) -> int:
@@ -124,13 +137,18 @@ def document_statistics(text: Column | str) -> Column:
     return run(text)
 
 
-def learn(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000) -> Forest:
+def learn(
+    docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    sample: int = 20_000,
+) -> Forest:
     """Trees fitted on the labelled rows given: on a sample of at most `sample` ids, those with the least hash of the id.
 
     An id with several labels counts by the smallest; null ids, null labels and labels without a document don't count."""
     lab = sole(labelled, {"i": id_col, "y": label_col}).where("i is not null and y is not null").groupBy("i").agg(F.min("y").alias("y"))
     chosen = lab.orderBy(F.xxhash64("i"), "i").limit(sample)
-    rows = sole(docs, {"i": id_col, "t": text_col}).join(F.broadcast(chosen), "i").select("i", document_statistics(F.coalesce("t", F.lit(""))).alias("x"), (F.col("y") > 0).cast("double").alias("y")).toPandas().sort_values("i")
+    rows = sole(docs, {"i": id_col, "t": text_col}).join(F.broadcast(chosen), "i").select(
+        "i", document_statistics(F.coalesce("t", F.lit(""))).alias("x"), (F.col("y") > 0).cast("double").alias("y"),
+    ).toPandas().sort_values("i")
     return fit(np.stack(rows["x"].to_list()) if len(rows) else np.empty((0, len(FEATURES))), rows["y"].to_numpy())
 
 
@@ -156,4 +174,7 @@ def held_out(doc_id: Column | str) -> Column:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     forest = learn(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id")))
-    return quality(docs, forest).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return quality(docs, forest).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )

@@ -140,10 +140,16 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             origin, own = _origin(words), _terms(set(words))
             rows += [(t, origin if t in own else None, 1, 0) for t in held]
         rows += [(t, None, 0, n) for t, n in clean.items()]
-        yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["term", "origin", "tox", "non"])
+        yield pa.record_batch(
+            [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))],
+            names=["term", "origin", "tox", "non"],
+        )
 
 
-def learn(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, min_origins: int = 4, min_log_odds: float = 2.0, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
+def learn(
+    docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    sample: int = 20_000, min_origins: int = 4, min_log_odds: float = 2.0, exceptions: tuple[str, ...] = EXCEPTIONS,
+) -> Model:
     """A Model from the labelled rows given.
 
     It is fitted on a sample of at most `sample` labelled ids (those with the least hash of the id). Terms are
@@ -155,12 +161,17 @@ def learn(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     spared = tuple(dict.fromkeys(fold(x) for x in exceptions))
     lab = sole(labelled, {"i": id_col, "y": label_col}).where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y"))
     chosen = lab.orderBy(F.xxhash64("i"), "i").limit(sample)
-    rows = cut(sole(docs, {"i": id_col, "t": text_col}).join(F.broadcast(chosen), "i").select("t", (F.col("y") > 0).cast("int").alias("y")), "toxicity-sample")
+    rows = cut(
+        sole(docs, {"i": id_col, "t": text_col}).join(F.broadcast(chosen), "i").select("t", (F.col("y") > 0).cast("int").alias("y")),
+        "toxicity-sample",
+    )
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_tox, n_non = n.get(1, 0), n.get(0, 0)
     if not n_tox or not n_non:
         return Model(exceptions=spared)
-    found = rows.select("t", "y").mapInArrow(_counts, "term string, origin long, tox long, non long").groupBy("term").agg(F.countDistinct("origin").alias("n"), F.sum("tox").alias("tox"), F.sum("non").alias("non"))
+    found = rows.select("t", "y").mapInArrow(_counts, "term string, origin long, tox long, non long").groupBy("term").agg(
+        F.countDistinct("origin").alias("n"), F.sum("tox").alias("tox"), F.sum("non").alias("non"),
+    )
     tox, non = F.col("tox") + 0.5, F.col("non") + 0.5
     reached = F.log(tox / (n_tox + 1)) - F.log(non / (n_non + 1)) - F.sqrt(1 / tox + 1 / non) >= min_log_odds - 1e-9
     kept = found.where((F.col("n") >= min_origins) & reached).orderBy(F.desc("n"), "term").collect()

@@ -36,7 +36,10 @@ def _base32(digest: bytes) -> str:
 
 def format_record(kind: str, record_id: str, block: bytes, fields: dict[str, str | None]) -> bytes:
     """One record, compressed as a member. Control characters and spaces in a field's value are percent-encoded."""
-    head = {"WARC-Type": kind, "WARC-Record-ID": record_id, **fields, "WARC-Block-Digest": f"sha1:{_base32(hashlib.sha1(block).digest())}", "Content-Length": str(len(block))}
+    head = {
+        "WARC-Type": kind, "WARC-Record-ID": record_id, **fields,
+        "WARC-Block-Digest": f"sha1:{_base32(hashlib.sha1(block).digest())}", "Content-Length": str(len(block)),
+    }
     clean = lambda v: _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", v)
     lines = [f"{k}: {v if k == 'Content-Type' else clean(v)}" for k, v in head.items() if v is not None]
     squeeze = zlib.compressobj(4, zlib.DEFLATED, 31)
@@ -45,7 +48,11 @@ def format_record(kind: str, record_id: str, block: bytes, fields: dict[str, str
 
 def _page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    fields = {"WARC-Date": date, "WARC-Target-URI": url, "WARC-Payload-Digest": f"sha1:{_base32(hashlib.sha1(payload).digest())}", "Content-Type": "application/http; msgtype=response", "X-Page-ID": None if page_id is None else str(page_id)}
+    fields = {
+        "WARC-Date": date, "WARC-Target-URI": url,
+        "WARC-Payload-Digest": f"sha1:{_base32(hashlib.sha1(payload).digest())}",
+        "Content-Type": "application/http; msgtype=response", "X-Page-ID": None if page_id is None else str(page_id),
+    }
     if revisit:
         fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:x-page:{refers_to}>"}
     name = f"<urn:x-page:{page_id}>" if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"
@@ -59,7 +66,9 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, payload_col: str,
     others revisit it. Rows without an id never are the one revisited, unless no row of the group has one: then all are
     responses. Only payloads that repeat are shuffled (and few others, by a bit map of the groups), and of these not
     those that are repeated most: fewer than HOT groups are broadcast to them."""
-    rows = sole(pages, {"page_id": id_col, "url": url_col, "payload": payload_col}).withColumn("payload", F.coalesce(F.col("payload").cast("string"), F.lit("")).cast("binary"))
+    rows = sole(pages, {"page_id": id_col, "url": url_col, "payload": payload_col}).withColumn(
+        "payload", F.coalesce(F.col("payload").cast("string"), F.lit("")).cast("binary"),
+    )
     d, n = P + "d", P + "n"
     rows = rows.withColumn(d, F.when(F.length("payload") >= min_revisit, F.unhex(F.sha1("payload"))))
     groups = rows.where(F.col(d).isNotNull()).groupBy(d).agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias(n)).where(F.col(n) > 1)
@@ -372,7 +381,9 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True, stream:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc{,.gz}").option("recursiveFileLookup", "true").load(path)
     if stream:
-        return files.select(F.regexp_replace("path", r"^file:/(?!/)", "file:///").alias("path"), "length").repartition("path").mapInArrow(read, SCHEMA)
+        return files.select(
+            F.regexp_replace("path", r"^file:/(?!/)", "file:///").alias("path"), "length",
+        ).repartition("path").mapInArrow(read, SCHEMA)
     return files.select("path", "content").mapInArrow(read, SCHEMA)
 
 
@@ -391,7 +402,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "warc")
     write_warc(plan_records(table(spark, sf_dir, "pages"), "page_id", "url", "html"), folder)
     back = read_warc(spark, f"{folder}/archives", with_payload=False).where(F.col("record_type").isin("response", "revisit"))
-    return back.select(F.col("fields")["x-page-id"].cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("refers_to").isNotNull(), _page(F.col("refers_to"))).alias("refers_to"))
+    return back.select(
+        F.col("fields")["x-page-id"].cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.when(F.col("refers_to").isNotNull(), _page(F.col("refers_to"))).alias("refers_to"),
+    )
 
 
 OP5_SQL = """
