@@ -108,11 +108,19 @@ def main(argv: list[str] | None = None) -> int:
     statuses, profiles = ("soft", "permissive", "enforced"), ("frontmatter-md", "pure-yaml")
     verb(
         "validate", validate, path, glob, (("--contract",), {}), (("--schema",), {}), (("--envelope",), {}), (("--model",), {}), (("--status",), {"choices": statuses}),
-        (("--profile",), {"default": "frontmatter-md", "choices": profiles}), (("--document-schema",), {"action": "append", "default": [], "help": "a schema that documents may name"}),
+        (("--profile",), {"default": "frontmatter-md", "choices": profiles}), (
+            ("--document-schema",), {"action": "append", "default": [], "help": "a schema that documents may name"},
+        ),
     )
     verb("inspect", inspect, path, glob)
-    verb("compile", compile_, (("model",), {}), (("--contract",), {"required": True}), (("--out",), {"required": True}), (("--schema-id",), {}), (("--check",), {"action": "store_true"}))
-    verb("generate", generate, path, glob, (("--schema",), {"action": "append", "default": []}), (("--check",), {"action": "store_true"}), (("--out",), {"default": "regenerated.parquet"}))
+    verb(
+        "compile", compile_, (("model",), {}), (("--contract",), {"required": True}),
+        (("--out",), {"required": True}), (("--schema-id",), {}), (("--check",), {"action": "store_true"}),
+    )
+    verb(
+        "generate", generate, path, glob, (("--schema",), {"action": "append", "default": []}),
+        (("--check",), {"action": "store_true"}), (("--out",), {"default": "regenerated.parquet"}),
+    )
     a = parser.parse_args(argv)
     try:
         return a.run(a)

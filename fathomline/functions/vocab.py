@@ -10,7 +10,10 @@ ARTIFACT_KINDS = (
     "artifact_unreadable", "artifact_invalid_utf8", "yaml_parse_error", "no_frontmatter", "frontmatter_not_mapping", "yaml_not_mapping", "contract_unknown", "envelope_mismatch", "envelope_ambiguous", "envelope_missing",
     "envelope_not_mapping", "document_metadata_invalid", "document_contract_mismatch", "schema_missing", "schema_invalid", "schema_violation", "enforcement_unsupported",
 )
-DECODE_CODES = ("yaml_duplicate_key", "yaml_alias", "yaml_merge_key", "yaml_custom_tag", "yaml_non_string_key", "yaml_limit", "number_out_of_range", "number_negative_zero", "yaml_unsupported_scalar")
+DECODE_CODES = (
+    "yaml_duplicate_key", "yaml_alias", "yaml_merge_key", "yaml_custom_tag", "yaml_non_string_key", "yaml_limit",
+    "number_out_of_range", "number_negative_zero", "yaml_unsupported_scalar",
+)
 WARNINGS = ("document-contract-mismatch", "document-status-mismatch")
 OUTCOMES = ("valid", "invalid", "input_error")
 STATUSES = ("soft", "permissive", "enforced")

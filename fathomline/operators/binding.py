@@ -62,10 +62,18 @@ def metadata(docs: DataFrame, dialect: Dialect = Dialect()) -> DataFrame:
         .when(~is_contract_id(contract), F.concat(F.lit("malformed contract ID '"), contract, F.lit("'")))
         .when(optional("schema"), F.lit("schema must be a non-empty string"))
         .when(optional("envelope"), F.lit("envelope must be a non-empty string"))
-        .when((types["status"] != "NoneType") & ~F.coalesce(F.col("m_status").isin(*STATUSES), F.lit(False)), F.lit("status must be soft, permissive or enforced"))
+        .when(
+            (types["status"] != "NoneType") & ~F.coalesce(F.col("m_status").isin(*STATUSES), F.lit(False)),
+            F.lit("status must be soft, permissive or enforced"),
+        )
+    )
+    meta = F.struct(
+        contract.alias("contract"), F.col("m_schema").alias("schema"), F.col("m_envelope").alias("envelope"),
+        F.col("m_status").alias("status"), error.alias("error"),
+    )
+    return d.withColumn("meta", F.when(m.isNotNull() & (kind != "NoneType"), meta)).drop(
+        "m", "m_kind", "own", "types", "unknown", *[f"m_{k}" for k in META_KEYS],
     )
-    meta = F.struct(contract.alias("contract"), F.col("m_schema").alias("schema"), F.col("m_envelope").alias("envelope"), F.col("m_status").alias("status"), error.alias("error"))
-    return d.withColumn("meta", F.when(m.isNotNull() & (kind != "NoneType"), meta)).drop("m", "m_kind", "own", "types", "unknown", *[f"m_{k}" for k in META_KEYS])
 
 
 def envelope(docs: DataFrame, host_key: Column, contract_id: Column, profile: Column, dialect: Dialect = Dialect()) -> DataFrame:
@@ -78,7 +86,9 @@ def envelope(docs: DataFrame, host_key: Column, contract_id: Column, profile: Co
     mine, declared = F.col("mine"), F.col("declared")
     d = d.withColumn("envelope_key", F.coalesce(declared, F.when(~yaml & (F.size(mine) == 1), F.get(mine, F.lit(0)))))
     key = F.col("envelope_key")
-    d = d.withColumn("value", F.when(F.array_contains("keys", key), F.element_at("members", key))).withColumn("value_type", variant_type(F.col("value")))
+    d = d.withColumn(
+        "value", F.when(F.array_contains("keys", key), F.element_at("members", key)),
+    ).withColumn("value_type", variant_type(F.col("value")))
     kind = (
         F.when(declared.isNotNull() & ~F.array_contains("keys", declared), "envelope_mismatch")
         .when(declared.isNull() & ~yaml & (F.size(mine) > 1), "envelope_ambiguous")
@@ -89,14 +99,22 @@ def envelope(docs: DataFrame, host_key: Column, contract_id: Column, profile: Co
     fault = F.col("fault")
     message = (
         F.when(fault == "envelope_mismatch", F.concat(F.lit("contract '"), contract_id, F.lit("' expects '"), declared, F.lit("'")))
-        .when(fault == "envelope_ambiguous", F.concat(F.lit("multiple top-level frontmatter keys; designate the payload (candidates: "), F.concat_ws(", ", mine), F.lit(")")))
+        .when(
+            fault == "envelope_ambiguous",
+            F.concat(F.lit("multiple top-level frontmatter keys; designate the payload (candidates: "), F.concat_ws(", ", mine), F.lit(")")),
+        )
         .when(fault == "envelope_missing", F.lit("document has no payload key beside its metadata"))
         .when(fault == "envelope_not_mapping", F.concat(F.lit("envelope value is "), F.col("value_type"), F.lit(", expected mapping")))
     )
     mismatch = fault == "envelope_mismatch"
-    error = F.struct(fault.alias("kind"), message.alias("message"), F.when(mismatch, declared).alias("expected_key"), F.when(mismatch, mine).alias("actual_keys"))
+    error = F.struct(
+        fault.alias("kind"), message.alias("message"), F.when(mismatch, declared).alias("expected_key"),
+        F.when(mismatch, mine).alias("actual_keys"),
+    )
     whole = F.to_json(F.map_filter("members", lambda k, v: k != dialect.meta_key))
-    d = d.withColumn("envelope_error", F.when(fault.isNotNull(), error)).withColumn("payload_json", F.when(fault.isNull(), F.when(key.isNotNull(), F.to_json("value")).otherwise(whole)))
+    d = d.withColumn("envelope_error", F.when(fault.isNotNull(), error)).withColumn(
+        "payload_json", F.when(fault.isNull(), F.when(key.isNotNull(), F.to_json("value")).otherwise(whole)),
+    )
     return d.drop("mine", "declared", "value", "value_type", "fault", "members")
 
 
@@ -122,7 +140,10 @@ def normal(path: Column) -> Column:
     bare = F.regexp_replace(path, "^file:", "")
     last = lambda a: F.try_element_at(a, F.lit(-1))
     start = F.array().cast("array<string>")
-    step = lambda a, p: F.when((p == "..") & (F.size(a) > 0) & F.coalesce(last(a) != "..", F.lit(True)), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(p.isin("", "."), a).otherwise(F.concat(a, F.array(p)))
+    step = lambda a, p: F.when(
+        (p == "..") & (F.size(a) > 0) & F.coalesce(last(a) != "..", F.lit(True)),
+        F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))),
+    ).when(p.isin("", "."), a).otherwise(F.concat(a, F.array(p)))
     return F.concat(F.when(bare.startswith("/"), "/").otherwise(""), F.array_join(F.aggregate(F.split(bare, "/"), start, step), "/"))
 
 

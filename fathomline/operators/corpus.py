@@ -100,7 +100,10 @@ def validate_corpus(
     d = d.withColumn("failure", failure)
     failure = F.col("failure")
     text = (
-        F.when(failure == "contract_unknown", F.concat(F.lit("no contract registered for '"), F.coalesce("contract_id", F.lit("<unknown>")), F.lit("'")))
+        F.when(
+            failure == "contract_unknown",
+            F.concat(F.lit("no contract registered for '"), F.coalesce("contract_id", F.lit("<unknown>")), F.lit("'")),
+        )
         .when(failure == F.col("kind"), F.col("message"))
         .when(failure == "no_frontmatter", F.concat(F.lit("no frontmatter in "), F.col("path").cast("string")))
         .when(failure == "yaml_not_mapping", F.concat(F.lit("YAML root is "), F.col("root_type"), F.lit(", expected mapping")))
@@ -110,10 +113,14 @@ def validate_corpus(
     )
     source = binding.schema_source(F.col("reg_schema"), F.col("meta.schema"), F.coalesce("reg_model", F.lit(False)))
     ref, path = F.coalesce("reg_schema", "meta.schema"), F.col("path").cast("string")
-    found = F.when(source == "host", binding.find_schema(ref, path, list(schemas), False)).when(source == "document", binding.find_schema(ref, path, list(schemas), True))
+    found = F.when(source == "host", binding.find_schema(ref, path, list(schemas), False)).when(
+        source == "document", binding.find_schema(ref, path, list(schemas), True),
+    )
     d = d.withColumn("failure_message", text).withColumn("schema_source", source).withColumn("schema_named", ref).withColumn("schema_ref", found)
     ref, source, in_catalogue = F.col("schema_named"), F.col("schema_source"), F.col("schema_ref").isNotNull()
-    missing = F.when(source == "host", F.when(~in_catalogue, F.concat(F.lit("compiled schema not found: "), ref))).when(source == "document", binding.document_schema_error(ref, in_catalogue))
+    missing = F.when(
+        source == "host", F.when(~in_catalogue, F.concat(F.lit("compiled schema not found: "), ref)),
+    ).when(source == "document", binding.document_schema_error(ref, in_catalogue))
     d = d.withColumn("schema_error", F.when(failure.isNull(), missing))
     evaluators = spark.sparkContext.broadcast((schemas, resources))
     meta_key = dialect.meta_key
@@ -161,7 +168,10 @@ def validate_corpus(
         kind.alias("kind"), null("array<string>").alias("path"), null("string").alias("validator"), null("string").alias("validator_value"), null("string").alias("value"), message.alias("message"), null("string").alias("reason"),
         (null("string") if key is None else key).alias("expected_key"), (null("array<string>") if keys is None else keys).alias("actual_keys"),
     )).cast(f"array<{ERROR}>")
-    errors = F.when(~fine, lone(F.col("failure"), F.col("failure_message"), F.col("envelope_error.expected_key"), F.col("envelope_error.actual_keys"))).when(F.col("schema_error").isNotNull(), lone(F.lit("schema_missing"), F.col("schema_error"))).otherwise(F.col("checked"))
+    errors = F.when(
+        ~fine,
+        lone(F.col("failure"), F.col("failure_message"), F.col("envelope_error.expected_key"), F.col("envelope_error.actual_keys")),
+    ).when(F.col("schema_error").isNotNull(), lone(F.lit("schema_missing"), F.col("schema_error"))).otherwise(F.col("checked"))
     skipped = F.when(fine & (F.col("schema_source") == "model"), "inferred_via_model").when(fine & (F.col("schema_source") == "none"), "no_schema")
     model_here = F.coalesce("reg_model", F.lit(False))
     warn = lambda code, m: F.struct(F.lit(code).alias("code"), m.alias("message"), F.lit("warning").alias("severity"))
@@ -178,7 +188,9 @@ def validate_corpus(
     first = F.get("errors", F.lit(0))["kind"]
     ok = structural_ok & semantic_ok
     return d.select(
-        "path", F.coalesce("contract_id", F.lit("<unknown>")).alias("contract_id"), "status", F.when(ok, "valid").when(first.isin("artifact_unreadable", "artifact_invalid_utf8"), "input_error").otherwise("invalid").alias("outcome"),
+        "path", F.coalesce("contract_id", F.lit("<unknown>")).alias("contract_id"), "status", F.when(ok, "valid").when(
+            first.isin("artifact_unreadable", "artifact_invalid_utf8"), "input_error",
+        ).otherwise("invalid").alias("outcome"),
         ok.alias("ok"), structural_ok.alias("structural_ok"), skipped.alias("structural_skipped"), "errors", semantic_ok.alias("semantic_ok"), F.when(~fine, F.col("failure")).when(~model_here, F.lit("no_semantic_model")).alias("semantic_skipped"),
         "semantic_errors", warnings.alias("warnings"), F.transform(warnings, lambda w: w["code"]).alias("warning_codes"), "envelope_key", "schema_source", F.when(fine, F.col("payload_json")).alias("payload_json"),
     )
@@ -190,7 +202,10 @@ def error_rows(results: DataFrame) -> DataFrame:
     part = lambda c: F.replace(F.replace(c, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
     pointer = F.concat_ws("", F.transform(F.col("col.path"), lambda p: F.concat(F.lit("/"), part(p))))
     rest = ("kind", "validator", "validator_value", "value", "message", "reason", "expected_key", "actual_keys")
-    return listed.select("path", F.col("pos").alias("ordinal"), F.when(F.col("col.path").isNotNull(), pointer).alias("json_path"), *[F.col(f"col.{c}") for c in rest])
+    return listed.select(
+        "path", F.col("pos").alias("ordinal"), F.when(F.col("col.path").isNotNull(), pointer).alias("json_path"),
+        *[F.col(f"col.{c}") for c in rest],
+    )
 
 
 def warning_rows(results: DataFrame) -> DataFrame:

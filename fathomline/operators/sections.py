@@ -64,10 +64,16 @@ def sections(docs: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("
     marker is not closed has a row with error and no section_no."""
     opens, block = _patterns(dialect)
     text = F.col(text_col)
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(block), F.lit(1)).alias("open"), F.regexp_extract_all(text, F.lit(block), F.lit(2)).alias("existing"))
+    pairs = F.arrays_zip(
+        F.regexp_extract_all(text, F.lit(block), F.lit(1)).alias("open"),
+        F.regexp_extract_all(text, F.lit(block), F.lit(2)).alias("existing"),
+    )
     rest = F.regexp_replace(text, block, "")
     stray = F.regexp_extract(rest, opens, 0)
-    found = docs.select(*keys, F.posexplode_outer(pairs)).where("pos is not null").select(*keys, F.col("pos").alias("section_no"), F.col("col.open").alias("open_marker"), F.col("col.existing").alias("existing"))
+    found = docs.select(*keys, F.posexplode_outer(pairs)).where("pos is not null").select(
+        *keys, F.col("pos").alias("section_no"), F.col("col.open").alias("open_marker"),
+        F.col("col.existing").alias("existing"),
+    )
     attrs = F.regexp_extract("open_marker", opens, 1)
     names = F.regexp_extract_all(attrs, F.lit(_ATTRIBUTE), F.lit(1))
     unknown = F.array_sort(F.array_distinct(F.array_except(names, F.array(*map(F.lit, (*KNOWN, "contract"))))))
@@ -80,7 +86,10 @@ def sections(docs: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("
         .when(F.coalesce(schema, F.lit("")) == "", F.concat(F.lit(f"{mark}: no 'schema' in "), F.col("open_marker")))
         .when(~kind.isin(*KINDS), F.concat(F.lit(f"{mark}: kind '"), kind, F.lit(f"' is none of {', '.join(sorted(KINDS))}")))
     )
-    good = found.select(*keys, "section_no", "open_marker", kind.alias("kind"), schema.alias("schema"), _attribute(attrs, "pointer").alias("pointer"), "existing", error.alias("error"))
+    good = found.select(
+        *keys, "section_no", "open_marker", kind.alias("kind"), schema.alias("schema"),
+        _attribute(attrs, "pointer").alias("pointer"), "existing", error.alias("error"),
+    )
     where = F.locate(stray, text) if isinstance(stray, str) else F.instr(text, stray)
     null = F.lit(None).cast("string")
     bad = docs.where(stray != "").select(
@@ -94,7 +103,11 @@ def drift(found: DataFrame, schemas: dict[str, dict], dialect: Dialect = Dialect
     """sections() with rendered and drift; a schema or enum that is not there is an error of the section."""
     table = rendered(found.sparkSession, schemas, dialect)
     pointer = F.when(F.col("kind") == "vocab", F.coalesce("pointer", F.lit(""))).otherwise(F.lit(""))
-    joined = found.join(F.broadcast(table), (F.col("schema") == F.col("r_schema")) & (F.col("kind") == F.col("r_kind")) & (pointer == F.col("r_pointer")), "left")
+    joined = found.join(
+        F.broadcast(table),
+        (F.col("schema") == F.col("r_schema")) & (F.col("kind") == F.col("r_kind")) & (pointer == F.col("r_pointer")),
+        "left",
+    )
     there = F.col("schema").isin(list(schemas)) if schemas else F.lit(False)
     error = (
         F.when(F.col("error").isNotNull(), F.col("error"))
@@ -108,7 +121,10 @@ def drift(found: DataFrame, schemas: dict[str, dict], dialect: Dialect = Dialect
 
 def drift_by_document(drifted: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """keys, sections, drift, errors per document."""
-    return drifted.groupBy(*keys).agg(F.count("section_no").alias("sections"), F.coalesce(F.bool_or("drift"), F.lit(False)).alias("drift"), F.count("error").alias("errors"))
+    return drifted.groupBy(*keys).agg(
+        F.count("section_no").alias("sections"), F.coalesce(F.bool_or("drift"), F.lit(False)).alias("drift"),
+        F.count("error").alias("errors"),
+    )
 
 
 def regenerate(docs: DataFrame, schemas: dict[str, dict], text_col: str = "text", dialect: Dialect = Dialect()) -> DataFrame:
@@ -124,7 +140,10 @@ def regenerate(docs: DataFrame, schemas: dict[str, dict], text_col: str = "text"
     def one(marker: Column) -> Column:
         attrs = F.regexp_extract(marker, opens, 1)
         kind = _attribute(attrs, "kind")
-        at = F.concat_ws("\x1f", _attribute(attrs, "schema"), kind, F.when(kind == "vocab", F.coalesce(_attribute(attrs, "pointer"), F.lit(""))).otherwise(F.lit("")))
+        at = F.concat_ws(
+            "\x1f", _attribute(attrs, "schema"), kind,
+            F.when(kind == "vocab", F.coalesce(_attribute(attrs, "pointer"), F.lit(""))).otherwise(F.lit("")),
+        )
         return F.concat(marker, F.lit("\n"), F.try_element_at(known, at), F.lit(f"\n<!-- /{dialect.marker} -->"))
 
     pieces = F.split(text, block, -1)

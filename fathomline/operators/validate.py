@@ -53,7 +53,9 @@ def conditions(df: DataFrame, contract: Contract, column: str | None = None) ->
     if column is not None and isinstance(df.schema[column].dataType, T.VariantType):
         value, tree = F.col(f"`{column}`"), contract.tree()
         compile_schema(tree, Variant(value))  # NotColumnar belongs here, not into a lambda
-        return F.exists(F.array(value), lambda v: compile_schema(tree, Variant(v)).invalid()), let(value, lambda v: compile_schema(tree, Variant(v)).violations())
+        return F.exists(
+            F.array(value), lambda v: compile_schema(tree, Variant(v)).invalid(),
+        ), let(value, lambda v: compile_schema(tree, Variant(v)).violations())
     compiled = program(df, contract, column)
     return compiled.invalid(), compiled.violations()
 
@@ -82,7 +84,10 @@ def violations(df: DataFrame, contract: Contract, keys: list[str], column: str |
         listed = df.select(*keys, F.posexplode_outer(interpreted(as_json(df, column), contract))).where("pos is not null")
     part = lambda c: F.replace(F.replace(c, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
     pointer = F.concat_ws("", F.transform(F.col("col.json_path"), lambda p: F.concat(F.lit("/"), part(p))))
-    return listed.select(*keys, F.col("pos").alias("ordinal"), pointer.alias("json_path"), "col.validator", "col.validator_value", "col.value", "col.message")
+    return listed.select(
+        *keys, F.col("pos").alias("ordinal"), pointer.alias("json_path"), "col.validator", "col.validator_value",
+        "col.value", "col.message",
+    )
 
 
 def as_json(df: DataFrame, column: str | None) -> Column:
@@ -92,7 +97,11 @@ def as_json(df: DataFrame, column: str | None) -> Column:
 
 
 def flat_record(r: dict[str, Any]) -> dict[str, Any]:
-    return {"json_path": r["path"], "validator": r["validator"], "validator_value": canonical_or_json(r["validator_value"]), "value": canonical_or_json(r["value"]), "message": r["message"]}
+    return {
+        "json_path": r["path"], "validator": r["validator"],
+        "validator_value": canonical_or_json(r["validator_value"]), "value": canonical_or_json(r["value"]),
+        "message": r["message"],
+    }
 
 
 def canonical_or_json(value: Any) -> str:
@@ -113,7 +122,10 @@ def interpreted(text: Column, contract: Contract) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         evaluator = Evaluator(contract.tree())
         for batch in batches:
-            yield pa.array([[flat_record(r) for r in evaluator.violations(json.loads(t.as_py()))] if t.is_valid else [] for t in batch], pa.list_(ARROW_VIOLATION))
+            yield pa.array(
+                [[flat_record(r) for r in evaluator.violations(json.loads(t.as_py()))] if t.is_valid else [] for t in batch],
+                pa.list_(ARROW_VIOLATION),
+            )
 
     return run(text)
 
@@ -122,10 +134,16 @@ def outcomes(df: DataFrame, contract: Contract, keys: list[str], column: str | N
     """keys, contract_id, ok, n_violations, first_validator, outcome (valid or invalid)."""
     checked = validate_rows(df, contract, column)
     n = F.size("violations")
-    return checked.select(*keys, F.lit(contract.id).alias("contract_id"), (n == 0).alias("ok"), n.cast("long").alias("n_violations"), F.get("violations", F.lit(0))["validator"].alias("first_validator"), F.when(n == 0, "valid").otherwise("invalid").alias("outcome"))
+    return checked.select(
+        *keys, F.lit(contract.id).alias("contract_id"), (n == 0).alias("ok"), n.cast("long").alias("n_violations"),
+        F.get("violations", F.lit(0))["validator"].alias("first_validator"),
+        F.when(n == 0, "valid").otherwise("invalid").alias("outcome"),
+    )
 
 
 def violations_by_keyword(df: DataFrame, contract: Contract, column: str | None = None) -> DataFrame:
     """contract_id, json_path, validator, violations: counts, combined before the one small shuffle."""
     listed = violations(df, contract, [], column)
-    return listed.groupBy("json_path", "validator").agg(F.count(F.lit(1)).alias("violations")).select(F.lit(contract.id).alias("contract_id"), "json_path", "validator", "violations")
+    return listed.groupBy("json_path", "validator").agg(F.count(F.lit(1)).alias("violations")).select(
+        F.lit(contract.id).alias("contract_id"), "json_path", "validator", "violations",
+    )

@@ -34,7 +34,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---- tables -------------------------------------------------------------------------------------------------------
 
-ORDERS = Contract("shop:Orders/v1", {"type": "object", "properties": {"o_orderstatus": {"enum": ["F", "O"]}, "o_totalprice": {"type": "number", "maximum": 400000}, "o_orderpriority": {"type": "string", "pattern": "^[1-3]-"}}, "required": ["o_orderkey"]})
+ORDERS = Contract(
+    "shop:Orders/v1",
+    {"type": "object", "properties": {"o_orderstatus": {"enum": ["F", "O"]}, "o_totalprice": {"type": "number", "maximum": 400000}, "o_orderpriority": {"type": "string", "pattern": "^[1-3]-"}}, "required": ["o_orderkey"]},
+)
 ORDERS_SQL = """
 SELECT o_orderkey, '/o_orderstatus' AS json_path, 'enum' AS validator, 'value ''' || o_orderstatus || ''' is not one of [''F'', ''O'']' AS message FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
 UNION ALL SELECT o_orderkey, '/o_orderpriority', 'pattern', 'value ''' || o_orderpriority || ''' does not match pattern ''^[1-3]-''' FROM orders WHERE NOT regexp_matches(o_orderpriority, '^[1-3]-')
@@ -56,7 +59,10 @@ def by_keyword(spark, d):
 def first_violation(spark, d):
     first = F.get("violations", F.lit(0))
     checked = validate_rows(read(spark, d, "orders"), ORDERS).where(F.size("violations") > 0)
-    return checked.select("o_orderkey", F.concat(F.lit("/"), F.concat_ws("/", first["json_path"])).alias("json_path"), first["validator"].alias("validator"))
+    return checked.select(
+        "o_orderkey", F.concat(F.lit("/"), F.concat_ws("/", first["json_path"])).alias("json_path"),
+        first["validator"].alias("validator"),
+    )
 
 
 @query("outcome_by_contract", """
@@ -109,7 +115,10 @@ SELECT vec_id, count(*)::BIGINT AS n FROM (
   UNION ALL SELECT vec_id FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) WHERE x > 0.3::DOUBLE) GROUP BY vec_id
 """)
 def embedding_items(spark, d):
-    c = Contract("ml:Vector/v1", {"properties": {"embedding": {"type": "array", "minItems": 1, "maxItems": 63, "items": {"type": "number", "maximum": 0.3}}}})
+    c = Contract(
+        "ml:Vector/v1",
+        {"properties": {"embedding": {"type": "array", "minItems": 1, "maxItems": 63, "items": {"type": "number", "maximum": 0.3}}}},
+    )
     return violations(read(spark, d, "embeddings"), c, ["vec_id"]).groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -136,7 +145,9 @@ OPEN = {"type": "object", "properties": {"z": {"type": "string"}}}
 
 @query("event_props_enforced", "SELECT event_id, '' AS json_path, 'additionalProperties' AS validator, props AS value FROM (SELECT event_id, replace(props, ' ', '') AS props FROM events)")
 def event_props_enforced(spark, d):
-    return violations(event_props(spark, d), Contract("web:Props/v2", OPEN, status="enforced"), ["event_id"], "props").select("event_id", "json_path", "validator", "value")
+    return violations(
+        event_props(spark, d), Contract("web:Props/v2", OPEN, status="enforced"), ["event_id"], "props",
+    ).select("event_id", "json_path", "validator", "value")
 
 
 @query("event_props_permissive", "SELECT 'permissive' AS status, 0::BIGINT AS n_violations, count(*)::BIGINT AS n_rows FROM events")
@@ -182,13 +193,19 @@ def map_additional(spark, d):
 SELECT s_suppkey, 'maximum' AS validator FROM supplier WHERE s_nationkey < 5 AND s_acctbal > 5000 UNION ALL SELECT s_suppkey, 'minimum' FROM supplier WHERE NOT s_nationkey < 5 AND s_acctbal < 0
 """)
 def conditional(spark, d):
-    c = Contract("shop:Supplier/v1", {"if": {"properties": {"s_nationkey": {"exclusiveMaximum": 5}}}, "then": {"properties": {"s_acctbal": {"maximum": 5000}}}, "else": {"properties": {"s_acctbal": {"minimum": 0}}}})
+    c = Contract(
+        "shop:Supplier/v1",
+        {"if": {"properties": {"s_nationkey": {"exclusiveMaximum": 5}}}, "then": {"properties": {"s_acctbal": {"maximum": 5000}}}, "else": {"properties": {"s_acctbal": {"minimum": 0}}}},
+    )
     return violations(read(spark, d, "supplier"), c, ["s_suppkey"]).select("s_suppkey", "validator")
 
 
 @query("recursive_interpreted", "SELECT event_id, '/k' AS json_path, 'value ' || json_extract_string(props, '$.k') || ' is less than the minimum of 10' AS message FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) < 10")
 def recursive_interpreted(spark, d):
-    c = Contract("web:Tree/v1", {"$ref": "#/$defs/node", "$defs": {"node": {"type": "object", "properties": {"k": {"type": "integer", "minimum": 10}, "child": {"$ref": "#/$defs/node"}}}}})
+    c = Contract(
+        "web:Tree/v1",
+        {"$ref": "#/$defs/node", "$defs": {"node": {"type": "object", "properties": {"k": {"type": "integer", "minimum": 10}, "child": {"$ref": "#/$defs/node"}}}}},
+    )
     return violations(event_props(spark, d), c, ["event_id"], "props").select("event_id", "json_path", "message")
 
 
@@ -201,7 +218,11 @@ def semantic_order_invariant(spark, d):
 
 # ---- documents made from columns ----------------------------------------------------------------------------------
 
-DOC = {"type": "object", "properties": {"id": {"type": "integer", "maximum": 500}, "lang": {"enum": ["en", "de"]}, "note": {"type": "string"}}, "required": ["id", "lang"]}
+DOC = {
+    "type": "object",
+    "properties": {"id": {"type": "integer", "maximum": 500}, "lang": {"enum": ["en", "de"]}, "note": {"type": "string"}},
+    "required": ["id", "lang"],
+}
 DOC_CONTRACT = Contract("corpus:Doc/v1", DOC, schema_ref="doc.schema.yaml")
 SCHEMAS = {"doc.schema.yaml": DOC}
 
@@ -217,7 +238,10 @@ def lines(*parts):
 
 
 def good(id_="doc_id"):
-    return lines("---\nfathom: corpus:Doc/v1\ndoc:\n  id: ", F.col(id_), "\n  lang: ", F.col("lang"), "\n  day: 2026-07-11\n---\nbody of ", F.col("doc_id"))
+    return lines(
+        "---\nfathom: corpus:Doc/v1\ndoc:\n  id: ", F.col(id_), "\n  lang: ", F.col("lang"),
+        "\n  day: 2026-07-11\n---\nbody of ", F.col("doc_id"),
+    )
 
 
 @query("synth_frontmatter_roundtrip", "SELECT 'doc/' || doc_id AS path, doc_id::VARCHAR AS id, lang, '2026-07-11' AS day, 'body of ' || doc_id AS body FROM documents")
@@ -292,7 +316,10 @@ def binding_precedence(spark, d):
         )[k]
 
     host = Contract("corpus:Host/v1", envelope_key="doc", status="enforced", schema_ref="doc.schema.yaml")
-    return validate_corpus(decode_table(artifacts(spark, d, by_remainder(3, make)), "text"), [host, Contract("corpus:Free/v1")], SCHEMAS).select("path", "schema_source", "envelope_key", "status")
+    return validate_corpus(
+        decode_table(artifacts(spark, d, by_remainder(3, make)), "text"), [host, Contract("corpus:Free/v1")],
+        SCHEMAS,
+    ).select("path", "schema_source", "envelope_key", "status")
 
 
 @query("synth_status_warnings", """
@@ -331,14 +358,19 @@ SELECT doc_id, id, regexp_full_match(id, '(?:[a-z0-9_]+(?:\.[a-z0-9_]+)*:)?[A-Za
   SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang || ':Doc/' || source WHEN 1 THEN source || ' ' || lang WHEN 2 THEN '9' || source ELSE 'a.b:' || source END AS id FROM documents)
 """)
 def contract_id_grammar(spark, d):
-    made = F.when(F.col("doc_id") % 4 == 0, F.concat("lang", F.lit(":Doc/"), "source")).when(F.col("doc_id") % 4 == 1, F.concat("source", F.lit(" "), "lang")).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("9"), "source")).otherwise(F.concat(F.lit("a.b:"), "source"))
+    made = F.when(
+        F.col("doc_id") % 4 == 0, F.concat("lang", F.lit(":Doc/"), "source"),
+    ).when(F.col("doc_id") % 4 == 1, F.concat("source", F.lit(" "), "lang")).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("9"), "source")).otherwise(F.concat(F.lit("a.b:"), "source"))
     return read(spark, d, "documents").select("doc_id", made.alias("id")).withColumn("ok", binding.is_contract_id(F.col("id")))
 
 
 @query("inspect_envelope_keys", "SELECT 'doc/' || doc_id AS path, true AS has_frontmatter, 'corpus:Doc/v1' AS contract, 'zeta,alpha' AS envelope_keys FROM documents")
 def inspect_envelope_keys(spark, d):
     docs = decode_table(artifacts(spark, d, lines("---\nzeta: 1\nfathom: corpus:Doc/v1\nalpha: 2\n---\n")), "text")
-    return inspect_corpus(docs).select("path", "has_frontmatter", F.col("meta.contract").alias("contract"), F.concat_ws(",", "envelope_keys").alias("envelope_keys"))
+    return inspect_corpus(docs).select(
+        "path", "has_frontmatter", F.col("meta.contract").alias("contract"),
+        F.concat_ws(",", "envelope_keys").alias("envelope_keys"),
+    )
 
 
 @query("missing_files", "SELECT 'doc/' || doc_id AS path, 'artifact_unreadable' AS kind FROM documents WHERE doc_id % 7 = 0")
@@ -354,7 +386,9 @@ def files_missing(spark, d):
 MOVIE = {
     "type": "object", "required": ["title", "rating"], "x-fathom": {"contract": "films:Movie/v1"},
     "properties": {
-        "title": {"type": "string", "description": "Its name", "x-fathom": {"group": "core"}}, "rating": {"anyOf": [{"enum": ["G", "PG|13"], "type": "string"}, {"type": "null"}]},
+        "title": {
+            "type": "string", "description": "Its name", "x-fathom": {"group": "core"},
+        }, "rating": {"anyOf": [{"enum": ["G", "PG|13"], "type": "string"}, {"type": "null"}]},
         "cast": {"type": "array", "items": {"$ref": "#/$defs/Person"}}, "lead": {"$ref": "#/$defs/Person", "description": "Who leads"},
     },
     "$defs": {"Person": {"type": "object", "description": "Someone", "properties": {"name": {"type": "string"}, "role": {"type": "string", "enum": ["actor", "voice"]}}, "required": ["name"]}},
@@ -367,7 +401,10 @@ SELECT * FROM (VALUES (0, '/properties/title', 'string', NULL, true, 'Its name',
   AS t(ordinal, pointer, json_type, enum_values, required, description, softmeta)
 """)
 def schema_fields(spark, d):
-    return field_table(spark, {"movie": MOVIE}).select("ordinal", "pointer", "json_type", F.array_join("enum", ",").alias("enum_values"), "required", "description", "softmeta")
+    return field_table(spark, {"movie": MOVIE}).select(
+        "ordinal", "pointer", "json_type", F.array_join("enum", ",").alias("enum_values"), "required", "description",
+        "softmeta",
+    )
 
 
 @query("fields_by_group", "SELECT '/properties/title' AS pointer, 'core' AS grp")

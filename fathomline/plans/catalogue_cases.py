@@ -24,7 +24,10 @@ def id_of(path: str = "path"):
 
 def texts_by_id(spark, d, texts: list[str]) -> DataFrame:
     """doc_id and v (VARIANT): texts[doc_id % n] with @ for the id."""
-    text = F.replace(F.element_at(F.array(*map(F.lit, texts)), (F.col("doc_id") % len(texts) + 1).cast("int")), F.lit("@"), F.col("doc_id").cast("string"))
+    text = F.replace(
+        F.element_at(F.array(*map(F.lit, texts)), (F.col("doc_id") % len(texts) + 1).cast("int")), F.lit("@"),
+        F.col("doc_id").cast("string"),
+    )
     return read(spark, d, "documents").select("doc_id", F.parse_json(text).alias("v"))
 
 
@@ -34,24 +37,69 @@ def keyword_query(name: str, schema: dict, texts: list[str], found: dict[int, li
 
     @query(name, " UNION ALL ".join(cases))
     def run(spark, d):
-        return violations(texts_by_id(spark, d, texts), Contract(f"case:{name}/v1", schema), ["doc_id"], "v").select("doc_id", "json_path", "validator")
+        return violations(
+            texts_by_id(spark, d, texts), Contract(f"case:{name}/v1", schema), ["doc_id"], "v",
+        ).select("doc_id", "json_path", "validator")
 
 
 # ---- keywords -----------------------------------------------------------------------------------------------------
 
-keyword_query("array_sizes", {"properties": {"a": {"minItems": 2, "maxItems": 3}}}, ['{"a":[]}', '{"a":[@]}', '{"a":[1,2]}', '{"a":[1,2,3,@]}'], {0: [("/a", "minItems")], 1: [("/a", "minItems")], 3: [("/a", "maxItems")]})
-keyword_query("contains_counts", {"contains": {"type": "string"}, "minContains": 1, "maxContains": 2}, ['["@"]', "[@]", '["a","b","c"]'], {1: [("", "minContains")], 2: [("", "maxContains")]})
-keyword_query("prefix_items", {"prefixItems": [{"type": "integer"}, {"const": "kg"}], "items": False}, ['[@,"kg"]', '["@","kg"]', '[@,"lb"]', '[@,"kg",0]'], {1: [("/0", "type")], 2: [("/1", "const")], 3: [("/2", "False schema")]})
-keyword_query("object_sizes", {"minProperties": 1, "maxProperties": 2}, ["{}", '{"a":@}', '{"a":1,"b":2,"c":3}'], {0: [("", "minProperties")], 2: [("", "maxProperties")]})
-keyword_query("pattern_properties", {"patternProperties": {"_id$": {"type": "integer"}}, "additionalProperties": {"type": "string"}}, ['{"a_id":@}', '{"a_id":"@"}', '{"b":"x"}', '{"b":@}'], {1: [("/a_id", "type")], 3: [("/b", "type")]})
-keyword_query("dependent_required", {"dependentRequired": {"card": ["expiry", "name"]}}, ["{}", '{"card":@}', '{"card":1,"expiry":2,"name":3}'], {1: [("", "dependentRequired"), ("", "dependentRequired")]})
+keyword_query(
+    "array_sizes", {"properties": {"a": {"minItems": 2, "maxItems": 3}}},
+    ['{"a":[]}', '{"a":[@]}', '{"a":[1,2]}', '{"a":[1,2,3,@]}'],
+    {0: [("/a", "minItems")], 1: [("/a", "minItems")], 3: [("/a", "maxItems")]},
+)
+keyword_query(
+    "contains_counts", {"contains": {"type": "string"}, "minContains": 1, "maxContains": 2},
+    ['["@"]', "[@]", '["a","b","c"]'], {1: [("", "minContains")], 2: [("", "maxContains")]},
+)
+keyword_query(
+    "prefix_items", {"prefixItems": [{"type": "integer"}, {"const": "kg"}], "items": False},
+    ['[@,"kg"]', '["@","kg"]', '[@,"lb"]', '[@,"kg",0]'],
+    {1: [("/0", "type")], 2: [("/1", "const")], 3: [("/2", "False schema")]},
+)
+keyword_query(
+    "object_sizes", {"minProperties": 1, "maxProperties": 2}, ["{}", '{"a":@}', '{"a":1,"b":2,"c":3}'],
+    {0: [("", "minProperties")], 2: [("", "maxProperties")]},
+)
+keyword_query(
+    "pattern_properties",
+    {"patternProperties": {"_id$": {"type": "integer"}}, "additionalProperties": {"type": "string"}},
+    ['{"a_id":@}', '{"a_id":"@"}', '{"b":"x"}', '{"b":@}'], {1: [("/a_id", "type")], 3: [("/b", "type")]},
+)
+keyword_query(
+    "dependent_required", {"dependentRequired": {"card": ["expiry", "name"]}},
+    ["{}", '{"card":@}', '{"card":1,"expiry":2,"name":3}'],
+    {1: [("", "dependentRequired"), ("", "dependentRequired")]},
+)
 keyword_query("property_names", {"propertyNames": {"maxLength": 3}}, ['{"abc":1}', '{"abcd":@,"x":2}'], {1: [("", "maxLength")]})
-keyword_query("dependent_schemas", {"dependentSchemas": {"card": {"properties": {"pin": {"minimum": 1000}}}}}, ['{"pin":1}', '{"card":1,"pin":1}', '{"card":1,"pin":1234}'], {1: [("/pin", "minimum")]})
-keyword_query("unevaluated_properties", {"anyOf": [{"properties": {"lat": {}}, "required": ["lat"]}, {"properties": {"x": {}}, "required": ["x"]}], "unevaluatedProperties": False}, ['{"lat":@}', '{"lat":1,"x":2}', '{"lat":1,"y":2}'], {2: [("", "unevaluatedProperties")]})
-keyword_query("unevaluated_items", {"prefixItems": [True], "unevaluatedItems": {"type": "integer"}}, ['["@",1]', '[1,"@"]'], {1: [("", "unevaluatedItems")]})
-keyword_query("one_of", {"oneOf": [{"required": ["a"]}, {"required": ["b"]}], "not": {"required": ["c"]}}, ['{"a":@}', '{"a":1,"b":2}', "{}", '{"b":1,"c":@}'], {1: [("", "oneOf")], 2: [("", "oneOf")], 3: [("", "not")]})
-keyword_query("big_numbers", {"properties": {"n": {"type": "integer"}, "m": {"multipleOf": 0.1}, "t": {"multipleOf": 1e-13}}}, ['{"n":9.3e18}', '{"n":1e300}', '{"n":0.5}', '{"m":1e30}', '{"m":0.35}', '{"t":1e30}', '{"m":-0.3}'], {2: [("/n", "type")], 4: [("/m", "multipleOf")]})
-keyword_query("odd_names", {"properties": {'a"b': {"minimum": 5}, "it's": {"minimum": 5}, "q\"'": {"minimum": 5}, "": {"minimum": 5}}, "required": ['a"b']}, ['{"a\\"b":1}', '{"it\'s":1,"a\\"b":9}', '{"q\\"\'":1,"a\\"b":9}', '{"":1}'], {0: [("/a\"b", "minimum")], 1: [("/it''s", "minimum")], 2: [("/q\"''", "minimum")], 3: [("", "required"), ("/", "minimum")]})
+keyword_query(
+    "dependent_schemas", {"dependentSchemas": {"card": {"properties": {"pin": {"minimum": 1000}}}}},
+    ['{"pin":1}', '{"card":1,"pin":1}', '{"card":1,"pin":1234}'], {1: [("/pin", "minimum")]},
+)
+keyword_query(
+    "unevaluated_properties",
+    {"anyOf": [{"properties": {"lat": {}}, "required": ["lat"]}, {"properties": {"x": {}}, "required": ["x"]}], "unevaluatedProperties": False},
+    ['{"lat":@}', '{"lat":1,"x":2}', '{"lat":1,"y":2}'], {2: [("", "unevaluatedProperties")]},
+)
+keyword_query(
+    "unevaluated_items", {"prefixItems": [True], "unevaluatedItems": {"type": "integer"}}, ['["@",1]', '[1,"@"]'],
+    {1: [("", "unevaluatedItems")]},
+)
+keyword_query(
+    "one_of", {"oneOf": [{"required": ["a"]}, {"required": ["b"]}], "not": {"required": ["c"]}},
+    ['{"a":@}', '{"a":1,"b":2}', "{}", '{"b":1,"c":@}'], {1: [("", "oneOf")], 2: [("", "oneOf")], 3: [("", "not")]},
+)
+keyword_query(
+    "big_numbers", {"properties": {"n": {"type": "integer"}, "m": {"multipleOf": 0.1}, "t": {"multipleOf": 1e-13}}},
+    ['{"n":9.3e18}', '{"n":1e300}', '{"n":0.5}', '{"m":1e30}', '{"m":0.35}', '{"t":1e30}', '{"m":-0.3}'],
+    {2: [("/n", "type")], 4: [("/m", "multipleOf")]},
+)
+keyword_query(
+    "odd_names",
+    {"properties": {'a"b': {"minimum": 5}, "it's": {"minimum": 5}, "q\"'": {"minimum": 5}, "": {"minimum": 5}}, "required": ['a"b']}, ['{"a\\"b":1}', '{"it\'s":1,"a\\"b":9}', '{"q\\"\'":1,"a\\"b":9}', '{"":1}'], {0: [("/a\"b", "minimum")],
+    1: [("/it''s", "minimum")], 2: [("/q\"''", "minimum")], 3: [("", "required"), ("/", "minimum")]},
+)
 
 
 @query("pattern_braces", r"SELECT event_id, 'pattern' AS validator FROM events WHERE NOT regexp_matches(props, '^\{.*[13579]\}$')")
@@ -62,7 +110,10 @@ def pattern_braces(spark, d):
 
 @query("event_value_number", "SELECT event_id, 'multipleOf' AS validator FROM events WHERE (round(value * 100)::BIGINT) % 25 <> 0")
 def event_value_number(spark, d):
-    return violations(read(spark, d, "events").select("event_id", "value"), Contract("case:Value/v1", {"properties": {"value": {"multipleOf": 0.25}}}), ["event_id"]).select("event_id", "validator")
+    return violations(
+        read(spark, d, "events").select("event_id", "value"),
+        Contract("case:Value/v1", {"properties": {"value": {"multipleOf": 0.25}}}), ["event_id"],
+    ).select("event_id", "validator")
 
 
 # ---- corpora ------------------------------------------------------------------------------------------------------
@@ -81,10 +132,17 @@ def semantic_models(spark, d):
     from .example_models import Move
 
     def text(k):
-        return (lines("---\nfathom: case:Move/v1\nm: {direction: up, delta: ", F.col("doc_id"), "}\n---\n"), lines("---\nfathom: case:Move/v1\nm: {direction: down, delta: 0}\n---\n"), lines("---\nfathom: case:Free/v1\nm: {}\n---\n"))[k]
+        return (
+            lines("---\nfathom: case:Move/v1\nm: {direction: up, delta: ", F.col("doc_id"), "}\n---\n"),
+            lines("---\nfathom: case:Move/v1\nm: {direction: down, delta: 0}\n---\n"),
+            lines("---\nfathom: case:Free/v1\nm: {}\n---\n"),
+        )[k]
 
     found = corpus(spark, d, 3, text, (Contract("case:Move/v1"), Contract("case:Free/v1")), {}, models={"case:Move/v1": Move})
-    return found.select("path", "semantic_ok", "semantic_skipped", "structural_skipped", F.exists("semantic_errors", lambda e: e.contains("disagree")).alias("disagrees"))
+    return found.select(
+        "path", "semantic_ok", "semantic_skipped", "structural_skipped",
+        F.exists("semantic_errors", lambda e: e.contains("disagree")).alias("disagrees"),
+    )
 
 
 @query("semantic_rows", "SELECT l_orderkey, l_linenumber, l_shipdate >= o_orderdate AS semantic_ok FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1")
@@ -92,7 +150,10 @@ def semantic_rows(spark, d):
     from .example_models import Shipment
 
     first = read(spark, d, "lineitem").where("l_linenumber = 1").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = first.select("l_orderkey", "l_linenumber", F.to_json(F.struct(F.col("l_shipdate").cast("string").alias("l_shipdate"), F.col("o_orderdate").cast("string").alias("o_orderdate"))).alias("j"))
+    rows = first.select(
+        "l_orderkey", "l_linenumber",
+        F.to_json(F.struct(F.col("l_shipdate").cast("string").alias("l_shipdate"), F.col("o_orderdate").cast("string").alias("o_orderdate"))).alias("j"),
+    )
     return validate_values(rows, model=Shipment, column="j").select("l_orderkey", "l_linenumber", "semantic_ok")
 
 
@@ -107,7 +168,10 @@ def registry_lookup(spark, d):
 SELECT 'doc/' || doc_id AS path, CASE doc_id % 3 WHEN 0 THEN 'no_semantic_model' WHEN 1 THEN 'no_semantic_model' ELSE 'no_frontmatter' END AS semantic_skipped, CASE doc_id % 3 WHEN 1 THEN 'no_schema' END AS structural_skipped FROM documents
 """)
 def skip_reasons(spark, d):
-    text = lambda k: (lines("---\nfathom: corpus:Doc/v1\ndoc: {id: 1, lang: en}\n---\n"), lines("---\nfathom: case:Free/v1\ndoc: {}\n---\n"), lines("words"))[k]
+    text = lambda k: (
+        lines("---\nfathom: corpus:Doc/v1\ndoc: {id: 1, lang: en}\n---\n"),
+        lines("---\nfathom: case:Free/v1\ndoc: {}\n---\n"), lines("words"),
+    )[k]
     return corpus(spark, d, 3, text, (DOC_CONTRACT, Contract("case:Free/v1"))).select("path", "semantic_skipped", "structural_skipped")
 
 
@@ -118,10 +182,16 @@ SELECT 'doc/' || doc_id AS path, CASE doc_id % 4 WHEN 0 THEN 'a:One' WHEN 1 THEN
 def inferred_bindings(spark, d):
     def text(k):
         body = "\ndoc: {id: 1, lang: en, more: 1}\n---\n"
-        return (lines("---\nfathom: {contract: a:One, status: enforced, schema: doc.schema.yaml}" + body), lines("---\nfathom: a:Two" + body), lines("---\ndoc: {}\n---\n"), lines("---\nfathom: {contract: a:One, schema: doc.schema.yaml}" + body))[k]
+        return (
+            lines("---\nfathom: {contract: a:One, status: enforced, schema: doc.schema.yaml}" + body),
+            lines("---\nfathom: a:Two" + body), lines("---\ndoc: {}\n---\n"),
+            lines("---\nfathom: {contract: a:One, schema: doc.schema.yaml}" + body),
+        )[k]
 
     first = F.get("errors", F.lit(0))
-    return corpus(spark, d, 4, text, (), infer=True).select("path", "contract_id", "status", F.coalesce(first["validator"], first["kind"]).alias("error"))
+    return corpus(spark, d, 4, text, (), infer=True).select(
+        "path", "contract_id", "status", F.coalesce(first["validator"], first["kind"]).alias("error"),
+    )
 
 
 @query("warning_codes", "SELECT 'doc/' || doc_id AS path, CASE doc_id % 2 WHEN 1 THEN 'document-status-mismatch' ELSE '' END AS codes FROM documents")
@@ -138,7 +208,10 @@ def schema_paths(spark, d):
     text = lambda k: lines("---\nfathom: {contract: a:One, schema: " + ref[k] + "}\nv: {n: 9}\n---\n")
     first = F.get("errors", F.lit(0))
     found = corpus(spark, d, 5, text, (Contract("a:One"),), {"doc/s.yaml": {"properties": {"n": {"maximum": 5}}}})
-    return found.select("path", F.coalesce(first["validator"], first["kind"]).alias("error"), F.when(first["validator"].isNull(), first["message"]).alias("message"))
+    return found.select(
+        "path", F.coalesce(first["validator"], first["kind"]).alias("error"),
+        F.when(first["validator"].isNull(), first["message"]).alias("message"),
+    )
 
 
 @query("schema_resources", "SELECT 'doc/' || doc_id AS path, '/home' AS json_path, 'required' AS validator FROM documents WHERE doc_id % 2 = 1")
@@ -162,7 +235,10 @@ def decoded_roots(spark, d):
 @query("json_results", """SELECT event_id, '{"a":null,"event_id":' || event_id || ',"n":' || (event_id % 7) || ',"s":{"h":' || (CASE WHEN event_id % 2 = 0 THEN (event_id // 2)::VARCHAR ELSE (event_id // 2)::VARCHAR || '.5' END) || '}}' AS json FROM events""")
 def json_results(spark, d):
     id_ = F.col("event_id")
-    rows = read(spark, d, "events").select("event_id", F.struct((id_ / 2).alias("h")).alias("s"), (id_ % 7).cast("double").alias("n"), F.lit(None).cast("string").alias("a"))
+    rows = read(spark, d, "events").select(
+        "event_id", F.struct((id_ / 2).alias("h")).alias("s"), (id_ % 7).cast("double").alias("n"),
+        F.lit(None).cast("string").alias("a"),
+    )
     return results_json(rows).select(F.get_json_object("json", "$.event_id").cast("long").alias("event_id"), "json")
 
 
@@ -204,7 +280,9 @@ def schema_canonical_form(spark, d):
 
     given = {
         "bounds": {"type": "integer", "minimum": -_SAFE, "maximum": 9}, "keys": {"type": "object", "propertyNames": {"type": "string"}}, "nullable": {"oneOf": [{"type": "null"}, {"type": "string"}]},
-        "order": {"required": ["y", "x"], "properties": {"required": {"required": ["b", "a"]}}}, "three": {"oneOf": [{"type": "null"}, {"type": "string"}, {"type": "array"}]},
+        "order": {
+            "required": ["y", "x"], "properties": {"required": {"required": ["b", "a"]}},
+        }, "three": {"oneOf": [{"type": "null"}, {"type": "string"}, {"type": "array"}]},
     }
     return spark.createDataFrame([(k, canonical_json(canonicalize(v))) for k, v in given.items()], "name string, canonical string")
 
@@ -220,7 +298,9 @@ def compiled_model(spark, d):
     bare = {**made.schema, "x-fathom": {k: v for k, v in notes.items() if k != "schema_sha256"}}
     day = made.schema["properties"]["openDate"]
     rows = [
-        ("contract", notes["contract"]), ("field title", day["title"]), ("group", day["x-fathom"]["group"]), ("hash is of the schema without it", str(digest(bare) == notes["schema_sha256"]).lower()),
+        ("contract", notes["contract"]), ("field title", day["title"]), ("group", day["x-fathom"]["group"]), (
+            "hash is of the schema without it", str(digest(bare) == notes["schema_sha256"]).lower(),
+        ),
         ("id", made.schema["$id"]), ("title", made.schema["title"]),
     ]
     return spark.createDataFrame(rows, "what string, value string")
@@ -231,4 +311,7 @@ def schema_identity(spark, d):
     fields = SchemaFields(MOVIE)
     own, title = fields.identity(), fields.at("/properties/title")
     core = [f.pointer for f in fields.having("group", "core")]
-    return spark.createDataFrame([(own["contract_id"], own["schema_id"], own["schema_sha256"], p, title.description) for p in core], "contract_id string, schema_id string, schema_sha256 string, pointer string, description string")
+    return spark.createDataFrame(
+        [(own["contract_id"], own["schema_id"], own["schema_sha256"], p, title.description) for p in core],
+        "contract_id string, schema_id string, schema_sha256 string, pointer string, description string",
+    )

@@ -76,7 +76,10 @@ def quoted(s: Column) -> Column:
     """A string as Python's repr writes it (printable characters stand as they are)."""
 
     def made(s: Column) -> Column:
-        body = F.replace(F.replace(F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
+        body = F.replace(
+            F.replace(F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")),
+            F.lit("\t"), F.lit("\\t"),
+        )
         single, double = F.contains(s, F.lit("'")), F.contains(s, F.lit('"'))
         return F.when(single & ~double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'")))
 
@@ -318,7 +321,10 @@ class Variant(Node):
         return F.map_entries(F.try_variant_get(self.c, "$", "map<string,variant>")), Variant
 
     def json(self):
-        return let(self._class, lambda k: F.when(k.isin(*NUMBERS), number_text(F.try_variant_get(self.c, "$", "double"))).otherwise(F.to_json(self.c)))
+        return let(
+            self._class,
+            lambda k: F.when(k.isin(*NUMBERS), number_text(F.try_variant_get(self.c, "$", "double"))).otherwise(F.to_json(self.c)),
+        )
 
     def shown(self):
         def by_class(k: Column) -> Column:
@@ -343,7 +349,11 @@ class Check:
         text = keyword_text(self.keyword, self.limit)
         before, mark, after = text.partition("{v}")
         said = F.concat(F.lit(before), self.node.shown(), F.lit(after)) if mark else F.lit(text)
-        one = F.struct(self.path.alias("json_path"), F.lit(self.keyword).alias("validator"), F.lit(canonical_json(whole(self.limit))).alias("validator_value"), self.node.json().alias("value"), said.alias("message"))
+        one = F.struct(
+            self.path.alias("json_path"), F.lit(self.keyword).alias("validator"),
+            F.lit(canonical_json(whole(self.limit))).alias("validator_value"), self.node.json().alias("value"),
+            said.alias("message"),
+        )
         return F.when(self.bad, F.array(one.cast(VIOLATION))).otherwise(nothing())
 
 
@@ -513,7 +523,10 @@ class _Compiler:
                 child = node.element(F.get(array, F.lit(i)))
                 self.visit(sub, child, F.concat(path, F.array(F.lit(str(i)))), when & (F.size(array) > i) & child.there)
             return
-        below = lambda x, i: F.when((i >= len(first)) & node.element(x).there, self.sub(schema["items"], node.element(x), F.concat(path, F.array(i.cast("string")))).violations()).otherwise(nothing())
+        below = lambda x, i: F.when(
+            (i >= len(first)) & node.element(x).there,
+            self.sub(schema["items"], node.element(x), F.concat(path, F.array(i.cast("string")))).violations(),
+        ).otherwise(nothing())
         self.inner.append(F.when(when & array.isNotNull(), F.flatten(F.transform(array, below))).otherwise(nothing()))
 
     def _values(self, node: Node, by_pattern: dict[str, Any], path: Column, when: Column, match: Callable[[Column, str], Column]) -> None:
@@ -524,7 +537,10 @@ class _Compiler:
         entries, make = found
 
         def below(pattern: str, sub: Any) -> Callable[[Column], Column]:
-            return lambda e: F.when(match(e["key"], pattern), self.sub(sub, make(e["value"]), F.concat(path, F.array(e["key"]))).violations()).otherwise(nothing())
+            return lambda e: F.when(
+                match(e["key"], pattern),
+                self.sub(sub, make(e["value"]), F.concat(path, F.array(e["key"]))).violations(),
+            ).otherwise(nothing())
 
         for pattern, sub in by_pattern.items():
             self.inner.append(F.coalesce(F.when(when, F.flatten(F.transform(entries, below(pattern, sub)))), nothing()))
@@ -547,5 +563,7 @@ class _Compiler:
                     self.visit(limit, child, F.concat(path, F.array(F.lit(name))), when & child.there)
             return
         entries, make = found
-        below = lambda e: F.when(extra(e["key"]), self.sub(limit, make(e["value"]), F.concat(path, F.array(e["key"]))).violations()).otherwise(nothing())
+        below = lambda e: F.when(
+            extra(e["key"]), self.sub(limit, make(e["value"]), F.concat(path, F.array(e["key"]))).violations(),
+        ).otherwise(nothing())
         self.inner.append(F.coalesce(F.when(when, F.flatten(F.transform(entries, below))), nothing()))

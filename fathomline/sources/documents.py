@@ -124,4 +124,7 @@ def text_of(files: DataFrame) -> DataFrame:
 
 def missing_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Paths of the manifest that no file has: kind artifact_unreadable."""
-    return manifest.join(files.select("path"), "path", "left_anti").select("path", F.lit("artifact_unreadable").alias("kind"), F.concat(F.lit("no file at "), F.col("path")).alias("message"))
+    return manifest.join(files.select("path"), "path", "left_anti").select(
+        "path", F.lit("artifact_unreadable").alias("kind"),
+        F.concat(F.lit("no file at "), F.col("path")).alias("message"),
+    )
