@@ -172,6 +172,7 @@ def held_out(doc_id: Column | str) -> Column:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each row of documents, repeated ids too; held_out is null where the id is."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     forest = learn(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id")))
     return quality(docs, forest).select(

@@ -233,6 +233,7 @@ def learnt(spark: SparkSession, sf_dir: str, docs: DataFrame) -> Model:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each row of documents, repeated ids too; held_out is null where the id is."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity(docs, learnt(spark, sf_dir, docs))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
