@@ -52,7 +52,6 @@ def conditions(df: DataFrame, contract: Contract, column: str | None = None) ->
     A VARIANT is bound once for all checks: its expression, often the parsing of a text, would else stand in each of them."""
     if column is not None and isinstance(df.schema[column].dataType, T.VariantType):
         value, tree = F.col(f"`{column}`"), contract.tree()
-        compile_schema(tree, Variant(value))  # NotColumnar belongs here, not into a lambda
         return F.exists(
             F.array(value), lambda v: compile_schema(tree, Variant(v)).invalid(),
         ), let(value, lambda v: compile_schema(tree, Variant(v)).violations())

@@ -7,6 +7,7 @@ a Parquet scan; the violations are an array built only for rows that reach them.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -47,29 +48,33 @@ def is_whole(x: Column) -> Column:
     return x % 1 == 0
 
 
-def digits(x: Column) -> Column:
-    """A double in scientific notation with the fewest digits that read back as it."""
-    tries = [F.format_string(f"%.{n}e", x) for n in (14, 15, 16)]
-    return F.when(tries[0].try_cast("double") == x, tries[0]).when(tries[1].try_cast("double") == x, tries[1]).otherwise(tries[2])
-
-
 def let(x: Column, make: Callable[[Column], Column]) -> Column:
     """make(x) with x worked out once, however often make uses it: an expression that stands twice in a plan runs twice."""
     return F.get(F.transform(F.array(x), make), F.lit(0))
 
 
-def number_text(x: Column, python: bool = False) -> Column:
-    """A double as JSON writes it, or as Python's repr does; whole ones below 1e21 without a fraction in both."""
-    trim = lambda c: F.regexp_replace(F.regexp_replace(c.cast("string"), "0+$", ""), r"\.$", "")
+#: A double v in scientific notation with the fewest digits that read back as it.
+_DIGITS = "case " + " ".join(f"when try_cast(format_string('%.{n}e', v) as double) = v then format_string('%.{n}e', v)" for n in (14, 15)) + " else format_string('%.16e', v) end"
+
+
+def _trimmed(decimals: int) -> str:
+    return rf"regexp_replace(regexp_replace(cast(try_cast(e as decimal(38,{decimals})) as string), '0+$', ''), r'\.$', '')"
 
-    def spelled(x: Column, size: Column, exact: Column) -> Column:
-        plain = F.when(size >= 1, trim(exact.try_cast("decimal(38,17)"))).otherwise(trim(exact.try_cast("decimal(38,36)")))
-        power = F.regexp_replace(F.regexp_replace(exact, r"\.?0+e", "e"), r"e([+-])0(\d)$", "e$10$2" if python else "e$1$2")
-        whole = F.when(is_whole(x) & (size < 1e21), exact.try_cast("decimal(38,0)").cast("string"))
-        return whole.when((size >= (1e-4 if python else 1e-6)) & (size < 1e21), plain).otherwise(power)
 
-    small = lambda x: is_whole(x) & (F.abs(x) <= 2.0**53)
-    return let(x, lambda x: F.when(small(x), x.try_cast("bigint").cast("string")).otherwise(let(digits(x), lambda e: spelled(x, F.abs(x), e))))
+@functools.cache
+def _number_sql(python: bool) -> str:
+    """As a lambda's text, which is parsed once: as many Column calls would take longer than most checks run."""
+    least, power = ("1e-4D", "e$10$2") if python else ("1e-6D", "e$1$2")
+    other = rf"regexp_replace(regexp_replace(e, r'\.?0+e', 'e'), r'e([+-])0(\d)$', '{power}')"
+    plain = f"case when abs(v) >= 1 then {_trimmed(17)} else {_trimmed(36)} end"
+    spelled = f"case when v % 1 = 0 and abs(v) < 1e21D then cast(try_cast(e as decimal(38,0)) as string) when abs(v) >= {least} and abs(v) < 1e21D then {plain} else {other} end"
+    small = "v % 1 = 0 and abs(v) <= 9007199254740992D"
+    return f"v -> case when {small} then cast(try_cast(v as bigint) as string) else get(transform(array({_DIGITS}), e -> {spelled}), 0) end"
+
+
+def number_text(x: Column, python: bool = False) -> Column:
+    """A double as JSON writes it, or as Python's repr does; whole ones below 1e21 without a fraction in both."""
+    return F.get(F.call_function("transform", F.array(x), F.expr(_number_sql(python))), F.lit(0))
 
 
 def quoted(s: Column) -> Column:
@@ -168,6 +173,12 @@ class Node:
     def json(self) -> Column: ...
     def shown(self) -> Column: ...
 
+    def texts(self) -> tuple[Column, Column]:
+        """json() and shown(), made once for all checks of the node."""
+        if "_texts" not in self.__dict__:
+            self.__dict__["_texts"] = (self.json(), self.shown())
+        return self.__dict__["_texts"]
+
 
 @dataclass
 class Typed(Node):
@@ -347,11 +358,12 @@ class Check:
 
     def violation(self) -> Column:
         text = keyword_text(self.keyword, self.limit)
+        value, shown = self.node.texts()
         before, mark, after = text.partition("{v}")
-        said = F.concat(F.lit(before), self.node.shown(), F.lit(after)) if mark else F.lit(text)
+        said = F.concat(F.lit(before), shown, F.lit(after)) if mark else F.lit(text)
         one = F.struct(
             self.path.alias("json_path"), F.lit(self.keyword).alias("validator"),
-            F.lit(canonical_json(whole(self.limit))).alias("validator_value"), self.node.json().alias("value"),
+            F.lit(canonical_json(whole(self.limit))).alias("validator_value"), value.alias("value"),
             said.alias("message"),
         )
         return F.when(self.bad, F.array(one.cast(VIOLATION))).otherwise(nothing())
