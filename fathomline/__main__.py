@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import importlib
 import json
 import sys
 from collections.abc import Iterator
@@ -16,11 +15,6 @@ def _spark():
     return SparkSession.builder.appName("fathomline").config("spark.ui.showConsoleProgress", "false").getOrCreate()
 
 
-def _model(spec: str) -> type:
-    module, _, name = spec.partition(":")
-    return getattr(importlib.import_module(module), name)
-
-
 def _schemas(paths: list[str]) -> dict[str, dict]:
     from fathomline.operators.models import read_schema
 
@@ -42,6 +36,7 @@ def validate(a) -> int:
     from pyspark.sql import functions as F
 
     from fathomline.operators.corpus import validate_corpus
+    from fathomline.operators.models import named_model
     from fathomline.operators.validate import Contract
     from fathomline.sources.documents import decode_files, read_files
 
@@ -49,7 +44,7 @@ def validate(a) -> int:
         raise ValueError("--schema, --envelope and --model need --contract")
     files = decode_files(read_files(_spark(), a.path, a.glob), a.profile).withColumn("host_contract", F.lit(a.contract).cast("string"))
     contracts = [Contract(a.contract, envelope_key=a.envelope, schema_ref=a.schema)] if a.contract else []
-    models = {a.contract: _model(a.model)} if a.model else None
+    models = {a.contract: named_model(a.model)} if a.model else None
     schemas = _schemas([*([a.schema] if a.schema else []), *a.document_schema])
     found = validate_corpus(files, contracts, schemas, "host_contract", a.profile, models, infer=True, status=a.status)
     outcomes = {"usage" if r["contract_id"] == "<unknown>" else r["outcome"] for r in _print_rows(found)}
@@ -65,9 +60,9 @@ def inspect(a) -> int:
 
 def compile_(a) -> int:
     from fathomline.functions.canonical import canonical_json
-    from fathomline.operators.models import compile_model, read_schema, write_schema
+    from fathomline.operators.models import compile_model, named_model, read_schema, write_schema
 
-    made = compile_model(_model(a.model), a.contract, a.schema_id)
+    made = compile_model(named_model(a.model), a.contract, a.schema_id)
     if a.check:
         drift = not Path(a.out).is_file() or canonical_json(read_schema(a.out)) != canonical_json(made.schema)
         print(json.dumps({"drift": drift, "schema_sha256": made.schema_sha256}))

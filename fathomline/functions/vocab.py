@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -77,6 +78,8 @@ def shown(value) -> str:
     """A value as Python's repr writes it, but whole floats below 1e21 as integers, by their shortest digits."""
     if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
         return str(int(Decimal(repr(value))))
+    if isinstance(value, float) and not math.isfinite(value):
+        return "NaN" if value != value else "Infinity" if value > 0 else "-Infinity"
     if isinstance(value, list):
         return "[" + ", ".join(map(shown, value)) + "]"
     if isinstance(value, dict):

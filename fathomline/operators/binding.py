@@ -147,21 +147,6 @@ def normal(path: Column) -> Column:
     return F.concat(F.when(bare.startswith("/"), "/").otherwise(""), F.array_join(F.aggregate(F.split(bare, "/"), start, step), "/"))
 
 
-def find_schema(ref: Column, path: Column, schemas: list[str], from_document: bool) -> Column:
-    """The key of schemas that a reference names, else null. A host's: as given, below the document's folder, below the
-    working folder; a document's: below its folder, then below the working folder. Keys are paths, taken below the working folder if relative."""
-    if not schemas:
-        return F.lit(None).cast("string")
-    known = {normal_path(k): k for k in reversed(schemas)}
-    table = F.create_map(*[F.lit(x) for item in known.items() for x in item])
-    beside = normal(F.concat(F.regexp_replace(path, "[^/]*$", ""), ref))
-    at = lambda p: F.try_element_at(table, p)
-    plain = F.when(ref.isin(schemas), ref)
-    if from_document:
-        return F.coalesce(at(beside), at(normal(ref)))
-    return F.coalesce(plain, at(normal(ref)), F.when(~ref.startswith("/"), at(beside)))
-
-
 def document_schema_error(ref: Column, known: Column) -> Column:
     """Why a document's own schema reference is refused: absolute, leaving its folder, or not in the catalogue; else null.
 

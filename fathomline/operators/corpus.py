@@ -11,40 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions.vocab import Dialect
-from fathomline.plans.schema_tree import EnforcementUnsupported, SchemaInvalid, load
 
 from . import binding
-from .interpret import Evaluator
+from .schemas import catalogue, compiled, located
 from .validate import Contract, canonical_or_json
 
 ERROR = "struct<kind:string,path:array<string>,validator:string,validator_value:string,value:string,message:string,reason:string,expected_key:string,actual_keys:array<string>>"
 _ARROW_ERROR = pa.struct([("kind", pa.string()), ("path", pa.list_(pa.string())), ("validator", pa.string()), ("validator_value", pa.string()), ("value", pa.string()), ("message", pa.string()), ("reason", pa.string()), ("expected_key", pa.string()), ("actual_keys", pa.list_(pa.string()))])
 
 
-def _simple(kind: str, message: str, reason: str | None = None) -> dict[str, Any]:
-    return {"kind": kind, "message": message, "reason": reason}
-
-
-def prepared(schemas: dict[str, Any], resources: dict[str, dict] | None = None) -> dict[tuple[str, bool], Any]:
-    """By reference and strictness: an Evaluator, or the error record of a schema that can't be used."""
-    out: dict[tuple[str, bool], Any] = {}
-    for ref, schema in schemas.items():
-        for strict in (False, True):
-            try:
-                out[ref, strict] = Evaluator(load(schema, strict, resources))
-            except SchemaInvalid as e:
-                out[ref, strict] = _simple("schema_invalid", str(e), e.reason)
-            except EnforcementUnsupported as e:
-                out[ref, strict] = _simple("enforcement_unsupported", str(e))
-    return out
-
-
-def schema_table(spark, schemas: dict[str, Any], resources: dict[str, dict] | None = None) -> DataFrame:
-    """schema_ref, strict, load_kind, load_reason, load_message: which schemas can be used, before data is read."""
-    rows = [(ref, strict, *((v["kind"], v["reason"], v["message"]) if isinstance(v, dict) else (None, None, None))) for (ref, strict), v in prepared(schemas, resources).items()]
-    return spark.createDataFrame(rows, "schema_ref string, strict boolean, load_kind string, load_reason string, load_message string")
-
-
 def payload_of(root_json: str, key: str | None, meta_key: str) -> Any:
     root = json.loads(root_json)
     return root.get(key) if key is not None else {k: v for k, v in root.items() if k != meta_key}
@@ -53,7 +28,7 @@ def payload_of(root_json: str, key: str | None, meta_key: str) -> Any:
 def validate_corpus(
     docs: DataFrame,
     contracts: list[Contract],
-    schemas: dict[str, Any],
+    schemas: dict[str, Any] | DataFrame,
     contract_col: str | None = None,
     profile: str = "frontmatter-md",
     models: dict[str, type] | None = None,
@@ -67,10 +42,10 @@ def validate_corpus(
 
     The contract is contract_col's, else the one the document names. Host settings win over the document's: envelope,
     schema and status. With infer a contract needs no registration, and the status is the one given, else the document's,
-    else soft. resources: schemas that references may name beside their own. Schemas are named by path: a host's is looked
-    for as given, in the document's folder and in the working folder. Returns path, contract_id, status, outcome, ok, structural_ok, structural_skipped, errors,
+    else soft. schemas: by reference, or a catalogue (operators/schemas.py) of any size. resources: schemas that references may name beside their own. Schemas are named by path: a host's is looked
+    for as given, in the working folder and in the document's folder. Returns path, contract_id, status, outcome, ok, structural_ok, structural_skipped, errors,
     semantic_ok, semantic_skipped, semantic_errors (JSON), warnings, warning_codes, envelope_key, schema_source, payload_json.
-    Contracts and schemas are the driver's: they are few, and sent to the executors once."""
+    Contracts and resources are the driver's. A schema's text comes with the documents that it checks and is compiled once a worker."""
     spark = docs.sparkSession
     models = models or {}
     registry = spark.createDataFrame(
@@ -78,7 +53,7 @@ def validate_corpus(
     )
     d = binding.metadata(docs, dialect)
     d = d.withColumn("contract_id", F.coalesce(F.col(contract_col) if contract_col else F.lit(None).cast("string"), F.col("meta.contract")))
-    d = d.join(F.broadcast(registry), F.col("contract_id") == F.col("reg_id"), "left")
+    d = d.join(registry, F.col("contract_id") == F.col("reg_id"), "left")
     d = binding.envelope(d, F.col("reg_envelope"), F.col("contract_id"), F.lit(profile), dialect)
     known = F.col("reg_id").isNotNull() | (F.lit(infer) & F.col("contract_id").isNotNull())
     declared = F.when(F.col("meta.error").isNull(), F.col("meta.status"))
@@ -113,28 +88,23 @@ def validate_corpus(
     )
     source = binding.schema_source(F.col("reg_schema"), F.col("meta.schema"), F.coalesce("reg_model", F.lit(False)))
     ref, path = F.coalesce("reg_schema", "meta.schema"), F.col("path").cast("string")
-    found = F.when(source == "host", binding.find_schema(ref, path, list(schemas), False)).when(
-        source == "document", binding.find_schema(ref, path, list(schemas), True),
-    )
-    d = d.withColumn("failure_message", text).withColumn("schema_source", source).withColumn("schema_named", ref).withColumn("schema_ref", found)
+    d = d.withColumn("failure_message", text).withColumn("schema_source", source).withColumn("schema_named", ref)
+    d = located(d, catalogue(spark, schemas), F.col("schema_named"), path, F.col("schema_source"))
     ref, source, in_catalogue = F.col("schema_named"), F.col("schema_source"), F.col("schema_ref").isNotNull()
     missing = F.when(
         source == "host", F.when(~in_catalogue, F.concat(F.lit("compiled schema not found: "), ref)),
     ).when(source == "document", binding.document_schema_error(ref, in_catalogue))
     d = d.withColumn("schema_error", F.when(failure.isNull(), missing))
-    evaluators = spark.sparkContext.broadcast((schemas, resources))
     meta_key = dialect.meta_key
 
     @F.arrow_udf(f"array<{ERROR}>")
     def structural(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        ready = prepared(*evaluators.value)
-        for roots, keys, refs, strict in batches:
+        for roots, keys, texts, strict in batches:
             out = []
-            for root, key, ref_, s in zip(roots.to_pylist(), keys.to_pylist(), refs.to_pylist(), strict.to_pylist(), strict=True):
-                use = ready.get((ref_, s)) if ref_ is not None and root is not None else None
-                if use is None:
+            for root, key, text, s in zip(roots.to_pylist(), keys.to_pylist(), texts.to_pylist(), strict.to_pylist(), strict=True):
+                if root is None:
                     out.append([])
-                elif isinstance(use, dict):
+                elif isinstance(use := compiled(text, s, resources), dict):
                     out.append([use])
                 else:
                     out.append([r | {"validator_value": canonical_or_json(r["validator_value"]), "value": canonical_or_json(r["value"])} for r in use.violations(payload_of(root, key, meta_key))])
@@ -158,7 +128,7 @@ def validate_corpus(
 
     fine = F.col("failure").isNull()
     usable = fine & F.col("schema_error").isNull() & F.col("schema_source").isin("host", "document")
-    d = d.withColumn("checked", structural(F.when(usable, F.col("root_json")), F.col("envelope_key"), F.col("schema_ref"), status == "enforced"))
+    d = d.withColumn("checked", structural(F.when(usable, F.col("root_json")), F.col("envelope_key"), F.col("schema_text"), status == "enforced"))
     if models:
         d = d.withColumn("semantic_errors", semantic(F.when(fine, F.col("root_json")), F.col("envelope_key"), F.col("contract_id")))
     else:

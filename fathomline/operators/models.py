@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import os
 import tempfile
 from dataclasses import dataclass
@@ -10,9 +11,8 @@ from typing import Any
 from urllib.parse import urlparse
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.functions.canonical import canonical_json, digest
+from fathomline.functions.canonical import digest
 from fathomline.functions.vocab import Dialect
 from fathomline.plans.schema_tree import canonicalize
 from fathomline.sources.yaml12 import decode
@@ -63,6 +63,15 @@ def compile_model(model: type, contract_id: str, schema_id: str | None = None, d
     return Compiled(schema, yaml.safe_dump(schema, sort_keys=True, width=4096, allow_unicode=True), sha)
 
 
+def named_model(spec: str) -> type:
+    """The class that "module:Class" names; its module's code runs."""
+    module, _, name = spec.partition(":")
+    found = getattr(importlib.import_module(module), name, None) if module and name else None
+    if not isinstance(found, type):
+        raise ValueError(f"no model at {spec!r}: module:Class is needed")
+    return found
+
+
 def write_schema(compiled: Compiled, path: str) -> None:
     """Write the YAML so that readers see the old file or the new one, never a part."""
     target = Path(path)
@@ -82,9 +91,3 @@ def read_schema(path: str) -> dict:
     if not isinstance(root, dict):
         raise ValueError(f"schema at {path} is not a mapping at the root")
     return root
-
-
-def schema_drift(spark: SparkSession, committed: dict[str, dict], compiled: dict[str, dict]) -> DataFrame:
-    """schema_ref, drift: by canonical content, so formatting is none and false is not 0; one missing on a side is drift."""
-    rows = [(ref, ref not in committed or ref not in compiled or canonical_json(committed[ref]) != canonical_json(compiled[ref])) for ref in sorted({*committed, *compiled})]
-    return spark.createDataFrame(rows, "schema_ref string, drift boolean")

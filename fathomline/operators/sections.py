@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions.vocab import Dialect
 
-from .fields import SchemaFields
+from .fields import SchemaFields, fields_of
+from .schemas import TEXT, catalogue, mapped
 
 KINDS = ("enum_table", "field_list", "vocab")
 KNOWN = ("kind", "schema", "pointer", "sha256")
@@ -32,18 +34,23 @@ def vocab(values: list[str]) -> str:
     return "\n".join(f"- `{v}`" for v in values)
 
 
-def bodies(schemas: dict[str, dict], dialect: Dialect = Dialect()) -> list[tuple[str, str, str, str]]:
-    """(schema, kind, pointer, body): all that sections over these schemas can say."""
-    rows = []
-    for ref, schema in schemas.items():
-        fields = SchemaFields(schema, dialect)
-        rows += [(ref, "enum_table", "", enum_table(fields)), (ref, "field_list", "", field_list(fields))]
-        rows += [(ref, "vocab", f.pointer, vocab(f.enum)) for f in fields.all() if f.enum is not None]
-    return rows
+def bodies(fields: SchemaFields) -> Iterator[tuple[str, str, str]]:
+    """(kind, pointer, body): all that sections over a schema can say."""
+    yield "enum_table", "", enum_table(fields)
+    yield "field_list", "", field_list(fields)
+    for f in fields.all():
+        if f.enum is not None:
+            yield "vocab", f.pointer, vocab(f.enum)
 
 
-def rendered(spark: SparkSession, schemas: dict[str, dict], dialect: Dialect = Dialect()) -> DataFrame:
-    return spark.createDataFrame(bodies(schemas, dialect), "r_schema string, r_kind string, r_pointer string, body string")
+def rendered(schemas: DataFrame, dialect: Dialect = Dialect()) -> DataFrame:
+    """schema_ref, r_kind, r_pointer, body of a catalogue's schemas."""
+
+    def make(ref: str, text: str) -> Iterator[tuple]:
+        if (fields := fields_of(text, dialect)) is not None:
+            yield from bodies(fields)
+
+    return mapped(schemas, make, {"r_kind": TEXT, "r_pointer": TEXT, "body": TEXT})
 
 
 def _patterns(dialect: Dialect) -> tuple[str, str]:
@@ -99,16 +106,17 @@ def sections(docs: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("
     return good.unionByName(bad)
 
 
-def drift(found: DataFrame, schemas: dict[str, dict], dialect: Dialect = Dialect()) -> DataFrame:
-    """sections() with rendered and drift; a schema or enum that is not there is an error of the section."""
-    table = rendered(found.sparkSession, schemas, dialect)
+def drift(found: DataFrame, schemas: dict[str, dict] | DataFrame, dialect: Dialect = Dialect()) -> DataFrame:
+    """sections() with rendered and drift; a schema or enum that is not there is an error of the section.
+
+    schemas: by reference, or a catalogue: sections meet what their schemas say in one join, the schemas' names in another."""
+    known = catalogue(found.sparkSession, schemas)
     pointer = F.when(F.col("kind") == "vocab", F.coalesce("pointer", F.lit(""))).otherwise(F.lit(""))
+    said = rendered(known, dialect).withColumnRenamed("schema_ref", "r_schema")
     joined = found.join(
-        F.broadcast(table),
-        (F.col("schema") == F.col("r_schema")) & (F.col("kind") == F.col("r_kind")) & (pointer == F.col("r_pointer")),
-        "left",
-    )
-    there = F.col("schema").isin(list(schemas)) if schemas else F.lit(False)
+        said, (F.col("schema") == F.col("r_schema")) & (F.col("kind") == F.col("r_kind")) & (pointer == F.col("r_pointer")), "left",
+    ).join(known.select(F.col("schema_ref").alias("r_there")).distinct(), F.col("schema") == F.col("r_there"), "left")
+    there = F.col("r_there").isNotNull()
     error = (
         F.when(F.col("error").isNotNull(), F.col("error"))
         .when(~there, F.concat(F.lit(f"{dialect.marker}: no schema named "), F.col("schema")))
@@ -116,7 +124,7 @@ def drift(found: DataFrame, schemas: dict[str, dict], dialect: Dialect = Dialect
         .when(F.col("body").isNull(), F.concat(F.lit(f"{dialect.marker}: no values are listed at '"), F.col("pointer"), F.lit("'")))
     )
     text = F.concat(F.lit("\n"), F.col("body"), F.lit("\n"))
-    return joined.withColumn("error", error).withColumn("rendered", F.when(error.isNull(), text)).withColumn("drift", F.when(error.isNull(), text != F.col("existing"))).drop("r_schema", "r_kind", "r_pointer", "body")
+    return joined.withColumn("error", error).withColumn("rendered", F.when(error.isNull(), text)).withColumn("drift", F.when(error.isNull(), text != F.col("existing"))).drop("r_schema", "r_kind", "r_pointer", "r_there", "body")
 
 
 def drift_by_document(drifted: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
@@ -132,7 +140,7 @@ def regenerate(docs: DataFrame, schemas: dict[str, dict], text_col: str = "text"
 
     The rendered bodies are constants of the plan: no join, no shuffle."""
     _, block = _patterns(dialect)
-    all_ = bodies(schemas, dialect)
+    all_ = [(ref, *b) for ref, schema in schemas.items() for b in bodies(SchemaFields(schema, dialect))]
     known = F.create_map(*[F.lit(x) for s, k, p, b in all_ for x in ("\x1f".join((s, k, p)), b)]) if all_ else F.create_map(F.lit(""), F.lit(None).cast("string"))
     opens, _ = _patterns(dialect)
     text = F.col(text_col)

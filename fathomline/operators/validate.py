@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathomline.functions.canonical import canonical_json
-from fathomline.plans.columns import VIOLATION, NotColumnar, Program, Row, Typed, Variant, compile_schema, let
+from fathomline.plans.columns import VIOLATION, NotColumnar, Program, Row, Typed, Variant, compile_schema, json_text, let
+from fathomline.plans.columns import column as named
 from fathomline.plans.schema_tree import SchemaTree, load
 
 from .interpret import Evaluator
@@ -62,12 +63,11 @@ def conditions(df: DataFrame, contract: Contract, column: str | None = None) ->
 def validate_rows(df: DataFrame, contract: Contract, column: str | None = None) -> DataFrame:
     """df with violations (array of structs, sorted by path and keyword); the schema is checked before data is read.
 
-    Runs as Column expressions; recursive schemas and unevaluated*, dependentSchemas, propertyNames go to the row
-    interpreter over Arrow batches. In a typed row NULL is a missing property; a NULL VARIANT has no violations."""
+    Runs as Column expressions; recursive schemas, and what Java's patterns can't say, go to the row interpreter over Arrow batches. In a typed row NULL is a missing property; a NULL VARIANT has no violations."""
     try:
         _, found = conditions(df, contract, column)
     except NotColumnar:
-        found = interpreted(as_json(df, column), contract)
+        found = interpreted(as_json(df, column), contract, df.schema if column is None else df.schema[column].dataType)
     return df.withColumn("violations", found)
 
 
@@ -80,7 +80,7 @@ def violations(df: DataFrame, contract: Contract, keys: list[str], column: str |
         invalid, found = conditions(df, contract, column)
         listed = df.where(invalid).select(*keys, F.posexplode_outer(found))
     except NotColumnar:
-        listed = df.select(*keys, F.posexplode_outer(interpreted(as_json(df, column), contract))).where("pos is not null")
+        listed = df.select(*keys, F.posexplode_outer(interpreted(as_json(df, column), contract, df.schema if column is None else df.schema[column].dataType))).where("pos is not null")
     part = lambda c: F.replace(F.replace(c, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
     pointer = F.concat_ws("", F.transform(F.col("col.json_path"), lambda p: F.concat(F.lit("/"), part(p))))
     return listed.select(
@@ -89,10 +89,40 @@ def violations(df: DataFrame, contract: Contract, keys: list[str], column: str |
     )
 
 
-def as_json(df: DataFrame, column: str | None) -> Column:
+def as_json(df: DataFrame, column: str | None, texts: bool = False) -> Column:
+    """JSON of rows or of a column. A text column is a JSON string, as the Column path has it; with texts it holds JSON itself."""
     if column is None:
-        return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    return F.to_json(F.col(f"`{column}`")) if not isinstance(df.schema[column].dataType, T.StringType) else F.col(f"`{column}`")
+        return F.to_json(F.struct(*[named(c).alias(c) for c in df.columns]))
+    if isinstance(df.schema[column].dataType, T.StringType):
+        return named(column) if texts else json_text(named(column))
+    return F.to_json(named(column))
+
+
+def fractions(kind: T.DataType) -> bool:
+    """Whether a type holds doubles or floats."""
+    match kind:
+        case T.ArrayType():
+            return fractions(kind.elementType)
+        case T.MapType():
+            return fractions(kind.valueType)
+        case T.StructType():
+            return any(fractions(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.DoubleType, T.FloatType))
+
+
+def restored(value: Any, kind: T.DataType) -> Any:
+    """A JSON value with what JSON has to write as texts, infinities and NaN, as the numbers that they are in a column of that type."""
+    match kind:
+        case T.DoubleType() | T.FloatType() if isinstance(value, str):
+            return float(value)
+        case T.ArrayType() if isinstance(value, list) and fractions(kind):
+            return [restored(v, kind.elementType) for v in value]
+        case T.MapType() if isinstance(value, dict) and fractions(kind):
+            return {k: restored(v, kind.valueType) for k, v in value.items()}
+        case T.StructType() if isinstance(value, dict) and fractions(kind):
+            kinds = {f.name: f.dataType for f in kind.fields}
+            return {k: restored(v, kinds[k]) for k, v in value.items()}
+    return value
 
 
 def flat_record(r: dict[str, Any]) -> dict[str, Any]:
@@ -113,16 +143,17 @@ def canonical_or_json(value: Any) -> str:
 ARROW_VIOLATION = pa.struct([("json_path", pa.list_(pa.string())), ("validator", pa.string()), ("validator_value", pa.string()), ("value", pa.string()), ("message", pa.string())])
 
 
-def interpreted(text: Column, contract: Contract) -> Column:
-    """Violations of JSON texts by the row interpreter; null has none."""
+def interpreted(text: Column, contract: Contract, kind: T.DataType | None = None) -> Column:
+    """Violations of JSON texts by the row interpreter; null has none. kind: the type of what the texts were made from."""
     contract.tree()  # schema errors belong here, not into a task
 
     @F.arrow_udf(T.ArrayType(VIOLATION))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         evaluator = Evaluator(contract.tree())
+        read = (lambda t: restored(json.loads(t), kind)) if kind is not None and fractions(kind) else json.loads
         for batch in batches:
             yield pa.array(
-                [[flat_record(r) for r in evaluator.violations(json.loads(t.as_py()))] if t.is_valid else [] for t in batch],
+                [[flat_record(r) for r in evaluator.violations(read(t.as_py()))] if t.is_valid else [] for t in batch],
                 pa.list_(ARROW_VIOLATION),
             )
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from fathomline.plans.columns import column, number_text
 
-from .validate import Contract, as_json, validate_rows
+from .validate import Contract, as_json, fractions, validate_rows
 
 
 def model_errors(text: Column, model: type) -> Column:
@@ -40,7 +40,7 @@ def validate_values(df: DataFrame, schema: Contract | None = None, model: type |
     if schema is None and model is None:
         raise ValueError("validate_values() needs a schema, a model or both")
     none = F.array().cast("array<string>")
-    errors = model_errors(as_json(df, column), model) if model is not None else none
+    errors = model_errors(as_json(df, column, texts=True), model) if model is not None else none
     checked = validate_rows(df, schema, column) if schema is not None else df.withColumn("violations", none)
     out = checked.withColumn("semantic_errors", errors)
     out = out.withColumn("structural_ok", F.size("violations") == 0).withColumn("semantic_ok", F.size("semantic_errors") == 0)
@@ -52,26 +52,15 @@ def _whole(c: Column, kind: T.DataType) -> Column:
     match kind:
         case T.DoubleType() | T.FloatType():
             return F.try_parse_json(number_text(c.cast("double")))
-        case T.ArrayType() if _fractions(kind):
+        case T.ArrayType() if fractions(kind):
             return F.transform(c, lambda x: _whole(x, kind.elementType))
-        case T.MapType() if _fractions(kind):
+        case T.MapType() if fractions(kind):
             return F.transform_values(c, lambda _, v: _whole(v, kind.valueType))
-        case T.StructType() if _fractions(kind):
+        case T.StructType() if fractions(kind):
             return F.when(c.isNotNull(), F.struct(*[_whole(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
     return c
 
 
-def _fractions(kind: T.DataType) -> bool:
-    match kind:
-        case T.ArrayType():
-            return _fractions(kind.elementType)
-        case T.MapType():
-            return _fractions(kind.valueType)
-        case T.StructType():
-            return any(_fractions(f.dataType) for f in kind.fields)
-    return isinstance(kind, (T.DoubleType, T.FloatType))
-
-
 def results_json(results: DataFrame) -> DataFrame:
     """A column json: each row with its keys sorted, nulls kept, whole floats as integers, ready for write.text."""
     parts = [_whole(column(c), results.schema[c].dataType).alias(c) for c in sorted(results.columns)]

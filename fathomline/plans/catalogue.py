@@ -7,10 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.functions.canonical import canonical_json
-from fathomline.operators import binding, models, sections
-from fathomline.operators.corpus import error_rows, inspect_corpus, schema_table, validate_corpus, warning_rows
-from fathomline.operators.fields import field_table
+from fathomline.operators import binding, sections
+from fathomline.operators.corpus import error_rows, inspect_corpus, validate_corpus, warning_rows
 from fathomline.operators.validate import Contract, outcomes, validate_rows, violations, violations_by_keyword
 from fathomline.sources.documents import decode_table
 
@@ -209,13 +207,6 @@ def recursive_interpreted(spark, d):
     return violations(event_props(spark, d), c, ["event_id"], "props").select("event_id", "json_path", "message")
 
 
-@query("semantic_order_invariant", "SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate")
-def semantic_order_invariant(spark, d):
-    lines = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
-    orders = read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
-    return lines.join(orders, "l_orderkey").where(F.col("l_shipdate") < F.col("o_orderdate")).select("l_orderkey", "l_linenumber")
-
-
 # ---- documents made from columns ----------------------------------------------------------------------------------
 
 DOC = {
@@ -395,24 +386,6 @@ MOVIE = {
 }
 
 
-@query("schema_fields", """
-SELECT * FROM (VALUES (0, '/properties/title', 'string', NULL, true, 'Its name', '{"group":"core"}'), (1, '/properties/rating', 'string', 'G,PG|13', true, NULL, '{}'), (2, '/properties/cast', 'array', NULL, false, NULL, '{}'),
-  (3, '/properties/lead', 'object', NULL, false, 'Who leads', '{}'), (4, '/properties/lead/properties/name', 'string', NULL, true, NULL, '{}'), (5, '/properties/lead/properties/role', 'string', 'actor,voice', false, NULL, '{}'))
-  AS t(ordinal, pointer, json_type, enum_values, required, description, softmeta)
-""")
-def schema_fields(spark, d):
-    return field_table(spark, {"movie": MOVIE}).select(
-        "ordinal", "pointer", "json_type", F.array_join("enum", ",").alias("enum_values"), "required", "description",
-        "softmeta",
-    )
-
-
-@query("fields_by_group", "SELECT '/properties/title' AS pointer, 'core' AS grp")
-def fields_by_group(spark, d):
-    table = field_table(spark, {"movie": MOVIE}).withColumn("grp", F.get_json_object("softmeta", "$.group"))
-    return table.where("grp = 'core'").select("pointer", "grp")
-
-
 def section_docs(spark, d):
     table = sections.enum_table(sections.SchemaFields(MOVIE))
     mark = lambda attrs, body: f"<!-- fathom:generated {attrs} -->\n{body}\n<!-- /fathom:generated -->"
@@ -434,50 +407,4 @@ def section_regenerate(spark, d):
     return done.select("path", (F.col("regenerated") != F.col("text")).alias("changed"))
 
 
-@query("section_enum_table", "SELECT '| Field | Allowed values |' || chr(10) || '| --- | --- |' || chr(10) || '| `rating` | G, PG\\|13 |' || chr(10) || '| `role` | actor, voice |' AS body")
-def section_enum_table(spark, d):
-    return sections.rendered(spark, {"movie": MOVIE}).where("r_kind = 'enum_table'").select("body")
-
-
-@query("section_field_list", "SELECT '- `title` (string, required): Its name' || chr(10) || '- `rating` (string, required)' || chr(10) || '- `cast` (array, optional)' || chr(10) || '- `lead` (object, optional): Who leads' AS body")
-def section_field_list(spark, d):
-    return sections.rendered(spark, {"movie": MOVIE}).where("r_kind = 'field_list'").select("body")
-
-
-@query("section_vocab", "SELECT '/properties/rating' AS pointer, '- `G`' || chr(10) || '- `PG|13`' AS body UNION ALL SELECT '/properties/lead/properties/role', '- `actor`' || chr(10) || '- `voice`'")
-def section_vocab(spark, d):
-    return sections.rendered(spark, {"movie": MOVIE}).where("r_kind = 'vocab'").select(F.col("r_pointer").alias("pointer"), "body")
-
-
-@query("schema_drift", "SELECT * FROM (VALUES ('bool', true), ('missing', true), ('order', false), ('same', false)) AS t(schema_ref, drift)")
-def schema_drift(spark, d):
-    old = {"same": MOVIE, "order": {"b": 1.0, "a": 2}, "bool": {"default": False}}
-    return models.schema_drift(spark, old, {"same": MOVIE, "order": {"a": 2, "b": 1}, "bool": {"default": 0}, "missing": {}})
-
-
-@query("schema_load_errors", """
-SELECT * FROM (VALUES ('fine', false, NULL, NULL), ('fine', true, NULL, NULL), ('pattern', false, 'schema_invalid', 'pattern'), ('pattern', true, 'schema_invalid', 'pattern'), ('remote', false, 'schema_invalid', 'reference'), ('remote', true, 'schema_invalid', 'reference'),
-  ('twice', false, 'schema_invalid', 'resource_identity'), ('twice', true, 'schema_invalid', 'resource_identity'), ('open', false, NULL, NULL), ('open', true, 'enforcement_unsupported', NULL), ('dialect', false, 'schema_invalid', 'dialect'), ('dialect', true, 'schema_invalid', 'dialect'),
-  ('list', false, 'schema_invalid', 'syntax'), ('list', true, 'schema_invalid', 'syntax')) AS t(schema_ref, strict, load_kind, load_reason)
-""")
-def schema_load_errors(spark, d):
-    found = schema_table(spark, {
-        "fine": MOVIE, "pattern": {"pattern": "(?<=a)b"}, "remote": {"$ref": "https://example.invalid/x"}, "twice": {"$defs": {"a": {"$id": "urn:x"}, "b": {"$id": "urn:x"}}}, "open": {"allOf": [{"properties": {"a": {}}}]},
-        "dialect": {"type": "text"}, "list": [],
-    })
-    return found.select("schema_ref", "strict", "load_kind", "load_reason")
-
-
-@query("registry_conflicts", "SELECT 'a:B/v1' AS id, 2::BIGINT AS definitions")
-def registry_conflicts(spark, d):
-    rows = [("a:B/v1", "x"), ("a:B/v1", "y"), ("a:C/v1", "x"), ("a:C/v1", "x")]
-    return binding.registry_conflicts(spark.createDataFrame(rows, "id string, envelope_key string"))
-
-
-@query("canonical_numbers", "SELECT * FROM (VALUES ('1', '1'), ('0.000001', '0.000001'), ('98765432109876543210.0', '98765432109876540000'), ('1e21', '1e+21'), ('1.5e-7', '1.5e-7'), ('-2.50', '-2.5')) AS t(given, canonical)")
-def canonical_numbers(spark, d):
-    given = ("1", "0.000001", "98765432109876543210.0", "1e21", "1.5e-7", "-2.50")
-    return spark.createDataFrame([(g, canonical_json(int(g) if g == "1" else float(g))) for g in given], "given string, canonical string")
-
-
-from . import catalogue_cases  # noqa: E402, F401  registers its own
+from . import catalogue_cases, catalogue_schemas  # noqa: E402, F401  register their own

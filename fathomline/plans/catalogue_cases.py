@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.functions.canonical import canonical_text, digest
-from fathomline.operators import models, sections
+from fathomline.functions.canonical import canonical_text
+from fathomline.operators import sections
 from fathomline.operators.corpus import error_rows, validate_corpus
 from fathomline.operators.fields import SchemaFields
 from fathomline.operators.validate import Contract, violations
@@ -15,7 +15,6 @@ from fathomline.operators.values import results_json, validate_values
 from fathomline.sources.documents import decode_table, from_roots, text_of
 
 from .catalogue import DOC_CONTRACT, MOVIE, SCHEMAS, artifacts, by_remainder, lines, query, read
-from .schema_tree import canonicalize
 
 
 def id_of(path: str = "path"):
@@ -265,53 +264,3 @@ def section_newlines(spark, d):
 def section_attributes(spark, d):
     text = F.lit('<!-- fathom:generated kind="vocab" ton="1" schema="movie" deck="2" -->x<!-- /fathom:generated -->')
     return sections.sections(artifacts(spark, d, text)).select("path", "error")
-
-
-# ---- schemas and models -------------------------------------------------------------------------------------------
-
-_SAFE = 2**53 - 1
-
-
-@query("schema_canonical_form", """
-SELECT * FROM (VALUES ('bounds', '{"maximum":9,"type":"integer"}'), ('keys', '{"type":"object"}'), ('nullable', '{"anyOf":[{"type":"null"},{"type":"string"}]}'), ('order', '{"properties":{"required":{"required":["a","b"]}},"required":["x","y"]}'), ('three', '{"oneOf":[{"type":"null"},{"type":"string"},{"type":"array"}]}')) AS t(name, canonical)
-""")
-def schema_canonical_form(spark, d):
-    from fathomline.functions.canonical import canonical_json
-
-    given = {
-        "bounds": {"type": "integer", "minimum": -_SAFE, "maximum": 9}, "keys": {"type": "object", "propertyNames": {"type": "string"}}, "nullable": {"oneOf": [{"type": "null"}, {"type": "string"}]},
-        "order": {
-            "required": ["y", "x"], "properties": {"required": {"required": ["b", "a"]}},
-        }, "three": {"oneOf": [{"type": "null"}, {"type": "string"}, {"type": "array"}]},
-    }
-    return spark.createDataFrame([(k, canonical_json(canonicalize(v))) for k, v in given.items()], "name string, canonical string")
-
-
-@query("compiled_model", """
-SELECT * FROM (VALUES ('contract', 'case:Ledger_Book/v2'), ('field title', 'Opendate'), ('group', 'core'), ('hash is of the schema without it', 'true'), ('id', 'tag:case,2021:ledger'), ('title', 'Ledger_Book')) AS t(what, value)
-""")
-def compiled_model(spark, d):
-    from .example_models import Ledger
-
-    made = models.compile_model(Ledger, "case:Ledger_Book/v2", "tag:case,2021:ledger")
-    notes = made.schema["x-fathom"]
-    bare = {**made.schema, "x-fathom": {k: v for k, v in notes.items() if k != "schema_sha256"}}
-    day = made.schema["properties"]["openDate"]
-    rows = [
-        ("contract", notes["contract"]), ("field title", day["title"]), ("group", day["x-fathom"]["group"]), (
-            "hash is of the schema without it", str(digest(bare) == notes["schema_sha256"]).lower(),
-        ),
-        ("id", made.schema["$id"]), ("title", made.schema["title"]),
-    ]
-    return spark.createDataFrame(rows, "what string, value string")
-
-
-@query("schema_identity", "SELECT * FROM (VALUES ('films:Movie/v1', NULL, NULL, '/properties/title', 'Its name')) AS t(contract_id, schema_id, schema_sha256, pointer, description)")
-def schema_identity(spark, d):
-    fields = SchemaFields(MOVIE)
-    own, title = fields.identity(), fields.at("/properties/title")
-    core = [f.pointer for f in fields.having("group", "core")]
-    return spark.createDataFrame(
-        [(own["contract_id"], own["schema_id"], own["schema_sha256"], p, title.description) for p in core],
-        "contract_id string, schema_id string, schema_sha256 string, pointer string, description string",
-    )

@@ -180,9 +180,13 @@ class Node:
         return self.__dict__["_texts"]
 
 
+#: Types whose values are JSON strings, as to_json writes them.
+SPELLED = (T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType, T.DayTimeIntervalType, T.YearMonthIntervalType)
+
+
 @dataclass
 class Typed(Node):
-    """A column of a known type. NULL is absence: a row's null field is a missing property."""
+    """A column of a known type. NULL is absence: a row's null field is a missing property. Dates, times and bytes are strings."""
 
     c: Column
     kind: T.DataType
@@ -195,7 +199,7 @@ class Typed(Node):
         k = self.kind
         match name:
             case "string":
-                return isinstance(k, T.StringType)
+                return isinstance(k, (T.StringType, *SPELLED))
             case "boolean":
                 return isinstance(k, T.BooleanType)
             case "array":
@@ -212,6 +216,10 @@ class Typed(Node):
         return self.c if isinstance(self.kind, T.NumericType) else None
 
     def text(self):
+        if isinstance(self.kind, T.DateType):
+            return self.c.cast("string")
+        if isinstance(self.kind, SPELLED):
+            return F.get_json_object(F.to_json(F.struct(self.c.alias("v"))), "$.v")
         return self.c if isinstance(self.kind, T.StringType) else None
 
     def array(self):
@@ -237,8 +245,8 @@ class Typed(Node):
 
     def json(self):
         k = self.kind
-        if isinstance(k, T.StringType):
-            return json_text(self.c)
+        if isinstance(k, (T.StringType, *SPELLED)):
+            return json_text(self.text())
         if isinstance(k, (T.DoubleType, T.FloatType, T.DecimalType)):
             return number_text(self.c.cast("double"))
         if isinstance(k, (T.StructType, T.ArrayType, T.MapType)):
@@ -246,8 +254,8 @@ class Typed(Node):
         return self.c.cast("string")
 
     def shown(self):
-        if isinstance(self.kind, T.StringType):
-            return quoted(self.c)
+        if isinstance(self.kind, (T.StringType, *SPELLED)):
+            return quoted(self.text())
         if isinstance(self.kind, T.BooleanType):
             return F.when(self.c, F.lit("True")).otherwise(F.lit("False"))
         if isinstance(self.kind, (T.DoubleType, T.FloatType, T.DecimalType)):
@@ -423,9 +431,6 @@ class _Compiler:
 
         if schema is False:
             return bad("False schema", None, True)
-        for keyword in ("unevaluatedItems", "unevaluatedProperties", "propertyNames", "dependentSchemas"):
-            if keyword in schema:
-                raise NotColumnar(f"{keyword} needs the interpreter")
         number, text, array, keys = node.number(), node.text(), node.array(), node.keys()
         for k, limit in schema.items():
             match k:
@@ -491,6 +496,18 @@ class _Compiler:
                     self._values(node, limit, path, when, lambda key, p: key.rlike(java_pattern(p)))
                 case "additionalProperties" if keys is not None:
                     self._additional(schema, limit, node, keys, path, when, bad)
+                case "propertyNames" if keys is not None:
+                    below = lambda name: self.sub(limit, Typed(name, T.StringType()), path).violations()
+                    self.inner.append(F.coalesce(F.when(when, F.flatten(F.transform(keys, below))), nothing()))
+                case "dependentSchemas" if keys is not None:
+                    for name, sub in limit.items():
+                        self.visit(sub, node, path, when & _known(F.array_contains(keys, name)))
+                case "unevaluatedProperties" if keys is not None:
+                    bad(k, limit, self._unevaluated_names({x: v for x, v in schema.items() if x != k}, limit, node, keys, path))
+                case "unevaluatedItems" if array is not None:
+                    covered = self._places({x: v for x, v in schema.items() if x != k}, node, path)
+                    rest = F.filter(F.transform(array, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: ~covered(e["x"], e["i"]))
+                    bad(k, limit, F.exists(rest, lambda e: self.sub(limit, node.element(e["x"]), path).invalid()))
                 case "allOf":
                     for sub in limit:
                         self.visit(sub, node, path, when)
@@ -507,12 +524,72 @@ class _Compiler:
                     if "else" in schema:
                         self.visit(schema["else"], node, path, when & ~met)
 
+    def _in_place(self, schema: dict, node: Node, keys: Column | None, path: Column) -> list[tuple[Any, Column | None]]:
+        """(subschema, condition or None) of those that the schema asks about the same value, where they count as evaluating it."""
+        found: list[tuple[Any, Column | None]] = [(sub, None) for sub in schema.get("allOf", ())]
+        fine = lambda sub: ~self.sub(sub, node, path).invalid()
+        if "$ref" in schema:
+            found.append((self.tree.resolve(schema["$ref"], schema), None))
+        found += [(sub, fine(sub)) for k in ("anyOf", "oneOf") for sub in schema.get(k, ())]
+        if "if" in schema:
+            met = fine(schema["if"])
+            found.append((schema["if"], met))
+            found += [(schema[k], met if k == "then" else ~met) for k in ("then", "else") if k in schema]
+        if keys is not None:
+            found += [(sub, _known(F.array_contains(keys, name))) for name, sub in schema.get("dependentSchemas", {}).items()]
+        return found
+
+    def _names(self, schema: Any, node: Node, keys: Column, path: Column) -> Callable[[Column], Column]:
+        """Whether the schema evaluates the property of a name, as a function of the name."""
+        if not isinstance(schema, dict):
+            return lambda name: F.lit(False)
+        if "additionalProperties" in schema or "unevaluatedProperties" in schema:
+            return lambda name: F.lit(True)
+        named, patterns = list(schema.get("properties", {})), [java_pattern(p) for p in schema.get("patternProperties", {})]
+        more = [(self._names(sub, node, keys, path), when) for sub, when in self._in_place(schema, node, keys, path)]
+
+        def covered(name: Column) -> Column:
+            tests = [name.isin(named)] if named else []
+            tests += [name.rlike(p) for p in patterns] + [sub(name) if when is None else when & sub(name) for sub, when in more]
+            return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
+
+        return covered
+
+    def _places(self, schema: Any, node: Node, path: Column) -> Callable[[Column, Column], Column]:
+        """Whether the schema evaluates an item, as a function of the item and its place."""
+        if not isinstance(schema, dict):
+            return lambda x, i: F.lit(False)
+        if "items" in schema or "unevaluatedItems" in schema:
+            return lambda x, i: F.lit(True)
+        first = len(schema.get("prefixItems", ()))
+        more = [(self._places(sub, node, path), when) for sub, when in self._in_place(schema, node, None, path)]
+
+        def covered(x: Column, i: Column) -> Column:
+            tests = [i < first] if first else []
+            if "contains" in schema:
+                tests.append(~self.sub(schema["contains"], node.element(x), path).invalid())
+            tests += [sub(x, i) if when is None else when & sub(x, i) for sub, when in more]
+            return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
+
+        return covered
+
+    def _unevaluated_names(self, schema: dict, limit: Any, node: Node, keys: Column, path: Column) -> Column:
+        covered = self._names(schema, node, keys, path)
+        if limit is False:
+            return F.exists(keys, lambda name: ~covered(name))
+        if (found := node.values()) is not None:
+            entries, make = found
+            return F.exists(entries, lambda e: ~covered(e["key"]) & self.sub(limit, make(e["value"]), path).invalid())
+        fields = [(n, node.field(n)) for n in node.kind.names]
+        tests = [f.there & ~covered(F.lit(n)) & self.sub(limit, f, path).invalid() for n, f in fields]
+        return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
+
     def _object(self, node: Node) -> Column:
         return _known(node.is_type("object"))
 
     def _among(self, node: Node, values: list[Any]) -> Column:
         if isinstance(node, Typed) and node.text() is not None:
-            return node.c.isin([v for v in values if isinstance(v, str)])
+            return node.text().isin([v for v in values if isinstance(v, str)])
         if isinstance(node, Typed) and node.number() is not None:
             return node.c.isin([v for v in values if isinstance(v, (int, float)) and not isinstance(v, bool)])
         return _known(node.json().isin([canonical_json(whole(v)) for v in values]))
@@ -520,11 +597,20 @@ class _Compiler:
     def _rest(self, node: Node, number: Column, of: float) -> Column:
         """Whether it is no multiple. A whole number divides as it is; else in decimal, so that 0.3 is a multiple of 0.1, up to
         1e20; beyond, the quotient of doubles has to be whole."""
-        if float(of).is_integer() and of < 1e18:
-            return number % (F.lit(int(of)) if isinstance(node, Typed) and not isinstance(node.kind, (T.DoubleType, T.FloatType)) else F.lit(float(of))) != 0
-        if of >= 1e18 or -Decimal(repr(of)).as_tuple().exponent > 18:
+        if float(of).is_integer() and of < 1e38:
+            double = number % F.lit(float(of)) != 0
+            exact = lambda c: c % F.lit(Decimal(int(of))) != 0
+            if isinstance(node, Variant):  # integers beyond 2**53 divide as they are
+                big = F.when(node._class.isin("BIGINT", "DECIMAL"), exact(F.try_variant_get(node.c, "$", "decimal(38,0)")))
+                return F.when(F.abs(number) < 2.0**53, double).otherwise(F.coalesce(big, double))
+            if isinstance(node.kind, (T.DoubleType, T.FloatType)):
+                return double
+            return number % F.lit(int(of)) != 0 if of < 1e18 else exact(number.cast("decimal(38,0)"))
+        if of >= 1e38 or -Decimal(repr(of)).as_tuple().exponent > 18:
             raise NotColumnar("multipleOf of more than 18 decimals needs the interpreter")
         d, double = number.try_cast("decimal(38,18)"), number.cast("double")
+        if isinstance(node, Variant):
+            d = F.when(node._class.isin("BIGINT", "DECIMAL"), F.try_variant_get(node.c, "$", "decimal(38,18)")).otherwise(d)
         exact = d.cast("double") == double  # a number with more decimals is no multiple
         return F.when(d.isNull(), double / F.lit(float(of)) % 1 != 0).when(~exact, True).otherwise(d % F.lit(Decimal(repr(of))) != 0)
 

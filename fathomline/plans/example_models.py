@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import pydantic
 
-from fathomline.operators.models import annotated
-
 
 class Move(pydantic.BaseModel):
     """A change and its direction, which must agree."""
@@ -31,10 +29,3 @@ class Shipment(pydantic.BaseModel):
         if self.l_shipdate < self.o_orderdate:
             raise ValueError("shipped before it was ordered")
         return self
-
-
-class Ledger(pydantic.BaseModel):
-    """Compiled to a schema by a query."""
-
-    openDate: str = annotated(description="First day", group="core", order=1, examples=[])
-    total: int | None = None

@@ -4,6 +4,7 @@ import pytest
 from fathomline.functions.vocab import Dialect
 from fathomline.operators import models, sections
 from fathomline.operators.corpus import error_rows, inspect_corpus, validate_corpus
+from fathomline.operators.schemas import catalogue, schema_drift
 from fathomline.operators.validate import Contract
 from fathomline.sources.documents import decode_files, decode_table, read_files
 
@@ -121,7 +122,8 @@ def test_models(spark, tmp_path):
     for _ in range(2):
         models.write_schema(made, str(target))
     assert models.read_schema(str(target)) == made.schema and [x.name for x in target.parent.iterdir()] == ["s.yaml"]
-    assert models.schema_drift(spark, {"s": models.read_schema(str(target))}, {"s": made.schema}).first()["drift"] is False
+    kept, fresh = ({"s": x} for x in (models.read_schema(str(target)), made.schema))
+    assert schema_drift(catalogue(spark, kept), catalogue(spark, fresh)).first()["drift"] is False
     for bad in (lambda: models.compile_model(Voyage, "9Voyage"), lambda: models.compile_model(Voyage, "a:B", "voyage.json"), lambda: models.annotated(owner=""), lambda: models.annotated(colour="x")):
         with pytest.raises(ValueError):
             bad()
