@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._order import AT, ordered, running
-from ._work import P, sole, table
+from ._work import P, cut, sole, table
 
 #: Bytes of words as they count (A-Z in lower case), all others a space.
 FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -152,7 +152,9 @@ def importance_resample(
     each by its own text and take ranks of their own; a null id draws its noise from an empty one. Columns that docs has
     besides are not read. No documents or no target: every gain is that of empty counts; an empty table gives an empty one."""
     gain = gains(docs, target, text_col, target_col, longest, buckets)
-    scored = weighed(docs, gain, id_col, text_col, longest).select("*", (F.col("n_words") >= min_words).alias("fit"), (F.col("weight") + noise(F.col("id"), seed)).alias("score"))
+    # written before it is ordered: to find the ranges of an order takes a pass of its own
+    weights = cut(weighed(docs, gain, id_col, text_col, longest), "weights")
+    scored = weights.select("*", (F.col("n_words") >= min_words).alias("fit"), (F.col("weight") + noise(F.col("id"), seed)).alias("score"))
     placed = ordered(scored, [F.desc("fit"), F.desc("score"), F.asc_nulls_last("id")], scored.columns, "resampling")
     of = placed.where("fit").count() * percent // 100
     place = running(placed.withColumn(P + "one", F.lit(1).cast("long")), [], {P + "rank": ("sum", P + "one")})
