@@ -24,9 +24,13 @@ from pyspark.sql import functions as F
 
 from ._work import HOT, P, cut, fresh_path, sifting, sole, table
 
-VERSION, GZIP = b"WARC/1.", b"\x1f\x8b\x08"
-_START = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/1\.")
-_LINE = re.compile(rb"(?<=\n)WARC/1\.")
+GZIP = b"\x1f\x8b\x08"
+_VERSION = re.compile(rb"WARC/[01]\.\d{1,3}[ \t]*\r?\n")
+_START = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/[01]\.")
+_LINE = re.compile(rb"(?<=\n)WARC/[01]\.")
+_BLANK = re.compile(rb"\n\r?\n")
+#: Bytes that a record's own header may have.
+HEADER = 1 << 20
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -149,19 +153,17 @@ class Source:
             self.start, self.held = a, self.file.read(max(b - a, min(self.hold, self.size - a)))
         return self.held[a - self.start : b - self.start]
 
-    def search(self, pattern: re.Pattern, start: int) -> int:
-        """Where the first match from start on begins, or -1; of matches of up to 16 bytes that may look one byte back."""
-        while start < self.size:
+    def search(self, pattern: re.Pattern, start: int, stop: int | None = None) -> int:
+        """Where the first match from start on begins that begins before stop, or -1; of matches of up to 16 bytes that may look one byte back."""
+        stop = self.size if stop is None else min(stop, self.size)
+        while start < stop:
             back = min(1, start)
-            part = self[start - back : start + self.hold]
+            part = self[start - back : min(start + self.hold, stop + 16)]
             if m := pattern.search(part, back):
-                return start - back + m.start()
+                return start - back + m.start() if start - back + m.start() < stop else -1
             start += max(1, self.hold - 16)
         return -1
 
-    def find(self, sub: bytes, start: int) -> int:
-        return self.search(re.compile(re.escape(sub)), start)
-
 
 def _source(data: bytes) -> Source:
     return Source(io.BytesIO(data), len(data))
@@ -176,66 +178,101 @@ class Record:
     payload: bytes = b""
     digest: str = ""
     reason: str = ""
+    notes: list[str] = field(default_factory=list)
 
 
 class _Bad(Exception):
     pass
 
 
-def _fields(lines: list[bytes]) -> dict[str, str]:
+def _fields(head: bytes, notes: list[str], what: str) -> dict[str, str]:
+    """The fields below a head's first line, whatever ends its lines; a line that is none is noted and left out."""
     found: dict[str, str] = {}
     last = ""
-    for line in lines:
-        if line[:1] in b" \t" and line and last:
+    for line in head.split(b"\n")[1:]:
+        line = line.removesuffix(b"\r")
+        if line[:1] in (b" ", b"\t") and last:
             found[last] += " " + line.strip().decode("utf-8", "replace")
             continue
         name, colon, value = line.partition(b":")
-        if not colon:
-            raise _Bad("malformed header")
-        last = name.strip().decode("utf-8", "replace").lower()
-        found[last] = value.strip().decode("utf-8", "replace")
+        if colon:
+            last = name.strip().decode("utf-8", "replace").lower()
+            found[last] = value.strip().decode("utf-8", "replace")
+        elif line:
+            notes.append(f"{what} has a line without a colon")
     return found
 
 
+def _number(text: str) -> int | None:
+    return int(text) if text.isascii() and text.isdecimal() and len(text) <= 18 else None
+
+
+#: Digests that can be checked here, by their names in records.
+_DIGESTS = {"sha1": hashlib.sha1, "md5": hashlib.md5, "sha256": hashlib.sha256, "sha-1": hashlib.sha1, "sha-256": hashlib.sha256}
+
+
 def _same_digest(said: str, data: bytes) -> bool:
-    """Whether data has the digest said; a digest by another function than SHA-1 can't be checked here and passes."""
+    """Whether data has the digest said, in hexadecimal or base32; a digest by another function can't be checked and passes."""
     name, _, value = said.partition(":")
-    if name.lower() != "sha1":
+    if name.lower() not in _DIGESTS:
         return True
-    digest = hashlib.sha1(data).digest()
-    return value.lower() == digest.hex() or value.upper() == _base32(digest)
+    digest = _DIGESTS[name.lower()](data).digest()
+    return value.lower() == digest.hex() or value.upper().rstrip("=") == _base32(digest).rstrip("=")
+
+
+def _sha1_hex(said: str) -> str:
+    """The hexadecimal form of a stated SHA-1, "" for what is none."""
+    name, _, value = said.rpartition(":")
+    if name.lower() not in ("", "sha1", "sha-1"):
+        return ""
+    if re.fullmatch("[0-9a-fA-F]{40}", value):
+        return value.lower()
+    return base64.b32decode(value.upper()).hex() if re.fullmatch("[A-Za-z2-7]{32}", value) else ""
+
+
+def _split(block: bytes) -> tuple[bytes, bytes | None]:
+    """The head of an HTTP message, and what follows its empty line; None where there is no such line."""
+    m = _BLANK.search(block)
+    return (block[: m.start()], block[m.end() :]) if m else (block, None)
 
 
 def _parse(data: Source, start: int) -> Record:
-    """The plain record at start; _Bad if a check fails."""
-    if data[start : start + len(VERSION)] != VERSION:
+    """The plain record at start; _Bad if its length or a digest doesn't hold. What is odd else is noted."""
+    if not _VERSION.match(data[start : start + 16]):
         raise _Bad("no version line")
-    if (split := data.find(b"\r\n\r\n", start)) < 0:
+    if (split := data.search(_BLANK, start, start + HEADER)) < 0:
         raise _Bad("no end of header")
-    fields = _fields(data[start:split].split(b"\r\n")[1:])
-    if not (length := fields.get("content-length", "")).isdecimal():
+    begin = split + (3 if data[split : split + 3] == b"\n\r\n" else 2)
+    notes: list[str] = []
+    fields = _fields(data[start:split], notes, "header")
+    if (length := _number(fields.get("content-length", ""))) is None:
         raise _Bad("no length")
-    begin = split + 4
-    end = begin + int(length)
-    block = data[begin:end]
-    if len(block) < int(length) or data[end : end + 4] != b"\r\n\r\n":
+    end = begin + length
+    # what follows is looked at first: a false length reads no more than that
+    tail = data[end : end + 4] if end <= len(data) else b""
+    after = 4 if tail == b"\r\n\r\n" else 2 if tail[:2] == b"\n\n" else 0
+    if not after:
         raise _Bad("length does not fit")
+    block = data[begin:end]
     if not _same_digest(fields.get("warc-block-digest", ""), block):
         raise _Bad("block digest differs")
-    record = Record(start, end + 4, fields, payload=block)
-    if fields.get("content-type", "").startswith("application/http"):
-        head, gap, record.payload = block.partition(b"\r\n\r\n")
-        if not gap:
-            raise _Bad("no end of HTTP header")
-        record.http = _fields(head.split(b"\r\n")[1:])
+    record = Record(start, end + after, fields, payload=block, notes=notes)
+    revisit = fields.get("warc-type") == "revisit"
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        head, body = _split(block)
+        if body is None and block and not revisit:
+            notes.append("HTTP head has no end")
+        record.http = _fields(head, notes, "HTTP head")
+        record.payload = body if body is not None else b"" if revisit or block.startswith(b"HTTP/") else block
     said = fields.get("warc-payload-digest", "")
-    if fields.get("warc-type") != "revisit":
-        if not _same_digest(said, record.payload):
+    if revisit:
+        record.digest = _sha1_hex(said)
+        return record
+    if not _same_digest(said, record.payload):
+        if record.payload is block or not _same_digest(said, block):
             raise _Bad("payload digest differs")
-        record.digest = hashlib.sha1(record.payload).hexdigest()
-    else:
-        value = said.partition(":")[2]
-        record.digest = value.lower() if len(value) == 40 else base64.b32decode(value).hex() if len(value) == 32 else ""
+        notes.append("payload digest is that of the block")
+    record.digest = hashlib.sha1(record.payload).hexdigest()
     return record
 
 
@@ -289,7 +326,7 @@ def _read_for(data: Source, start: int, plain: int) -> int:
 def _checked(record: Record) -> bool:
     """Whether a digest held the record's bytes to what was written; a revisit's payload digest is of another record."""
     names = ("warc-block-digest",) if record.fields.get("warc-type") == "revisit" else ("warc-block-digest", "warc-payload-digest")
-    return any(record.fields.get(f, "").lower().startswith("sha1:") for f in names)
+    return any(record.fields.get(f, "").partition(":")[0].lower() in _DIGESTS for f in names)
 
 
 def _at(data: Source, start: int) -> tuple[list[Record], int, str]:
@@ -341,14 +378,15 @@ def salvage(data: bytes | Source) -> Iterator[Record]:
         at, reason = end, ails
 
 
-SCHEMA = "path string, start long, end long, reason string, record_type string, record_id string, target_uri string, refers_to string, fields map<string,string>, http map<string,string>, payload binary, payload_digest string, payload_bytes long"
+SCHEMA = "path string, start long, end long, reason string, record_type string, record_id string, target_uri string, refers_to string, fields map<string,string>, http map<string,string>, payload binary, payload_digest string, payload_bytes long, notes string"
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True, stream: bool = False) -> DataFrame:
     """A row for each record under path (*.warc, *.warc.gz) and for each quarantined gap (reason is not null).
 
     payload_digest is the SHA-1 of the payload read, for a revisit the one it states; payload_bytes is the payload's
-    length, for a revisit the length that its HTTP header states. An empty folder gives no row. Archives are read by
+    length, for a revisit the length that its HTTP header states. A record whose length and digests hold is returned whatever
+    its heads are like; what is odd about them is in notes. No bytes make the reader fail. An empty folder gives no row. Archives are read by
     Spark, whole, from any store that it reads, up to its limit of 2 GB; with stream they are opened through pyarrow's
     file systems instead and read a few MB and a member at a time, whatever their length."""
 
@@ -357,13 +395,13 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True, stream:
         rows: list[tuple] = []
         for r in salvage(data):
             if r.reason:
-                rows.append((name.as_py(), r.start, r.end, r.reason, *[None] * 9))
+                rows.append((name.as_py(), r.start, r.end, r.reason, *[None] * 10))
             else:
                 kind = r.fields.get("warc-type")
-                stated = r.http.get("content-length", "")
-                n = int(stated) if kind == "revisit" and stated.isdecimal() else len(r.payload)
+                stated = _number(r.http.get("content-length", ""))
+                n = stated if kind == "revisit" and stated is not None else len(r.payload)
                 known = (r.fields.get(k) for k in ("warc-record-id", "warc-target-uri", "warc-refers-to"))
-                rows.append((name.as_py(), r.start, r.end, None, kind, *known, list(r.fields.items()), list(r.http.items()), r.payload if with_payload else None, r.digest, n))
+                rows.append((name.as_py(), r.start, r.end, None, kind, *known, list(r.fields.items()), list(r.http.items()), r.payload if with_payload else None, r.digest, n, "; ".join(dict.fromkeys(r.notes)) or None))
             if len(rows) >= 500:
                 yield _batch(rows, text)
                 rows = []
@@ -389,7 +427,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True, stream:
 
 def _batch(rows: list[tuple], text: pa.DataType) -> pa.RecordBatch:
     names = [part.split()[0] for part in re.split(r", (?=\w+ )", SCHEMA)]
-    kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5, text, text, pa.binary(), pa.string(), pa.int64()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5, text, text, pa.binary(), pa.string(), pa.int64(), pa.string()]
     columns = list(zip(*rows, strict=True)) or [()] * len(names)
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
