@@ -93,7 +93,7 @@ class Matcher:
                 spared.append((start, end))
             else:
                 hits[start] = max(w, hits.get(start, 0.0))
-        kept = {at: x for at, x in hits.items() if not any(a <= at < b for a, b in spared)} if spared else hits
+        kept = _outside(hits, spared) if spared else hits
         if not kept:
             return NONE
         total = sum(kept.values())
@@ -102,6 +102,18 @@ class Matcher:
         return 1.0 / length, (n > 1) / length, (n > 2) / length, math.log1p(total) / length, math.log1p(total / length)
 
 
+def _outside(hits: dict[int, float], spans: list[tuple[int, int]]) -> dict[int, float]:
+    """The hits at places in none of the spans, by one pass over both in order."""
+    spans = sorted(spans)
+    kept, k, end = {}, 0, -1
+    for at in sorted(hits):
+        while k < len(spans) and spans[k][0] <= at:
+            end, k = max(end, spans[k][1]), k + 1
+        if at >= end:
+            kept[at] = hits[at]
+    return kept
+
+
 def _features(text: Column | str, shared) -> Column:
     @F.arrow_udf("array<double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -236,3 +236,22 @@ def test_trie_of_nothing(spark):
     assert prefix_trie(turns, lengths(turns)).collect() == []
     alone = spark.createDataFrame([(5, 0), (6, 0)], "c long, n long")
     assert [tuple(r) for r in prefix_trie(turns, alone).collect()] == [(5, 0, None, 2, 0, 1, 0, hashlib.sha256(b"5,6").hexdigest())]
+
+
+# ---- toxicity's spared phrases ----------------------------------------------------------------------------------------
+
+
+def test_spared_phrases_are_swept_in_order():
+    import time
+
+    from fathomline.llm.toxicity import Matcher, _outside
+
+    rng = random.Random(2)
+    for _ in range(200):
+        hits = {rng.randint(0, 60): 1.0 for _ in range(rng.randint(0, 12))}
+        spans = [(a, a + rng.randint(1, 20)) for a in (rng.randint(0, 60) for _ in range(rng.randint(0, 6)))]
+        assert _outside(hits, spans) == {at: x for at, x in hits.items() if not any(a <= at < b for a, b in spans)}
+    matcher = Matcher({" scum ": 1.0}, (" pond scum ",))
+    start = time.perf_counter()
+    assert matcher.features("pond scum, scum and " * 100_000)[2] > 0
+    assert time.perf_counter() - start < 20
