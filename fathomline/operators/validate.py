@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathomline.functions.canonical import canonical_json
-from fathomline.plans.columns import VIOLATION, NotColumnar, Program, Row, Typed, Variant, compile_schema, json_text, let
+from fathomline.plans.columns import VIOLATION, NotColumnar, Program, Row, Typed, Variant, compile_schema, json_text, let, recursive_violations
 from fathomline.plans.columns import column as named
 from fathomline.plans.schema_tree import SchemaTree, load
 
@@ -47,12 +47,14 @@ def program(df: DataFrame, contract: Contract, column: str | None = None) -> Pro
     return compile_schema(contract.tree(), node)
 
 
-def conditions(df: DataFrame, contract: Contract, column: str | None = None) -> tuple[Column, Column]:
-    """Whether a row violates the contract, and its violations.
+def conditions(df: DataFrame, contract: Contract, column: str | None = None) -> tuple[Column | None, Column]:
+    """Whether a row violates the contract, and its violations; None where nothing cheaper says so than the violations.
 
     A VARIANT is bound once for all checks: its expression, often the parsing of a text, would else stand in each of them."""
     if column is not None and isinstance(df.schema[column].dataType, T.VariantType):
         value, tree = F.col(f"`{column}`"), contract.tree()
+        if tree.recursive():
+            return None, let(value, lambda v: recursive_violations(tree, v))
         return F.exists(
             F.array(value), lambda v: compile_schema(tree, Variant(v)).invalid(),
         ), let(value, lambda v: compile_schema(tree, Variant(v)).violations())
@@ -63,7 +65,7 @@ def conditions(df: DataFrame, contract: Contract, column: str | None = None) ->
 def validate_rows(df: DataFrame, contract: Contract, column: str | None = None) -> DataFrame:
     """df with violations (array of structs, sorted by path and keyword); the schema is checked before data is read.
 
-    Runs as Column expressions; recursive schemas, and what Java's patterns can't say, go to the row interpreter over Arrow batches. In a typed row NULL is a missing property; a NULL VARIANT has no violations."""
+    Runs as Column expressions, recursive schemas too; what Java's patterns can't say, and recursion under a condition, goes to the row interpreter over Arrow batches. In a typed row NULL is a missing property; a NULL VARIANT has no violations."""
     try:
         _, found = conditions(df, contract, column)
     except NotColumnar:
@@ -78,7 +80,9 @@ def violations(df: DataFrame, contract: Contract, keys: list[str], column: str |
     the scan. The outer explode keeps the optimizer from inferring a filter that would build each array twice."""
     try:
         invalid, found = conditions(df, contract, column)
-        listed = df.where(invalid).select(*keys, F.posexplode_outer(found))
+        listed = df.where(F.lit(True) if invalid is None else invalid).select(*keys, F.posexplode_outer(found))
+        if invalid is None:
+            listed = listed.where("pos is not null")
     except NotColumnar:
         listed = df.select(*keys, F.posexplode_outer(interpreted(as_json(df, column), contract, df.schema if column is None else df.schema[column].dataType))).where("pos is not null")
     part = lambda c: F.replace(F.replace(c, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from decimal import Decimal
 from functools import reduce
 from typing import Any
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from fathomline.functions.canonical import canonical_json
 from fathomline.functions.vocab import keyword_text, whole
 
-from .schema_tree import SchemaTree
+from .schema_tree import SchemaTree, every
 
 VIOLATION = T.StructType([
     T.StructField("json_path", T.ArrayType(T.StringType())), T.StructField("validator", T.StringType()), T.StructField("validator_value", T.StringType()),
@@ -364,7 +364,7 @@ class Check:
     node: Node
     bad: Column
 
-    def violation(self) -> Column:
+    def record(self) -> Column:
         text = keyword_text(self.keyword, self.limit)
         value, shown = self.node.texts()
         before, mark, after = text.partition("{v}")
@@ -374,17 +374,24 @@ class Check:
             F.lit(canonical_json(whole(self.limit))).alias("validator_value"), value.alias("value"),
             said.alias("message"),
         )
-        return F.when(self.bad, F.array(one.cast(VIOLATION))).otherwise(nothing())
+        return one.cast(VIOLATION)
+
+    def violation(self) -> Column:
+        return F.when(self.bad, F.array(self.record())).otherwise(nothing())
 
 
 @dataclass
 class Program:
-    """A compiled schema. flat: checks outside arrays and maps; inner: arrays of violations from inside these."""
+    """A compiled schema. flat: checks outside arrays and maps; inner: arrays of violations from inside these; later: arrays
+    of ITEM, the values that a recursive schema is still to be asked about."""
 
     flat: list[Check]
     inner: list[Column]
+    later: list[Column] = field(default_factory=list)
 
     def invalid(self) -> Column:
+        if self.later:
+            raise NotColumnar("a recursive schema stands in a condition")
         parts = [c.bad for c in self.flat] + [F.size(c) > 0 for c in self.inner]
         return reduce(lambda a, b: a | b, parts) if parts else F.lit(False)
 
@@ -399,24 +406,109 @@ def _known(x: Column | bool) -> Column:
 
 
 def compile_schema(tree: SchemaTree, node: Node) -> Program:
-    """NotColumnar for recursive schemas and for keywords that need the interpreter."""
-    if tree.recursive():
+    """NotColumnar for what needs the interpreter. A recursive schema over a typed column ends where the type does; over VARIANT
+    see recursive_violations()."""
+    if tree.recursive() and isinstance(node, Variant):
         raise NotColumnar("the schema is recursive")
     compiler = _Compiler(tree)
     compiler.visit(tree.root, node, F.array().cast("array<string>"), F.lit(True))
     return Program(compiler.flat, compiler.inner)
 
 
+#: A value that a state of a recursive schema is to be asked about; instead: what any violation in it counts as.
+ITEM = T.StructType([
+    T.StructField("state", T.IntegerType()), T.StructField("path", T.ArrayType(T.StringType())), T.StructField("value", T.VariantType()), T.StructField("instead", VIOLATION),
+])
+
+
+def recursive_violations(tree: SchemaTree, value: Column) -> Column:
+    """Violations of a VARIANT by a recursive schema, as one expression.
+
+    The schema is a machine: its states are the root and the schemas that it reaches itself through. A state's program says
+    what is wrong with a value down to the next states and which values these are to be asked about. Starting from the root,
+    each step runs the programs of all values of a level; there are as many steps as the value may have levels, by the
+    brackets of its text. Recursion under not, oneOf, contains and conditions is left to the interpreter: NotColumnar; of
+    anyOf one branch may be recursive."""
+    targets = tree.loops()
+    states = [tree.root, *targets]
+    number = {id(t): k + 1 for k, t in enumerate(targets)}
+
+    def compiled(item: Column, pick: Callable[[Program, Column], Column]) -> Column:
+        out = None
+        for k, schema in enumerate(states):
+            compiler = _Compiler(tree, number)
+            compiler.visit(schema, Variant(item["value"]), item["path"], F.lit(True))
+            found = pick(Program(compiler.flat, compiler.inner, compiler.later), item)
+            out = F.when(item["state"] == k, found) if out is None else out.when(item["state"] == k, found)
+        return out
+
+    def wrong(program: Program, item: Column) -> Column:
+        return F.when(item["instead"].isNull(), program.violations()).otherwise(nothing())
+
+    def stands_for(program: Program, item: Column) -> Column:
+        return F.when(item["instead"].isNotNull() & (F.size(program.violations()) > 0), F.array(item["instead"])).otherwise(nothing())
+
+    def later(program: Program, item: Column) -> Column:
+        items = F.concat(*program.later) if program.later else F.array().cast(T.ArrayType(ITEM))
+        return F.transform(items, lambda x: F.struct(x["state"].alias("state"), x["path"].alias("path"), x["value"].alias("value"), F.coalesce(item["instead"], x["instead"]).alias("instead")).cast(ITEM))
+
+    def step(held: Column, _: Column) -> Column:
+        made = lambda pick: F.flatten(F.transform(held["items"], lambda item: compiled(item, pick)))
+        more = lambda name, found: F.concat(held[name], found).cast(T.ArrayType(VIOLATION)).alias(name)
+        stood = [more("stood", made(stands_for))] if collapses else []
+        return F.struct(made(later).cast(T.ArrayType(ITEM)).alias("items"), more("done", made(wrong)), *stood)
+
+    collapses = any("anyOf" in node for node in every(tree.root))
+    first = F.struct(F.lit(0).alias("state"), F.array().cast("array<string>").alias("path"), value.alias("value"), F.lit(None).cast(VIOLATION).alias("instead")).cast(ITEM)
+    start = F.struct(F.array(first).cast(T.ArrayType(ITEM)).alias("items"), nothing().alias("done"), *([nothing().alias("stood")] if collapses else []))
+    text = F.to_json(value)
+    brackets = F.length(text) - F.length(F.translate(text, "{[", ""))
+    # a value may be asked about by each state in turn before a step into it
+    levels = F.sequence(F.lit(1), (F.least(brackets, F.lit(MAX_LEVELS)) + 1) * len(states))
+    found = F.aggregate(levels, start, step, lambda held: F.array_sort(F.concat(held["done"], F.array_distinct(held["stood"])) if collapses else held["done"]))
+    return F.when(value.isNull(), nothing()).otherwise(found)
+
+
+#: Levels that Spark's VARIANT may have.
+MAX_LEVELS = 1000
+
+
 class _Compiler:
-    def __init__(self, tree: SchemaTree) -> None:
+    """states: numbers of schemas (by id) that are not entered but left for later."""
+
+    def __init__(self, tree: SchemaTree, states: dict[int, int] | None = None) -> None:
         self.tree = tree
+        self.states = states or {}
         self.flat: list[Check] = []
         self.inner: list[Column] = []
+        self.later: list[Column] = []
 
     def sub(self, schema: Any, node: Node, path: Column) -> Program:
-        other = _Compiler(self.tree)
+        other = _Compiler(self.tree, self.states)
         other.visit(schema, node, path, F.lit(True))
-        return Program(other.flat, other.inner)
+        return Program(other.flat, other.inner, other.later)
+
+    def each(self, over: Column, make: Callable[..., tuple[Column, Program]], when: Column) -> None:
+        """For each element of an array the violations, and what is left for later, of a program where a condition holds."""
+        deferred: list[bool] = []
+
+        def found(pick: Callable[[Program], Column], none: Column) -> Callable[[Column, Column], Column]:
+            def below(x: Column, i: Column) -> Column:
+                holds, program = make(x, i)
+                deferred.append(bool(program.later))
+                return F.when(holds, pick(program)).otherwise(none)
+
+            return below
+
+        listed = lambda pick, none: F.coalesce(F.when(when, F.flatten(F.transform(over, found(pick, none)))), none)
+        self.inner.append(listed(lambda p: p.violations(), nothing()))
+        if any(deferred):
+            none = F.array().cast(T.ArrayType(ITEM))
+            self.later.append(listed(lambda p: F.concat(*p.later), none))
+
+    def defer(self, state: int, node: Node, path: Column, when: Column, instead: Column | None = None) -> None:
+        item = F.struct(F.lit(state).alias("state"), path.alias("path"), node.c.alias("value"), (F.lit(None) if instead is None else instead).cast(VIOLATION).alias("instead")).cast(ITEM)
+        self.later.append(F.when(when & node.there, F.array(item).cast(T.ArrayType(ITEM))).otherwise(F.array().cast(T.ArrayType(ITEM))))
 
     def visit(self, schema: Any, node: Node, path: Column, when: Column) -> None:
         """Checks of schema on node wherever `when` holds."""
@@ -435,7 +527,11 @@ class _Compiler:
         for k, limit in schema.items():
             match k:
                 case "$ref":
-                    self.visit(self.tree.resolve(limit, schema), node, path, when)
+                    target = self.tree.resolve(limit, schema)
+                    if id(target) in self.states:
+                        self.defer(self.states[id(target)], node, path, when)
+                    else:
+                        self.visit(target, node, path, when)
                 case "type":
                     tests = [node.is_type(t) for t in ([limit] if isinstance(limit, str) else limit)]
                     if not any(t is True for t in tests):
@@ -497,8 +593,7 @@ class _Compiler:
                 case "additionalProperties" if keys is not None:
                     self._additional(schema, limit, node, keys, path, when, bad)
                 case "propertyNames" if keys is not None:
-                    below = lambda name: self.sub(limit, Typed(name, T.StringType()), path).violations()
-                    self.inner.append(F.coalesce(F.when(when, F.flatten(F.transform(keys, below))), nothing()))
+                    self.each(keys, lambda name, _: (F.lit(True), self.sub(limit, Typed(name, T.StringType()), path)), when)
                 case "dependentSchemas" if keys is not None:
                     for name, sub in limit.items():
                         self.visit(sub, node, path, when & _known(F.array_contains(keys, name)))
@@ -511,6 +606,8 @@ class _Compiler:
                 case "allOf":
                     for sub in limit:
                         self.visit(sub, node, path, when)
+                case "anyOf" if self.states and self._recursive_branch(limit) is not None:
+                    self._any_of(limit, node, path, when)
                 case "anyOf" | "oneOf":
                     fine = [F.when(self.sub(s, node, path).invalid(), 0).otherwise(1) for s in limit]
                     total = reduce(lambda a, b: a + b, fine)
@@ -524,6 +621,22 @@ class _Compiler:
                     if "else" in schema:
                         self.visit(schema["else"], node, path, when & ~met)
 
+    def _recursive_branch(self, branches: list[Any]) -> int | None:
+        """The number of the one branch that is just a reference to a state."""
+        at = [i for i, b in enumerate(branches) if isinstance(b, dict) and "$ref" in b and id(self.tree.resolve(b["$ref"], b)) in self.states]
+        return at[0] if len(at) == 1 and set(branches[at[0]]) <= {"$ref", "description", "title"} else None
+
+    def _any_of(self, branches: list[Any], node: Node, path: Column, when: Column) -> None:
+        """Where no other branch is fine, the value's violations by the recursive one count as one of anyOf."""
+        at = self._recursive_branch(branches)
+        none = F.lit(True)
+        for i, sub in enumerate(branches):
+            if i != at:
+                none = none & _known(self.sub(sub, node, path).invalid())
+        branch = branches[at]
+        state = self.states[id(self.tree.resolve(branch["$ref"], branch))]
+        self.defer(state, node, path, when & none, Check(path, "anyOf", branches, node, none).record())
+
     def _in_place(self, schema: dict, node: Node, keys: Column | None, path: Column) -> list[tuple[Any, Column | None]]:
         """(subschema, condition or None) of those that the schema asks about the same value, where they count as evaluating it."""
         found: list[tuple[Any, Column | None]] = [(sub, None) for sub in schema.get("allOf", ())]
@@ -621,27 +734,21 @@ class _Compiler:
                 child = node.element(F.get(array, F.lit(i)))
                 self.visit(sub, child, F.concat(path, F.array(F.lit(str(i)))), when & (F.size(array) > i) & child.there)
             return
-        below = lambda x, i: F.when(
-            (i >= len(first)) & node.element(x).there,
-            self.sub(schema["items"], node.element(x), F.concat(path, F.array(i.cast("string")))).violations(),
-        ).otherwise(nothing())
-        self.inner.append(F.when(when & array.isNotNull(), F.flatten(F.transform(array, below))).otherwise(nothing()))
+        make = lambda x, i: (
+            (i >= len(first)) & node.element(x).there, self.sub(schema["items"], node.element(x), F.concat(path, F.array(i.cast("string")))),
+        )
+        self.each(array, make, when & array.isNotNull())
 
     def _values(self, node: Node, by_pattern: dict[str, Any], path: Column, when: Column, match: Callable[[Column, str], Column]) -> None:
         if (found := node.values()) is None:
             if isinstance(node.kind, T.StructType):
                 raise NotColumnar("patternProperties over a struct needs the interpreter")
             return
-        entries, make = found
-
-        def below(pattern: str, sub: Any) -> Callable[[Column], Column]:
-            return lambda e: F.when(
-                match(e["key"], pattern),
-                self.sub(sub, make(e["value"]), F.concat(path, F.array(e["key"]))).violations(),
-            ).otherwise(nothing())
+        entries, make_ = found
 
         for pattern, sub in by_pattern.items():
-            self.inner.append(F.coalesce(F.when(when, F.flatten(F.transform(entries, below(pattern, sub)))), nothing()))
+            make = lambda e, _, pattern=pattern, sub=sub: (match(e["key"], pattern), self.sub(sub, make_(e["value"]), F.concat(path, F.array(e["key"]))))
+            self.each(entries, make, when)
 
     def _additional(self, schema: dict, limit: Any, node: Node, keys: Column, path: Column, when: Column, bad: Callable) -> None:
         if limit is True or limit == {}:
@@ -661,7 +768,4 @@ class _Compiler:
                     self.visit(limit, child, F.concat(path, F.array(F.lit(name))), when & child.there)
             return
         entries, make = found
-        below = lambda e: F.when(
-            extra(e["key"]), self.sub(limit, make(e["value"]), F.concat(path, F.array(e["key"]))).violations(),
-        ).otherwise(nothing())
-        self.inner.append(F.coalesce(F.when(when, F.flatten(F.transform(entries, below))), nothing()))
+        self.each(entries, lambda e, _: (extra(e["key"]), self.sub(limit, make(e["value"]), F.concat(path, F.array(e["key"])))), when)

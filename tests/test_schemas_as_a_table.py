@@ -209,3 +209,55 @@ def test_a_text_column_is_a_string_on_both_paths(spark):
 def test_dates_can_be_compiled_alone(spark):
     df = spark.sql("select date'2020-01-02' as d")
     assert df.where(compile_schema(load({"const": "2020-01-02"}), Typed(F.col("d"), df.schema["d"].dataType)).invalid()).count() == 0
+
+
+# ---- recursion ------------------------------------------------------------------------------------------------------
+
+RECURSIVE = [
+    {"$ref": "#/$defs/node", "$defs": {"node": {"type": "object", "properties": {"k": {"type": "integer", "minimum": 10}, "child": {"$ref": "#/$defs/node"}}}}},
+    {"type": "object", "properties": {"k": {"maximum": 5}, "kids": {"type": "array", "items": {"$ref": "#"}}}, "additionalProperties": False, "required": ["k", "kids"]},
+    {"properties": {"k": {"type": "integer"}, "child": {"anyOf": [{"type": "null"}, {"$ref": "#"}]}}, "required": ["k"]},
+    {"$defs": {"a": {"properties": {"b": {"$ref": "#/$defs/b"}}, "required": ["k"]}, "b": {"additionalProperties": {"$ref": "#/$defs/a"}, "patternProperties": {"^k": {"type": "integer"}}}}, "allOf": [{"$ref": "#/$defs/a"}]},
+    {"prefixItems": [{"type": "integer"}], "items": {"$ref": "#"}, "maxItems": 3, "if": {"type": "object"}, "then": {"additionalProperties": {"$ref": "#"}}},
+]
+
+
+def some_value(rng, depth):
+    if depth == 0 or rng.random() < 0.25:
+        return rng.choice([1, 20, "x", None, True, [], {}])
+    if rng.random() < 0.3:
+        return [some_value(rng, depth - 1) for _ in range(rng.randint(0, 4))]
+    return {n: rng.choice([1, 12, "s"]) if n == "k" else some_value(rng, depth - 1) for n in rng.sample(["k", "child", "kids", "b", "zz"], rng.randint(1, 4))}
+
+
+@pytest.mark.parametrize("number", range(len(RECURSIVE)))
+def test_recursive_schemas_as_interpreted_without_python(spark, number):
+    rng = random.Random(number)
+    values = [some_value(rng, 6) for _ in range(150)]
+    deep = {"k": 1}
+    for i in range(63):
+        deep = {"k": i, "child": deep} if i % 2 else {"k": i, "child": deep, "kids": [deep]} if i < 6 else {"k": i, "child": deep}
+    values.append(deep)
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in enumerate(values)], "id int, j string").withColumn("v", F.parse_json("j"))
+    found = validate_rows(df, Contract("t:T/v1", RECURSIVE[number]), "v").select("id", "violations")
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+    plain = lambda r: (r["json_path"], r["validator"], r["validator_value"], *((r["value"], r["message"]) if r["value"][0] not in "[{" else ()))
+    got = {r.id: sorted(plain(x.asDict()) for x in r.violations) for r in found.collect()}
+    evaluator = Evaluator(load(RECURSIVE[number]))
+    for k, v in enumerate(values):
+        assert got[k] == sorted(plain(flat_record(r)) for r in evaluator.violations(v)), v
+    assert sum(map(len, got.values())) > 20
+
+
+def test_recursion_under_a_condition_is_interpreted(spark):
+    df = spark.createDataFrame([(1, '{"a": {"a": 1}}'), (2, '{"a": {"a": {}}}')], "id int, j string").withColumn("v", F.parse_json("j"))
+    found = violations(df, Contract("t:T/v1", {"properties": {"a": {"oneOf": [{"$ref": "#"}, {"type": "integer"}]}}, "type": "object"}), ["id"], "v")
+    assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.collect() == []
+
+
+def test_recursive_schemas_over_typed_rows_end_with_the_type(spark):
+    df = spark.sql("select 1 as id, named_struct('k', 3, 'child', named_struct('k', 30, 'child', named_struct('k', 4))) as t")
+    found = violations(df, Contract("t:T/v1", {"properties": {"t": {"$ref": "#/$defs/n"}}, "$defs": {"n": {"properties": {"k": {"minimum": 10}, "child": {"$ref": "#/$defs/n"}}}}}), ["id"])
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r.json_path for r in found.collect()] == ["/t/child/child/k", "/t/k"]
