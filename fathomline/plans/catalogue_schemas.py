@@ -15,7 +15,7 @@ from fathomline.operators import binding, sections
 from fathomline.operators.corpus import error_rows, validate_corpus
 from fathomline.operators.fields import field_table, identities
 from fathomline.operators.schemas import canonical_forms, load_errors, located, schema_drift
-from fathomline.operators.validate import Contract
+from fathomline.operators.validate import Contract, violations
 from fathomline.sources.documents import decode_table, from_roots
 
 from .catalogue import artifacts, by_remainder, lines, query, read
@@ -288,6 +288,26 @@ keyword_query(
     ['{"a/b~c":1}', '{"a/b~c":@00}', '{"plain":"no date @"}', '{"plain":@}'], {0: [("/a~1b~0c", "minimum")], 3: [("/plain", "type")]},
 )
 
+@query("date_strings", """
+SELECT o_orderkey, 'pattern' AS validator, '"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000') || '"' AS value FROM orders WHERE strftime(o_orderdate, '%Y') NOT IN ('1996', '1997')
+UNION ALL SELECT o_orderkey, 'maxLength', '"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000') || '"' FROM orders WHERE o_orderstatus = 'F'
+""")
+def date_strings(spark, d):
+    """Times are strings, in conditions too."""
+    contract = Contract("case:Dates/v1", {
+        "properties": {"o_orderdate": {"type": "string", "pattern": r"^199[67]-\d\d-\d\dT"}},
+        "if": {"properties": {"o_orderstatus": {"const": "F"}}}, "then": {"properties": {"o_orderdate": {"maxLength": 10}}},
+    })
+    return violations(read(spark, d, "orders"), contract, ["o_orderkey"]).select("o_orderkey", "validator", "value")
+
+
+@query("text_patterns", "SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '[A-Z][a-z]+[.,] [A-Za-z]*on([^a-z]|$)')")
+def text_patterns(spark, d):
+    """Whole texts against a pattern that backtracking alone would take exponential time to refute."""
+    contract = Contract("case:Text/v1", {"properties": {"text": {"pattern": r"[A-Z](?:[a-z]+)+[.,]\N{SPACE}(([A-Za-z]*)*)on([^a-z]|$)"}}})
+    return violations(read(spark, d, "documents").select("doc_id", "text"), contract, ["doc_id"]).select("doc_id")
+
+
 #: A head for each remainder of doc_id, and the kind it is found as (null: none).
 HEADS = (
     ("a: .inf", "number_out_of_range"), ("a: -.INF", "number_out_of_range"), ("a: [.nan]", "number_out_of_range"), ('a: "\\uD800"', "yaml_parse_error"),

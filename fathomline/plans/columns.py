@@ -8,7 +8,6 @@ a Parquet scan; the violations are an array built only for rows that reach them.
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from decimal import Decimal
@@ -22,6 +21,7 @@ from pyspark.sql import types as T
 from fathomline.functions.canonical import canonical_json
 from fathomline.functions.vocab import keyword_text, whole
 
+from .patterns import java
 from .schema_tree import SchemaTree, every
 
 VIOLATION = T.StructType([
@@ -96,64 +96,14 @@ def json_text(s: Column) -> Column:
     return F.substring(packed, 2, F.length(packed) - 2)
 
 
-#: What a class stands for in Python, in Java's words; those that are not here mean the same in both.
-CLASSES = {"s": r"\s\x1c-\x1f", "w": r"\p{L}\p{N}_"}
-_QUANTIFIER = re.compile(r"\{(\d*)(,?)(\d*)\}")
-
-
 def java_pattern(pattern: str) -> str:
-    """The pattern in Java's dialect with Python's meaning: $ before a last newline, braces that open no quantifier, classes
-    over all of Unicode, only \\n as a line's end. What Python compiles and this can't say is left to the interpreter: NotColumnar."""
-    if "(?#" in pattern or "(?(" in pattern or r"\N" in pattern:
-        raise NotColumnar(f"no Java pattern for {pattern!r}")
-    out, inside, k = "", False, 0
-    while k < len(pattern):
-        c = pattern[k]
-        if c == "\\" and k + 1 < len(pattern):
-            e = pattern[k + 1]
-            k += 2
-            if e.lower() in CLASSES:
-                own = CLASSES[e.lower()]
-                out += own if inside and e.islower() else f"[{own}]" if e.islower() else f"[^{own}]"
-            elif e in "abv" and (inside or e != "b"):
-                out += {"a": r"\x07", "b": r"\x08", "v": r"\x0b"}[e]
-            elif e == "0":
-                digits = re.match("[0-7]{0,2}", pattern[k:])[0]
-                out, k = out + rf"\x{int('0' + digits, 8):02x}", k + len(digits)
-            elif e == "U":
-                out, k = out + rf"\x{{{pattern[k : k + 8]}}}", k + 8
-            else:
-                out += "\\" + e
-            continue
-        if c == "{" and not inside:
-            if (m := _QUANTIFIER.match(pattern, k)) and (m[1] or m[2]):
-                out, k = out + f"{{{m[1] or 0}{m[2]}{m[3]}}}", m.end()
-                continue
-            out += "\\{"
-        elif c == "}" and not inside:
-            out += "\\}"
-        elif c == "[" and inside:
-            out += "\\["
-        elif c in "&~" and inside:
-            out += "\\" + c
-        elif c == "$" and not inside:
-            out += r"(?=\n?\z)"
-        elif c == "[":
-            inside, out, k = True, out + c, k + 1
-            for first in "^]":  # a bracket that stands first is itself
-                if pattern.startswith(first, k):
-                    out, k = out + ("\\]" if first == "]" else first), k + 1
-            continue
-        else:
-            out += c
-        inside = inside and c != "]"
-        k += 1
-    found = f"(?Ud){out}"
-    if (jvm := getattr(SparkSession.getActiveSession(), "_jvm", None)) is not None:
-        try:
+    """The pattern in Java's dialect with Python's meaning (plans/patterns.py); NotColumnar where Java can't say it."""
+    try:
+        found = java(pattern)
+        if (jvm := getattr(SparkSession.getActiveSession(), "_jvm", None)) is not None:
             jvm.java.util.regex.Pattern.compile(found)
-        except Exception as e:
-            raise NotColumnar(f"no Java pattern for {pattern!r}") from e
+    except Exception as e:
+        raise NotColumnar(f"no Java pattern for {pattern!r}") from e
     return found
 
 

@@ -71,15 +71,19 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def decode_files(files: DataFrame, profile: str = "frontmatter-md") -> DataFrame:
-    """files(path, content) with the columns of DECODED; content that is no UTF-8 has kind artifact_invalid_utf8."""
+    """files(path, content) with the columns of DECODED; content that is no UTF-8 has kind artifact_invalid_utf8.
+
+    Files that have a kind already, as those that read_folder() can't read, keep it and its message."""
     valid = F.is_valid_utf8(F.col("content").cast("string"))
     text = F.when(valid, F.col("content").cast("string"))
-    decoded = files.select(*[F.col(f"`{c}`") for c in files.columns if c != "content"], valid.alias("utf8"), decode_text(text, profile).alias("d"))
-    bad = ~F.col("utf8")
-    rest = [F.col(f"`{c}`") for c in files.columns if c != "content"]
+    rest = [F.col(f"`{c}`") for c in files.columns if c not in ("content", "kind", "message")]
+    before = [F.col(c).alias(f"{c}_") if "kind" in files.columns else F.lit(None).cast("string").alias(f"{c}_") for c in ("kind", "message")]
+    decoded = files.select(*rest, *before, valid.alias("utf8"), decode_text(text, profile).alias("d"))
+    known, bad = F.col("kind_").isNotNull(), ~F.col("utf8")
     return decoded.select(
         *rest, "d.has_frontmatter", "d.body", "d.root_json", "d.root_type",
-        F.when(bad, "artifact_invalid_utf8").otherwise(F.col("d.kind")).alias("kind"), F.when(bad, "input is not valid UTF-8").otherwise(F.col("d.message")).alias("message"),
+        F.when(known, F.col("kind_")).when(bad, "artifact_invalid_utf8").otherwise(F.col("d.kind")).alias("kind"),
+        F.when(known, F.col("message_")).when(bad, "input is not valid UTF-8").otherwise(F.col("d.message")).alias("message"),
     )
 
 
