@@ -38,34 +38,39 @@ def validate(a) -> int:
     from fathomline.operators.corpus import validate_corpus
     from fathomline.operators.models import named_model
     from fathomline.operators.validate import Contract
-    from fathomline.sources.documents import decode_files, read_files
+    from fathomline.sources.documents import decode_files
+    from fathomline.sources.folder import read_folder
 
-    if a.contract is None and (a.model or a.schema or a.envelope):
-        raise ValueError("--schema, --envelope and --model need --contract")
-    files = decode_files(read_files(_spark(), a.path, a.glob), a.profile).withColumn("host_contract", F.lit(a.contract).cast("string"))
-    contracts = [Contract(a.contract, envelope_key=a.envelope, schema_ref=a.schema)] if a.contract else []
+    if a.contract is None and a.model:
+        raise ValueError("--model needs --contract")
+    files = decode_files(read_folder(_spark(), a.path, a.glob), a.profile).withColumn("host_contract", F.lit(a.contract).cast("string"))
+    contracts = [Contract(a.contract)] if a.contract else []
     models = {a.contract: named_model(a.model)} if a.model else None
     schemas = _schemas([*([a.schema] if a.schema else []), *a.document_schema])
-    found = validate_corpus(files, contracts, schemas, "host_contract", a.profile, models, infer=True, status=a.status)
+    found = validate_corpus(files, contracts, schemas, "host_contract", a.profile, models, infer=True, status=a.status, host_schema=a.schema, host_envelope=a.envelope)
     outcomes = {"usage" if r["contract_id"] == "<unknown>" else r["outcome"] for r in _print_rows(found)}
     return 2 if not outcomes or outcomes & {"input_error", "usage"} else int(outcomes != {"valid"})
 
 
 def inspect(a) -> int:
     from fathomline.operators.corpus import inspect_corpus
-    from fathomline.sources.documents import decode_files, read_files
+    from fathomline.sources.documents import decode_files
+    from fathomline.sources.folder import read_folder
 
-    return 0 if sum(1 for _ in _print_rows(inspect_corpus(decode_files(read_files(_spark(), a.path, a.glob))))) else 2
+    return 0 if sum(1 for _ in _print_rows(inspect_corpus(decode_files(read_folder(_spark(), a.path, a.glob))))) else 2
 
 
 def compile_(a) -> int:
     from fathomline.functions.canonical import canonical_json
     from fathomline.operators.models import compile_model, named_model, read_schema, write_schema
+    from fathomline.operators.schemas import DIFFERS, MISSING
 
     made = compile_model(named_model(a.model), a.contract, a.schema_id)
     if a.check:
-        drift = not Path(a.out).is_file() or canonical_json(read_schema(a.out)) != canonical_json(made.schema)
-        print(json.dumps({"drift": drift, "schema_sha256": made.schema_sha256}))
+        there = Path(a.out).is_file()
+        drift = not there or canonical_json(read_schema(a.out)) != canonical_json(made.schema)
+        diff = (DIFFERS if there else MISSING).replace("{ref}", a.out) if drift else None
+        print(json.dumps({"drift": drift, "drift_diff": diff, "schema_sha256": made.schema_sha256}))
         return int(drift)
     write_schema(made, a.out)
     print(json.dumps({"drift": False, "schema_sha256": made.schema_sha256}))
@@ -73,20 +78,28 @@ def compile_(a) -> int:
 
 
 def generate(a) -> int:
+    """Without --check files are rewritten in place, or what they should be is written to --out; line ends of rewritten files are \\n."""
+    from pyspark.sql import functions as F
+
     from fathomline.operators import sections
-    from fathomline.sources.documents import read_files, text_of
+    from fathomline.sources.documents import text_of
+    from fathomline.sources.folder import read_folder
+    from fathomline.sources.rewrite import rewrite
 
-    texts = text_of(read_files(_spark(), a.path, a.glob))
+    texts = text_of(read_folder(_spark(), a.path, a.glob))
     schemas = _schemas(a.schema)
     errors = drift = 0
     for r in _print_rows(sections.drift_by_document(sections.drift(sections.sections(texts), schemas))):
         errors, drift = errors + r["errors"], drift + r["drift"]
     if errors:
         return 2
-    if not a.check:
-        sections.rewritten(texts, schemas).select("path", "regenerated").write.mode("overwrite").parquet(a.out)
+    if a.check:
+        return int(drift > 0)
+    changed = sections.rewritten(texts.withColumnRenamed("raw", "old"), schemas).select("path", F.col("regenerated").alias("text"), "old")
+    if a.out:
+        changed.select("path", F.col("text").alias("regenerated")).write.mode("overwrite").parquet(a.out)
         return 0
-    return int(drift > 0)
+    return 2 if rewrite(changed, a.path).get("conflict") else 0
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -114,7 +127,7 @@ def main(argv: list[str] | None = None) -> int:
     )
     verb(
         "generate", generate, path, glob, (("--schema",), {"action": "append", "default": []}),
-        (("--check",), {"action": "store_true"}), (("--out",), {"default": "regenerated.parquet"}),
+        (("--check",), {"action": "store_true"}), (("--out",), {}),
     )
     a = parser.parse_args(argv)
     try:

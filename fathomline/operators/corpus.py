@@ -37,11 +37,13 @@ def validate_corpus(
     resources: dict[str, dict] | None = None,
     infer: bool = False,
     status: str | None = None,
+    host_schema: str | None = None,
+    host_envelope: str | None = None,
 ) -> DataFrame:
     """Results of decoded documents (path, has_frontmatter, root_json, root_type, kind, message).
 
     The contract is contract_col's, else the one the document names. Host settings win over the document's: envelope,
-    schema and status. With infer a contract needs no registration, and the status is the one given, else the document's,
+    schema and status; host_schema and host_envelope hold where the contract's registration has none. With infer a contract needs no registration, and the status is the one given, else the document's,
     else soft. schemas: by reference, or a catalogue (operators/schemas.py) of any size. resources: schemas that references may name beside their own. Schemas are named by path: a host's is looked
     for as given, in the working folder and in the document's folder. Returns path, contract_id, status, outcome, ok, structural_ok, structural_skipped, errors,
     semantic_ok, semantic_skipped, semantic_errors (JSON), warnings, warning_codes, envelope_key, schema_source, payload_json.
@@ -54,6 +56,7 @@ def validate_corpus(
     d = binding.metadata(docs, dialect)
     d = d.withColumn("contract_id", F.coalesce(F.col(contract_col) if contract_col else F.lit(None).cast("string"), F.col("meta.contract")))
     d = d.join(registry, F.col("contract_id") == F.col("reg_id"), "left")
+    d = d.withColumn("reg_envelope", F.coalesce("reg_envelope", F.lit(host_envelope).cast("string"))).withColumn("reg_schema", F.coalesce("reg_schema", F.lit(host_schema).cast("string")))
     d = binding.envelope(d, F.col("reg_envelope"), F.col("contract_id"), F.lit(profile), dialect)
     known = F.col("reg_id").isNotNull() | (F.lit(infer) & F.col("contract_id").isNotNull())
     declared = F.when(F.col("meta.error").isNull(), F.col("meta.status"))

@@ -149,10 +149,16 @@ def contents(schemas: DataFrame) -> DataFrame:
     return mapped(schemas, make, {"content": TEXT})
 
 
+#: What is said of a schema that has drifted.
+MISSING, DIFFERS = "missing committed compiled schema at {ref}", "committed schema at {ref} differs from compile output"
+
+
 def schema_drift(committed: DataFrame, made: DataFrame) -> DataFrame:
-    """schema_ref, drift: by content; one that is missing, or no schema, on a side is drift."""
-    old, new = contents(committed), contents(made).withColumnRenamed("content", "other")
-    return old.join(new, "schema_ref", "full").select("schema_ref", (~F.coalesce(F.col("content") == F.col("other"), F.lit(False))).alias("drift"))
+    """schema_ref, drift, drift_diff (what is wrong, null without drift): by content; one that is missing, or no schema, on a side is drift."""
+    old, new = contents(committed).withColumn("there", F.lit(True)), contents(made).withColumnRenamed("content", "other")
+    both = old.join(new, "schema_ref", "full").withColumn("drift", ~F.coalesce(F.col("content") == F.col("other"), F.lit(False)))
+    said = lambda text: F.concat(F.lit(text.partition("{ref}")[0]), F.col("schema_ref"), F.lit(text.partition("{ref}")[2]))
+    return both.select("schema_ref", "drift", F.when(F.col("drift"), F.when(F.col("there").isNull(), said(MISSING)).otherwise(said(DIFFERS))).alias("drift_diff"))
 
 
 def located(docs: DataFrame, schemas: DataFrame, ref: Column, path: Column, source: Column) -> DataFrame:

@@ -127,39 +127,59 @@ def drift(found: DataFrame, schemas: dict[str, dict] | DataFrame, dialect: Diale
     return joined.withColumn("error", error).withColumn("rendered", F.when(error.isNull(), text)).withColumn("drift", F.when(error.isNull(), text != F.col("existing"))).drop("r_schema", "r_kind", "r_pointer", "r_there", "body")
 
 
+#: Fixed value: what is said of a section whose text is not its schema's.
+DRIFTED = "{path}: section {kind} drifted"
+
+
 def drift_by_document(drifted: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
-    """keys, sections, drift, errors per document."""
-    return drifted.groupBy(*keys).agg(
+    """keys, sections, drift, errors, drift_details (a text for each section that has drifted, in order) per document."""
+    before, _, after = DRIFTED.partition("{path}")[2].partition("{kind}")
+    said = F.concat(F.col(keys[0]).cast("string"), F.lit(before), F.coalesce("kind", F.lit("?")), F.lit(after))
+    found = drifted.groupBy(*keys).agg(
         F.count("section_no").alias("sections"), F.coalesce(F.bool_or("drift"), F.lit(False)).alias("drift"),
-        F.count("error").alias("errors"),
+        F.count("error").alias("errors"), F.array_sort(F.collect_list(F.when(F.col("drift"), F.struct("section_no", said.alias("said"))))).alias("drift_details"),
     )
+    return found.withColumn("drift_details", F.transform("drift_details", lambda d: d["said"]))
 
 
-def regenerate(docs: DataFrame, schemas: dict[str, dict], text_col: str = "text", dialect: Dialect = Dialect()) -> DataFrame:
-    """docs with regenerated: the text with every section as its schema says; a text with a faulty section stays as it is.
+def _place(marker: Column, dialect: Dialect) -> tuple[Column, Column, Column]:
+    """Kind, schema and pointer of a marker; the pointer is empty but for a vocab section's."""
+    attrs = F.regexp_extract(marker, _patterns(dialect)[0], 1)
+    kind = _attribute(attrs, "kind")
+    return kind, _attribute(attrs, "schema"), F.when(kind == "vocab", F.coalesce(_attribute(attrs, "pointer"), F.lit(""))).otherwise(F.lit(""))
 
-    The rendered bodies are constants of the plan: no join, no shuffle."""
-    _, block = _patterns(dialect)
-    all_ = [(ref, *b) for ref, schema in schemas.items() for b in bodies(SchemaFields(schema, dialect))]
-    known = F.create_map(*[F.lit(x) for s, k, p, b in all_ for x in ("\x1f".join((s, k, p)), b)]) if all_ else F.create_map(F.lit(""), F.lit(None).cast("string"))
-    opens, _ = _patterns(dialect)
-    text = F.col(text_col)
 
-    def one(marker: Column) -> Column:
-        attrs = F.regexp_extract(marker, opens, 1)
-        kind = _attribute(attrs, "kind")
-        at = F.concat_ws(
-            "\x1f", _attribute(attrs, "schema"), kind,
-            F.when(kind == "vocab", F.coalesce(_attribute(attrs, "pointer"), F.lit(""))).otherwise(F.lit("")),
-        )
-        return F.concat(marker, F.lit("\n"), F.try_element_at(known, at), F.lit(f"\n<!-- /{dialect.marker} -->"))
+def regenerate(docs: DataFrame, schemas: dict[str, dict] | DataFrame, text_col: str = "text", dialect: Dialect = Dialect(), keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """docs with regenerated: the text with every section as its schema says; a text with a faulty section stays as it is.
 
+    Schemas that the driver holds are constants of the plan: no join, no shuffle. With a catalogue the markers meet what
+    their schemas say in one join, and their documents, by keys that no two rows share, in another."""
+    _, block = _patterns(dialect)
+    text, marks = F.col(text_col), F.regexp_extract_all(F.col(text_col), F.lit(block), F.lit(1))
+    end = F.lit(f"\n<!-- /{dialect.marker} -->")
+    if isinstance(schemas, DataFrame):
+        listed = docs.select(*keys, F.posexplode(marks).alias("at_", "marker_"))
+        kind, schema, pointer = _place(F.col("marker_"), dialect)
+        said = rendered(catalogue(docs.sparkSession, schemas), dialect).select(F.col("schema_ref").alias("r_schema"), "r_kind", "r_pointer", "body")
+        named = listed.withColumns({"kind_": kind, "schema_": schema, "pointer_": pointer})
+        met = named.join(said, (F.col("schema_") == F.col("r_schema")) & (F.col("kind_") == F.col("r_kind")) & (F.col("pointer_") == F.col("r_pointer")), "left")
+        made = F.transform(F.array_sort(F.collect_list(F.struct("at_", F.concat("marker_", F.lit("\n"), "body", end).alias("made")))), lambda x: x["made"])
+        by_doc = met.groupBy(*keys).agg(made.alias("made_"))
+        docs, made = docs.join(by_doc, list(keys), "left"), F.coalesce("made_", F.array().cast("array<string>"))
+    else:
+        all_ = [(ref, *b) for ref, schema in schemas.items() for b in bodies(SchemaFields(schema, dialect))]
+        known = F.create_map(*[F.lit(x) for s, k, p, b in all_ for x in ("\x1f".join((s, k, p)), b)]) if all_ else F.create_map(F.lit(""), F.lit(None).cast("string"))
+
+        def one(marker: Column) -> Column:
+            kind, schema, pointer = _place(marker, dialect)
+            return F.concat(marker, F.lit("\n"), F.try_element_at(known, F.concat_ws("\x1f", schema, kind, pointer)), end)
+
+        made = F.transform(marks, one)
     pieces = F.split(text, block, -1)
-    made = F.transform(F.regexp_extract_all(text, F.lit(block), F.lit(1)), one)
     whole = F.array_join(F.flatten(F.zip_with(pieces, made, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    return docs.withColumn("regenerated", F.when(F.exists(made, lambda m: m.isNull()), text).otherwise(whole))
+    return docs.withColumn("regenerated", F.when(F.exists(made, lambda m: m.isNull()), text).otherwise(whole)).drop("made_")
 
 
-def rewritten(docs: DataFrame, schemas: dict[str, dict], text_col: str = "text", dialect: Dialect = Dialect()) -> DataFrame:
+def rewritten(docs: DataFrame, schemas: dict[str, dict] | DataFrame, text_col: str = "text", dialect: Dialect = Dialect()) -> DataFrame:
     """regenerate()'s rows whose text it changes: what there is to write."""
     return regenerate(docs, schemas, text_col, dialect).where(F.col("regenerated") != F.col(text_col))

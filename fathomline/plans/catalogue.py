@@ -395,10 +395,11 @@ def section_docs(spark, d):
 
 
 @query("section_drift", """
-SELECT 'doc/' || doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS sections, doc_id % 3 = 0 AS drift, (doc_id % 3 = 2)::BIGINT AS errors FROM documents
+SELECT 'doc/' || doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS sections, doc_id % 3 = 0 AS drift, (doc_id % 3 = 2)::BIGINT AS errors, CASE WHEN doc_id % 3 = 0 THEN 'doc/' || doc_id || ': section enum_table drifted' ELSE '' END AS drift_details FROM documents
 """)
 def section_drift(spark, d):
-    return sections.drift_by_document(sections.drift(sections.sections(section_docs(spark, d)), {"movie": MOVIE}))
+    found = sections.drift_by_document(sections.drift(sections.sections(section_docs(spark, d)), {"movie": MOVIE}))
+    return found.withColumn("drift_details", F.concat_ws(";", "drift_details"))
 
 
 @query("section_regenerate", "SELECT 'doc/' || doc_id AS path, doc_id % 3 = 0 AS changed FROM documents")

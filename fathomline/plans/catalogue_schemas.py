@@ -128,6 +128,20 @@ def section_join(spark, d):
     return sections.drift(found, movies(spark, d)).select("path", F.coalesce("drift", F.lit(False)).alias("drift"), "error")
 
 
+@query("section_regenerate_join", """
+SELECT 'doc/' || doc_id AS path, 'a <!-- fathom:generated kind="vocab" schema="s/' || doc_id || '" pointer="/properties/rating" -->' || chr(10) || '- `G`' || chr(10) || '- `PG|' || doc_id || '`' || chr(10) || '<!-- /fathom:generated --> b <!-- fathom:generated kind="vocab" schema="s/' || doc_id || '" pointer="/properties/lead/properties/role" -->'
+  || chr(10) || '- `actor`' || chr(10) || '- `voice' || s_nationkey || '`' || chr(10) || '<!-- /fathom:generated --> c' AS text, 'doc/' || doc_id || ': section vocab drifted' AS details FROM documents JOIN supplier ON doc_id = s_suppkey
+""")
+def section_regenerate_join(spark, d):
+    """Documents made anew from a catalogue of as many schemas; the second section is up to date."""
+    docs = read(spark, d, "documents").join(read(spark, d, "supplier"), F.col("doc_id") == F.col("s_suppkey"))
+    mark = lambda pointer, body: f'<!-- fathom:generated kind="vocab" schema="s/@key" pointer="{pointer}" -->{body}<!-- /fathom:generated -->'
+    text = filled(f"a {mark('/properties/rating', 'old')} b {mark('/properties/lead/properties/role', chr(10) + '- `actor`' + chr(10) + '- `voice@nation`' + chr(10))} c", key="s_suppkey", nation="s_nationkey")
+    docs = docs.select(F.concat(F.lit("doc/"), "doc_id").alias("path"), text.alias("text"))
+    told = sections.drift_by_document(sections.drift(sections.sections(docs), movies(spark, d))).select("path", F.concat_ws(";", "drift_details").alias("details"))
+    return sections.rewritten(docs, movies(spark, d)).select("path", F.col("regenerated").alias("text")).join(told, "path")
+
+
 # ---- checks and rewrites --------------------------------------------------------------------------------------------
 
 #: A fault for each remainder, and kind and reason without and with the enforced overlay.
@@ -173,12 +187,15 @@ def schema_canonical_form(spark, d):
     return canonical_forms(read(spark, d, "part").select(F.concat(F.lit("p/"), F.col("p_partkey")).alias("schema_ref"), text.alias("schema_text")))
 
 
-@query("schema_drift", "SELECT 's/' || s_suppkey AS schema_ref, s_suppkey % 4 IN (1, 2) AS drift FROM supplier")
+@query("schema_drift", """
+SELECT 's/' || s_suppkey AS schema_ref, s_suppkey % 4 IN (1, 2) AS drift,
+  CASE s_suppkey % 4 WHEN 1 THEN 'committed schema at s/' || s_suppkey || ' differs from compile output' WHEN 2 THEN 'missing committed compiled schema at s/' || s_suppkey END AS drift_diff FROM supplier
+""")
 def schema_drift_(spark, d):
     rows = read(spark, d, "supplier").withColumn("schema_ref", F.concat(F.lit("s/"), F.col("s_suppkey")))
     text = lambda *t: by_key("s_suppkey", *[filled(x, key="s_suppkey") for x in t]).alias("schema_text")
-    old = rows.select("schema_ref", text('{"a":@key,"b":[1]}', '{"default":false,"a":@key}', '{"a":@key}', '{"a":@key.0}'))
-    new = rows.where("s_suppkey % 4 <> 2").select("schema_ref", text('{ "b": [1],\n "a": @key }', '{"default":0,"a":@key}', "", "a: @key\n"))
+    old = rows.where("s_suppkey % 4 <> 2").select("schema_ref", text('{"a":@key,"b":[1]}', '{"default":false,"a":@key}', "", '{"a":@key.0}'))
+    new = rows.select("schema_ref", text('{ "b": [1],\n "a": @key }', '{"default":0,"a":@key}', '{"a":@key}', "a: @key\n"))
     return schema_drift(old, new)
 
 

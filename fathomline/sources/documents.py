@@ -121,9 +121,9 @@ def from_roots(table: DataFrame, root_col: str, guard: bool = False) -> DataFram
 
 
 def text_of(files: DataFrame) -> DataFrame:
-    """path, text: the files' content with every line's end as \\n; what is no UTF-8 is null."""
+    """path, text, raw: the files' content with every line's end as \\n, and as it is; what is no UTF-8 is null."""
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    return files.select("path", F.regexp_replace(text, r"\r\n?", "\n").alias("text"))
+    return files.select("path", F.regexp_replace(text, r"\r\n?", "\n").alias("text"), text.alias("raw"))
 
 
 def missing_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
