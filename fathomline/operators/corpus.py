@@ -39,6 +39,7 @@ def validate_corpus(
     status: str | None = None,
     host_schema: str | None = None,
     host_envelope: str | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Results of decoded documents (path, has_frontmatter, root_json, root_type, kind, message).
 
@@ -47,7 +48,7 @@ def validate_corpus(
     else soft. schemas: by reference, or a catalogue (operators/schemas.py) of any size. resources: schemas that references may name beside their own. Schemas are named by path: a host's is looked
     for as given, in the working folder and in the document's folder. Returns path, contract_id, status, outcome, ok, structural_ok, structural_skipped, errors,
     semantic_ok, semantic_skipped, semantic_errors (JSON), warnings, warning_codes, envelope_key, schema_source, payload_json.
-    Contracts and resources are the driver's. A schema's text comes with the documents that it checks and is compiled once a worker."""
+    carry: columns of docs that come along. Contracts and resources are the driver's. A schema's text comes with the documents that it checks and is compiled once a worker."""
     spark = docs.sparkSession
     models = models or {}
     registry = spark.createDataFrame(
@@ -166,6 +167,7 @@ def validate_corpus(
         ).otherwise("invalid").alias("outcome"),
         ok.alias("ok"), structural_ok.alias("structural_ok"), skipped.alias("structural_skipped"), "errors", semantic_ok.alias("semantic_ok"), F.when(~fine, F.col("failure")).when(~model_here, F.lit("no_semantic_model")).alias("semantic_skipped"),
         "semantic_errors", warnings.alias("warnings"), F.transform(warnings, lambda w: w["code"]).alias("warning_codes"), "envelope_key", "schema_source", F.when(fine, F.col("payload_json")).alias("payload_json"),
+        *carry,
     )
 
 

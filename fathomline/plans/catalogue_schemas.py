@@ -266,6 +266,51 @@ def named_models(spark, d):
     return validate_corpus(docs, [Contract("case:Move/v1")], {}, models={"case:Move/v1": model}).select("path", "semantic_ok")
 
 
+# ---- files and streams ----------------------------------------------------------------------------------------------
+
+
+@query("files_rewritten", """
+SELECT 's' || s_suppkey || '.md' AS name, CASE s_suppkey % 3 WHEN 0 THEN 'v2 ' ELSE 'v1 ' END || s_name AS body, CASE s_suppkey % 3 WHEN 0 THEN 'replaced' WHEN 1 THEN 'conflict' END AS status FROM supplier
+""")
+def files_rewritten(spark, d):
+    """A file for each supplier, rewritten in two steps where its text is the one that was read, and read back as a folder."""
+    from fathomline.sources.documents import decode_files
+    from fathomline.sources.folder import read_folder
+    from fathomline.sources.rewrite import commit, rewrite, stage
+    from fathomline.sources.shared import shared_folder
+
+    root = shared_folder(spark, "rewritten")
+    rows = read(spark, d, "supplier").select("s_suppkey", F.concat(F.lit(f"{root}/s"), "s_suppkey", F.lit(".md")).alias("path"), "s_name")
+    text = lambda v: F.concat(F.lit(f"---\na: 1\n---\n{v} "), "s_name")
+    rewrite(rows.select("path", text("v1").alias("text"), F.lit(None).cast("string").alias("old")), root)
+    newer = rows.where("s_suppkey % 3 < 2").select("path", text("v2").alias("text"), F.when(F.col("s_suppkey") % 3 == 0, text("v1")).otherwise(F.lit("another")).alias("old"))
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    done = commit(spark, stage(newer, root)).select(name, "status")
+    files = decode_files(read_folder(spark, root, "s*.md")).select(name, "body")
+    return files.join(done, "name", "left")
+
+
+@query("stream_updates", """
+SELECT outcome, count(*)::BIGINT AS n FROM (SELECT CASE WHEN doc_id % 3 = 1 THEN NULL WHEN (CASE WHEN doc_id % 3 = 0 THEN n_chars // 2 ELSE n_chars END) > 500 THEN 'invalid' ELSE 'valid' END AS outcome FROM documents) WHERE outcome IS NOT NULL GROUP BY outcome
+""")
+def stream_updates(spark, d):
+    """Documents as a stream in which a third come again, changed, and a third are taken away: totals follow the latest versions."""
+    from fathomline.sources.shared import shared_folder
+    from fathomline.streaming.updates import changes, current, write_changes
+
+    at = shared_folder(spark, "stream")
+    rows = read(spark, d, "documents").select("doc_id", "n_chars")
+    text = lines("---\nfathom: a:One\nv: {n: ", F.col("n"), "}\n---\n")
+    versions = F.array(F.struct(F.lit(1).alias("version"), F.col("n_chars").alias("n")), F.struct(F.lit(2).alias("version"), F.expr("n_chars div 2").alias("n")))
+    come = rows.select("doc_id", F.inline(versions)).where("version = 1 or doc_id % 3 < 2")
+    come.select(F.concat(F.lit("doc/"), "doc_id").alias("path"), text.alias("text"), "version", (F.col("version") * F.col("doc_id") % 3 == 2).alias("gone")).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema("path string, text string, version int, gone boolean").option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    contract = Contract("a:One", schema_ref="n.json")
+    results = validate_corpus(decode_table(stream, "text"), [contract], {"n.json": {"properties": {"n": {"maximum": 500}}}}, carry=("version", "gone"))
+    write_changes(changes(results, "path", F.col("version"), ["outcome"], F.col("gone") & (F.col("version") == 2)), f"{at}/out", f"{at}/state").awaitTermination()
+    return current(spark.read.schema("key string, version long, value string, sign int").parquet(f"{at}/out"), "outcome string")
+
+
 # ---- documents and as many schemas ----------------------------------------------------------------------------------
 
 
