@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathomline.functions.canonical import canonical_json
-from fathomline.plans.columns import VIOLATION, NotColumnar, Program, Row, Typed, Variant, compile_schema, json_text, let, recursive_violations
+from fathomline.plans.columns import VIOLATION, Node, NotColumnar, Program, Row, Typed, Variant, compile_part, compile_schema, json_text, let, recursive_violations
 from fathomline.plans.columns import column as named
 from fathomline.plans.schema_tree import SchemaTree, load
 
@@ -85,14 +86,54 @@ def violations(df: DataFrame, contract: Contract, keys: list[str], column: str |
             listed = listed.where("pos is not null")
     except NotColumnar:
         listed = df.select(*keys, F.posexplode_outer(interpreted(as_json(df, column), contract, df.schema if column is None else df.schema[column].dataType))).where("pos is not null")
-    part = lambda c: F.replace(F.replace(c, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
-    pointer = F.concat_ws("", F.transform(F.col("col.json_path"), lambda p: F.concat(F.lit("/"), part(p))))
     return listed.select(
-        *keys, F.col("pos").alias("ordinal"), pointer.alias("json_path"), "col.validator", "col.validator_value",
+        *keys, F.col("pos").alias("ordinal"), pointer(F.col("col.json_path")).alias("json_path"), "col.validator", "col.validator_value",
         "col.value", "col.message",
     )
 
 
+def pointer(parts: Column) -> Column:
+    """JSON Pointer of a path."""
+    part = lambda c: F.replace(F.replace(c, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+    return F.concat_ws("", F.transform(parts, lambda p: F.concat(F.lit("/"), part(p))))
+
+
+def item_violations(df: DataFrame, contract: Contract, keys: list[str], column: str) -> DataFrame:
+    """The violations of an array column, its items as rows of their own: keys, item (its place, null for the array as a whole),
+    json_path, validator, validator_value, value, message.
+
+    Items are dealt out anew, so that one array of millions is checked by many tasks, each item by itself; what is asked of
+    the array as a whole (its size, contains, uniqueItems) stays with its row. They are not numbered: (item, json_path,
+    validator) is their order. unevaluatedItems and references at the root look at both, and are refused: ValueError."""
+    tree, kind = contract.tree(), df.schema[column].dataType
+    root = tree.root
+    if "unevaluatedItems" in root or "$ref" in root or any(k in root for k in ("allOf", "anyOf", "oneOf", "not", "if")):
+        raise ValueError("items can't be checked apart from their array under this schema")
+    if not isinstance(kind, (T.ArrayType, T.VariantType)):
+        raise ValueError(f"column {column} holds no arrays")
+    make = Variant if isinstance(kind, T.VariantType) else (lambda c: Typed(c, kind.elementType))
+    value = named(column)
+    array = F.try_variant_get(value, "$", "array<variant>") if isinstance(kind, T.VariantType) else value
+    first, rest = root.get("prefixItems", []), root.get("items", True)
+    own = dataclasses.replace(contract, schema={k: v for k, v in contract.schema.items() if k not in ("items", "prefixItems")})
+    whole = violations(df, own, keys, column).drop("ordinal").withColumn("item", F.lit(None).cast("int"))
+
+    items = df.select(*keys, F.posexplode(array).alias("item", "value_")).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    path, x = F.array(F.col("item").cast("string")), F.col("value_")
+    found = None
+    for k, sub in enumerate([*first, rest]):
+        one = let(x, lambda v: program_of(tree, sub, make(v), path)) if isinstance(kind, T.VariantType) else program_of(tree, sub, make(x), path)
+        found = F.when(F.col("item") == k, one) if k < len(first) and found is None else found.when(F.col("item") == k, one) if k < len(first) else one if found is None else found.otherwise(one)
+    listed = items.where(x.isNotNull()).select(*keys, "item", F.explode_outer(found).alias("col")).where("col is not null")
+    parts = listed.select(*keys, pointer(F.col("col.json_path")).alias("json_path"), "col.validator", "col.validator_value", "col.value", "col.message", "item")
+    return whole.unionByName(parts).select(*keys, "item", "json_path", "validator", "validator_value", "value", "message")
+
+
+def program_of(tree: SchemaTree, schema: Any, node: Node, path: Column) -> Column:
+    """Violations of a part of a schema on a node; recursion needs recursive_violations()."""
+    return compile_part(tree, schema, node, path).violations()
+
+
 def as_json(df: DataFrame, column: str | None, texts: bool = False) -> Column:
     """JSON of rows or of a column. A text column is a JSON string, as the Column path has it; with texts it holds JSON itself."""
     if column is None:

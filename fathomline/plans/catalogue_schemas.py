@@ -15,7 +15,7 @@ from fathomline.operators import binding, sections
 from fathomline.operators.corpus import error_rows, validate_corpus
 from fathomline.operators.fields import field_table, identities
 from fathomline.operators.schemas import canonical_forms, load_errors, located, schema_drift
-from fathomline.operators.validate import Contract, violations
+from fathomline.operators.validate import Contract, item_violations, violations
 from fathomline.sources.documents import decode_table, from_roots
 
 from .catalogue import artifacts, by_remainder, lines, query, read
@@ -311,6 +311,16 @@ def stream_updates(spark, d):
     return current(spark.read.schema("key string, version long, value string, sign int").parquet(f"{at}/out"), "outcome string")
 
 
+@query("items_as_rows", """
+SELECT vec_id, (k - 1)::INT AS item, '/' || (k - 1) AS json_path, CASE WHEN k <= 2 THEN 'minimum' ELSE 'maximum' END AS validator FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings) WHERE (k <= 2 AND x < 0) OR (k > 2 AND x > 0.2::DOUBLE)
+UNION ALL SELECT vec_id, NULL, '', 'maxItems' FROM embeddings WHERE len(embedding) > 63
+""")
+def items_as_rows(spark, d):
+    """Each item of a vector as a row of its own, the vector's size beside them."""
+    contract = Contract("ml:Items/v1", {"maxItems": 63, "prefixItems": [{"minimum": 0}, {"minimum": 0}], "items": {"type": "number", "maximum": 0.2}})
+    return item_violations(read(spark, d, "embeddings"), contract, ["vec_id"], "embedding").select("vec_id", "item", "json_path", "validator")
+
+
 # ---- documents and as many schemas ----------------------------------------------------------------------------------
 
 

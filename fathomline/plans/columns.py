@@ -365,6 +365,15 @@ def compile_schema(tree: SchemaTree, node: Node) -> Program:
     return Program(compiler.flat, compiler.inner)
 
 
+def compile_part(tree: SchemaTree, schema: Any, node: Node, path: Column) -> Program:
+    """A part of a schema on a node that stands at a path."""
+    if tree.recursive():
+        raise NotColumnar("the schema is recursive")
+    compiler = _Compiler(tree)
+    compiler.visit(schema, node, path, F.lit(True))
+    return Program(compiler.flat, compiler.inner)
+
+
 #: A value that a state of a recursive schema is to be asked about; instead: what any violation in it counts as.
 ITEM = T.StructType([
     T.StructField("state", T.IntegerType()), T.StructField("path", T.ArrayType(T.StringType())), T.StructField("value", T.VariantType()), T.StructField("instead", VIOLATION),

@@ -12,7 +12,7 @@ from fathomline.operators import schemas as tables
 from fathomline.operators.corpus import error_rows, validate_corpus
 from fathomline.operators.interpret import Evaluator, multiple
 from fathomline.operators.schemas import Kept, catalogue, compiled, load_errors, located, schema_files
-from fathomline.operators.validate import Contract, flat_record, validate_rows, violations
+from fathomline.operators.validate import Contract, flat_record, item_violations, validate_rows, violations
 from fathomline.plans.columns import Typed, compile_schema
 from fathomline.plans.schema_tree import SchemaInvalid, load
 from fathomline.sources.documents import decode_table
@@ -261,3 +261,26 @@ def test_recursive_schemas_over_typed_rows_end_with_the_type(spark):
     found = violations(df, Contract("t:T/v1", {"properties": {"t": {"$ref": "#/$defs/n"}}, "$defs": {"n": {"properties": {"k": {"minimum": 10}, "child": {"$ref": "#/$defs/n"}}}}}), ["id"])
     assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
     assert [r.json_path for r in found.collect()] == ["/t/child/child/k", "/t/k"]
+
+
+# ---- items as rows --------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("variant", [False, True])
+def test_items_as_rows_are_those_of_the_array(spark, variant):
+    df = spark.createDataFrame([(1, [1.0, 5.5, 9.0]), (2, []), (3, None), (4, [None, -1.0])], "id int, a array<double>")
+    if variant:
+        df = df.select("id", F.parse_json(F.to_json("a")).alias("a"))
+    schema = {"minItems": 1, "contains": {"maximum": 2}, "prefixItems": [{"exclusiveMinimum": 1}], "items": {"type": "number", "multipleOf": 0.5, "maximum": 5}}
+    got = item_violations(df, Contract("t:T/v1", schema), ["id"], "a").collect()
+    want = violations(df, Contract("t:T/v1", schema), ["id"], "a").collect()
+    plain = lambda rows: sorted((r.id, r.json_path, r.validator, r.value, r.message) for r in rows)
+    assert plain(got) == plain(want) and {r.item for r in got if r.json_path} == {0, 1, 2}
+
+
+def test_one_long_array_is_checked_by_many_tasks(spark):
+    df = spark.range(1).select("id", F.transform(F.sequence(F.lit(0), F.lit(199_999)), lambda k: k.cast("double")).alias("a"))
+    found = item_violations(df, Contract("t:T/v1", {"items": {"multipleOf": 100}, "maxItems": 10}), ["id"], "a")
+    assert found.groupBy(F.spark_partition_id()).count().count() > 2 and found.count() == 198_001
+    with pytest.raises(ValueError):
+        item_violations(df, Contract("t:T/v1", {"unevaluatedItems": False}), ["id"], "a")
