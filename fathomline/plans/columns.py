@@ -485,8 +485,8 @@ class _Compiler:
         number, text, array, keys = node.number(), node.text(), node.array(), node.keys()
         for k, limit in schema.items():
             match k:
-                case "$ref":
-                    target = self.tree.resolve(limit, schema)
+                case "$ref" | "$dynamicRef":
+                    target = self.tree.targets(schema)[0 if k == "$ref" else -1]
                     if id(target) in self.states:
                         self.defer(self.states[id(target)], node, path, when)
                     else:
@@ -600,8 +600,7 @@ class _Compiler:
         """(subschema, condition or None) of those that the schema asks about the same value, where they count as evaluating it."""
         found: list[tuple[Any, Column | None]] = [(sub, None) for sub in schema.get("allOf", ())]
         fine = lambda sub: ~self.sub(sub, node, path).invalid()
-        if "$ref" in schema:
-            found.append((self.tree.resolve(schema["$ref"], schema), None))
+        found += [(sub, None) for sub in self.tree.targets(schema)]
         found += [(sub, fine(sub)) for k in ("anyOf", "oneOf") for sub in schema.get(k, ())]
         if "if" in schema:
             met = fine(schema["if"])

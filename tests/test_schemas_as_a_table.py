@@ -98,6 +98,21 @@ def test_references_that_step_into_the_value_are_fine():
     assert tree.recursive() and Evaluator(tree).violations(["x"])[0]["validator"] == "type"
 
 
+TREE = {"$id": "tag:x,2020:tree", "$dynamicAnchor": "node", "type": "object", "properties": {"data": True, "children": {"type": "array", "items": {"$dynamicRef": "#node"}}}}
+STRICT = {"$id": "tag:x,2020:strict", "$dynamicAnchor": "node", "$ref": "tag:x,2020:tree", "unevaluatedProperties": False}
+
+
+def test_dynamic_references_lead_to_the_root_that_extends(spark):
+    values = [{"children": [{"daat": 1}]}, {"children": [{"data": 1}]}, {"children": [{"children": [1]}]}, {"data": 1, "children": [{"children": [{"odd": 2}]}]}]
+    plain, strict = load(TREE), load(STRICT, resources={"tag:x,2020:tree": TREE})
+    assert [[r["path"] for r in Evaluator(plain).violations(v)] for v in values] == [[], [], [["children", "0", "children", "0"]], []]
+    assert [[r["validator"] for r in Evaluator(strict).violations(v)] for v in values] == [["unevaluatedProperties"], [], ["type"], ["unevaluatedProperties"]]
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in enumerate(values)], "id int, j string").withColumn("v", F.parse_json("j"))
+    for contract, tree in ((Contract("t:T/v1", TREE), plain), (Contract("t:T/v1", STRICT, resources={"tag:x,2020:tree": TREE}), strict)):
+        got = {r.id: sorted((x["json_path"], x["validator"]) for x in r.violations) for r in validate_rows(df, contract, "v").collect()}
+        assert [got[k] for k in range(len(values))] == [sorted((r["path"], r["validator"]) for r in Evaluator(tree).violations(v)) for v in values]
+
+
 def test_deep_values_end():
     schema = {"$ref": "#/$defs/n", "$defs": {"n": {"anyOf": [{"properties": {"a": {"$ref": "#/$defs/n"}}, "additionalProperties": False}, {"type": "null"}]}}}
     value = None
