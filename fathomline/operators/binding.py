@@ -9,6 +9,12 @@ from fathomline.functions.vocab import STATUSES, Dialect
 
 #: Fixed value: the grammar of contract ids, [namespace:]Name[/version].
 CONTRACT_ID = r"\A(?:[a-z0-9_]+(?:\.[a-z0-9_]+)*:)?[A-Za-z_][A-Za-z0-9_]*(?:/[A-Za-z0-9_.-]+)?\z"
+# What results say of faulty bindings.
+RELATIVE = "schema must be a relative path: "
+ESCAPES = "schema escapes the document directory: "
+NOT_FOUND = "compiled schema not found: "
+AMBIGUOUS = "multiple top-level frontmatter keys; designate the payload (candidates: "
+NOT_MAPPING = ("envelope value is ", ", expected mapping")
 META_KEYS = ("contract", "schema", "envelope", "status")
 
 
@@ -101,10 +107,10 @@ def envelope(docs: DataFrame, host_key: Column, contract_id: Column, profile: Co
         F.when(fault == "envelope_mismatch", F.concat(F.lit("contract '"), contract_id, F.lit("' expects '"), declared, F.lit("'")))
         .when(
             fault == "envelope_ambiguous",
-            F.concat(F.lit("multiple top-level frontmatter keys; designate the payload (candidates: "), F.concat_ws(", ", mine), F.lit(")")),
+            F.concat(F.lit(AMBIGUOUS), F.concat_ws(", ", mine), F.lit(")")),
         )
         .when(fault == "envelope_missing", F.lit("document has no payload key beside its metadata"))
-        .when(fault == "envelope_not_mapping", F.concat(F.lit("envelope value is "), F.col("value_type"), F.lit(", expected mapping")))
+        .when(fault == "envelope_not_mapping", F.concat(F.lit(NOT_MAPPING[0]), F.col("value_type"), F.lit(NOT_MAPPING[1])))
     )
     mismatch = fault == "envelope_mismatch"
     error = F.struct(
@@ -152,9 +158,9 @@ def document_schema_error(ref: Column, known: Column) -> Column:
 
     An object store has no symlinks to resolve: the path is followed by its parts."""
     return (
-        F.when(ref.startswith("/"), F.concat(F.lit("schema must be a relative path: "), ref))
-        .when(normal(ref).rlike(r"^\.\.(/|$)"), F.concat(F.lit("schema escapes the document directory: "), ref))
-        .when(~known, F.concat(F.lit("compiled schema not found: "), ref))
+        F.when(ref.startswith("/"), F.concat(F.lit(RELATIVE), ref))
+        .when(normal(ref).rlike(r"^\.\.(/|$)"), F.concat(F.lit(ESCAPES), ref))
+        .when(~known, F.concat(F.lit(NOT_FOUND), ref))
     )
 
 

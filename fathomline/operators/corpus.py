@@ -96,7 +96,7 @@ def validate_corpus(
     d = located(d, catalogue(spark, schemas), F.col("schema_named"), path, F.col("schema_source"))
     ref, source, in_catalogue = F.col("schema_named"), F.col("schema_source"), F.col("schema_ref").isNotNull()
     missing = F.when(
-        source == "host", F.when(~in_catalogue, F.concat(F.lit("compiled schema not found: "), ref)),
+        source == "host", F.when(~in_catalogue, F.concat(F.lit(binding.NOT_FOUND), ref)),
     ).when(source == "document", binding.document_schema_error(ref, in_catalogue))
     d = d.withColumn("schema_error", F.when(failure.isNull(), missing))
     meta_key = dialect.meta_key

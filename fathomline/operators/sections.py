@@ -15,19 +15,20 @@ from .schemas import TEXT, catalogue, mapped
 
 KINDS = ("enum_table", "field_list", "vocab")
 KNOWN = ("kind", "schema", "pointer", "sha256")
-# How an attribute of a marker is written, and the marker's own shape below.
+# How an attribute of a marker is written, the marker's own shape below, and what sections without fields say.
+NO_ENUMS, NO_FIELDS = "| _(no enum fields)_ | _(none)_ |", "- _(no fields)_"
 _ATTRIBUTE = r'([A-Za-z_][A-Za-z0-9_]*)="([^"]*)"'
 
 
 def enum_table(fields: SchemaFields) -> str:
     rows = [f"| `{f.name}` | {', '.join(v.replace('|', chr(92) + '|') for v in f.enum)} |" for f in fields.all() if f.enum is not None]
-    return "\n".join(["| Field | Allowed values |", "| --- | --- |", *(rows or ["| _(no enum fields)_ | _(none)_ |"])])
+    return "\n".join(["| Field | Allowed values |", "| --- | --- |", *(rows or [NO_ENUMS])])
 
 
 def field_list(fields: SchemaFields) -> str:
     """Fields of the root only."""
     rows = [f"- `{f.name}` ({f.json_type or 'object'}, {'required' if f.required else 'optional'})" + (f": {f.description}" if f.description else "") for f in fields.all() if f.pointer.count("/properties/") == 1]
-    return "\n".join(rows or ["- _(no fields)_"])
+    return "\n".join(rows or [NO_FIELDS])
 
 
 def vocab(values: list[str]) -> str:
