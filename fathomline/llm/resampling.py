@@ -130,6 +130,8 @@ def weighed(docs: DataFrame, gain: np.ndarray, id_col: str = "doc_id", text_col:
             yield pa.record_batch([batch.column(0), pa.array(words), pa.array(features), pa.array(weight)], ["id", "n_words", "n_features", "weight"])
 
     rows = sole(docs, {"id": id_col, "t": text_col}).select("id", F.col("t").cast("binary").alias("t"))
+    if rows.schema["id"].dataType.simpleString() == "void":  # docs have no ids
+        rows = rows.withColumn("id", F.col("id").cast("long"))
     return rows.mapInArrow(weigh, f"id {rows.schema['id'].dataType.simpleString()}, n_words long, n_features long, weight long")
 
 

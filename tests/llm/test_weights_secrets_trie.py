@@ -111,6 +111,10 @@ def test_resampling_of_nothing(spark):
     some = spark.createDataFrame([(1, "a b " * 20)], "doc_id long, text string")
     (row,) = importance_resample(some, none, percent=100).collect()
     assert row["rank"] == 1 and row.n_features == 117
+    rows = importance_resample(some.select("text"), some.select("text"), percent=100).collect()
+    assert [(r.doc_id, r["rank"]) for r in rows] == [(None, 1)]
+    rows = importance_resample(some.select("doc_id"), some).collect()
+    assert [(r.doc_id, r.n_features, r["rank"]) for r in rows] == [(1, 0, None)]
 
 
 # ---- secrets --------------------------------------------------------------------------------------------------------
@@ -166,6 +170,7 @@ def test_weak_parts_need_their_complements(spark):
     kinds = {r.doc_id: [s.kind for s in r.spans] for r in done.collect()}
     assert kinds == {1: [], 2: ["login", "short", "endpoint"], 3: [], 4: ["assign"], 5: ["access", "key"], 6: []}
     assert secret_scan.secret_scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    assert [tuple(r) for r in secret_scan.secret_scan(spark.createDataFrame([(1,)], "doc_id long")).collect()] == [(1, [])]
 
 
 # ---- trie -----------------------------------------------------------------------------------------------------------
