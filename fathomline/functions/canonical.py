@@ -5,14 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-from collections.abc import Iterator
 from decimal import Decimal
 from typing import Any
 
-import pyarrow as pa
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .vocab import MAX_SAFE_INTEGER
 
 
@@ -59,23 +54,6 @@ def digest(value: Any) -> str:
     return hashlib.sha256(canonical_json(value).encode()).hexdigest()
 
 
-def canonical_text(text: Column | str) -> Column:
-    """Canonical JSON of a column of JSON texts; null for null and for what has none, as integers beyond the safe range."""
-
-    @F.arrow_udf("string")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        def one(given: str | None) -> str | None:
-            try:
-                return None if given is None else canonical_json(json.loads(given))
-            except (TypeError, ValueError):
-                return None
-
-        for batch in batches:
-            yield pa.array(map(one, batch.to_pylist()), pa.string())
-
-    return run(text)
-
-
 def same(a: Any, b: Any) -> bool:
     """JSON equality: 1 and 1.0 are equal, 1 and true are not."""
     if isinstance(a, bool) or isinstance(b, bool) or a is None or b is None:

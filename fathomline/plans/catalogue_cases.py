@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.functions.canonical import canonical_text
 from fathomline.operators import sections
 from fathomline.operators.corpus import error_rows, validate_corpus
 from fathomline.operators.fields import SchemaFields
@@ -14,6 +13,7 @@ from fathomline.operators.validate import Contract, violations
 from fathomline.operators.values import results_json, validate_values
 from fathomline.sources.documents import decode_table, from_roots, text_of
 
+from .canonical_texts import canonical_text
 from .catalogue import DOC_CONTRACT, MOVIE, SCHEMAS, artifacts, by_remainder, lines, query, read
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.functions.canonical import canonical_text, digest
+from fathomline.functions.canonical import digest
 from fathomline.operators import binding, sections
 from fathomline.operators.corpus import error_rows, validate_corpus
 from fathomline.operators.fields import field_table, identities
@@ -18,6 +18,7 @@ from fathomline.operators.schemas import canonical_forms, load_errors, located,
 from fathomline.operators.validate import Contract, item_violations, violations
 from fathomline.sources.documents import decode_table, from_roots
 
+from .canonical_texts import canonical_text
 from .catalogue import artifacts, by_remainder, lines, query, read
 from .catalogue_cases import keyword_query
 
@@ -224,6 +225,16 @@ def canonical_key_order(spark, d):
     return read(spark, d, "documents").select("doc_id", F.sha2(canonical_text(text).cast("binary"), 256).alias("sha"))
 
 
+@query("canonical_refused", """
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '{"a":[' || doc_id || ',{"b":"\\u001f"}]}' END AS canonical FROM documents
+""")
+def canonical_refused(spark, d):
+    """A text that has a canonical form, then five that have none: a key twice, an integer beyond the safe range, a lone surrogate, two values, no JSON."""
+    texts = ('{"a": [@key, {"b": "\\u001F"}]}', '{"a": @key, "a": 1}', '{"n": 9007199254740992@key}', '["\\ud83d@key"]', "[@key] [@key]", '{"a": @key')
+    given = by_key("doc_id", *[filled(t, key="doc_id") for t in texts])
+    return read(spark, d, "documents").select("doc_id", canonical_text(given).alias("canonical"))
+
+
 # ---- models ---------------------------------------------------------------------------------------------------------
 
 
