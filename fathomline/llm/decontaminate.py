@@ -1,6 +1,6 @@
 """Benchmark decontamination: numbers, quantities and names become typed placeholders, one for each however many words it
 has; windows of such templates are hash-joined with the benchmark's, and names must map one to one along an aligned
-passage, while numbers may change freely.
+passage, and a number that comes again must be changed alike, with few exceptions.
 
 Each text has two templates: as it is written, where a capital marks a name, and without regard to case, where only known
 names do, so that a copy whose capitals changed is found too. A window of almost nothing but placeholders is joined by
@@ -146,7 +146,7 @@ def _windows(
             yield parts, mix(hashed ^ np.uint64(2 * size + kind)), own, at, filled >= min(least_words, size), size, kind
 
 
-FOUND = "id long, version long, place int, begin int, end int, window long, kind int, enough boolean, own long, names array<long>"
+FOUND = "id long, version long, place int, begin int, end int, window long, kind int, enough boolean, own long, names array<long>, numbers array<long>, number_at array<int>"
 
 
 def _rows(
@@ -168,16 +168,21 @@ def _rows(
                 continue
             doc = p.doc[at]
             first = np.searchsorted(p.doc, doc)
-            spots = [p.value[k : k + size][p.name[k : k + size]].view(np.int64) for k in at]
-            bounds = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in spots])]).astype(np.int32))
+            names = [p.value[k : k + size][p.name[k : k + size]].view(np.int64) for k in at]
+            number_at = [np.flatnonzero(p.slot[k : k + size] & ~p.name[k : k + size]) for k in at]
+            numbers = [p.value[k + n].view(np.int64) for k, n in zip(at, number_at, strict=True)]
             of = ids.take(pa.array(base + doc))
             yield pa.record_batch({
                 "id": of.column(0), "version": of.column(1), "place": pa.array((at - first).astype(np.int32)), "begin": pa.array((p.begin[at] - p.begin[first]).astype(np.int32)),
                 "end": pa.array((p.end[at + size - 1] - p.begin[first]).astype(np.int32)), "window": pa.array(hashed.view(np.int64)), "kind": pa.array(np.full(len(at), kind, np.int32)),
-                "enough": pa.array(enough), "own": pa.array(own.view(np.int64)), "names": pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(spots))),
+                "enough": pa.array(enough), "own": pa.array(own.view(np.int64)), "names": _lists(names), "numbers": _lists(numbers), "number_at": _lists([n.astype(np.int32) for n in number_at]),
             })
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)), pa.array(np.concatenate(rows)))
+
+
 def bits(windows: DataFrame) -> np.ndarray:
     """A map of 2**26 bits (8 MB, whatever the number of windows): those of the windows' leading bits are set."""
     word, bit = F.shiftrightunsigned("window", 44), F.shiftrightunsigned("window", 38).bitwiseAND(63).cast("int")
@@ -212,13 +217,25 @@ def _runs(windows: list[dict]) -> Iterator[list[dict]]:
         yield windows[first:]
 
 
-def _passage(windows: list[dict], total: int, min_words: int, min_share: float) -> tuple[int, float] | None:
+def _steady(run: list[dict], exceptions: float) -> bool:
+    """Whether numbers keep their places: each of the item's stands for one of the document's wherever it comes again, but for
+    one place, or that share of the run's number places."""
+    there: dict[int, Counter] = defaultdict(Counter)
+    places = {w["place"] + at: (a, b) for w in run for at, a, b in w["numbers"]}
+    for a, b in places.values():
+        there[a][b] += 1
+    return len(places) - sum(max(c.values()) for c in there.values()) <= max(1, exceptions * len(places))
+
+
+def _passage(windows: list[dict], total: int, min_words: int, min_share: float, exceptions: float) -> tuple[int, float] | None:
     """Most words that windows cover without a gap, and share of the item's windows, of the runs that are passages.
 
-    Where names clash, a run must hold min_share of the item's windows."""
+    Where names clash, a run must hold min_share of the item's windows; its numbers must be steady."""
     windows = sorted(windows, key=lambda w: w["place"])
     best = None
     for run in _runs(windows):
+        if not _steady(run, exceptions):
+            continue
         longest = begin = end = 0
         for w in run:
             if w["begin"] > end or w is run[0]:
@@ -234,7 +251,7 @@ def _passage(windows: list[dict], total: int, min_words: int, min_share: float)
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_id_col: str = "item_id", item_text_col: str = "text", window: int = 8, min_words: int = 13,
-    min_share: float = 0.5, least_words: int = 3, known: Vocabulary = Vocabulary(),
+    min_share: float = 0.5, least_words: int = 3, known: Vocabulary = Vocabulary(), exceptions: float = 0.25,
 ) -> DataFrame:
     """Pairs of a document and a benchmark item of which it holds a passage: id, item_id, words, share, exact.
 
@@ -242,8 +259,10 @@ def decontaminate(
     covers min_words of the item's words, or windows of an alignment that are min_share of the item's. Windows of fewer
     than least_words different words that are no placeholders count only with equal values or on an alignment that holds another
     window. Along a passage each name of the item stands for one of the document's and the other way round; where names
-    clash, the longest runs without a clash are passages if they hold min_share of the item's windows. Numbers are free,
-    as small numbers of a changed question often collide. words, share: of the best passage; exact: one is found with
+    clash, the longest runs without a clash are passages if they hold min_share of the item's windows. A number or quantity
+    that the item repeats must stand for one and the same of the document's, but for one place or `exceptions` of the
+    passage's number places; two of the item's may become one, as small numbers of a changed question often collide. Windows with
+    equal values are a passage whatever stands between them. words, share: of the best passage; exact: one is found with
     all values unchanged (else only re-parameterised).
 
     Items or documents whose id or text is null or empty match nothing. Rows that repeat an id with other texts are
@@ -278,7 +297,7 @@ def decontaminate(
                     tuple((min(window, n),) if n else () for n in lengths(t)), least_words, known, None,
                 )
 
-    renamed = {"id": "item_id", "version": "item_version", "place": "item_place", "own": "item_own", "names": "item_names"}
+    renamed = {"id": "item_id", "version": "item_version", "place": "item_place", "own": "item_own", "names": "item_names", "numbers": "item_numbers"}
     bench = cut(items.mapInArrow(own_size, FOUND).withColumnsRenamed(renamed), "benchmark-windows")
     shared = spark.sparkContext.broadcast(bits(bench))
 
@@ -286,7 +305,7 @@ def decontaminate(
         for b in batches:
             yield from _rows(b.select(["id", "version"]), b.column("text"), sizes, least_words, known, shared.value)
 
-    found = cut(named(docs, id_col, text_col).mapInArrow(run, FOUND).drop("begin", "end"), "found-windows")
+    found = cut(named(docs, id_col, text_col).mapInArrow(run, FOUND).drop("begin", "end", "number_at"), "found-windows")
     often = found.count()
     hot = found.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT > often)
     hot = F.broadcast(hot.select("window", F.ceil(F.col("n") * HOT / often).cast("int").alias("parts")))
@@ -294,7 +313,7 @@ def decontaminate(
     asked = found.where("enough").join(hot, "window", "left").withColumn("part", F.pmod(F.xxhash64("id", "place"), parts).cast("int"))
     strong = bench.where("enough").join(hot, "window", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     place = ["id", "version", "item_id", "item_version", "kind", "shift"]
-    columns = [*place, "item_place", "begin", "end", "item_own", "own", "item_names", "names"]
+    columns = [*place, "item_place", "begin", "end", "item_own", "own", "item_names", "names", "number_at", "item_numbers", "numbers"]
     aligned = asked.drop("enough", "parts").join(strong.drop("enough", "parts"), ["window", "kind", "part"]).withColumn("shift", F.col("place") - F.col("item_place")).select(*columns)
     # by the places that an alignment gives them, never by their hash alone, which many documents may hold
     due = aligned.select(*place).distinct().join(
@@ -302,7 +321,8 @@ def decontaminate(
     ).withColumn("place", F.col("item_place") + F.col("shift"))
     beside = found.where("not enough").drop("enough").join(due, ["id", "version", "kind", "place", "window"]).select(*columns)
     names = F.transform(F.arrays_zip("item_names", "names"), lambda p: F.array(p["item_names"], p["names"]))
-    spot = F.struct(F.col("item_place").alias("place"), "begin", "end", (F.col("item_own") == F.col("own")).alias("exact"), names.alias("names"))
+    numbers = F.transform(F.arrays_zip("number_at", "item_numbers", "numbers"), lambda p: F.array(p["number_at"].cast("long"), p["item_numbers"], p["numbers"]))
+    spot = F.struct(F.col("item_place").alias("place"), "begin", "end", (F.col("item_own") == F.col("own")).alias("exact"), names.alias("names"), numbers.alias("numbers"))
     windows_of = aligned.unionByName(beside).groupBy(*place).agg(F.collect_set(spot).alias("windows"))
     totals = bench.groupBy("item_id", "item_version", "kind").agg(F.countDistinct("item_place").alias("total"))
 
@@ -310,8 +330,8 @@ def decontaminate(
     def passage(windows: pa.Array, total: pa.Array) -> pa.Array:
         out = []
         for w, n in zip(windows.to_pylist(), total.to_pylist(), strict=True):
-            best = _passage(w, n, min_words, min_share)
-            exact = best and _passage([x for x in w if x["exact"]], n, min_words, min_share)
+            exact = _passage([x for x in w if x["exact"]], n, min_words, min_share, exceptions)
+            best = _passage(w, n, min_words, min_share, exceptions) or exact
             out.append(best and {"words": best[0], "share": best[1], "exact": exact is not None})
         return pa.array(out, pa.struct([("words", pa.int32()), ("share", pa.float64()), ("exact", pa.bool_())]))
 
