@@ -32,14 +32,15 @@ class Union:
             self.sets -= 1
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, reduced: bool = False) -> DataFrame:
     """id, component for every id in links(a, b): component is the least id that links lead to.
 
-    Each task first reduces its links to a spanning forest; then large and small stars alternate until nothing changes,
+    Each task first reduces its links to a spanning forest, unless a task that made them by forest() did so (reduced); then large and small stars alternate until nothing changes,
     each round's table written in the shared folder. Sums over a hub's links are combined before they are shuffled, and the
     joins with them carry one row per link, on whose hub side Spark splits a large partition. Rounds grow with the
     logarithm of the longest path. Links of an id with itself keep it as a component of its own."""
-    stars = cut(links.select("a", "b").mapInArrow(_forest, "a long, b long").distinct(), "links")
+    links = links.select("a", "b")
+    stars = cut((links if reduced else links.mapInArrow(forest, "a long, b long")).distinct(), "links")
     state = lambda t: t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     mark = state(stars)
     rows = mark[0]
@@ -59,8 +60,9 @@ def components(links: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.min("component").alias("component"))
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For every 200,000 links of a task, as few with the same components; the greater id first."""
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every 200,000 links of a task, as few with the same components; the greater id first. A task that makes links
+    in Python calls it there: a second MapInArrow would hold a second worker, and idle ones keep their memory."""
     held: list[np.ndarray] = []
 
     def reduced() -> pa.RecordBatch:

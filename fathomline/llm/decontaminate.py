@@ -335,7 +335,9 @@ def decontaminate(
             out.append(best and {"words": best[0], "share": best[1], "exact": exact is not None})
         return pa.array(out, pa.struct([("words", pa.int32()), ("share", pa.float64()), ("exact", pa.bool_())]))
 
-    passages = windows_of.join(totals, ["item_id", "item_version", "kind"]).select("id", "item_id", passage("windows", "total").alias("best")).where("best is not null")
+    # a filter on what a deterministic function gives would call it once more, in a second worker
+    found_at = passage.asNondeterministic()("windows", "total").alias("best")
+    passages = windows_of.join(totals, ["item_id", "item_version", "kind"]).select("id", "item_id", found_at).where("best is not null")
     best = [
         F.max("best.words").alias("words"), F.max("best.share").alias("share"),
         F.max(F.col("best.exact").cast("int")).cast("boolean").alias("exact"),

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._components import Union, components, grouped, groups
+from ._components import Union, components, forest, grouped, groups
 from ._words import NOT_SPACE, mix, slices, windows, words
 from ._work import P, cut, join_counted, sifted, sole, table
 
@@ -157,7 +157,7 @@ def _in_blocks(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
 
 
 def _candidates(reps: DataFrame, count: int, plan: Plan) -> DataFrame:
-    """Candidate links (a, b) of all runs over so many reps."""
+    """Candidate links (a, b) of all runs over so many reps, of each task a spanning forest."""
     first = [F.xxhash64(F.lit(k), F.col("tokens")[k % plan.coordinates]) for k in range(plan.runs * plan.chosen)]
     nodes, total = reps.select("id", F.explode(F.array(*first)).alias("key")).withColumn("before", F.lit(None).cast("long")), count * len(first)
     done: DataFrame | None = None
@@ -176,7 +176,7 @@ def _candidates(reps: DataFrame, count: int, plan: Plan) -> DataFrame:
         split = F.explode(F.array_distinct(F.array(*[F.xxhash64("key", p, F.col("tokens")[p]) for p in picks])))
         nodes = large.join(reps.select("id", "tokens"), "id").select("id", split.alias("key"), F.col("m").alias("before"))
     rows = _in_blocks(done, "key", F.ceil(F.col("m") / plan.block)).join(reps.select("id", "n", "sig"), "id").select("key", "one", "two", "id", "n", "sig", "side")
-    return grouped(rows, ["key", "one", "two"]).mapInArrow(lambda b: _compare(b, plan), "a long, b long")
+    return grouped(rows, ["key", "one", "two"]).mapInArrow(lambda b: forest(_compare(b, plan)), "a long, b long")
 
 
 def _exact(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
@@ -256,7 +256,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     classes = cut(classes.select(*digest, P + "lead.*", "copies", "tokens", "sig"), "classes")
     reps, count = classes.select("id", "n", "tokens", "sig"), classes.count()
-    label = cut(components(_candidates(reps, count, plan)), "components", count)
+    label = cut(components(_candidates(reps, count, plan), reduced=True), "components", count)
     sides = F.greatest(F.ceil(F.count(F.lit(1)) / plan.exact_sets), F.ceil(F.sum("n") / plan.exact_shingles)).alias("blocks")
     named = label.withColumnRenamed("component", "key").join(classes.select("id", "n", "doc", "version", "copies"), "id")
     sizes = cut(named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), sides), "sizes", count)

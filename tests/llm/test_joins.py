@@ -462,6 +462,43 @@ def test_pipeline_odd_rows(spark, tmp_path):
             assert {(r.lang, r.source) for r in kept} == {(None, None)}
 
 
+def most_python(plan):
+    """The most Python nodes that a stage of a physical plan runs at once; each takes a worker of its own in every task."""
+    most = 0
+
+    def here(node):
+        nonlocal most
+        name, kids = node.nodeName(), node.children()
+        if name.startswith("AdaptiveSparkPlan"):
+            return here(node.initialPlan())
+        n = sum(here(kids.apply(k)) for k in range(kids.size())) + ("Python" in name or "InArrow" in name)
+        most = max(most, n)
+        return 0 if "Exchange" in name else n
+
+    here(plan)
+    return most
+
+
+@here
+def test_pipeline_has_one_worker_a_task(spark, monkeypatch):
+    """Workers stay for the stages that follow, so a stage with two of them a task doubles the memory of all."""
+    import corpus_pipeline as cp
+    from fathomline.llm import _components, _work, decontaminate, jaccard_join, line_dedup, toxicity
+
+    seen = {}
+
+    def cut(df, name, rows=None):
+        seen[name] = max(seen.get(name, 0), most_python(df._jdf.queryExecution().executedPlan()))
+        return _work.cut(df, name, rows)
+
+    for module in (cp, _components, decontaminate, jaccard_join, line_dedup, toxicity):
+        if hasattr(module, "cut"):
+            monkeypatch.setattr(module, "cut", cut)
+    seen["tokens"] = most_python(cp.run(spark, SF)._jdf.queryExecution().executedPlan())
+    assert seen["sketches"] == seen["found-windows"] == seen["tokens"] == 1
+    assert {k: v for k, v in seen.items() if v > 1} == {}
+
+
 def test_release_removes_only_what_it_is_given(spark):
     from fathomline.llm._work import cut, made, release
 
