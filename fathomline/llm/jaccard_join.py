@@ -175,6 +175,7 @@ def _candidates(reps: DataFrame, count: int, plan: Plan) -> DataFrame:
         picks = [F.pmod(F.xxhash64("key", F.lit(j)), F.lit(plan.coordinates)).cast("int") for j in range(plan.split)]
         split = F.explode(F.array_distinct(F.array(*[F.xxhash64("key", p, F.col("tokens")[p]) for p in picks])))
         nodes = large.join(reps.select("id", "tokens"), "id").select("id", split.alias("key"), F.col("m").alias("before"))
+        nodes = cut(nodes, "split-buckets", total)  # counted and joined below: read three times, made once
     rows = _in_blocks(done, "key", F.ceil(F.col("m") / plan.block)).join(reps.select("id", "n", "sig"), "id").select("key", "one", "two", "id", "n", "sig", "side")
     return grouped(rows, ["key", "one", "two"]).mapInArrow(lambda b: forest(_compare(b, plan)), "a long, b long")
 

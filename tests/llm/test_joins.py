@@ -113,6 +113,40 @@ def test_jaccard_on_documents(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def generated(spark, since=-1):
+    """Rows that explode(array_distinct(...)) made in executions after the one numbered since, and the last one's number."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    store, rows, last = spark._jsparkSession.sharedState().statusStore(), 0, since
+    done = store.executionsList()
+    for k in range(done.size()):
+        number = done.apply(k).executionId()
+        last = max(last, number)
+        if number <= since:
+            continue
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            if node.name() == "Generate" and "array_distinct" in node.desc():
+                for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        rows += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return rows, last
+
+
+def test_jaccard_splits_a_group_in_linear_work(spark):
+    """A bucket of near copies is split once for each of its sets: at most `split` rows a set and sampled coordinate."""
+    rng, plan = np.random.default_rng(3), Plan(small=16, block=64)
+    base = [f"b{k}" for k in range(400)]
+    made, (_, last) = {}, generated(spark)
+    for n in (150, 300):
+        docs = list(enumerate(group(rng, n, base, 2)))
+        texts = len({t for _, t in docs})
+        rows = jaccard_join(spark.createDataFrame(docs, DOC), plan=plan).collect()
+        assert {r.component_id for r in rows} == {0}
+        made[n], last = generated(spark, last)
+        assert 0 < made[n] <= texts * plan.runs * plan.chosen * plan.split
+    assert made[300] <= 2.2 * made[150]
+
+
 # ---- embeddings ---------------------------------------------------------------------------------------------------
 
 
